@@ -25,3 +25,13 @@ def op4_ngram_jaccard_join(spark, sf_dir):
     from .ngram_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+@query
+def op6_substring_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .substring_dedup import remove_repeats
+
+    kept = remove_repeats(table(spark, sf_dir, "documents"), window=13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
