@@ -4,19 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: SQL can't express the classifiers' and similarity joins' decisions; tests/llm compares with a brute-force version.
+#: SQL can't express the classifiers' decisions; tests/llm compares the stages with brute-force versions.
 ORACLE_SQL = None
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8) stays: that of the smallest doc_id."""
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, with its threshold for their language, does not reject."""
+    from kindred.llm.toxicity import toxicity, train
+
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity(docs, model).where("not toxic_rejected").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8): that of the smallest doc_id."""
     from kindred.llm.ngram_join import jaccard_components
 
     groups = jaccard_components(docs, k=5, percent=80)
     return docs.join(groups.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("ngram_jaccard_join", near_duplicates)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any ten-word window of a benchmark item."""
+    from kindred.llm.decontaminate import decontaminate
+
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    from kindred.llm.pii import redact, train
+
+    return redact(docs, train(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes, by sources' target weights."""
+    from kindred.llm.mixing import mix
+
+    return mix(docs, weights=(3, 1, 2), share=1.5, most=2.0)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("pii", redact_personal_data),
+    ("source_mixing", mix_sources),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
