@@ -13,8 +13,8 @@ lost. A set joins in its own band, and in the next smaller one if a set of that
 
 Candidates pass a second parity sketch (512 bits, the Hamming bound again), then an exact comparison of the texts'
 shingles. A block shared by many sets is not expanded into pairs: its members are compared with its first member, linked
-sets are contracted to components, and only pairs across components are looked at after that. Blocks of more than TILE
-members are compared tile by tile.
+sets are contracted to components, then each set is compared with its nearest of another component, and at last all pairs
+still across components are. Blocks of more than TILE members are compared tile by tile.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from ._graph import checkpointed, components
 from ._words import Words, grouped_sum, mix, shingle_sets, slices, text_buffer, words
 
 TILE = 2048
+#: Members of blocks that one task compares.
+PART_ROWS = 200_000
 #: Keys that one task holds at a time.
 GROUP_KEYS = 1_000_000
 SKETCH_BITS = 512
@@ -183,36 +185,49 @@ def _unpacked(blobs: DataFrame, x: str, y: str, names: str) -> DataFrame:
 
 
 def _across(members: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs within a block, of different components, that the sketches allow; with best, for each class and each other
-    component only the nearest."""
+    """Pairs within a block, of different components, that the sketches allow; with best, for each class only the nearest.
+
+    Blocks are dealt to parts of about PART_ROWS rows, in which a pair is handed on once for all its blocks; a block of
+    more than TILE members is dealt tile by tile to parts of its own."""
     sized = members.join(members.groupBy("key").agg(F.count("*").alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi"), "key")
-    tiled = sized.withColumn("tiles", F.ceil(F.col("held") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).select(
-        "key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "cls", "n_shingles", "sketch", "component"
-    )
+    sized = checkpointed(sized.withColumn("tiles", F.ceil(F.col("held") / TILE).cast("int")))
+    parts = max(1, sized.count() // PART_ROWS)
+    tiled = sized.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    tiled = tiled.withColumn("p", F.least("tile", "other")).withColumn("q", F.greatest("tile", "other"))
+    part = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("key"), F.lit(parts))).otherwise(F.xxhash64("key", "p", "q"))
+    tiled = tiled.select(part.alias("part"), "key", "p", "q", "tile", "cls", "n_shingles", "sketch", "component")
 
     def compare(table: pa.Table) -> pa.Table:
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        tile, cls, comp, n = (table.column(c).to_numpy() for c in ("tile", "cls", "component", "n_shingles"))
+        key, p, q, tile, cls, comp, n = (table.column(c).to_numpy() for c in ("key", "p", "q", "tile", "cls", "component", "n_shingles"))
         bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(cls), -1)
-        left, right = np.flatnonzero(tile == p), np.flatnonzero(tile == q)
-        found = []
-        for i in left:
-            j = right[(comp[right] != comp[i]) & (cls[right] > cls[i])] if p == q else right[comp[right] != comp[i]]
-            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            j = j[small * 100 >= large * percent]
-            away = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-            near = away * (100 + percent) <= (100 - percent) * (n[j] + n[i])
-            j, away = j[near], away[near]
-            if best and len(j):
-                order = np.lexsort((cls[j], away, comp[j]))
-                j = j[order]
-                j = j[np.concatenate([[True], comp[j][1:] != comp[j][:-1]])]
-            found.append(np.stack([np.full(len(j), cls[i]), cls[j]], 1))
-        pair = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return pa.table({"a": pa.array(pair.min(1, initial=np.iinfo(np.int64).max)), "b": pa.array(pair.max(1, initial=np.iinfo(np.int64).min))})
-
-    return tiled.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long").distinct()
+        order = np.lexsort((cls, q, p, key))
+        k = np.stack([key[order], p[order], q[order]])
+        cut = np.flatnonzero(np.concatenate([[True], (k[:, 1:] != k[:, :-1]).any(0), [True]]))
+        found = [np.empty((3, 0), np.int64)]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            rows = order[a:b]
+            left, right = rows[tile[rows] == p[rows[0]]], rows[tile[rows] == q[rows[0]]]
+            for at, i in enumerate(left):
+                j = left[at + 1 :] if p[i] == q[i] else right
+                j = j[comp[j] != comp[i]]
+                j = j[np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent]
+                away = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+                near = away * (100 + percent) <= (100 - percent) * (n[j] + n[i])
+                j, away = j[near], away[near]
+                if best and len(j):
+                    # the nearest of i among later members; earlier ones have looked at i in their turn
+                    near = np.lexsort((cls[j], away))[:1]
+                    j, away = j[near], away[near]
+                found.append(np.stack([np.full(len(j), cls[i]), cls[j], away]))
+        x, y, away = np.concatenate(found, 1)
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((y, x)) if not best else np.lexsort((y, away, x))
+        x, y = x[order], y[order]
+        keep = np.ones(len(x), bool)
+        keep[1:] = (x[1:] != x[:-1]) if best else (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        return pa.table({"a": x[keep], "b": y[keep]})
+
+    return tiled.groupBy("part").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -290,7 +305,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     texts = checkpointed(docs.mapInArrow(pack, "cls long, packed binary").join(wanted.withColumnRenamed("doc_id", "cls"), "cls", "left_semi").dropDuplicates(["cls"]))
     links = checkpointed(_verified(near, texts, k, percent))
-    for best in (True, False):
+    for best in (True, True, False):
         comp = components(links)
         placed = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         more = checkpointed(_across(placed, percent, best))
