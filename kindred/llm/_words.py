@@ -29,7 +29,7 @@ def _table(lower: bool, alnum: bool) -> np.ndarray:
     if alnum:
         keep = np.zeros(256, bool)
         keep[48:58] = keep[97:123] = keep[128:] = True
-        t[~keep] = 32
+        t[~keep[t]] = 32
     t[9:14] = 32
     return t
 
