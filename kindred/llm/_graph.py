@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Edges that one task of a round holds, about.
+EDGES_A_TASK = 200_000
+
+
 def checkpoint_folder(df: DataFrame) -> None:
     """Sets the checkpoint folder where the session has none: the one named in spark.checkpoint.dir, or, where that is
     unset as in local tests, a temporary one."""
@@ -30,19 +34,22 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
 
     Each round links every node's larger neighbours to its smallest one (large star), then its smaller neighbours (small
     star), until the edges form stars. Both steps are a grouped minimum, which combines before the shuffle, and a join.
-    Nulls and loops are ignored. Edges and labels stay distributed; each round is checkpointed.
+    Nulls and loops are ignored. Edges and labels stay distributed, over a number of tasks that follows their number; each
+    round is checkpointed.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     e = checkpointed(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    tasks = max(1, e.count() // EDGES_A_TASK)
     seen = None
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        e = e.coalesce(tasks)
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(low, "u").select("u", "v", "m")
         small = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        e = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
         now = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if now == seen or not now[0]:
             break
