@@ -74,6 +74,11 @@ def any_of(c: Column, stems: tuple[str, ...]) -> Column:
     return reduce(lambda x, y: x | y, (c.contains(s) for s in stems))
 
 
+def let(c: Column, fn) -> Column:
+    """fn of a value that is worked out once, however often fn uses it."""
+    return F.element_at(F.transform(F.array(c), lambda v: fn(v)), 1)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
@@ -100,11 +105,14 @@ def clean_place(c: Column) -> Column:
 
 def normalize_location(c: Column) -> Column:
     """FN2: canonical place of the longest synonym contained, else the cleaned text; null where blank."""
-    d = clean_place(c)
-    out = d
-    for synonym, place in reversed(place_rules()):
-        out = F.when(d.contains(synonym), place).otherwise(out)
-    return F.when(d.isNotNull(), out)
+
+    def place(d):
+        out = F.when(d.isNull(), F.lit(None).cast("string"))
+        for synonym, name in place_rules():
+            out = out.when(d.contains(synonym), name)
+        return out.otherwise(d)
+
+    return let(clean_place(c), place)
 
 
 def location_score(a: Column, b: Column) -> Column:
@@ -146,14 +154,14 @@ def phonetic_tokens(c: Column) -> Column:
 
 def status_rank(kind: Column, marks: Column) -> Column:
     """FN7: deceased 5, found 4, injured 3, missing 2, unknown 1."""
-    m = deaccent(marks)
     found = kind.eqNullSafe("found")
-    return (
-        F.when(any_of(m, DECEASED), 5)
+    return let(
+        deaccent(marks),
+        lambda m: F.when(any_of(m, DECEASED), 5)
         .when(any_of(m, SAFE) | found, F.when(any_of(m, INJURED) & ~found, 3).otherwise(4))
         .when(any_of(m, INJURED), 3)
         .when(kind == "missing", 2)
-        .otherwise(1)
+        .otherwise(1),
     )
 
 
@@ -270,14 +278,12 @@ def pseudonym(c: Column, n: int = 10, prefix: str = "ph_") -> Column:
 
 def is_noise(name: Column) -> Column:
     """FN25: an event, or a name that begins like those of no one in particular."""
-    n = F.trim(F.lower(F.coalesce(name, F.lit(""))))
-    return reduce(lambda x, y: x | y, (n.startswith(p) for p in ("evento:", *GENERIC_NAMES)))
+    return let(F.trim(F.lower(F.coalesce(name, F.lit("")))), lambda n: reduce(lambda x, y: x | y, (n.startswith(p) for p in ("evento:", *GENERIC_NAMES))))
 
 
 def classify_reply(c: Column) -> Column:
     """FN26: 'hedge' for a reply that speaks of death, is certain, or says found without the hedging phrase."""
-    d = deaccent(c)
-    bad = any_of(d, REPLY_DEATH) | any_of(d, REPLY_CERTAIN) | (~d.contains(REPLY_HEDGE) & any_of(d, REPLY_FOUND))
+    bad = let(deaccent(c), lambda d: any_of(d, REPLY_DEATH) | any_of(d, REPLY_CERTAIN) | (~d.contains(REPLY_HEDGE) & any_of(d, REPLY_FOUND)))
     return F.when(bad, "hedge").otherwise("keep")
 
 

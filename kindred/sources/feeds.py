@@ -262,7 +262,7 @@ def chat_reports(df: DataFrame, source: str = "private_chat") -> DataFrame:
 
 def free_text(df: DataFrame, column: str = "body") -> DataFrame:
     """NM21: df with name, gender, age and location from "name, gender, age, location, ..."."""
-    parts = F.transform(F.split(F.col(column), ","), F.trim)
+    parts = F.transform(F.split(F.col(column), ","), lambda x: F.trim(x))
 
     def at(i):
         return F.nullif(F.try_element_at(parts, F.lit(i)), F.lit(""))

@@ -85,7 +85,7 @@ def extract_table_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     cells = F.transform(F.regexp_extract_all("tr", F.lit("(?is)<td\\b[^>]*>(.*?)</td>")), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), "\\s+", " ")))
     r = rows.withColumn("c", cells).where("size(c) in (3, 4)")
     shift = F.size("c") - 3
-    out = r.select("doc", "row", *(F.element_at("c", shift + i).alias(n) for i, n in ((1, "hospital"), (2, "name"), (3, "age"))))
+    out = r.select("doc", "row", *(F.try_element_at("c", F.greatest(shift + i, F.lit(1))).alias(n) for i, n in ((1, "hospital"), (2, "name"), (3, "age"))))
     return out.where(F.col("name").rlike("^[\\p{L}][\\p{L} .'-]{2,}$") & F.col("age").try_cast("int").between(1, 120))
 
 
@@ -93,7 +93,7 @@ def extract_pipe_rows(texts: DataFrame, column: str = "text") -> DataFrame:
     """SC8: doc, row, cells of a text's |-tables, without rules and bold marks."""
     lines = texts.select("doc", F.posexplode(F.split(column, "\n")).alias("row", "line")).where(F.col("line").rlike("^\\s*\\|.*\\|\\s*$") & ~F.col("line").rlike("^[\\s|:-]+$"))
     inner = F.regexp_replace(F.regexp_replace(F.trim("line"), "^\\||\\|$", ""), "\\*\\*", "")
-    return lines.select("doc", "row", F.transform(F.split(inner, "\\|"), F.trim).alias("cells"))
+    return lines.select("doc", "row", F.transform(F.split(inner, "\\|"), lambda x: F.trim(x)).alias("cells"))
 
 
 def extract_cards(pages: DataFrame, html: str = "html") -> DataFrame:
