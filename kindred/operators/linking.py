@@ -104,14 +104,16 @@ def link_new_photos(new: DataFrame, photos: DataFrame, reports: DataFrame, recal
 
 
 def hashing_featurizer(dim: int = 64):
-    """PL5: a featurizer without a model: hashed words of a text, counted into dim components of unit length, all in SQL."""
+    """PL5: a featurizer without a model: hashed words of a text, counted into dim components of unit length."""
+    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    count, norm = HashingTF(numFeatures=dim, inputCol="_words", outputCol="_counts"), Normalizer(inputCol="_counts", outputCol="_unit")
 
     def featurize(df: DataFrame) -> DataFrame:
         words = F.filter(F.split(text.deaccent(F.col("text")), "[^a-z0-9]+"), lambda w: w != "")
-        slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-        counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-        return df.withColumn("vector", F.when(norm > 0, F.transform(counts, lambda x: x / norm)))
+        out = norm.transform(count.transform(df.withColumn("_words", words)))
+        return out.withColumn("vector", F.when(F.size("_words") > 0, vector_to_array("_unit"))).drop("_words", "_counts", "_unit")
 
     return featurize
 

@@ -1016,7 +1016,7 @@ def pl18_nm22_approve_leads(get):
     return review.approve_leads(leads, get("reports")).select("id", "source", "source_url")
 
 
-@query(f"WITH {_SIM} SELECT CASE WHEN side = 0 THEN a ELSE b END AS missing_id, CASE WHEN side = 0 THEN b ELSE a END AS found_id, round(s, 4) AS score FROM k WHERE n <= 10 AND s >= 0.35 AND substr(a, 2)::INT % 9 = 0")
+@query(f"WITH {_SIM} SELECT DISTINCT CASE WHEN side = 0 THEN a ELSE b END AS missing_id, CASE WHEN side = 0 THEN b ELSE a END AS found_id, round(s, 4) AS score FROM k WHERE n <= 10 AND s >= 0.35 AND substr(a, 2)::INT % 9 = 0")
 def pl19_incremental_link(get):
     r = _vector_reports(get)
     return linking.incremental_link(r.where("cast(substring(id, 2) as int) % 9 = 0"), r, recall=0.3, accept=0.35).select("missing_id", "found_id", F.round("text_score", 4).alias("score"))
