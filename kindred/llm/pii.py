@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .boosting import Trees, boost
 from ._words import text_buffer
 
+#: No proposal under this probability is taken.
+LEAST = 0.9
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -137,8 +139,12 @@ def _respelt(kind: str, span: str, rng: np.random.Generator) -> tuple[str, bool]
             digits = digits[:-1] + str((int(digits[-1]) + rng.integers(1, 10)) % 10)
             return digits, False
         return [".", " - ", "/", "  "][rng.integers(4)].join(digits[i : i + 4] for i in range(0, len(digits), 4)), True
-    if rng.random() < 0.4:
-        return digits[-10:][: rng.integers(5, 11)], False
+    if rng.random() < 0.5:
+        d, m, y, h = rng.integers(1, 29), rng.integers(1, 13), rng.integers(1950, 2050), rng.integers(0, 24)
+        tens = " ".join(str(10 * int(i)) for i in range(1, rng.integers(5, 9)))
+        book = f"978-{digits[-9:-8]}-{digits[-8:-6]}-{digits[-6:]}-{digits[:1]}"
+        wrong = (digits[-10:][: rng.integers(5, 11)], f"{d:02}/{m:02}/{y} {h:02}:{d:02}", f"{y}-{m:02}-{d:02} {h:02}:{d:02}", f"{y}-{y + 1} ({d})", tens, book)
+        return wrong[rng.integers(len(wrong))], False
     a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
     return [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{digits[:-10]} {a} {b} {c}"][rng.integers(4)], True
 
@@ -206,7 +212,9 @@ def fit(texts: list[str], precision: float = 0.99, seed: int = 5) -> Detector:
         hit = np.cumsum(t[order]) / np.arange(1, len(rows) + 1)
         last = np.append(p[order][1:] != p[order][:-1], True)[: len(rows)]
         ok = np.flatnonzero((hit >= precision) & last) if len(rows) else np.empty(0, int)
-        thresholds[k] = max(0.5, float(p[order][ok[-1]])) if len(ok) else 2.0
+        # the middle between the last candidate taken and the next, but never less than LEAST
+        edge = np.append(p[order], 0.0)[ok[-1] : ok[-1] + 2] if len(ok) else None
+        thresholds[k] = max(LEAST, float(edge.mean())) if len(ok) else 2.0
     return Detector(trees, thresholds)
 
 
