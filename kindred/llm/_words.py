@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 2 << 20
 _MASK = (1 << 64) - 1
@@ -43,7 +44,7 @@ _powers: dict[str, np.ndarray] = {}
 def _pow(name: str, base: int, n: int) -> np.ndarray:
     got = _powers.get(name)
     if got is None or len(got) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = 1 << max(n - 1, 1).bit_length()
         got = np.empty(size, np.uint64)
         got[0] = 1
         filled = 1
@@ -51,7 +52,7 @@ def _pow(name: str, base: int, n: int) -> np.ndarray:
             take = min(filled, size - filled)
             got[filled : filled + take] = got[:take] * np.uint64(pow(base, filled, 1 << 64))
             filled += take
-        if size <= 4 * SLICE_BYTES:
+        if size <= 2 * SLICE_BYTES:
             _powers[name] = got
     return got[:n]
 
@@ -94,6 +95,15 @@ class Words:
         return mix(raw * _pow("inv", _BASE_INV, len(self.prefix))[start])
 
 
+def short_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """df, after limiting the rows of an Arrow batch in its session, so that a batch of long texts fits a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; a null counts as an empty text."""
     if column.null_count:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import checkpointed
-from ._words import mix, runs, slices, words
+from ._words import mix, runs, short_batches, slices, words
 
 GRAM = 3
 BLOCK = 1_000_000
@@ -90,7 +90,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     item_id. Rows that share a doc_id give one row: the most words, and the hits of all of them. Rows without a doc_id are
     left out. Other columns are ignored. Empty tables give an empty result or no hits.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    docs = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     grams = checkpointed(item_windows(items, window))
 
     def counter(wanted):

@@ -26,9 +26,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ._graph import checkpointed, components
-from ._words import Words, grouped_sum, mix, shingle_sets, slices, text_buffer, words
+from ._words import grouped_sum, mix, shingle_sets, short_batches, slices, text_buffer, words
 
 TILE = 2048
 #: Members of blocks that one task compares.
@@ -184,14 +185,14 @@ def _unpacked(blobs: DataFrame, x: str, y: str, names: str) -> DataFrame:
     return blobs.select(x, y).mapInArrow(unpack, f"{first} long, {second} long")
 
 
-def _across(members: DataFrame, percent: int, best: bool) -> DataFrame:
+def _across(open_: DataFrame, names: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs within a block, of different components, that the sketches allow; with best, for each class only the nearest.
 
-    Blocks are dealt to parts of about PART_ROWS rows, in which a pair is handed on once for all its blocks; a block of
-    more than TILE members is dealt tile by tile to parts of its own."""
-    sized = members.join(members.groupBy("key").agg(F.count("*").alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi"), "key")
-    sized = checkpointed(sized.withColumn("tiles", F.ceil(F.col("held") / TILE).cast("int")))
-    parts = max(1, sized.count() // PART_ROWS)
+    open_: key, cls, component, held (members of the block). Blocks are dealt to parts of about PART_ROWS rows, in which a
+    pair is handed on once for all its blocks; a block of more than TILE members is dealt tile by tile to parts of its
+    own."""
+    parts = max(1, open_.count() // PART_ROWS)
+    sized = open_.join(names, "cls").withColumn("tiles", F.ceil(F.col("held") / TILE).cast("int"))
     tiled = sized.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
     tiled = tiled.withColumn("p", F.least("tile", "other")).withColumn("q", F.greatest("tile", "other"))
     part = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("key"), F.lit(parts))).otherwise(F.xxhash64("key", "p", "q"))
@@ -272,7 +273,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     doc_id are one document: they link, and one row is returned, with the largest of their set sizes. Rows without a
     doc_id are left out. Other columns of docs are ignored. An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    docs = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     signed = checkpointed(signatures(docs, k))
     # a class is a set of shingles; cls names it, two classes of one name only share their candidates
     classes = checkpointed(
@@ -294,7 +295,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     near = rename(rename(stars, "a", "ra"), "b", "rb").where("100 * least(n_ra, n_rb) >= " + str(percent) + " * greatest(n_ra, n_rb)")
     near = checkpointed(near.where(bits(F.col("s_ra"), F.col("s_rb")) * (100 + percent) <= (100 - percent) * (F.col("n_ra") + F.col("n_rb"))).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b").distinct())
-    members = checkpointed(wide.join(names, "cls").select("key", F.col("rep").alias("cls"), "n_shingles", "sketch"))
+    members = checkpointed(wide.join(names.select("cls", "rep"), "cls").select("key", F.col("rep").alias("cls")))
     wanted = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).unionByName(members.select(F.col("cls").alias("doc_id"))).distinct()
 
     def pack(batches):
@@ -305,14 +306,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     texts = checkpointed(docs.mapInArrow(pack, "cls long, packed binary").join(wanted.withColumnRenamed("doc_id", "cls"), "cls", "left_semi").dropDuplicates(["cls"]))
     links = checkpointed(_verified(near, texts, k, percent))
+    sketches = names.select(F.col("rep").alias("cls"), "n_shingles", "sketch")
+    block = W.partitionBy("key")
     for best in (True, True, False):
         comp = components(links)
-        placed = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        more = checkpointed(_across(placed, percent, best))
+        placed = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component"))
+        # a block within one component stays so
+        seen = placed.select("*", F.count("*").over(block).alias("held"), F.min("component").over(block).alias("lo"), F.max("component").over(block).alias("hi"))
+        open_ = checkpointed(seen.where("lo < hi").drop("lo", "hi"))
+        more = checkpointed(_across(open_, sketches, percent, best))
         if more.isEmpty():
             break
-        links = links.unionByName(_verified(more, texts, k, percent))
-        links = checkpointed(links)
+        members = open_.select("key", "cls")
+        links = checkpointed(links.unionByName(_verified(more, texts, k, percent)))
     # rows that share a doc_id but not a text are one document
     same = signed.where("n_shingles > 0").join(classes.select("fp1", "fp2", "rep"), ["fp1", "fp2"]).select("doc_id", "rep")
     return _labelled(signed, same, links)

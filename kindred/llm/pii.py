@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, boost
-from ._words import text_buffer
+from ._words import short_batches, text_buffer
 
 #: No proposal under this probability is taken.
 LEAST = 0.9
@@ -149,6 +149,17 @@ def _respelt(kind: str, span: str, rng: np.random.Generator) -> tuple[str, bool]
     return [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{digits[:-10]} {a} {b} {c}"][rng.integers(4)], True
 
 
+def _plausible(kind: str, span: str) -> bool:
+    """Whether a proposal that no base span confirms could be right: such ones are no examples of either label."""
+    groups = _DIGITS.findall(span)
+    n = sum(map(len, groups))
+    if kind == "ip":
+        return len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
+    if kind == "card":
+        return luhn("".join(groups))
+    return kind == "email" or 8 <= n <= 15 and len(groups) > 1
+
+
 @dataclass
 class Detector:
     trees: Trees
@@ -197,7 +208,7 @@ def fit(texts: list[str], precision: float = 0.99, seed: int = 5) -> Detector:
                         add(context, kind, s, e, good and kind == k and abs(s - at) <= 1 and abs(e - at - len(new)) <= 1)
         for k, a, b in candidates(t):
             own = [(kind, s, e) for kind, s, e in base if a < e and s < b]
-            if not own:
+            if not own and not _plausible(k, t[a:b]):
                 add(t, k, a, b, False)
     if not y or not 0 < sum(y) < len(y):
         return Detector(Trees(np.zeros((1, 1), int), np.full((1, 1), np.inf), np.zeros((1, 2)), -9.0), dict.fromkeys(KINDS, 2.0))
@@ -258,7 +269,7 @@ def pii_spans(docs: DataFrame, detector: Detector) -> DataFrame:
                 out[i] = [dict(zip(("kind", "start", "end", "probability", "base"), s, strict=True)) for s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(find, schema)
+    return short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(find, schema)
 
 
 def redact(docs: DataFrame, detector: Detector) -> DataFrame:
@@ -297,4 +308,4 @@ def redact(docs: DataFrame, detector: Detector) -> DataFrame:
                     columns[size] = pa.array(n, columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(replace, docs.schema)
+    return short_batches(docs).mapInArrow(replace, docs.schema)

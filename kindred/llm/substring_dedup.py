@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import checkpoint_folder, checkpointed
-from ._words import _MULT, mix, slices, text_buffer, words
+from ._words import _MULT, mix, short_batches, slices, words
 
 #: Suffixes that a group and a batch hold.
 GROUP = 1_500_000
@@ -216,7 +216,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     rule (their windows don't remove one another) and are returned one by one. Rows without a doc_id are left out. Other
     columns are ignored. An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    docs = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     checkpoint_folder(docs)
     counts = census(docs, window)
     first, parts = prefix_plan(counts)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._words import slices
+from ._words import short_batches, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabularies split a text before merging (fixed by the vocabulary).
@@ -34,7 +34,7 @@ def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             n = [len(own.encode_to_numpy(t, disallowed_special=())) if t else 0 for t in piece.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, n_tokens long")
+    return short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, n_tokens long")
 
 
 def length_report(lengths: DataFrame) -> DataFrame:
