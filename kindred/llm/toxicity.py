@@ -9,7 +9,8 @@ trained on; thresholds are calibrated there for each language and decide rejecti
 only.
 
 The model is fitted on the driver from a bounded sample of labelled rows (parameter sample) and has a fixed size of about
-8 MB, which is what is broadcast. Scoring is one pass over the documents without a shuffle.
+8 MB, which is what is broadcast. Calibration scores all held labelled rows in a Spark job and reads a histogram of them.
+Scoring is one pass over the documents without a shuffle.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ WIDTHS = (1, 2, 3)
 ROWS = (1 << 16, 1 << 15, 1 << 15)
 HEADS = (4, 6)
 SLICE = 512 << 10
+#: Cells of the calibration's histogram: bins a unit of the logit, and the logit beyond which rows share the last bin.
+BINS = 256
+REACH = 64.0
 
 
 def _buckets(w: Words) -> np.ndarray:
@@ -178,19 +182,32 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 12, batch: int = 32, rate
     return m
 
 
-def calibrate(m: Model, texts: list[str], y: np.ndarray, langs: list[str | None], at: float = 0.3, few: int = 20) -> None:
+def calibrate(m: Model, scored: DataFrame, at: float = 0.3, few: int = 20) -> None:
     """Fits the scores' scale and shift, then each language's threshold: the middle of the widest range of scores with the
-    fewest errors. Languages with under few examples of either label use the threshold over all."""
-    tables = m.tables()
-    z = np.concatenate([m.logits(w, tables) for w in _read(texts)])
-    del tables
+    fewest errors. Languages with under few examples of either label use the threshold over all.
+
+    scored: lang, toxic (0 or 1) and logit of any number of labelled rows. They are counted in Spark by language, bin of
+    the logit and label; only cells of a histogram of fixed size reach the driver, for all rows and for each language with
+    enough examples. The scale and shift take a bin's rows at its middle; thresholds know a bin's least and largest logit."""
+    cell = F.floor(F.greatest(F.lit(-REACH), F.least(F.lit(REACH), F.col("logit"))) * BINS).cast("int")
+    cells = scored.groupBy("lang", cell.alias("bin"), "toxic").agg(F.count("*").alias("n"), F.min("logit").alias("lo"), F.max("logit").alias("hi"))
+    cells = cells.persist()
+    merged = (F.sum(F.col("n") * F.col("toxic")).alias("bad"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("good"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    total = cells.groupBy("bin").agg(*merged).orderBy("bin").toPandas()
+    enough = cells.where("lang is not null").groupBy("lang").agg(*merged[:2]).where((F.col("bad") >= few) & (F.col("good") >= few)).select("lang")
+    langs = cells.join(enough, "lang", "left_semi").groupBy("lang", "bin").agg(*merged).orderBy("lang", "bin").toPandas()
+    cells.unpersist()
+    if not len(total):
+        return
+    z = (total["bin"].to_numpy() + 0.5) / BINS
+    bad, good = total["bad"].to_numpy(np.float64), total["good"].to_numpy(np.float64)
+    pos, n = bad.sum(), bad + good
+    wanted = bad * (pos + 1) / (pos + 2) + good / (good.sum() + 2)
     a, b = 1.0, 0.0
-    pos = y.sum()
-    target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (len(y) - pos + 2))
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
-        v = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - target) * z).sum() + 1e-3 * (a - 1), (p - target).sum()])
+        v, over = n * np.maximum(p * (1 - p), 1e-9), n * p - wanted
+        g = np.array([(over * z).sum() + 1e-3 * (a - 1), over.sum()])
         h = np.array([[(v * z * z).sum() + 1e-3, (v * z).sum()], [(v * z).sum(), v.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
         step *= min(1, 2 / max(np.abs(step).max(), 1e-9))
@@ -198,22 +215,17 @@ def calibrate(m: Model, texts: list[str], y: np.ndarray, langs: list[str | None]
         if np.abs(step).max() < 1e-8:
             break
     m.scale, m.shift = max(float(a), 1e-3), float(b)
-    s = m.score(z)
 
     def best(rows):
-        order = np.argsort(s[rows])
-        v, t = s[rows][order], y[rows][order]
-        wrong = np.concatenate([[0], np.cumsum(t)]) + np.concatenate([np.cumsum((1 - t)[::-1])[::-1], [0]])
-        edge = np.concatenate([[0.0], v, [1.0]])
+        wrong = np.concatenate([[0], np.cumsum(rows["bad"])]) + np.concatenate([np.cumsum(rows["good"][::-1])[::-1], [0]])
+        low = np.concatenate([[0.0], m.score(rows["hi"].to_numpy())])
+        high = np.concatenate([m.score(rows["lo"].to_numpy()), [1.0]])
         ok = np.flatnonzero(wrong == wrong.min())
-        i = ok[np.argmax(np.diff(edge)[ok])]
-        return float((edge[i] + edge[i + 1]) / 2)
+        i = ok[np.argmax((high - low)[ok])]
+        return float((low[i] + high[i]) / 2)
 
-    m.default = best(np.arange(len(y))) if 0 < pos < len(y) else at
-    for lang in {x for x in langs if x is not None}:
-        rows = np.flatnonzero(np.array([x == lang for x in langs]))
-        if few <= y[rows].sum() <= len(rows) - few:
-            m.thresholds[lang] = best(rows)
+    m.default = best(total) if 0 < pos < n.sum() else at
+    m.thresholds = {lang: best(rows) for lang, rows in langs.groupby("lang")}
 
 
 def fold() -> F.Column:
@@ -221,28 +233,45 @@ def fold() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, seed: int = 3) -> Model:
-    """A model from at most sample labelled rows to train on (half of them toxic where there are as many) and as many of
-    another fifth to calibrate on. Rows with null doc_id or label are left out; of labels that share a doc_id the largest
-    counts. Without labels or with labels of one kind, scores are all alike: low, unless all labels
+def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, seed: int = 3) -> Model:
+    """A model from at most sample labelled rows to train on (half of them toxic where there are as many), calibrated on
+    all labelled rows of another fifth. Rows with null doc_id or label are left out; of labels that share a doc_id the
+    largest counts. Without labels or with labels of one kind, scores are all alike: low, unless all labels
     are toxic."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).withColumn("fold", fold()).where("fold <> 2")
-    known = known.withColumn("turn", F.xxhash64("doc_id", F.lit(seed))).withColumn("held", F.pmod("turn", F.lit(5)) == 0)
-    part = [known.where(f"not held and toxic {k}").orderBy("turn", "doc_id").limit(sample // 2) for k in ("> 0", "<= 0")]
-    part.append(known.where("held").orderBy("turn", "doc_id").limit(sample))
-    chosen = part[0].unionByName(part[1]).unionByName(part[2])
-    # at most 2 * sample ids: a fixed bound
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(F.broadcast(chosen), "doc_id").orderBy("turn", "doc_id").toPandas()
-    y = (rows["toxic"].to_numpy() > 0).astype(np.float64)
-    text = [t if isinstance(t, str) else "" for t in rows["text"]]
-    lang = [x if isinstance(x, str) else None for x in rows["lang"]]
-    use, cal = np.flatnonzero(~rows["held"].to_numpy(bool)), np.flatnonzero(rows["held"].to_numpy(bool))
-    m = fit([text[i] for i in use], y[use], seed=seed)
-    if len(cal) and 0 < y[use].sum() < len(use):
-        calibrate(m, [text[i] for i in cal], y[cal], [lang[i] for i in cal])
+    turn = F.xxhash64("doc_id", F.lit(seed))
+    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(fold() != 2)
+    known = known.withColumn("turn", turn).withColumn("held", F.pmod("turn", F.lit(5)) == 0)
+    part = [known.where(f"not held and toxic = {k}").orderBy("turn", "doc_id").limit(sample // 2) for k in (1, 0)]
+    # at most sample ids: a fixed bound
+    known_docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    rows = known_docs.select("doc_id", "text").join(F.broadcast(part[0].unionByName(part[1])), "doc_id").orderBy("turn", "doc_id").toPandas()
+    y = rows["toxic"].to_numpy(np.float64)
+    m = fit([t if isinstance(t, str) else "" for t in rows["text"]], y, seed=seed)
+    del rows
+    if 0 < y.sum() < len(y):
+        # scored before they meet their labels, so that no text is shuffled
+        held = known_docs.where((fold() != 2) & (F.pmod(turn, F.lit(5)) == 0))
+        scored = _logits(held, m, "logit").select("doc_id", "lang", "logit")
+        calibrate(m, scored.join(known.where("held").select("doc_id", "toxic"), "doc_id"))
     return m
 
 
+def _logits(docs: DataFrame, model: Model, name: str, score: bool = False) -> DataFrame:
+    """docs with each text's logit, or calibrated score, as a column of that name."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+
+    def apply(batches):
+        m = shared.value
+        tables = m.tables()
+        for piece, data, off in slices(batches, limit=SLICE):
+            z = m.logits(words(data, off, lower=True, alnum=True), tables)
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(m.score(z) if score else z.astype(np.float64))], [*names, name])
+
+    # texts with a third of all words in one row are one task's work, but one row's only
+    return short_batches(docs).mapInArrow(apply, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs, and toxicity_score (0 to 1), toxicity_threshold (of the row's lang) and toxic_rejected.
 
@@ -252,19 +281,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     clash = {"toxicity_score", "toxicity_threshold", "toxic_rejected"} & set(docs.columns)
     if clash:
         raise ValueError(f"docs has columns {sorted(clash)} already")
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    names = docs.columns
-
-    def apply(batches):
-        m = shared.value
-        tables = m.tables()
-        for piece, data, off in slices(batches, limit=SLICE):
-            s = m.score(m.logits(words(data, off, lower=True, alnum=True), tables))
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(s)], [*names, "toxicity_score"])
-
-    # texts with a third of all words in one row are one task's work, but one row's only
-    scored = short_batches(docs).mapInArrow(apply, StructType([*docs.schema.fields, StructField("toxicity_score", DoubleType())]))
+    scored = _logits(docs, model, "toxicity_score", score=True)
     limit = F.lit(float(model.default))
     for lang, t in sorted(model.thresholds.items()):
         limit = F.when(F.col("lang") == lang, F.lit(t)).otherwise(limit)

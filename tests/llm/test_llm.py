@@ -278,6 +278,28 @@ def test_toxicity_with_one_label_or_none(spark, toxic):
         toxicity(docs.withColumn("toxic_rejected", F.lit(1)), train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")))
 
 
+def test_toxicity_calibrates_on_all_held_rows(spark, toxic):
+    """The sample bounds what filters are fitted on, not what thresholds see."""
+    from kindred.llm.toxicity import calibrate, toxicity, train
+
+    rows, labels = toxic
+    rows = [(i + 1000 * k, t, "qq" if i % 12 < 3 else "en", s) for k in range(2) for i, t, _, s in rows]
+    docs, lab = table(spark, rows), spark.createDataFrame([(i + 1000 * k, q, x) for k in range(2) for i, q, x in labels], "doc_id long, quality int, toxic int")
+    model = train(docs, lab, sample=60)
+    assert set(model.thresholds) == {"qq", "en"}
+    # thresholds have the fewest errors among all cuts over the held rows
+    held = toxicity(docs, model).where("pmod(crc32(cast(doc_id as string)), 4) <> 2 and pmod(xxhash64(doc_id, 3), 5) = 0").toPandas()
+    assert len(held) > 100
+    for lang, part in held.groupby("lang"):
+        s, bad = part.toxicity_score.to_numpy(), part.doc_id.to_numpy() % 1000 % 4 == 0
+        errors = [(bad != (s >= cut)).sum() for cut in [0.0, *s, 1.1]]
+        assert part.toxic_rejected.ne(bad).sum() <= min(errors) + 1, lang
+    # a language with few examples of a label has none of its own
+    scored = spark.createDataFrame([("a", int(i >= 30), (i - 30) / 8 + (i == 29)) for i in range(60)] + [("b", int(i >= 10), float(i)) for i in range(20)] + [(None, 0, -1.0)], "lang string, toxic int, logit double")
+    calibrate(model, scored)
+    assert set(model.thresholds) == {"a"}
+
+
 def luhn(d):
     t = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d)))
     return t % 10 == 0
