@@ -6,13 +6,16 @@ sign); proposals overlap freely. Boosted trees judge each by its format and its
 kind, calibrated for precision on held-out candidates, selects.
 
 The trees learn without labels by hand: base spans respelt in their own contexts are positive; proposals that fail a
-kind's check, base spans with broken digits, and other numbers are negative. They are fitted on the driver from a bounded
-sample of documents (parameter sample) that hold a digit or an address sign, and have a fixed size.
+kind's check, base spans with broken digits, other numbers, and prose such as "met at noon.Then" are negative. They are
+fitted on the driver from bounded samples (parameter sample) of documents that can hold a candidate and, for each kind, of
+documents that hold a base span of it, and have a fixed size. Thresholds come from the examples of all other documents, in
+a Spark job that hands on a histogram.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +28,9 @@ from ._words import short_batches, text_buffer
 
 #: No proposal under this probability is taken.
 LEAST = 0.9
+#: Cells of the calibration's histogram: bins a unit of the logit, and the logit beyond which examples share the last bin.
+BINS = 128
+REACH = 32.0
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -40,6 +46,9 @@ WIDE = {
     "phone": re.compile(r"(?<![0-9A-Za-z])[+(]?[0-9][\s().0-9/-]{6,22}[0-9](?![0-9A-Za-z])"),
 }
 _DIGITS = re.compile("[0-9]+")
+_SIGN = re.compile(r"[\(\[{]\s?at\s?[\)\]}]|\sat\s|@")
+#: A plain word, "at" and a name with plain dots: prose rather than an address.
+_PROSE = re.compile(r"[A-Za-z]+\sat\s[A-Za-z0-9.-]+")
 _SPELT = re.compile(r"[\(\[{]\s?(?:at|dot)\s?[\)\]}]|\sdot\s")
 
 
@@ -75,7 +84,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     """What the wide generators propose; spans of different kinds may overlap."""
     out = []
     for kind in KINDS:
-        if kind == "email" and "@" not in text and not _SPELT.search(text):
+        if kind == "email" and not _SIGN.search(text):
             continue
         out += [(kind, m.start(), m.end()) for m in WIDE[kind].finditer(text)]
     return out
@@ -126,7 +135,7 @@ def _respelt(kind: str, span: str, rng: np.random.Generator) -> tuple[str, bool]
     digits = "".join(_DIGITS.findall(span))
     if kind == "email":
         name, _, host = span.partition("@")
-        at, dot = [(" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), (" @ ", ".")][rng.integers(4)]
+        at, dot = [(" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), (" @ ", "."), (" at ", ".")][rng.integers(5)]
         return name + at + host.replace(".", dot), True
     if kind == "ip":
         parts = span.split(".")
@@ -157,7 +166,9 @@ def _plausible(kind: str, span: str) -> bool:
         return len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
     if kind == "card":
         return luhn("".join(groups))
-    return kind == "email" or 8 <= n <= 15 and len(groups) > 1
+    if kind == "email":
+        return not _PROSE.fullmatch(span)
+    return 8 <= n <= 15 and len(groups) > 1
 
 
 @dataclass
@@ -185,60 +196,86 @@ class Detector:
         return [sorted(x, key=lambda s: (order[s[0]], s[1])) for x in out]
 
 
-def fit(texts: list[str], precision: float = 0.99, seed: int = 5) -> Detector:
-    """Trees and thresholds from texts of which each base span gives respelt and broken examples in its context. A kind
-    whose held-out candidates don't reach the precision, or that has none, adds no spans."""
-    rng = np.random.default_rng(seed)
-    x, y, kinds = [], [], []
-
-    def add(text, kind, a, b, good):
-        x.append(features(text, kind, a, b))
-        y.append(float(good))
-        kinds.append(kind)
-
-    for t in texts:
-        base = base_spans(t)
-        for k, a, b in base:
-            for _ in range(2):
-                new, good = _respelt(k, t[a:b], rng)
-                context = t[max(0, a - 40) : a] + new + t[b : b + 40]
-                at = min(a, 40)
-                for kind, s, e in candidates(context):
-                    if s < at + len(new) and at < e:
-                        add(context, kind, s, e, good and kind == k and abs(s - at) <= 1 and abs(e - at - len(new)) <= 1)
-        for k, a, b in candidates(t):
-            own = [(kind, s, e) for kind, s, e in base if a < e and s < b]
-            if not own and not _plausible(k, t[a:b]):
-                add(t, k, a, b, False)
-    if not y or not 0 < sum(y) < len(y):
+def examples(text: str, seed: int) -> list[tuple[str, float, list[float]]]:
+    """(kind, label, features): each base span gives respelt and broken examples in its context, other proposals negative
+    ones. Depends on text and seed alone."""
+    rng = np.random.default_rng([seed, zlib.crc32(text.encode())])
+    out = []
+    base = base_spans(text)
+    for k, a, b in base:
+        for _ in range(2):
+            new, good = _respelt(k, text[a:b], rng)
+            context = text[max(0, a - 40) : a] + new + text[b : b + 40]
+            at = min(a, 40)
+            for kind, s, e in candidates(context):
+                if s < at + len(new) and at < e:
+                    out.append((kind, float(good and kind == k and abs(s - at) <= 1 and abs(e - at - len(new)) <= 1), features(context, kind, s, e)))
+    for k, a, b in candidates(text):
+        if not any(a < e and s < b for _, s, e in base) and not _plausible(k, text[a:b]):
+            out.append((k, 0.0, features(text, k, a, b)))
+    return out
+
+
+def fit(texts: list[str], seed: int = 5) -> Detector:
+    """Trees from the texts' examples; no kind adds spans before calibrate."""
+    some = [e for t in texts for e in examples(t, seed)]
+    y = np.array([label for _, label, _ in some])
+    if not 0 < y.sum() < len(y):
         return Detector(Trees(np.zeros((1, 1), int), np.full((1, 1), np.inf), np.zeros((1, 2)), -9.0), dict.fromkeys(KINDS, 2.0))
-    x, y, kinds = np.array(x), np.array(y), np.array(kinds)
-    held = rng.random(len(y)) < 0.3
-    trees = boost(x[~held], y[~held])
-    thresholds = {}
-    for k in KINDS:
-        rows = np.flatnonzero(held & (kinds == k))
-        p, t = trees.probability(x[rows]), y[rows]
-        order = np.argsort(-p, kind="stable")
-        hit = np.cumsum(t[order]) / np.arange(1, len(rows) + 1)
-        last = np.append(p[order][1:] != p[order][:-1], True)[: len(rows)]
-        ok = np.flatnonzero((hit >= precision) & last) if len(rows) else np.empty(0, int)
-        # the middle between the last candidate taken and the next, but never less than LEAST
-        edge = np.append(p[order], 0.0)[ok[-1] : ok[-1] + 2] if len(ok) else None
-        thresholds[k] = max(LEAST, float(edge.mean())) if len(ok) else 2.0
-    return Detector(trees, thresholds)
+    return Detector(boost(np.array([f for *_, f in some]), y), dict.fromkeys(KINDS, 2.0))
+
+
+def calibrate(detector: Detector, texts: DataFrame, precision: float = 0.99, seed: int = 5) -> None:
+    """Thresholds of kinds by the examples of all texts (a column text): the lowest at which what is taken reaches the
+    precision. A kind that doesn't reach it, or has no examples, adds no spans. Spark hands on a histogram of fixed size."""
+    shared = texts.sparkSession.sparkContext.broadcast(detector.trees)
+
+    def count(batches):
+        for batch in batches:
+            some = batch.column(0).take(pa.array(np.flatnonzero(_likely(batch.column(0))))).to_pylist()
+            found = [e for t in some for e in examples(t, seed)]
+            if found:
+                z = shared.value.logit(np.array([f for *_, f in found]))
+                bins = np.floor(np.clip(z, -REACH, REACH) * BINS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, *_ in found]), pa.array(bins), pa.array([int(y) for _, y, _ in found]), pa.array(1 / (1 + np.exp(-z)))], ["kind", "bin", "good", "p"])
+
+    cells = short_batches(texts.select("text")).mapInArrow(count, "kind string, bin long, good long, p double")
+    got = cells.groupBy("kind", "bin").agg(F.sum("good").alias("good"), F.count("*").alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi")).orderBy("kind", F.desc("bin")).toPandas()
+    for k, rows in got.groupby("kind"):
+        ok = np.flatnonzero((rows["good"].cumsum() / rows["n"].cumsum()).to_numpy() >= precision)
+        if len(ok):
+            # the middle between the last candidate taken and the next, but never less than LEAST
+            below = rows["hi"].to_numpy()[ok[-1] + 1 : ok[-1] + 2].sum()
+            detector.thresholds[k] = max(LEAST, float(rows["lo"].to_numpy()[ok[-1]] + below) / 2)
 
 
 def train(docs: DataFrame, sample: int = 1500, seed: int = 5) -> Detector:
-    """A detector from at most sample documents that hold a digit or an address sign, those first by a hash of doc_id."""
-    turn = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
-    some = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", turn.alias("turn")).orderBy("turn", "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy("turn", "doc_id", "text").select("text").toPandas()
-    return fit(list(rows["text"]), seed=seed)
+    """A detector fitted on at most sample texts that can hold a candidate and, for each kind, at most a quarter as many
+    that hold a base span of it, those first by a hash of the text. Three tenths of all texts are never fitted on;
+    thresholds come from them and whatever else was not."""
+    texts = docs.where("text is not null").select(F.xxhash64("text", F.lit(seed)).alias("turn"), "text")
+
+    def kinds(batches):
+        for batch in batches:
+            some = np.flatnonzero(_likely(batch.column(1)))
+            turns, rows = batch.column(0).take(pa.array(some)).to_pylist(), batch.column(1).take(pa.array(some)).to_pylist()
+            out = [(turn, kind) for turn, t in zip(turns, rows, strict=True) for kind in {"any", *(k for k, *_ in base_spans(t))}]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([k for _, k in out], pa.string())], ["turn", "kind"])
+
+    held = F.pmod("turn", F.lit(10)) < 3
+    held_by = short_batches(texts.where(~held)).mapInArrow(kinds, "turn long, kind string").distinct().persist()
+    turns = {r.turn for kind in ("any", *KINDS) for r in held_by.where(F.col("kind") == kind).select("turn").orderBy("turn").limit(sample if kind == "any" else sample // 4).collect()}
+    held_by.unpersist()
+    # at most twice sample: a fixed bound
+    chosen = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in sorted(turns)], "turn long"))
+    rows = texts.join(chosen, "turn").dropDuplicates(["turn"]).orderBy("turn").select("text").toPandas()
+    detector = fit(list(rows["text"]), seed)
+    calibrate(detector, texts.join(chosen, "turn", "left_anti"), seed=seed)
+    return detector
 
 
 def _likely(column: pa.Array) -> np.ndarray:
-    """Texts that can hold any candidate: those with a digit, @ or a spelt-out sign."""
+    """Texts that can hold any candidate: those with a digit or @, and those the wide pattern of addresses matches."""
     data, off = text_buffer(column)
     mark = np.zeros(256, bool)
     mark[48:58] = mark[64] = True
@@ -247,7 +284,9 @@ def _likely(column: pa.Array) -> np.ndarray:
     raw = data.tobytes()
     for i in np.flatnonzero(~out):
         t = raw[off[i] : off[i + 1]]
-        out[i] = b" dot " in t or b"dot)" in t or b"dot]" in t
+        if b"at" in t:
+            t = t.decode()
+            out[i] = bool(_SIGN.search(t) and WIDE["email"].search(t))
     return out
 
 

@@ -346,6 +346,32 @@ def test_pii_base_spans_and_respelt_ones(spark):
     assert clean[1005].text is None and clean[1011].text == odd[11]
 
 
+def test_pii_rare_kinds_are_learnt_and_calibrated(spark):
+    """A kind in one of a hundred candidates' documents has its examples whatever the sample."""
+    from kindred.llm.pii import pii_spans, train
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(3000):
+        made = f"u{rng.integers(99)}@mail{rng.integers(9)}.example.com" if i % 100 == 0 else ".".join(map(str, rng.integers(0, 256, 4)))
+        rows.append((i, f"{prose(rng, 5)} {made} {prose(rng, 5)} total {rng.integers(10**6)}", "en", "s"))
+    detector = train(table(spark, rows), sample=40)
+    assert detector.thresholds["email"] < 1 and detector.thresholds["ip"] < 1
+    odd = table(spark, [(0, "escribe a juan.perez (at) correo (dot) com hoy", "es", "s")])
+    assert [(s.kind, s.start, s.end) for s in pii_spans(odd, detector).head().spans] == [("email", 10, 42)]
+
+
+@pytest.mark.parametrize("text", ["jane (at) example.com", "jane {at} example {dot} com", "jane [at] example.com", "jane at example.com", "x jane at example dot com y"])
+def test_pii_filters_let_all_wide_matches_pass(text):
+    import pyarrow as pa
+
+    from kindred.llm.pii import WIDE, _likely, candidates
+
+    m = WIDE["email"].search(text)
+    assert ("email", m.start(), m.end()) in candidates(text)
+    assert _likely(pa.array([text, "look at this", None])).tolist() == [True, False, False]
+
+
 def test_revisits_equal_brute_force(spark):
     from kindred.llm.warc import UPDATABLE, resolve_revisits
 
