@@ -34,6 +34,23 @@ def _grams(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, 3)))
 
 
+def _sized_grams(c: Column, n: int) -> Column:
+    """Substrings of n characters; none of shorter texts."""
+    at = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.substring(c, i, n)))
+
+
+def _containing(parts: DataFrame, texts: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """(part, text) wherever a distinct text contains a distinct part, found by the part's rarest substring of the largest
+    of sizes that it has, and verified."""
+    grams = F.flatten(F.array(*(_sized_grams(F.col("text"), n) for n in sizes)))
+    index = texts.distinct().select("text", F.explode(grams).alias("gram"))
+    own = F.coalesce(*(F.when(F.length("part") >= n, _sized_grams(F.col("part"), n)) for n in sorted(sizes, reverse=True)))
+    rarity = index.groupBy("gram").agg(F.count("*").alias("texts"))
+    rarest = parts.distinct().select("part", F.explode(own).alias("gram")).join(rarity, "gram").groupBy("part").agg(F.min(F.struct("texts", "gram"))["gram"].alias("gram"))
+    return rarest.join(index, "gram").where(F.col("text").contains(F.col("part"))).select("part", "text")
+
+
 def recall_by_tokens(queries: DataFrame, reports: DataFrame, per_token: int = 15) -> DataFrame:
     """JN11, JN12, PF3, SO2: (query_id, id) of public reports whose name contains one of a query's words; the per_token
     newest of each word, each report once a query.
@@ -119,9 +136,9 @@ def search_person(queries: DataFrame, source: DataFrame, least: float = 0.45) ->
     """PL9: results of the first name variant that has any: source rows whose folded name contains the variant, from the
     least name score on, scored by name, age and place, one a name."""
     v = queries.select("query_id", "name", "age", "location", F.posexplode(text.name_variants(F.col("name"))).alias("pos", "variant"))
-    words = v.select("*", F.try_element_at(search_tokens(F.col("variant"), 1), F.lit(1)).alias("word")).where("word is not null")
-    s = source.select("id", "full_name", F.col("age").alias("r_age"), "last_seen_location", F.explode(F.array_distinct(text.tokens(text.deaccent(F.col("full_name"))))).alias("word"))
-    met = words.join(s, "word").where(text.deaccent(F.col("full_name")).contains(text.deaccent(F.col("variant"))))
+    v = v.withColumn("part", text.deaccent(F.col("variant")))
+    s = source.select("id", "full_name", F.col("age").alias("r_age"), "last_seen_location", text.deaccent(F.col("full_name")).alias("text"))
+    met = v.join(_containing(v.select("part"), s.select("text"), (3,)), "part").join(s, "text")
     met = met.withColumn("name_score", fuzzy.wratio(F.col("name"), F.col("full_name")) / 100).where(F.col("name_score") >= least)
     first = met.withColumn("_first", F.min("pos").over(W.partitionBy("query_id"))).where("pos = _first").dropDuplicates(["query_id", "id"])
     place = F.when(F.col("location").isNull() | F.col("last_seen_location").isNull(), 0.5).otherwise(fuzzy.partial_ratio(F.lower("location"), F.lower("last_seen_location")) / 100)
@@ -131,16 +148,23 @@ def search_person(queries: DataFrame, source: DataFrame, least: float = 0.45) ->
 
 def admin_search(reports: DataFrame, queries: DataFrame, limit: int = 60) -> DataFrame:
     """PL14, ST_SORT2, LM1: (query_id, id, rank): by number where a query has six digits or more, else by every word of the
-    name; hospitals first, then found, newest first."""
-    q = queries.select("query_id", F.regexp_replace("q", "\\D", "").alias("digits"), search_tokens(F.col("q"), 9).alias("words"))
-    numbers = reports.select("id", F.explode(F.array_distinct(F.regexp_extract_all("distinguishing_marks", F.lit("(\\d+)")))).alias("digits"))
-    by_number = q.where("length(digits) >= 6").join(numbers, "digits").select("query_id", "id").distinct()
-    named = q.where("length(digits) < 6 and size(words) > 0").select("query_id", F.size("words").alias("need"), F.explode("words").alias("word"))
-    words = reports.select("id", F.explode(F.array_distinct(text.tokens(text.deaccent(F.col("full_name"))))).alias("word"))
-    by_name = named.join(words, "word").groupBy("query_id", "id", "need").agg(F.countDistinct("word").alias("n")).where("n = need").select("query_id", "id")
-    hits = by_number.unionByName(by_name).join(reports.select("id", "kind", "source", "created_at"), "id")
-    order = W.partitionBy("query_id").orderBy(F.when(located(), 0).when(F.col("kind") == "found", 1).otherwise(2), F.col("created_at").desc(), "id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "id", "rank")
+    name; hospitals first, then found, newest first. Numbers and words, also short ones, may stand inside longer ones;
+    words may come in any order. Queries of the same text are looked up once."""
+    q = queries.select("query_id", F.regexp_replace("q", "\\D", "").alias("digits"), F.array_sort(F.array_distinct(text.tokens(text.deaccent(F.col("q"))))).alias("words"))
+    q = q.withColumn("key", F.when(F.length("digits") >= 6, F.col("digits")).otherwise(F.array_join("words", " "))).where("key <> ''")
+    keys = q.select("key", "digits", "words").dropDuplicates(["key"])
+    runs = reports.select("id", F.explode(F.array_distinct(F.regexp_extract_all("distinguishing_marks", F.lit("(\\d+)")))).alias("text")).where("length(text) >= 6")
+    by_number = keys.where("length(digits) >= 6").select("key", F.col("digits").alias("part"))
+    by_number = by_number.join(_containing(by_number.select("part"), runs.select("text"), (6,)), "part").join(runs, "text").select("key", "id").distinct()
+    # the longest word finds the names, then all are looked for
+    longest = F.element_at(F.array_sort(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    named = keys.where("length(digits) < 6").select("key", "words", longest.alias("part"))
+    names = reports.select("id", text.deaccent(F.col("full_name")).alias("text"))
+    met = named.join(_containing(named.select("part"), names.select("text"), (1, 2, 3)), "part").where(F.forall("words", lambda w: F.col("text").contains(w)))
+    hits = by_number.unionByName(met.join(names, "text").select("key", "id")).join(reports.select("id", "kind", "source", "created_at"), "id")
+    order = W.partitionBy("key").orderBy(F.when(located(), 0).when(F.col("kind") == "found", 1).otherwise(2), F.col("created_at").desc(), "id")
+    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("key", "id", "rank")
+    return q.select("query_id", "key").join(best, "key").select("query_id", "id", "rank")
 
 
 def face_search(query_photos: DataFrame, photos: DataFrame, reports: DataFrame, recall: float = 0.4, k: int = 12) -> DataFrame:

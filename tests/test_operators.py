@@ -116,3 +116,19 @@ def test_knn_equals_brute_force(spark):
     s = (x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T
     want = {(f"q{a}", f"i{b}") for a in range(30) for b in np.argsort(-s[a])[:5] if s[a, b] >= 0.1}
     assert set(zip(got.query_id, got.item_id, strict=True)) == want
+
+
+def test_admin_search_finds_parts_of_words_and_numbers(spark):
+    from kindred.operators import search
+
+    r = reports(spark, ("a", "found", "Karina González", 30, "Ccs", "exp 99123456700", "hospital_1", 1), ("b", "missing", "José Gonzalo Li", 30, "Ccs", None, "x", 2), ("c", "missing", None, 1, None, "12345 6700", "x", 3))
+    q = spark.createDataFrame([(1, "gonz"), (2, "karin"), (3, "V-123.456"), (4, "li"), (5, "gonz karin"), (6, " "), (7, "zz"), (8, "GONZ"), (9, "e"), (10, None)], "query_id long, q string")
+    assert {(x.query_id, x.id, x.rank) for x in search.admin_search(r, q).collect()} == {(1, "a", 1), (1, "b", 2), (2, "a", 1), (3, "a", 1), (4, "b", 1), (5, "a", 1), (8, "a", 1), (8, "b", 2), (9, "a", 1), (9, "b", 2)}
+
+
+def test_search_person_finds_variants_that_end_inside_a_word(spark):
+    from kindred.operators import search
+
+    r = reports(spark, ("a", "found", "Karina González", 30, "Ccs", None, "hospital_1", 1), ("b", "found", "Otra Persona", 30, "Ccs", None, "hospital_1", 1))
+    q = spark.createDataFrame([(1, "karina gonz", 30, "Ccs"), (2, "nadie mas", 30, "Ccs")], "query_id long, name string, age int, location string")
+    assert [(x.query_id, x.id) for x in search.search_person(q, r).collect()] == [(1, "a")]
