@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,6 +11,8 @@ from ..functions.scores import INTENT_HIGH, INTENT_LOW, INTENT_MIDDLE
 from .upsert import collapse_batch, insert_new
 
 #: What a review decision makes of a match (fixed values).
+#: Messages and questions of a block that best_faq compares at once.
+FAQ_BLOCK = 64
 DECISIONS = {"confirmed": "confirmed", "rejected": "dismissed", "found": "found"}
 
 
@@ -176,14 +179,46 @@ def resolve_tenant(messages: DataFrame, tenants: DataFrame, single: bool = False
 
 
 def best_faq(messages: DataFrame, faqs: DataFrame, cutoff: float = 0.65) -> DataFrame:
-    """JN18: (message_id, faq_id): each message's most similar question. Candidates share a folded word of 4 letters or
-    more, so messages meet questions in an equi-join; the gestalt ratio judges them."""
-    from ..functions import fuzzy, text
-
-    def words(df, key, col):
-        return df.select(key, F.col(col).alias(f"{key}_text"), F.explode(F.array_distinct(F.filter(F.split(text.normalize_message(F.col(col)), "\\s+"), lambda w: F.length(w) >= 4))).alias("word"))
-
-    met = words(messages, "message_id", "text").join(words(faqs, "faq_id", "question"), "word").dropDuplicates(["message_id", "faq_id"])
-    ratio = fuzzy._scores(lambda a, b: fuzzy.difflib.SequenceMatcher(None, fuzzy._fold(a), fuzzy._fold(b)).ratio())
-    met = met.withColumn("ratio", F.round(ratio(F.col("message_id_text"), F.col("faq_id_text")), 6)).where(F.col("ratio") >= cutoff)
-    return collapse_batch(met, ["message_id"], F.col("ratio").desc(), F.col("faq_id")).select("message_id", "faq_id", "ratio")
+    """JN18: (message_id, faq_id, ratio): each message's most similar question, if the gestalt ratio reaches the cutoff.
+
+    Every distinct message meets every question, as the ratio bounds nothing that could be joined by: blocks of messages
+    meet blocks of questions, and each pair of blocks hands on its best question of each message."""
+    from ..functions import fuzzy
+
+    def blocks(df, schema):
+        def cut(batches):
+            for pdf in batches:
+                for at in range(0, len(pdf), FAQ_BLOCK):
+                    yield pd.DataFrame({c: [pdf[c].iloc[at : at + FAQ_BLOCK].tolist()] for c in pdf.columns})
+
+        return df.mapInPandas(cut, schema)
+
+    kind = faqs.schema["faq_id"].dataType.simpleString()
+    texts = blocks(messages.where("text is not null").select("text").distinct(), "text array<string>")
+    asked = blocks(faqs.where("faq_id is not null and question is not null").select("faq_id", "question"), f"faq_id array<{kind}>, question array<string>")
+
+    def best(batches):
+        for pdf in batches:
+            out = []
+            for said, ids, questions in zip(pdf["text"], pdf["faq_id"], pdf["question"], strict=True):
+                top = {}
+                folded = [(t, fuzzy._fold(t)) for t in said]
+                for faq, question in zip(ids, questions, strict=True):
+                    # what the matcher learns of its second text serves all messages
+                    m = fuzzy.difflib.SequenceMatcher(None, "", fuzzy._fold(question))
+                    for t, f in folded:
+                        least = max(cutoff, top[t][0]) if t in top else cutoff
+                        m.set_seq1(f)
+                        if round(m.real_quick_ratio(), 6) < least or round(m.quick_ratio(), 6) < least:
+                            continue
+                        r = round(m.ratio(), 6)
+                        if r >= cutoff and (t not in top or r > top[t][0] or r == top[t][0] and faq < top[t][1]):
+                            top[t] = (r, faq)
+                out += [(t, faq, r) for t, (r, faq) in top.items()]
+            yield pd.DataFrame(out, columns=["text", "faq_id", "ratio"])
+
+    # a fixed number of tasks, as a row of this table is much work
+    tiles = texts.crossJoin(asked).repartition(4 * messages.sparkSession.sparkContext.defaultParallelism)
+    met = tiles.mapInPandas(best, f"text string, faq_id {kind}, ratio double")
+    top = met.groupBy("text").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "faq_id")).alias("top"))
+    return messages.select("message_id", "text").join(top, "text").select("message_id", F.col("top.faq_id").alias("faq_id"), (-F.col("top.r")).alias("ratio"))

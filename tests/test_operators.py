@@ -132,3 +132,17 @@ def test_search_person_finds_variants_that_end_inside_a_word(spark):
     r = reports(spark, ("a", "found", "Karina González", 30, "Ccs", None, "hospital_1", 1), ("b", "found", "Otra Persona", 30, "Ccs", None, "hospital_1", 1))
     q = spark.createDataFrame([(1, "karina gonz", 30, "Ccs"), (2, "nadie mas", 30, "Ccs")], "query_id long, name string, age int, location string")
     assert [(x.query_id, x.id) for x in search.search_person(q, r).collect()] == [(1, "a")]
+
+
+def test_best_faq_compares_all_questions(spark):
+    from difflib import SequenceMatcher
+
+    said = [("m1", "q es eso"), ("m2", "dnde stoi"), ("m3", "donde estoy"), ("m4", "zzzz"), ("m5", None), ("m6", "q es eso")]
+    asked = [(i, t) for i, t in enumerate(["que es", "donde esta", "donde dormir hoy con frio", None, "que es"])]
+    got = review.best_faq(spark.createDataFrame(said, "message_id string, text string"), spark.createDataFrame(asked, "faq_id long, question string"), 0.5)
+    want = {}
+    for m, t in said:
+        met = [(-round(SequenceMatcher(None, t, a).ratio(), 6), i) for i, a in asked if t and a]
+        if met and -min(met)[0] >= 0.5:
+            want[m] = (min(met)[1], -min(met)[0])
+    assert {x.message_id: (x.faq_id, x.ratio) for x in got.collect()} == want and "m1" in want and "m2" in want
