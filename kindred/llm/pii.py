@@ -14,6 +14,7 @@ a Spark job that hands on a histogram.
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from dataclasses import dataclass
@@ -24,23 +25,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, boost
-from ._words import short_batches, text_buffer
+from ._words import short_batches, slices, text_buffer
 
 #: No proposal under this probability is taken.
 LEAST = 0.9
 #: Cells of the calibration's histogram: bins a unit of the logit, and the logit beyond which examples share the last bin.
 BINS = 128
+#: Examples to fit on for each text of the sample.
+EXAMPLES = 40
 REACH = 32.0
 KINDS = ("email", "ip", "card", "phone")
+#: The base patterns, in forms that read a long run once: possessive where nothing that follows could take a character
+#: back, and from the first digit of a run. E-mail addresses are found from their @ (see emails).
 BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+_HOST = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _AT, _DOT = r"(?:\s?[\(\[{]\s?at\s?[\)\]}]\s?|\sat\s|\s?@\s?)", r"(?:\s?[\(\[{]\s?dot\s?[\)\]}]\s?|\sdot\s|\.)"
 WIDE = {
-    "email": re.compile(rf"[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+"),
+    "email": re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++"),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\s?(?:\.|\[\.\]|\(\.\))\s?[0-9]{1,3}){3}(?![0-9.])"),
     "card": re.compile(r"(?<![0-9])[0-9](?:[\s./_-]{0,2}[0-9]){11,18}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9A-Za-z])[+(]?[0-9][\s().0-9/-]{6,22}[0-9](?![0-9A-Za-z])"),
@@ -61,22 +67,57 @@ def luhn(digits: str) -> bool:
 
 
 def holds(kind: str, found: str) -> bool:
-    """Whether a match of a kind's base pattern is kept."""
-    if kind == "email":
-        return True
+    """Whether a match of a kind's base pattern is kept, but for e-mail addresses, which all are."""
     if kind == "ip":
         return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in found.split("."))
     digits = "".join(_DIGITS.findall(found))
     return 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15
 
 
+def emails(text: str):
+    """(start, end) of the leftmost matches of a run of _LOCAL characters, @, and a host of two parts or more: a host is
+    met first, then the run before it is walked back, at most to the match before."""
+    last = 0
+    for m in _HOST.finditer(text):
+        a = m.start()
+        while a > last and text[a - 1] in _LOCAL:
+            a -= 1
+        if a < m.start():
+            yield a, m.end()
+            last = m.end()
+
+
+class Cover:
+    """Stretches of a text, merged where they overlap; finds by bisection whether one meets another."""
+
+    def __init__(self, spans=()):
+        self.start, self.end = [], []
+        for a, b in sorted(spans):
+            if self.end and a < self.end[-1]:
+                self.end[-1] = max(self.end[-1], b)
+            else:
+                self.start.append(a)
+                self.end.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect.bisect_right(self.end, a)
+        return i < len(self.end) and self.start[i] < b
+
+    def add(self, a: int, b: int) -> None:
+        """Adds a stretch that meets none."""
+        i = bisect.bisect_right(self.end, a)
+        self.start.insert(i, a)
+        self.end.insert(i, b)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by the fixed patterns, in the order of kinds and then of starts; code points, end exclusive."""
     out = []
     for kind in KINDS:
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
-            continue
-        out += [(kind, m.start(), m.end()) for m in BASE[kind].finditer(text) if holds(kind, m.group())]
+        if kind == "email":
+            out += [(kind, a, b) for a, b in emails(text)]
+        elif kind != "phone" or "+" in text:
+            out += [(kind, m.start(), m.end()) for m in BASE[kind].finditer(text) if holds(kind, m.group())]
     return out
 
 
@@ -178,19 +219,21 @@ class Detector:
 
     def find(self, texts: list[str]) -> list[list[tuple[str, int, int, float, bool]]]:
         """(kind, start, end, probability, base) of every text; proposals that touch a base span or a likelier one go."""
-        out, rows, of = [], [], []
+        out, taken, rows, of = [], [], [], []
         for i, t in enumerate(texts):
             base = base_spans(t)
             out.append([(k, a, b, 1.0, True) for k, a, b in base])
+            taken.append(Cover((a, b) for _, a, b in base))
             for k, a, b in candidates(t):
-                if not any(a < y and x < b for _, x, y in base):
+                if not taken[i].meets(a, b):
                     rows.append(features(t, k, a, b))
                     of.append((i, k, a, b))
         if rows:
             p = self.trees.probability(np.array(rows))
             for j in np.lexsort(([o[2] for o in of], -p)):
                 i, k, a, b = of[j]
-                if p[j] >= self.thresholds[k] and not any(a < y and x < b for _, x, y, _, _ in out[i]):
+                if p[j] >= self.thresholds[k] and not taken[i].meets(a, b):
+                    taken[i].add(a, b)
                     out[i].append((k, a, b, float(p[j]), False))
         order = {k: n for n, k in enumerate(KINDS)}
         return [sorted(x, key=lambda s: (order[s[0]], s[1])) for x in out]
@@ -210,19 +253,18 @@ def examples(text: str, seed: int) -> list[tuple[str, float, list[float]]]:
             for kind, s, e in candidates(context):
                 if s < at + len(new) and at < e:
                     out.append((kind, float(good and kind == k and abs(s - at) <= 1 and abs(e - at - len(new)) <= 1), features(context, kind, s, e)))
+    cover = Cover((a, b) for _, a, b in base)
     for k, a, b in candidates(text):
-        if not any(a < e and s < b for _, s, e in base) and not _plausible(k, text[a:b]):
+        if not cover.meets(a, b) and not _plausible(k, text[a:b]):
             out.append((k, 0.0, features(text, k, a, b)))
     return out
 
 
-def fit(texts: list[str], seed: int = 5) -> Detector:
-    """Trees from the texts' examples; no kind adds spans before calibrate."""
-    some = [e for t in texts for e in examples(t, seed)]
-    y = np.array([label for _, label, _ in some])
+def fit(x: np.ndarray, y: np.ndarray) -> Detector:
+    """Trees from examples' features and labels; no kind adds spans before calibrate."""
     if not 0 < y.sum() < len(y):
         return Detector(Trees(np.zeros((1, 1), int), np.full((1, 1), np.inf), np.zeros((1, 2)), -9.0), dict.fromkeys(KINDS, 2.0))
-    return Detector(boost(np.array([f for *_, f in some]), y), dict.fromkeys(KINDS, 2.0))
+    return Detector(boost(x, y), dict.fromkeys(KINDS, 2.0))
 
 
 def calibrate(detector: Detector, texts: DataFrame, precision: float = 0.99, seed: int = 5) -> None:
@@ -231,8 +273,8 @@ def calibrate(detector: Detector, texts: DataFrame, precision: float = 0.99, see
     shared = texts.sparkSession.sparkContext.broadcast(detector.trees)
 
     def count(batches):
-        for batch in batches:
-            some = batch.column(0).take(pa.array(np.flatnonzero(_likely(batch.column(0))))).to_pylist()
+        for piece, _, _ in slices(batches):
+            some = piece.column(0).take(pa.array(np.flatnonzero(_likely(piece.column(0))))).to_pylist()
             found = [e for t in some for e in examples(t, seed)]
             if found:
                 z = shared.value.logit(np.array([f for *_, f in found]))
@@ -251,12 +293,13 @@ def calibrate(detector: Detector, texts: DataFrame, precision: float = 0.99, see
 
 def train(docs: DataFrame, sample: int = 1500, seed: int = 5) -> Detector:
     """A detector fitted on at most sample texts that can hold a candidate and, for each kind, at most a quarter as many
-    that hold a base span of it, those first by a hash of the text. Three tenths of all texts are never fitted on;
-    thresholds come from them and whatever else was not."""
+    that hold a base span of it, those first by a hash of the text, and of these on at most EXAMPLES times sample examples.
+    Tasks make the examples; texts don't reach the driver. Three tenths of all texts are never fitted on; thresholds come
+    from them and whatever else was not."""
     texts = docs.where("text is not null").select(F.xxhash64("text", F.lit(seed)).alias("turn"), "text")
 
     def kinds(batches):
-        for batch in batches:
+        for batch, _, _ in slices(batches):
             some = np.flatnonzero(_likely(batch.column(1)))
             turns, rows = batch.column(0).take(pa.array(some)).to_pylist(), batch.column(1).take(pa.array(some)).to_pylist()
             out = [(turn, kind) for turn, t in zip(turns, rows, strict=True) for kind in {"any", *(k for k, *_ in base_spans(t))}]
@@ -268,8 +311,16 @@ def train(docs: DataFrame, sample: int = 1500, seed: int = 5) -> Detector:
     held_by.unpersist()
     # at most twice sample: a fixed bound
     chosen = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in sorted(turns)], "turn long"))
-    rows = texts.join(chosen, "turn").dropDuplicates(["turn"]).orderBy("turn").select("text").toPandas()
-    detector = fit(list(rows["text"]), seed)
+
+    def show(batches):
+        for piece, _, _ in slices(batches):
+            out = [(turn, i, label, f) for turn, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True) for i, (_, label, f) in enumerate(examples(t, seed))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["turn", "i", "label", "features"])
+
+    shown = texts.join(chosen, "turn").dropDuplicates(["turn"]).mapInArrow(show, "turn long, i long, label double, features array<double>")
+    rows = shown.orderBy(F.xxhash64("turn", "i"), "turn", "i").limit(EXAMPLES * sample).toPandas()
+    detector = fit(np.stack(rows["features"]) if len(rows) else np.zeros((0, 1)), rows["label"].to_numpy(np.float64))
     calibrate(detector, texts.join(chosen, "turn", "left_anti"), seed=seed)
     return detector
 
@@ -293,15 +344,16 @@ def _likely(column: pa.Array) -> np.ndarray:
 def pii_spans(docs: DataFrame, detector: Detector) -> DataFrame:
     """doc_id and spans (array of kind, start, end, probability, base) of every row, in code points, end exclusive.
 
-    Spans are ordered by kind (email, ip, card, phone), then start. Null and empty texts have none. Rows that share a
-    doc_id are returned one by one. Other columns are ignored; an empty table gives an empty result.
+    Spans are ordered by kind (email, ip, card, phone), then start. Null and empty texts have none. Texts are read whole, a
+    few megabytes or one text at a time, in time that follows their length. Rows that share a doc_id are returned one by
+    one. Other columns are ignored; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(detector)
     schema = "doc_id long, spans array<struct<kind:string,start:int,end:int,probability:double,base:boolean>>"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64()), ("base", pa.bool_())]))
 
     def find(batches):
-        for batch in batches:
+        for batch, _, _ in slices(batches):
             some = np.flatnonzero(_likely(batch.column(1)))
             out: list = [[] for _ in range(batch.num_rows)]
             for i, found in zip(some, shared.value.find(batch.column(1).take(pa.array(some)).to_pylist()), strict=True):
@@ -321,7 +373,7 @@ def redact(docs: DataFrame, detector: Detector) -> DataFrame:
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def replace(batches):
-        for batch in batches:
+        for batch, _, _ in slices(batches):
             column = batch.column(at)
             some = np.flatnonzero(_likely(column))
             texts = column.take(pa.array(some)).to_pylist()

@@ -310,8 +310,59 @@ def card(rng):
     return next(d + str(c) for c in range(10) if luhn(d + str(c)))
 
 
+#: As the contract has them.
+BASE = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def base_truth(t):
+    out = []
+    for k in ("email", "ip", "card", "phone"):
+        for m in BASE[k].finditer(t or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            if {"email": True, "ip": k == "ip" and all(int(p) <= 255 for p in m.group().split(".")), "card": 16 <= len(d) <= 19 and luhn(d or "1"), "phone": 8 <= len(d) <= 15}[k]:
+                out.append((k, m.start(), m.end()))
+    return out
+
+
+def test_pii_base_spans_of_dense_texts():
+    from kindred.llm.pii import Cover, base_spans
+
+    rng = np.random.default_rng(9)
+    for letters in ("a@.-1 ", "0123.", "012 -+().", "@@a.b1+- 4"):
+        for _ in range(1500):
+            t = "".join(rng.choice(list(letters), int(rng.integers(1, 60))))
+            assert base_spans(t) == base_truth(t), t
+    spans = [(int(a), int(a + n)) for a, n in rng.integers(1, 40, (12, 2))]
+    cover = Cover(spans)
+    for a in range(90):
+        assert cover.meets(a, a + 3) == any(a < y and x < a + 3 for x, y in spans)
+
+
+@pytest.mark.parametrize("unit", ["7", "a", "a@", "1.", "a.b@", "+", "7 7-", " ", "(at) ", "x at y ", "a dot b "])
+def test_pii_reads_very_long_texts_in_linear_time(unit):
+    """Five million characters of what patterns could read again and again."""
+    import time
+
+    from kindred.llm.pii import Detector, base_spans, candidates, fit
+
+    detector: Detector = fit(np.zeros((0, 1)), np.zeros(0))
+    t = unit * (5_000_000 // len(unit)) + " me@example.com"
+    began = time.time()
+    assert base_spans(t)[0][0] == "email"
+    candidates(t)
+    assert time.time() - began < 20
+    began = time.time()
+    assert sum(len(x) for x in detector.find([t[-1_000_000:]])) >= 1
+    assert time.time() - began < 40
+
+
 def test_pii_base_spans_and_respelt_ones(spark):
-    from kindred.llm.pii import BASE, pii_spans, redact, train
+    from kindred.llm.pii import pii_spans, redact, train
 
     rng = np.random.default_rng(6)
     made = [lambda: f"u{rng.integers(99)}@mail{rng.integers(9)}.example.com", lambda: ".".join(map(str, rng.integers(0, 256, 4))), lambda: card(rng), lambda: f"+1 ({rng.integers(200, 999)}) {rng.integers(200, 999)}-{rng.integers(1000, 9999)}"]
@@ -328,12 +379,7 @@ def test_pii_base_spans_and_respelt_ones(spark):
     got = {r.doc_id: r.spans for r in pii_spans(docs, detector).collect()}
     assert len(got) == len(rows)
     for i, t, *_ in rows:
-        want = []
-        for k in ("email", "ip", "card", "phone"):
-            for m in BASE[k].finditer(t or ""):
-                d = re.sub("[^0-9]", "", m.group())
-                ok = {"email": True, "ip": all(int(p) <= 255 for p in m.group().split(".")) if k == "ip" else 0, "card": 16 <= len(d) <= 19 and luhn(d or "1"), "phone": 8 <= len(d) <= 15}[k]
-                want += [(k, m.start(), m.end())] * bool(ok)
+        want = base_truth(t)
         assert [(s.kind, s.start, s.end) for s in got[i] if s.base] == want
         extra = [s for s in got[i] if not s.base]
         assert not any(s.start < e and a < s.end for s in extra for _, a, e in want)
@@ -421,6 +467,41 @@ def test_length_report_equals_brute_force(spark, corpus):
         assert r.share_up_to == pytest.approx((v <= x).mean())
 
 
+def test_long_white_space_is_encoded_exactly(spark):
+    import base64
+
+    import tiktoken
+
+    from kindred.llm.token_lengths import LONG_SPACE, PATTERN, VOCABULARY, encoded_lengths, pieces
+
+    with open(VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [a + s * n + b for a in ("", "x", "don't ") for b in ("", "y", " y", "'s", "\u3000") for s in (" ", "\n", "\t \n", "\u2003") for n in (4095, 4096, 5001)]
+    got = {r.doc_id: r.n_tokens for r in encoded_lengths(table(spark, [(i, t, "en", "s") for i, t in enumerate([*texts, texts[0]])])).collect()}
+    assert got == {i: len(enc.encode_ordinary(t)) for i, t in enumerate([*texts, texts[0]])}
+    assert sum(space for t in texts for _, space in pieces(t)) > 100 and all(re.match(r"\s", c) for c in "\t\r \x85\xa0\u1680\u2028") and LONG_SPACE
+    very = encoded_lengths(table(spark, [(1, "a" + "\n" * 1_000_000 + "b", "en", "s"), (1, "a" + "\n" * 1_000_000 + "b", "en", "s")])).collect()
+    assert len(very) == 2 and very[0] == very[1] and very[0].n_tokens > 1000
+
+
+def test_revisits_of_header_spellings_repeats_and_popular_responses(spark, monkeypatch):
+    from kindred.llm import warc
+
+    monkeypatch.setattr(warc, "SALTS", 3)
+    schema = "record_id long, url string, ts long, kind string, headers map<string,string>, html string"
+    rows = [(1, "http://a.b/", 10, "response", {"ETag": "1", "etag": "2", "ETAG": "0"}, "one"), (1, "http://a.b/", 10, "response", {"ETag": "1"}, "one")]
+    rows += [(i, "http://a.b/", i, "revisit", {"ETAG": "0", "Etag": "9"} if i % 2 else {"etag": "1"}, None) for i in range(20, 60)]
+    rows += [(100, None, 5, "revisit", None, None), (None, "http://c.d", 1, "response", None, "two"), (20, "http://a.b/", 20, "revisit", {"etag": "1"}, None)]
+    got = sorted(warc.resolve_revisits(spark.createDataFrame(rows, schema), "html").collect(), key=str)
+    assert len(got) == len(rows)
+    by = collections.Counter((r.outcome, r.resolved_id, r.html) for r in got)
+    # the first record's tag is that of its first spelling, "0"; the second's, which is the last of equal ids, is "1" or "0"
+    assert by[("response", 1, "one")] == 2 and by[("orphan", None, None)] == 1
+    assert by[("resolved", 1, "one")] + by[("mismatch", None, None)] == 41 and by[("resolved", 1, "one")] in (20, 21)
+    assert {tuple(sorted(r.merged.items())) for r in got if r.record_id == 21} <= {(("etag", "0"),)}
+
+
 def test_empty_tables(spark):
     from kindred.llm.decontaminate import decontaminate
     from kindred.llm.embedding_dedup import near_duplicates
