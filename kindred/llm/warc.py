@@ -15,6 +15,9 @@ from pyspark.sql import Window as W
 #: Headers that a 304 answer may update (fixed by the HTTP caching standard).
 UPDATABLE = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 CHUNK_SECONDS = 3600
+#: A response that more than one in SHARE records resolve to has its body sent to SALTS tasks.
+SHARE = 1024
+SALTS = 64
 
 
 def canonical(url: Column) -> Column:
@@ -41,12 +44,16 @@ def resolve_revisits(records: DataFrame, body: str | None = None, chunk_seconds:
     outcome is 'response' (a full response resolves to itself), 'resolved', 'mismatch' (the earlier response's validators
     differ) or 'orphan' (no earlier response, or no url or ts). Entity tags are compared weakly if both have one, else
     last-modified if both have one; with no common validator the revisit resolves. merged is the response's headers, with
-    those of the revisit that a 304 may update laid over them; for other outcomes the record's own. Records of equal url
-    and ts are ordered by record_id, nulls first. A null map of headers is empty. Rows that share a record_id are resolved
-    one by one and should share a body. Other columns are ignored; an empty table gives an empty result.
+    those of the revisit that a 304 may update laid over them; for other outcomes the record's own. A name that a record
+    has in several spellings takes the value of the first spelling by code points. Records of equal url and ts are ordered
+    by record_id, nulls first. A null map of headers is empty. Rows that share a record_id are resolved one by one and
+    should share a body; a response without record_id has none. Other columns are ignored; an empty table gives an empty
+    result.
     """
-    names = F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
-    r = records.select("record_id", canonical(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"), "kind", names.alias("headers"))
+    spelt = F.transform(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["key"].alias("key"), e["value"].alias("value")))
+    r = records.select("record_id", canonical(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"), "kind", F.array_sort(spelt).alias("spelt"))
+    once = F.filter("spelt", lambda e, i: ~e["name"].eqNullSafe(F.get("spelt", i - 1)["name"]))
+    r = r.withColumn("headers", F.map_from_entries(F.transform(once, lambda e: F.struct(e["name"], e["value"])))).drop("spelt")
     r = r.withColumn("chunk", F.floor(F.col("ts") / chunk_seconds))
     r = r.withColumn("full", F.when((F.col("kind") == "response") & F.col("ts").isNotNull(), F.struct("ts", "record_id", F.to_json(F.col("headers")).alias("json"))))
     can = r.where("canonical_url is not null and ts is not null")
@@ -75,5 +82,15 @@ def resolve_revisits(records: DataFrame, body: str | None = None, chunk_seconds:
     )
     if body is None:
         return out
-    bodies = records.where("kind = 'response'").select(F.col("record_id").alias("resolved_id"), F.col(body)).dropDuplicates(["resolved_id"])
-    return out.join(bodies, "resolved_id", "left").select("record_id", "canonical_url", "ts", "kind", "outcome", "resolved_id", "merged", body)
+    # a popular response's body goes to several tasks; at most SHARE ids are popular, so their list may be broadcast
+    named = out.where("resolved_id is not null")
+    popular = named.groupBy("resolved_id").count().where(F.col("count") > max(SALTS, records.count() // SHARE)).select(F.col("resolved_id").alias("popular"))
+
+    def salted(df: DataFrame, salts: Column) -> DataFrame:
+        wide = df.join(F.broadcast(popular), F.col("resolved_id") == F.col("popular"), "left")
+        return wide.withColumn("salt", F.explode(F.when(F.col("popular").isNull(), F.array(F.lit(0))).otherwise(salts))).drop("popular")
+
+    bodies = salted(records.where("kind = 'response'").select(F.col("record_id").alias("resolved_id"), F.col(body)), F.sequence(F.lit(0), F.lit(SALTS - 1))).dropDuplicates(["resolved_id", "salt"])
+    met = salted(named, F.array(F.pmod(F.xxhash64("record_id", "ts"), F.lit(SALTS)).cast("int"))).join(bodies, ["resolved_id", "salt"], "left")
+    columns = ["record_id", "canonical_url", "ts", "kind", "outcome", "resolved_id", "merged", body]
+    return met.select(columns).unionByName(out.where("resolved_id is null").withColumn(body, F.lit(None).cast(records.schema[body].dataType)).select(columns))
