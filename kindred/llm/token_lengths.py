@@ -3,24 +3,43 @@
 from __future__ import annotations
 
 import base64
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ._graph import checkpointed
 from ._words import short_batches, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabularies split a text before merging (fixed by the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space that is long enough to be encoded by itself; the characters are those of \s in PATTERN.
+LONG_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}"
 CHUNK = 1024
 
 
+def pieces(text: str):
+    """(part of the text, whether it is one run of white space to be merged as a whole): PATTERN splits there as well, as
+    all of a run but its last character is one piece, and the last one goes with what follows. Encoding the parts one by
+    one gives the same tokens and spares the pattern's search, which gives up on very long runs."""
+    at = 0
+    for m in re.finditer(LONG_SPACE, text):
+        end = m.end() - (m.end() < len(text))
+        yield text[at : m.start()], False
+        yield text[m.start() : end], True
+        at = end
+    yield text[at:], False
+
+
 def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id and n_tokens of every row, by the byte-level vocabulary in that file of ranks; null texts have none.
+    """doc_id and n_tokens of every row, by the byte-level vocabulary in that file of ranks; null and empty texts have 0.
 
-    The file (about 1 MB, fixed) is read once on the driver and broadcast."""
+    Texts are encoded whole, a few megabytes or one text at a time, also where they hold very long white space. Rows that
+    share a doc_id are returned one by one; other columns are ignored; an empty table gives an empty result. The file
+    (about 1 MB, fixed) is read once on the driver and broadcast."""
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
@@ -30,8 +49,9 @@ def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.value.splitlines())}
         own = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+        whole = tiktoken.Encoding("whole", pat_str="(?s).+", mergeable_ranks=table, special_tokens={})
         for piece, _, _ in slices(batches):
-            n = [len(own.encode_to_numpy(t, disallowed_special=())) if t else 0 for t in piece.column(1).to_pylist()]
+            n = [sum(len((whole if space else own).encode_to_numpy(p, disallowed_special=())) for p, space in pieces(t) if p) if t else 0 for t in piece.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     return short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, n_tokens long")
@@ -42,10 +62,11 @@ def length_report(lengths: DataFrame) -> DataFrame:
     tokens_up_to it (of documents that fit), truncated_tokens (of all documents, cut to the limit), share_up_to (the
     quantile that the limit is) and total_tokens.
 
-    The histogram is a grouped count. Its running sums go chunk by chunk of CHUNK lengths, so no task holds it whole. Rows
+    The histogram is a grouped count, checkpointed, so that texts are encoded once. Its running sums go chunk by chunk of CHUNK lengths, so no task holds it whole. Rows
     without n_tokens are left out; an empty table gives an empty result.
     """
     bins = lengths.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    bins = checkpointed(bins)
     bins = bins.withColumn("chunk", F.floor(F.col("n_tokens") / CHUNK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     chunks = bins.groupBy("chunk").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     before, whole = W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
