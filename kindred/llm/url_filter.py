@@ -4,8 +4,10 @@ Rules give the verdict where one fits, and their URLs are the examples: one smoo
 from those allowed, one from those blocked. A URL that no rule fits is judged by its mean log-likelihood difference per
 character against a threshold calibrated on examples that the models have not seen.
 
-Characters are mapped to an alphabet of 41 symbols, so a model of order ORDER has at most 41 ** (ORDER + 1) entries
-whatever the number of URLs; this fixed bound is what allows it to be broadcast.
+The models know contexts of up to ORDER symbols. Each estimate is interpolated with that of the next shorter context, down
+to even chances for all symbols, and a context weighs more the oftener it was seen and the fewer symbols have followed it
+(Witten-Bell); so each place in a URL is judged at the depth for which there are counts. The counts grow with the URLs:
+they are tables that are joined by gram, and only grams so frequent that there can be few of them are broadcast.
 """
 
 from __future__ import annotations
@@ -14,11 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-ORDER = 2
+from ._graph import Scratch, checkpointed
+
+#: Symbols of the longest context, and how many symbols there are.
+ORDER = 5
 SYMBOLS = 41
-#: Weight of the next shorter context in each estimate, in pseudo-counts.
-BACKOFF = 2.0
-BINS = 400
+#: Contexts up to so many symbols have at most SYMBOLS ** (SHORT + 1) entries, which may be broadcast.
+SHORT = 2
+#: Keys that hold more than one in SHARE rows are at most SHARE; their entries are broadcast, all others are joined.
+SHARE = 4096
+#: Cells of the held-out scores' histogram: bins a unit of the score, and the score beyond which rows share the last bin.
+BINS = 500
+REACH = 4.0
 
 Rules = tuple[tuple[str, str, str], ...]
 
@@ -44,68 +53,85 @@ def best_rule(host: Column, path: Column, rules: Rules) -> tuple[Column, Column]
     return rule, verdict
 
 
-def _symbols(host: Column, path: Column) -> Column:
-    """Host and path in the models' alphabet: a-z, 0-9, '.', '-', '/', '_' and '~' for all else, between '^' signs.
-
-    Runs of the same digit class are kept; other characters count as one symbol."""
-    return F.concat(F.lit("^" * ORDER), F.regexp_replace(F.lower(F.concat(host, path)), "[^a-z0-9./_-]", "~"), F.lit("^"))
+def _symbols(url: Column) -> Column:
+    """A url in the models' alphabet: a-z, 0-9, '.', '-', '/' and '_' (of A-Z the lower case), '~' for each other character,
+    and '^' before it, ORDER times, and after it."""
+    return F.concat(F.lit("^" * ORDER), F.regexp_replace(F.lower(url), "[^a-z0-9./_-]", "~"), F.lit("^"))
 
 
-def _grams(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """One row for each character: the symbol with up to ORDER symbols before it."""
-    at = F.explode(F.sequence(F.lit(ORDER + 1), F.length(text)))
-    return df.select(*keep, text, at.alias("at")).select(*keep, F.expr(f"substring({text}, at - {ORDER}, {ORDER + 1})").alias("gram"))
+def _grams(df: DataFrame, *keep: str) -> DataFrame:
+    """One row for each symbol, and the end, of a url: it with the ORDER symbols before it."""
+    at = F.explode(F.sequence(F.lit(1), F.length("symbols") - ORDER))
+    return df.select(*keep, _symbols(F.col("url")).alias("symbols")).select(*keep, "symbols", at.alias("at")).select(*keep, F.expr(f"substring(symbols, at, {ORDER + 1})").alias("gram"))
 
 
-def _model(grams: DataFrame) -> DataFrame:
-    """gram -> ratio: difference of the log-probabilities of its last symbol after the others in the two models.
+def ratios(counts: DataFrame) -> DataFrame:
+    """gram and ratio: difference of the log-probabilities of its last symbol after the others in the two models.
 
-    grams: gram, allowed (1 or 0). An estimate of order k takes BACKOFF pseudo-counts from order k - 1, down to even
-    chances for all symbols (Witten-Bell style interpolation with a fixed weight).
+    counts: gram, n0 and n1, how often the blocked and the allowed examples have it. Grams of 0 and 0 get the ratio of the
+    longest suffix that was seen. Tables of shorter grams are sums of those of longer ones; no key of a join has more than
+    SYMBOLS rows.
     """
-    counts = grams.groupBy("gram").agg(*(F.sum(F.when(F.col("allowed") == side, 1).otherwise(0)).cast("double").alias(f"n{side}") for side in (0, 1)))
-    out = counts
+    entries = {ORDER: counts.select(F.col("gram").alias("e"), "n0", "n1")}
+    for k in range(ORDER - 1, -1, -1):
+        entries[k] = entries[k + 1].groupBy(F.substring("e", 2, k + 1).alias("e")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    shorter = None
     for k in range(ORDER + 1):
-        suffix, context = F.substring("gram", ORDER + 1 - k, k + 1), F.substring("gram", ORDER + 1 - k, k)
-        for part, name in ((suffix, "s"), (context, "c")):
-            sums = counts.groupBy(part.alias(f"{name}{k}")).agg(*(F.sum(f"n{side}").alias(f"{name}{k}_{side}") for side in (0, 1)))
-            out = out.withColumn(f"{name}{k}", part).join(F.broadcast(sums), f"{name}{k}")
-    logs = []
-    for side in (0, 1):
-        p = F.lit(1.0 / SYMBOLS)
-        for k in range(ORDER + 1):
-            p = (F.col(f"s{k}_{side}") + BACKOFF * p) / (F.col(f"c{k}_{side}") + BACKOFF)
-        logs.append(F.log(p))
-    return out.select("gram", (logs[1] - logs[0]).alias("ratio"))
+        contexts = entries[k].groupBy(F.substring("e", 1, k).alias("h")).agg(*(F.sum(f"n{side}").alias(f"c{side}") for side in (0, 1)), *(F.sum((F.col(f"n{side}") > 0).cast("int")).alias(f"t{side}") for side in (0, 1)))
+        few = F.broadcast if k <= SHORT else lambda df: df
+        found = entries[k].withColumn("h", F.substring("e", 1, k)).join(few(contexts), "h")
+        if shorter is None:
+            found = found.withColumn("q0", F.lit(1.0 / SYMBOLS)).withColumn("q1", F.lit(1.0 / SYMBOLS))
+        else:
+            few = F.broadcast if k - 1 <= SHORT else lambda df: df
+            found = found.withColumn("s", F.substring("e", 2, k)).join(few(shorter.select(F.col("e").alias("s"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))), "s")
+        p = [F.when(F.col(f"t{i}") > 0, (F.col(f"n{i}") + F.col(f"t{i}") * F.col(f"q{i}")) / (F.col(f"c{i}") + F.col(f"t{i}"))).otherwise(F.col(f"q{i}")).alias(f"p{i}") for i in (0, 1)]
+        shorter = found.select("e", *p)
+    return shorter.select(F.col("e").alias("gram"), (F.log("p1") - F.log("p0")).alias("ratio"))
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, often: int) -> DataFrame:
+    """rows with the columns of table (one row for each key, and n, how many rows have it): what more than often rows ask
+    for is broadcast, so that no task gets all rows of a frequent key."""
+    frequent = F.broadcast(table.where(F.col("n") > often).drop("n"))
+    rare = rows.join(frequent.select(key), key, "left_anti").join(table.where(F.col("n") <= often).drop("n"), key)
+    return rows.join(frequent, key).unionByName(rare)
 
 
-def _scored(texts: DataFrame, model: DataFrame, *keys: str) -> DataFrame:
-    """Mean ratio per character; a gram that neither side has seen counts nothing."""
-    met = _grams(texts, "symbols", *keys).join(F.broadcast(model), "gram", "left")
-    return met.groupBy(*keys).agg((F.sum(F.coalesce("ratio", F.lit(0.0))) / F.count("*")).alias("score"))
+def _often(table: DataFrame) -> int:
+    return (table.agg(F.sum("n")).first()[0] or 0) // SHARE
 
 
 def judge(pages: DataFrame, rules: Rules) -> DataFrame:
     """page_id, host, path, rule, verdict, score and threshold for every row of pages.
 
     The longest rule that fits a url gives its verdict; a rule fits its host and all subdomains where the path starts with
-    the rule's. Other urls are allowed if their score (null where a rule decides) is at least the threshold. Models are
-    learnt from three quarters of the distinct urls that rules decide; the threshold is the middle of the scores at which
-    the other quarter has the least balanced error, and 0 where either side has no examples there. Repeated urls are
-    learnt and scored once. Null urls and urls without :// have empty host and path, no rule, and are scored as the empty
-    text. Rows that share a page_id are returned one by one; other columns are ignored; an empty table gives an empty
-    result.
+    the rule's. Other urls are allowed if their score (null where a rule decides) is at least the threshold. The whole url
+    is scored, with its scheme and what follows the path. Models are learnt from three quarters of the distinct urls that
+    rules decide; the threshold is the one nearest to 0 at which the other quarter has the least balanced error, and 0 where
+    either side has no examples there. Repeated urls are learnt and scored once. Null urls and urls without :// have empty
+    host and path and no rule; a null url is scored as the empty text. Rows that share a page_id are returned one by one;
+    other columns are ignored; an empty table gives an empty result. Tables of counts are written to the checkpoint folder
+    when this is called, and deleted again.
     """
     host, path = parts(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("by_rule", verdict)
-    distinct = rows.groupBy("host", "path").agg(F.first("by_rule").alias("by_rule")).withColumn("symbols", _symbols(F.col("host"), F.col("path")))
-    examples = distinct.where("by_rule is not null").withColumn("allowed", (F.col("by_rule") == "allow").cast("int")).withColumn("fold", F.pmod(F.xxhash64("host", "path"), F.lit(4)))
-    model = _model(_grams(examples.where("fold <> 0"), "symbols", "allowed"))
-    held = _scored(examples.where("fold = 0"), model, "host", "path", "allowed")
+    with Scratch(pages) as scratch:
+        allowed, fold = (F.col("by_rule") == "allow").cast("int").alias("allowed"), F.pmod(F.xxhash64("url"), F.lit(4))
+        distinct = rows.groupBy("url").agg(F.count("*").alias("n"), F.first("by_rule").alias("by_rule"))
+        distinct = scratch.hold(distinct.select("url", "n", allowed, F.when(F.col("by_rule").isNotNull(), fold != 0).otherwise(False).alias("learnt"), F.monotonically_increasing_id().alias("id")))
+        sums = (F.sum((F.col("learnt") & (F.col("allowed") == side)).cast("long")).alias(f"n{side}") for side in (0, 1))
+        counts = scratch.hold(_grams(distinct, "learnt", "allowed").groupBy("gram").agg(F.count("*").alias("n"), *(F.coalesce(c, F.lit(0)).alias(f"n{i}") for i, c in enumerate(sums))))
+        model = scratch.hold(ratios(counts).join(counts.select("gram", "n"), "gram"))
+        judged = distinct.where("not learnt")
+        sums = _looked_up(_grams(judged, "id"), model, "gram", _often(model)).groupBy("id").agg(F.sum("ratio").alias("sum"))
+        score = F.round(F.col("sum") / (F.length(_symbols(F.col("url"))) - ORDER), 9)
+        scored = checkpointed(judged.join(sums, "id").select("url", "n", "allowed", score.alias("score")))
     # a histogram of fixed size stands for the held-out scores
-    bins = held.groupBy(F.greatest(F.lit(-BINS // 2), F.least(F.lit(BINS // 2), F.floor(F.col("score") * 100))).alias("bin")).agg(F.sum("allowed").alias("good"), F.sum(1 - F.col("allowed")).alias("bad"))
+    held = scored.where("allowed is not null")
+    bins = held.groupBy(F.floor(F.greatest(F.lit(-REACH), F.least(F.lit(REACH), F.col("score"))) * BINS).alias("bin")).agg(F.sum("allowed").alias("good"), F.sum(1 - F.col("allowed")).alias("bad"))
     below = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
     all_ = W.partitionBy()
     cuts = bins.select(
@@ -118,8 +144,9 @@ def judge(pages: DataFrame, rules: Rules) -> DataFrame:
     error = F.col("lost") / F.col("goods") + 1 - F.col("stopped") / F.col("bads")
     best = cuts.where("goods > 0 and bads > 0").select(F.round(error, 9).alias("error"), "bin")
     least = best.agg(F.min_by(F.col("bin"), F.struct("error", F.abs("bin"), "bin")).alias("bin"))
-    threshold = least.select(F.coalesce(F.col("bin") / 100.0, F.lit(0.0)).alias("threshold"), F.lit(True).alias("open"))
-    # every model entry and the one threshold row have a fixed bound, so they may be broadcast
-    scored = _scored(distinct.where("by_rule is null"), model, "host", "path").withColumn("open", F.lit(True)).join(F.broadcast(threshold), "open").drop("open")
-    out = rows.join(scored, ["host", "path"], "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block")).alias("verdict"), "score", "threshold")
+    threshold = F.broadcast(least.select(F.coalesce(F.col("bin") / BINS, F.lit(0.0)).alias("threshold"), F.lit(True).alias("open")))
+    open_ = rows.where("rule is null").select("page_id", "url", "host", "path", "rule")
+    by_score = _looked_up(open_, scored.where("allowed is null").select("url", "n", "score"), "url", _often(scored)).withColumn("open", F.lit(True)).join(threshold, "open")
+    by_score = by_score.select("page_id", "host", "path", "rule", F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block").alias("verdict"), "score", "threshold")
+    none = F.lit(None).cast("double")
+    return rows.where("rule is not null").select("page_id", "host", "path", "rule", F.col("by_rule").alias("verdict"), none.alias("score"), none.alias("threshold")).unionByName(by_score)
