@@ -1,15 +1,19 @@
 """Removal of word sequences that repeat across documents, by prefix-partitioned suffix trees.
 
 A window is a number of consecutive words of one document; it is removed when it also starts in a document of a smaller
-doc_id. Suffixes of all documents, cut at the window's length, are split into groups that fit a task's memory by prefixes
-of variable length: a census counts prefixes of 1, 2 and 4 words over the whole corpus, and each suffix goes by the
-shortest of its prefixes that few enough suffixes share, or else by its full window. In its group the suffixes' paths are
-sorted, which is the subtree's order of leaves; nodes as deep as the window that have leaves of several documents are the
-repeats, and neighbouring repeats of a document make up its maximal repeats. Paths are compared by 64-bit fingerprints
-within a group, that is by more than 64 bits in all.
-
-Copies of a window within a task's batch are decided there and only the smallest doc_id's are sent on, so a window that a
-third of all documents hold reaches its group once a batch. Only positions, never all texts, meet in a group.
+doc_id. Windows are split into groups that fit a task's memory by prefixes of variable length: a census counts prefixes of
+1, 2 and 4 words over the whole corpus, and each window goes by the shortest of its prefixes that few enough windows share,
+or else by all its words.
+
+The prefix is taken at the window's anchor, the gram of GRAM words in it that has the least hash: equal windows have equal
+anchors, and neighbouring windows of a text mostly share theirs, so a group gets the words of a stretch of windows once
+instead of each window's. In a group all windows' suffixes, cut at the window's length, are sorted by their words; the
+common-prefix lengths of neighbours give the tree's inner nodes, and nodes as deep as a window with leaves of several
+documents are the repeats. Neighbouring repeats of a document make up its maximal repeats. Words themselves are compared;
+hashes only deal out work.
+
+Copies of a window within a task's batch are decided there, word by word, and only the smallest doc_id's are sent on, so a
+window that a third of all documents hold reaches its group once a batch. Only stretches, never all texts, meet in a group.
 """
 
 from __future__ import annotations
@@ -18,36 +22,99 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._graph import checkpoint_folder, checkpointed
-from ._words import _MULT, mix, short_batches, slices, words
+from ._graph import checkpointed
+from ._words import _MULT, Words, mix, short_batches, slices, words
 
-#: Suffixes that a group and a batch hold.
+#: Windows that a group and a batch hold.
 GROUP = 1_500_000
 BATCH = 1_000_000
+#: Words of an anchor, and of the prefixes by which windows are dealt out.
+GRAM = 5
 LEVELS = (1, 2, 4)
 SLOT_BITS = 14
 #: Text that one task puts together in the end.
 TEXT_BYTES = 8 << 20
 
 
-def _paths(w, window: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Index of the first word of each window, its prefixes' hashes at LEVELS and its own hash."""
-    n = len(w.hash) - window + 1
+def word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rank of each word among the distinct words in order of bytes, and how many there are."""
+    off = np.concatenate([[0], np.cumsum(end - start)])  # all that is no word is a space
+    own = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data[data != 32])]).dictionary_encode()
+    rank = np.empty(len(own.dictionary), np.int64)
+    rank[pc.sort_indices(own.dictionary).to_numpy()] = np.arange(len(rank))
+    return rank[own.indices.to_numpy()], len(rank)
+
+
+def leaves(codes: np.ndarray, n: int, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The subtree of the suffixes that begin at those words, cut at the window's length: the suffixes in the order of
+    their words, and each one's common-prefix length with the one before it (0 for the first). codes are below n."""
+    bits = max(1, (n - 1).bit_length())
+    keys = []
+    for a in range(0, window, 63 // bits):
+        key = np.zeros(len(at), np.int64)
+        for j in range(a, min(window, a + 63 // bits)):
+            key = (key << bits) | codes[at + j]
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
+    at = at[order]
+    common, same = np.zeros(len(at), np.int64), np.ones(max(0, len(at) - 1), bool)
+    for j in range(window):
+        same &= codes[at[1:] + j] == codes[at[:-1] + j]
+        common[1:] += same
+    return order, common
+
+
+def deep_nodes(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """First leaf and end of each inner node of that depth, by the common-prefix lengths of the leaves: neighbours that
+    have as much in common."""
+    first = np.flatnonzero(common < depth)
+    end = np.append(first[1:], len(common))
+    inner = end - first > 1
+    return first[inner], end[inner]
+
+
+def repeats(codes: np.ndarray, n: int, at: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
+    """Which of the windows that begin at those words also begin in a smaller one of ids: the leaves of a node as deep as
+    the window, but for those of the smallest id."""
+    out = np.zeros(len(at), bool)
+    order, common = leaves(codes, n, at, window)
+    first, end = deep_nodes(common, window)
+    if len(first):
+        leaf = np.repeat(first - np.concatenate([[0], np.cumsum(end - first)[:-1]]), end - first) + np.arange((end - first).sum())
+        own = ids[order[leaf]]
+        low = np.minimum.reduceat(own, np.cumsum(end - first) - (end - first))
+        out[order[leaf]] = own > np.repeat(low, end - first)
+    return out
+
+
+def _windows(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Index of the first word of each window, that of its anchor, hashes of the anchor's prefixes at LEVELS, and the
+    window's own hash."""
+    gram = min(GRAM, window)
+    n, m = len(w.hash) - window + 1, len(w.hash) - gram + 1
     if n <= 0:
-        return np.empty(0, np.int64), [np.empty(0, np.uint64) for _ in LEVELS], np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), [np.empty(0, np.uint64) for _ in LEVELS], np.empty(0, np.uint64)
     at = np.flatnonzero(w.doc[:n] == w.doc[window - 1 :])
-    total, prefixes = np.zeros(n, np.uint64), []
-    for j in range(window):
-        total += w.hash[j : j + n] * _MULT[j]
-        if j + 1 in LEVELS:
-            prefixes.append(mix(total[at], 21 + j))
-    while len(prefixes) < len(LEVELS):
-        prefixes.append(mix(total[at], 20))
-    return at, prefixes, mix(total[at], 20)
+    total, prefixes = np.zeros(m, np.uint64), {}
+    for j in range(gram):
+        total += w.hash[j : j + m] * _MULT[j]
+        prefixes[j + 1] = mix(total, 21 + j)
+    h = mix(total, 20)
+    least = h[at].copy()
+    for j in range(1, window - gram + 1):
+        np.minimum(least, h[at + j], out=least)
+    anchor = at.copy()
+    for j in range(window - gram, -1, -1):  # the first of equal ones stays
+        anchor = np.where(h[at + j] == least, at + j, anchor)
+    path = total[:n].copy()
+    for j in range(gram, window):
+        path += w.hash[j : j + n] * _MULT[j]
+    return at, anchor, [prefixes[min(level, gram)][anchor] for level in LEVELS], mix(path[at], 26)
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -61,7 +128,7 @@ def census(docs: DataFrame, window: int) -> np.ndarray:
     def count(batches):
         table = np.zeros((len(LEVELS), 1 << SLOT_BITS), np.int64)
         for _, data, off in slices(batches):
-            _, prefixes, _ = _paths(words(data, off), window)
+            _, _, prefixes, _ = _windows(words(data, off), window)
             for level, h in enumerate(prefixes):
                 table[level] += np.bincount(_slot(h), minlength=1 << SLOT_BITS)
         parts = table.reshape(-1, chunk)
@@ -153,10 +220,9 @@ def _emit(window: int, first: np.ndarray, parts: np.ndarray, buckets: int):
         size = 0
         for piece, data, off in slices(batches):
             w = words(data, off)
-            at, prefixes, path = _paths(w, window)
             ids = np.asarray(piece.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False), np.int64)
-            doc = w.doc[at]
-            held.append((path, _groups(prefixes, path, first, parts).astype(np.int32), ids[doc], _prints(w)[doc], (at - w.bounds()[doc]).astype(np.int32)))
+            at, anchor, prefixes, path = _windows(w, window)
+            held.append((w, ids, at, anchor, _groups(prefixes, path, first, parts), path))
             size += len(at)
             if size > BATCH:
                 yield from blobs(held)
@@ -165,24 +231,88 @@ def _emit(window: int, first: np.ndarray, parts: np.ndarray, buckets: int):
             yield from blobs(held)
 
     def blobs(held):
-        path, group, ids, prints, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        """Of the slices' windows: what the batch decides, and the stretches that are left."""
+        base = np.concatenate([[0], np.cumsum([len(w.start) for w, *_ in held])])
+        room = np.concatenate([[0], np.cumsum([len(w.data) for w, *_ in held])])
+        data = np.concatenate([w.data for w, *_ in held])
+        start = np.concatenate([w.start + r for (w, *_), r in zip(held, room, strict=False)])
+        end = np.concatenate([w.end + r for (w, *_), r in zip(held, room, strict=False)])
+        at, anchor = (np.concatenate([x[i] + b for x, b in zip(held, base, strict=False)]) for i in (2, 3))
+        ids, prints, pos = (np.concatenate(x) for x in zip(*((ids[w.doc[at]], _prints(w)[w.doc[at]], at - w.bounds()[w.doc[at]]) for w, ids, at, *_ in held), strict=True))
+        group, path = (np.concatenate([x[i] for x in held]) for i in (4, 5))
         held.clear()
-        order = np.lexsort((pos, prints, ids, group))
-        path, group, ids, prints, pos = path[order], group[order], ids[order], prints[order], pos[order]
-        by_path = np.argsort(path, kind="stable")  # in a run of equal paths the smallest doc_id comes first
-        run = np.flatnonzero(np.concatenate([[True], path[by_path[1:]] != path[by_path[:-1]]]))
-        low = np.empty(len(path), np.int64)
-        low[by_path] = np.repeat(np.minimum.reduceat(ids[by_path], run), np.diff(np.append(run, len(path))))
-        done = ids > low
+        codes, _ = word_codes(data, start, end)
+        # windows of equal hashes are compared, word by word, with the one of the smallest doc_id
+        order = np.lexsort((ids, path))
+        run = np.flatnonzero(np.concatenate([[True], path[order[1:]] != path[order[:-1]]]))
+        lead = np.empty(len(at), np.int64)
+        lead[order] = np.repeat(order[run], np.diff(np.append(run, len(order))))
+        some = np.flatnonzero(ids > ids[lead])
+        same = np.ones(len(some), bool)
+        for j in range(window):
+            same &= codes[at[some] + j] == codes[at[lead[some]] + j]
+        done = np.zeros(len(at), bool)
+        done[some[same]] = True
         yield from _by_bucket(ids[done], prints[done], pos[done], buckets)
-        path, group, ids, prints, pos = path[~done], group[~done], ids[~done], prints[~done], pos[~done]
-        cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-        rows = [(int(group[a]), path[a:b].tobytes(), *_encode(ids[a:b], prints[a:b], pos[a:b].astype(np.int64))) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        at, anchor, ids, prints, pos, group = (x[~done] for x in (at, anchor, ids, prints, pos, group))
+        # a stretch: windows that follow one another, of one anchor and group
+        new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (group[1:] != group[:-1]) | (pos[1:] == 0)]) if len(at) else np.empty(0, bool)
+        first_ = np.flatnonzero(new)
+        count = np.diff(np.append(first_, len(at)))
+        order = np.lexsort((pos[first_], prints[first_], ids[first_], group[first_]))
+        first_, count = first_[order], count[order]
+        cut = np.flatnonzero(np.concatenate([[True], group[first_[1:]] != group[first_[:-1]], [True]])) if len(first_) else np.zeros(1, int)
+        rows = []
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            f, n = first_[a:b], count[a:b]
+            text = _joined(data, start, end, at[f], n + window - 1)
+            rows.append((int(group[f[0]]), zstandard.ZstdCompressor(3).compress(n.astype("<u2").tobytes() + text), *_encode(ids[f], prints[f], pos[f].astype(np.int64))))
         yield _rows(0, rows)
 
     return emit
 
 
+def _joined(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, n: np.ndarray) -> bytes:
+    """n words from each place on, every word followed by a space."""
+    word = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    size = end[word] - start[word] + 1
+    off = np.cumsum(size) - size
+    out = data[np.minimum(np.repeat((start[word] - off).astype(np.int32), size) + np.arange(size.sum(), dtype=np.int32), len(data) - 1)]
+    out[off + size - 1] = 32
+    return out.tobytes()
+
+
+def _stretches(blobs: list[bytes], rows: list[int], window: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """Codes of all stretches' words and their number; of each window its first word, its stretch and its place there."""
+    raw = [zstandard.decompress(x) for x in blobs]
+    count = np.concatenate([np.frombuffer(x, "<u2", r) for x, r in zip(raw, rows, strict=True)]).astype(np.int64)
+    data = np.concatenate([np.frombuffer(x, np.uint8, offset=2 * r) for x, r in zip(raw, rows, strict=True)])
+    del raw
+    end = np.flatnonzero(data == 32)
+    start = np.concatenate([[0], end[:-1] + 1])
+    codes, n = word_codes(data, start, end)
+    first = np.cumsum(count + window - 1) - (count + window - 1)
+    owner = np.repeat(np.arange(len(count)), count)
+    at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(owner))
+    return codes, n, at, owner, at - first[owner]
+
+
+def _meet(window: int, buckets: int):
+    def meet(table: pa.Table) -> pa.Table:
+        """One group's subtree, and the repeats below its deep nodes."""
+        if table.column("kind")[0].as_py() == 1:
+            return table
+        decoded = [_decode(h.as_py(), b.as_py()) for h, b in zip(table.column("head"), table.column("body"), strict=True)]
+        codes, n, at, owner, within = _stretches([x.as_py() for x in table.column("path")], [len(d[0]) for d in decoded], window)
+        ids, prints, pos = (np.concatenate(x) for x in zip(*decoded, strict=True))
+        found = np.flatnonzero(repeats(codes, n, at, ids[owner], window))
+        of = owner[found]
+        out = list(_by_bucket(ids[of], prints[of], pos[of] + within[found], buckets))
+        return pa.Table.from_batches(out or [_rows(1, [])])
+
+    return meet
+
+
 def _rows(kind: int, rows: list[tuple]) -> pa.RecordBatch:
     g, path, table, body = zip(*rows, strict=True) if rows else ((), (), (), ())
     return pa.RecordBatch.from_arrays(
@@ -214,32 +344,17 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     a document of a smaller doc_id is removed; windows are judged on the input. Null, empty and short texts have no
     windows; a null text has no words and its result is the empty text. Rows that share a doc_id are one document to the
     rule (their windows don't remove one another) and are returned one by one. Rows without a doc_id are left out. Other
-    columns are ignored. An empty table gives an empty result.
+    columns are ignored. An empty table gives an empty result. A very long text is one piece of work in its own task.
     """
     docs = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    checkpoint_folder(docs)
     counts = census(docs, window)
     first, parts = prefix_plan(counts)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, size // TEXT_BYTES)
 
-    def meet(table: pa.Table) -> pa.Table:
-        """One group's subtree: leaves in the order of their paths, and the repeats below its deep nodes."""
-        if table.column("kind")[0].as_py() == 1:
-            return table
-        path = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("path")])
-        ids, prints, pos = (np.concatenate(x) for x in zip(*(_decode(h.as_py(), b.as_py()) for h, b in zip(table.column("head"), table.column("body"), strict=True)), strict=True))
-        order = np.argsort(path)
-        path, leaf = path[order], ids[order]
-        run = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
-        low = np.repeat(np.minimum.reduceat(leaf, run), np.diff(np.append(run, len(path))))
-        found = order[leaf > low]
-        out = list(_by_bucket(ids[found], prints[found], pos[found], buckets))
-        return pa.Table.from_batches(out or [_rows(1, [])])
-
     suffixes = docs.mapInArrow(_emit(window, first, parts, buckets), SCHEMA)
     # what a batch has decided passes through in groups of its own
-    repeats = suffixes.groupBy("kind", "part").applyInArrow(meet, SCHEMA)
+    found = suffixes.groupBy("kind", "part").applyInArrow(_meet(window, buckets), SCHEMA)
 
     def pack(batches):
         squeeze = zstandard.ZstdCompressor(1).compress
@@ -285,4 +400,4 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "text": pa.array(text, pa.binary()).cast(pa.string())})
 
     texts = docs.mapInArrow(pack, SCHEMA)
-    return checkpointed(repeats).unionByName(texts).groupBy("part").applyInArrow(restore, "doc_id long, n_words long, n_removed long, text string")
+    return checkpointed(found).unionByName(texts).groupBy("part").applyInArrow(restore, "doc_id long, n_words long, n_removed long, text string")

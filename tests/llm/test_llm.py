@@ -127,13 +127,77 @@ def test_repeats_with_small_groups_and_shared_ids(spark, corpus, monkeypatch):
 
     whole = sorted(tuple(r) for r in s.remove_repeats(table(spark, corpus), 13).collect())
     monkeypatch.setattr(s.prefix_plan, "__defaults__", (500,))
-    monkeypatch.setattr(s, "BATCH", 2000)
     assert sorted(tuple(r) for r in s.remove_repeats(table(spark, corpus), 13).collect()) == whole
     a, b = " ".join(map(str, range(20))), " ".join(map(str, range(100, 130)))
     rows = [(1, a, "en", "s"), (2, b, "en", "s"), (2, a, "en", "s"), (2, "x " + a, "en", "s")]
     assert sorted((r.n_words, r.n_removed) for r in s.remove_repeats(table(spark, rows), 13).collect() if r.doc_id == 2) == [(20, 20), (21, 20), (30, 0)]
 
 
+def test_repeats_of_other_window_lengths(spark, corpus):
+    from kindred.llm.substring_dedup import remove_repeats
+
+    for window in (1, 3, 6):
+        first = collections.defaultdict(lambda: 1 << 60)
+        for i, t, *_ in corpus:
+            w = split(t)
+            for j in range(len(w) - window + 1):
+                first[tuple(w[j : j + window])] = min(first[tuple(w[j : j + window])], i)
+        got = {r.doc_id: r.n_removed for r in remove_repeats(table(spark, corpus), window).collect()}
+        for i, t, *_ in corpus:
+            w = split(t)
+            assert got[i] == len({j + d for j in range(len(w) - window + 1) if first[tuple(w[j : j + window])] < i for d in range(window)})
+
+
+def test_suffix_tree_nodes():
+    """Order of leaves, common prefixes and deep nodes, against sorting tuples of words."""
+    from kindred.llm.substring_dedup import deep_nodes, leaves
+
+    rng = np.random.default_rng(10)
+    for n, window in ((3, 4), (2, 13), (70_000, 13), (1, 5)):
+        codes = np.concatenate([rng.integers(0, n, 60)] * 2 + [rng.integers(0, n, 200)])
+        at = rng.permutation(len(codes) - window)[:200]
+        order, common = leaves(codes, n, at, window)
+        words = [tuple(codes[i : i + window]) for i in at[order]]
+        assert words == sorted(words)
+        want = [0] + [next((k for k in range(window) if a[k] != b[k]), window) for a, b in zip(words[:-1], words[1:])]
+        assert common.tolist() == want
+        for depth in (1, 2, window):
+            groups = collections.Counter(w[:depth] for w in words)
+            first, end = deep_nodes(common, depth)
+            assert {words[a][:depth]: b - a for a, b in zip(first, end)} == {g: c for g, c in groups.items() if c > 1}
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_repeats_compare_words_where_hashes_collide(corpus, monkeypatch, collide):
+    """The tasks' functions, with hashes that are all alike: no window goes for another's sake."""
+    import pyarrow as pa
+
+    from kindred.llm import substring_dedup as s
+
+    monkeypatch.setattr(s, "BATCH", 3000)
+    if collide:
+        real = s._windows
+        monkeypatch.setattr(s, "_windows", lambda w, n: (lambda at, anchor, prefixes, path: (at, anchor, [p * 0 for p in prefixes], path * 0))(*real(w, n)))
+    rows = [r for r in corpus if r[0] != 505]
+    counts = np.zeros((3, 1 << s.SLOT_BITS), np.int64)
+    counts[:] = 10
+    first, parts = s.prefix_plan(counts, 100_000)
+    batches = [pa.record_batch({"doc_id": [r[0] for r in rows[a : a + 40]], "text": [r[1] for r in rows[a : a + 40]]}) for a in range(0, len(rows), 40)]
+    sent = pa.Table.from_batches(list(s._emit(13, first, parts, 2)(iter(batches))))
+    got = set()
+    for kind, part in {(k, p) for k, p in zip(sent["kind"].to_pylist(), sent["part"].to_pylist())}:
+        own = sent.filter((pa.compute.equal(sent["kind"], kind)).combine_chunks()).filter(pa.compute.equal(sent.filter(pa.compute.equal(sent["kind"], kind))["part"], part))
+        out = s._meet(13, 2)(own)
+        for head, body in zip(out["head"].to_pylist(), out["body"].to_pylist()):
+            ids, _, pos = s._decode(head, body)
+            got |= set(zip(ids.tolist(), pos.tolist()))
+    low = collections.defaultdict(lambda: 1 << 60)
+    windows = [(i, j, tuple(split(t)[j : j + 13])) for i, t, *_ in rows for j in range(len(split(t)) - 12)]
+    for i, _, x in windows:
+        low[x] = min(low[x], i)
+    assert got == {(i, j) for i, j, x in windows if low[x] < i} and got
+
+
 def test_decontamination_equals_brute_force(spark, corpus):
     from kindred.llm.decontaminate import decontaminate
 
@@ -236,6 +300,56 @@ def test_url_rules_and_models(spark):
     assert judge(df.where("page_id >= 600"), ()).count() == len(rows) - 600
 
 
+def test_url_models_equal_brute_force(spark, monkeypatch):
+    """Scores by counting grams of all orders in Python; unseen contexts back off."""
+    from kindred.llm import url_filter as u
+    from kindred.llm.queries import URL_RULES
+
+    rng = np.random.default_rng(12)
+    urls = [f"https://{''.join(rng.choice(list('abcé'), 4))}.{rng.choice(['org', 'com', 'net'])}/{rng.choice(['fr', 'de', 'xx'])}/{rng.integers(30)}?Q={rng.integers(3)}" for _ in range(260)] + [None, "", "http://zzz.net/ww", "http://zzz.net/ww"]
+    urls += [urls[5]] * 90
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("gram", F.lit("x")).withColumn("id", F.lit("x"))
+    got = {r.page_id: r for r in u.judge(df, URL_RULES).collect()}
+    # few frequent keys, or none, make no difference
+    for share in (1, 20):
+        monkeypatch.setattr(u, "SHARE", share)
+        assert {r.page_id: r for r in u.judge(df, URL_RULES).collect()} == got
+    fold = {r.url: r.f for r in df.select(F.coalesce("url", F.lit("")).alias("url"), F.expr("pmod(xxhash64(coalesce(url, '')), 4)").alias("f")).collect()}
+    text = lambda x: "^" * u.ORDER + re.sub("[^a-z0-9./_-]", "~", (x or "").lower()) + "^"
+    grams = lambda x: [text(x)[i : i + u.ORDER + 1] for i in range(len(text(x)) - u.ORDER)]
+    seen = [collections.Counter(), collections.Counter()]
+    ruled = {x: got[i].verdict == "allow" for i, x in enumerate(urls) if got[i].rule}
+    for x, good in ruled.items():
+        if fold[x] != 0:
+            for g in grams(x):
+                for k in range(u.ORDER + 1):
+                    seen[good][g[u.ORDER - k :]] += 1
+    after = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for side in (0, 1):
+        for e, n in seen[side].items():
+            after[0][side][e[:-1]] += n
+            after[1][side][e[:-1]] += 1
+
+    def p(side, e):
+        lower = p(side, e[1:]) if len(e) > 1 else 1 / u.SYMBOLS
+        n, t = after[0][side][e[:-1]], after[1][side][e[:-1]]
+        return (seen[side][e] + t * lower) / (n + t) if t else lower
+
+    def score(x):
+        return np.mean([np.log(p(1, g)) - np.log(p(0, g)) for g in grams(x)])
+
+    cell = lambda x: int(np.floor(np.clip(round(score(x), 9), -u.REACH, u.REACH) * u.BINS))
+    held = [(cell(x), good) for x, good in ruled.items() if fold[x] == 0]
+    goods, bads = sum(g for _, g in held), sum(not g for _, g in held)
+    errors = {b: round(sum(g for c, g in held if c < b) / goods + 1 - sum(not g for c, g in held if c < b) / bads, 9) for b, _ in held}
+    threshold = min(errors, key=lambda b: (errors[b], abs(b), b)) / u.BINS
+    for i, x in enumerate(urls):
+        if got[i].rule is None:
+            assert got[i].score == pytest.approx(score(x), abs=1e-8) and got[i].threshold == threshold
+            assert got[i].verdict == ("allow" if got[i].score >= threshold else "block")
+    assert len(got) == len(urls) and bads and goods
+
+
 @pytest.fixture(scope="module")
 def toxic():
     rng = np.random.default_rng(5)
