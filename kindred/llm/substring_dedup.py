@@ -2,7 +2,7 @@
 
 A window is a number of consecutive words of one document; it is removed when it also starts in a document of a smaller
 doc_id. Windows are split into groups that fit a task's memory by prefixes of variable length: a census counts prefixes of
-1, 2 and 4 words over the whole corpus, and each window goes by the shortest of its prefixes that few enough windows share,
+1, 2 and 3 words over the whole corpus, and each window goes by the shortest of its prefixes that few enough windows share,
 or else by all its words.
 
 The prefix is taken at the window's anchor, the gram of GRAM words in it that has the least hash: equal windows have equal
@@ -31,22 +31,23 @@ from ._graph import checkpointed
 from ._words import _MULT, Words, mix, short_batches, slices, words
 
 #: Windows that a group and a batch hold.
-GROUP = 1_500_000
+GROUP = 600_000
 BATCH = 1_000_000
 #: Words of an anchor, and of the prefixes by which windows are dealt out.
-GRAM = 5
-LEVELS = (1, 2, 4)
+GRAM = 3
+LEVELS = (1, 2, 3)
 SLOT_BITS = 14
 #: Text that one task puts together in the end.
 TEXT_BYTES = 8 << 20
 
 
 def word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, int]:
-    """The rank of each word among the distinct words in order of bytes, and how many there are."""
-    off = np.concatenate([[0], np.cumsum(end - start)])  # all that is no word is a space
+    """The rank of each word among the distinct words in order of bytes, and how many there are. Words are what is no space
+    in data."""
+    off = np.concatenate([[0], np.cumsum(end - start)])
     own = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data[data != 32])]).dictionary_encode()
-    rank = np.empty(len(own.dictionary), np.int64)
-    rank[pc.sort_indices(own.dictionary).to_numpy()] = np.arange(len(rank))
+    rank = np.empty(len(own.dictionary), np.int32)
+    rank[pc.sort_indices(own.dictionary).to_numpy()] = np.arange(len(rank), dtype=np.int32)
     return rank[own.indices.to_numpy()], len(rank)
 
 
@@ -54,18 +55,33 @@ def leaves(codes: np.ndarray, n: int, at: np.ndarray, window: int) -> tuple[np.n
     """The subtree of the suffixes that begin at those words, cut at the window's length: the suffixes in the order of
     their words, and each one's common-prefix length with the one before it (0 for the first). codes are below n."""
     bits = max(1, (n - 1).bit_length())
-    keys = []
-    for a in range(0, window, 63 // bits):
-        key = np.zeros(len(at), np.int64)
-        for j in range(a, min(window, a + 63 // bits)):
-            key = (key << bits) | codes[at + j]
-        keys.append(key)
-    order = np.lexsort(keys[::-1])
+    each = min(window, 63 // bits)
+
+    def key(of: np.ndarray, depth: int) -> np.ndarray:
+        out = np.zeros(len(of), np.int64)
+        for j in range(depth, min(window, depth + each)):
+            out = (out << bits) | codes[of + j]
+        return out
+
+    first = key(at, 0)
+    order = np.argsort(first)
+    first = first[order]
+    tied = np.zeros(len(at) + 1, bool)  # with the leaf before, as deep as has been read
+    tied[1:-1] = first[1:] == first[:-1]
+    for depth in range(each, window, each):
+        some = np.flatnonzero(tied[:-1] | tied[1:])
+        if not len(some):
+            break
+        run, own = np.cumsum(~tied[:-1])[some], key(at[order[some]], depth)
+        turn = np.lexsort((own, run))
+        order[some] = order[some[turn]]
+        run, own = run[turn], own[turn]
+        tied[some[1:]] &= (run[1:] == run[:-1]) & (own[1:] == own[:-1])
     at = at[order]
-    common, same = np.zeros(len(at), np.int64), np.ones(max(0, len(at) - 1), bool)
+    common, same = np.zeros(len(at), np.int64), np.arange(1, len(at))
     for j in range(window):
-        same &= codes[at[1:] + j] == codes[at[:-1] + j]
-        common[1:] += same
+        same = same[codes[at[same] + j] == codes[at[same - 1] + j]]
+        common[same] += 1
     return order, common
 
 
@@ -266,7 +282,7 @@ def _emit(window: int, first: np.ndarray, parts: np.ndarray, buckets: int):
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             f, n = first_[a:b], count[a:b]
             text = _joined(data, start, end, at[f], n + window - 1)
-            rows.append((int(group[f[0]]), zstandard.ZstdCompressor(3).compress(n.astype("<u2").tobytes() + text), *_encode(ids[f], prints[f], pos[f].astype(np.int64))))
+            rows.append((int(group[f[0]]), zstandard.ZstdCompressor(1).compress(n.astype("<u2").tobytes() + text), *_encode(ids[f], prints[f], pos[f].astype(np.int64))))
         yield _rows(0, rows)
 
     return emit
