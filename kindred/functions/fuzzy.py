@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import unaccented
+
 from .text import phonetic_token  # noqa: F401  the Column form of what _sound does below
 
 
@@ -87,11 +89,8 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(best, scale * window_ratio(a, b), 0.95 * scale * partial_tokens)
 
 
-_FOLD = str.maketrans("áéíóúüñàèìòùâêîôûäëïöçãõ", "aeiouunaeiouaeiouaeiocao")
-
-
 def _fold(s: str | None) -> str:
-    return (s or "").lower().translate(_FOLD)
+    return unaccented((s or "").lower())
 
 
 def _sound(word: str) -> str:
@@ -148,10 +147,21 @@ def closest(text: str | None, options: list[str] | None, threshold: float) -> st
     return found if best >= threshold else None
 
 
+def scored(f, a: pd.Series, b: pd.Series) -> pd.Series:
+    """f of each pair of texts, worked out once for pairs that a batch repeats; null where either is."""
+    known: dict[tuple, float | None] = {}
+    out = []
+    for pair in zip(a, b, strict=True):
+        if pair not in known:
+            known[pair] = None if pair[0] is None or pair[1] is None else f(*pair)
+        out.append(known[pair])
+    return pd.Series(out, dtype="float64")
+
+
 def _scores(f):
     @F.pandas_udf("double")
     def apply(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+        return scored(f, a, b)
 
     return apply
 

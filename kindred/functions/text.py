@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters and what they become without accents (fixed values).
-ACCENTED = "áéíóúüñàèìòùâêîôûäëïöçãõ"
-PLAIN = "aeiouunaeiouaeiouaeiocao"
+
+
+def unaccented(c: str) -> str:
+    """A text without its letters' marks."""
+    return "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+
+
+#: Lower-case letters of all scripts with marks, and what they are without: one letter each. Marks that stand by themselves
+#: are removed; Hangul syllables, which have no marks, stay whole.
+ACCENTED = "".join(c for c in map(chr, range(0xC0, sys.maxunicode + 1)) if unicodedata.decomposition(c) and c == c.lower() and unaccented(c) != c and len(unaccented(c)) == 1)
+PLAIN = "".join(map(unaccented, ACCENTED))
 
 #: Place synonyms by canonical place (fixed values).
 PLACES = {
@@ -66,9 +76,10 @@ REPLY_HEDGE = "posible coincidencia"
 PII_KEYS = ("cedula", "cedula_masked", "contacto", "telefono", "phone", "email", "direccion", "direccion_exacta", "numero_contacto")
 PHOTO_KEYS = ("foto_url", "photoUrl", "photo_url", "foto", "image_url", "imageUrl")
 
+#: Phone numbers and identifiers in free text, and clauses that only say where someone is (fixed values).
 PHONE_PATTERN = r"(?:\+?58[-\s]?)?0?4\d{2}[-\s]?\d{3}[-\s]?\d{4}"
 ID_PATTERN = r"(?<!\d)(?:[VvEeJjGg][-.\s]?)?\d{1,2}[.\s]?\d{3}[.\s]?\d{3}(?!\d)|(?<!\d)\d{6,9}(?!\d)"
-
+PLACE_CLAUSE = r"(?iu)(?:Refugio[^;–]*|Damnificados[^;–]*|Campo\s+de\s+Golf\b[^;–]*|Centro\s+de\s+Acopio\b[^;–]*|Piso\s+\S+.*?Cama\s*#?\d+[^;–]*|[–\-]\s*(?:La\s+Guaira|Vargas|Carab[a-záéíóú]{2,}|Catia|Playa\s+Grande|Tanaguarena)[^;]*)"
 
 def any_of(c: Column, stems: tuple[str, ...]) -> Column:
     return reduce(lambda x, y: x | y, (c.contains(s) for s in stems))
@@ -89,8 +100,8 @@ def first_of(*cols: Column) -> Column:
 
 
 def deaccent(c: Column) -> Column:
-    """FN1: lower case without accents. Null becomes the empty text."""
-    return F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, PLAIN)
+    """FN1: lower case without accents or other marks. Null becomes the empty text."""
+    return F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, PLAIN), "\\p{Mn}+", "")
 
 
 def place_rules() -> list[tuple[str, str]]:
@@ -188,8 +199,7 @@ def has_number(text: Column, digits: Column) -> Column:
 
 def clean_marks(c: Column) -> Column:
     """FN12: marks without clauses that only say where someone is."""
-    clause = r"(?iu)(?:Refugio[^;–]*|Damnificados[^;–]*|Campo\s+de\s+Golf\b[^;–]*|Centro\s+de\s+Acopio\b[^;–]*|Piso\s+\S+.*?Cama\s*#?\d+[^;–]*|[–\-]\s*(?:La\s+Guaira|Vargas|Carab[a-záéíóú]{2,}|Catia|Playa\s+Grande|Tanaguarena)[^;]*)"
-    t = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), clause, ""), ";\\s*;", ";")
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), PLACE_CLAUSE, ""), ";\\s*;", ";")
     return F.trim(F.regexp_replace(t, "^[;\\s]+|[;\\s]+$", ""))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text
-from .vectors import knn_join
+from .vectors import knn_groups, knn_join
 
 
 def _oriented(kind: Column, a: Column, b: Column) -> list[Column]:
@@ -27,13 +27,18 @@ def link_by_id(reports: DataFrame, mode: str = "equal") -> DataFrame:
     """JN1: pairs of a missing and a found report with one identifier, score 1.
 
     equal joins the identifiers that both state; token finds the found report's identifier as a whole number anywhere in
-    the missing one's marks. Both are equi-joins."""
+    the missing one's marks; substring finds it inside longer numbers as well. All are equi-joins: an identifier has 5 to 10
+    digits, so it equals one of the stretches of these lengths in the numbers of the marks."""
     found = reports.where("kind = 'found'").select(F.col("id").alias("found_id"), text.extract_id(F.col("distinguishing_marks")).alias("n")).where("n is not null")
     m = reports.where("kind = 'missing'").select(F.col("id").alias("missing_id"), "distinguishing_marks")
     if mode == "equal":
         m = m.select("missing_id", text.extract_id(F.col("distinguishing_marks")).alias("n")).where("n is not null")
     elif mode == "token":
         m = m.select("missing_id", F.explode(F.array_distinct(F.regexp_extract_all("distinguishing_marks", F.lit("(\\d+)")))).alias("n")).where("length(n) >= 5")
+    elif mode == "substring":
+        runs = m.select("missing_id", F.explode(F.array_distinct(F.regexp_extract_all("distinguishing_marks", F.lit("(\\d{5,})")))).alias("run"))
+        sized = runs.withColumn("size", F.explode(F.sequence(F.lit(5), F.lit(10)))).where("size <= length(run)")
+        m = sized.select("missing_id", F.explode(F.expr("transform(sequence(1, length(run) - size + 1), i -> substring(run, i, size))")).alias("n")).distinct()
     else:
         raise ValueError(f"unknown mode {mode!r}")
     return _pending(m.join(found, "n").select("missing_id", "found_id", F.lit(1.0).alias("score")).distinct(), "id")
@@ -66,15 +71,16 @@ def unprocessed_photos(photos: DataFrame, prefix: str) -> DataFrame:
 def face_neighbours(query_photos: DataFrame, item_photos: DataFrame, k: int = 10, recall: float = 0.5, per: str = "report") -> DataFrame:
     """WN1: (query_report, item_report, query_photo, item_photo, score). With per='report' a report counts once among the
     k, by its best photo; with 'photo' the k are photos."""
-    q = query_photos.select(F.col("id").alias("query_id"), F.col("face_embedding").alias("vector"))
-    i = item_photos.select(F.col("id").alias("item_id"), F.col("face_embedding").alias("vector"))
-    wide = knn_join(q, i, k if per == "photo" else 1 << 30, recall)
+    q = query_photos.select(F.col("id").alias("query_id"), F.col("face_embedding").alias("vector"), F.col("report_id").alias("query_group"))
+    i = item_photos.select(F.col("id").alias("item_id"), F.col("face_embedding").alias("vector"), F.col("report_id").alias("item_group"))
+    if per == "report":
+        near = knn_groups(q, i, k, recall)
+        return near.select(F.col("query_group").alias("query_report"), F.col("item_group").alias("item_report"), F.col("query_id").alias("query_photo"), F.col("item_id").alias("item_photo"), "score")
+    wide = knn_join(q, i, k, recall)
     named = wide.join(query_photos.select(F.col("id").cast("string").alias("query_id"), F.col("report_id").alias("query_report")), "query_id")
     named = named.join(item_photos.select(F.col("id").cast("string").alias("item_id"), F.col("report_id").alias("item_report")), "item_id").where("query_report <> item_report")
     best = F.struct(F.round("score", 9).alias("s"), F.col("query_id"), F.col("item_id"), F.col("score"))
     pairs = named.groupBy("query_report", "item_report").agg(F.max(best).alias("b"))
-    if per == "report":
-        pairs = pairs.withColumn("_n", F.row_number().over(W.partitionBy("query_report").orderBy(F.col("b.s").desc(), "item_report"))).where(F.col("_n") <= k)
     return pairs.select("query_report", "item_report", F.col("b.query_id").alias("query_photo"), F.col("b.item_id").alias("item_photo"), F.col("b.score").alias("score"))
 
 

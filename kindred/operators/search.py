@@ -116,6 +116,12 @@ def collapse_results(df: DataFrame, keys: list[Column], *order: Column) -> DataF
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def bucket_caps(df: DataFrame, caps: tuple[int, ...], *order: Column) -> DataFrame:
+    """LM3: df with rank, each query's first rows of each bucket (numbered from 0), at most as many as the bucket's cap."""
+    cap = F.element_at(F.array(*(F.lit(c) for c in caps)), F.col("bucket") + 1)
+    return df.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "bucket").orderBy(*order))).where(F.col("rank") <= cap)
+
+
 def search_and_answer(queries: DataFrame, reports: DataFrame, caps: tuple[int, int, int] = (4, 3, 3)) -> DataFrame:
     """PL8, SO3, LM3: (query_id, bucket, rank, id, line): located (by number, or a hospital's report that age or place
     corroborates), weak (a hospital's by name alone) and reference (others), each report in its first bucket only."""
@@ -125,9 +131,7 @@ def search_and_answer(queries: DataFrame, reports: DataFrame, caps: tuple[int, i
     bucket = F.when(located(), F.when(sure, 0).otherwise(1)).otherwise(2)
     by_name = collapse_greedy(ranked.where(located()), sum(caps)).unionByName(collapse_greedy(ranked.where(~located()), caps[2])).select("query_id", "id", bucket.alias("bucket"), "score")
     once = by_id.unionByName(by_name).groupBy("query_id", "id").agg(F.min("bucket").alias("bucket"), F.max("score").alias("score"))
-    order = W.partitionBy("query_id", "bucket").orderBy(F.col("score").desc(), "id")
-    cap = F.element_at(F.array(*(F.lit(c) for c in caps)), F.col("bucket") + 1)
-    out = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).join(reports.select("id", "full_name", "age", "last_seen_location", "source"), "id")
+    out = bucket_caps(once, caps, F.col("score").desc(), F.col("id")).join(reports.select("id", "full_name", "age", "last_seen_location", "source"), "id")
     line = text.format_line(F.col("full_name"), F.col("age"), F.col("last_seen_location"), F.col("source"), F.lit(None).cast("string"))
     return out.select("query_id", F.element_at(F.array(F.lit("located"), F.lit("weak"), F.lit("reference")), F.col("bucket") + 1).alias("bucket"), "rank", "id", line.alias("line"))
 

@@ -61,9 +61,11 @@ def recent_mode(df: DataFrame, key: str, value: str, order: list[str], n: int =
 
 
 def interests(df: DataFrame, key: str, order: list[str], topic: str, preference: str) -> DataFrame:
-    """WN10, AG5: each row's ordered distinct topics so far, and the latest preference."""
+    """WN10, AG5: each row's ordered distinct topics so far, and the latest preference. The running list takes a topic where
+    it first occurs, so it is no longer than the key's topics."""
     w = _upto(key, *order)
-    return df.withColumn("topics", F.array_distinct(F.collect_list(topic).over(w))).withColumn("latest", F.last(preference, ignorenulls=True).over(w))
+    first = F.when(F.row_number().over(W.partitionBy(key, topic).orderBy(*order)) == 1, F.col(topic))
+    return df.withColumn("_first", first).withColumn("topics", F.collect_list("_first").over(w)).withColumn("latest", F.last(preference, ignorenulls=True).over(w)).drop("_first")
 
 
 def active_sessions(df: DataFrame, now: int, ts: str = "ts", days: int = 7) -> DataFrame:
@@ -104,6 +106,14 @@ def rate_limit(df: DataFrame, key: str = "phone", ts: str = "ts", n: int = 20, w
     return ordered.mapInPandas(fold, f"{fields}, accepted boolean")
 
 
+def next_person(name: str | None, person: int, new) -> tuple[str | None, int]:
+    """SM9: the name and number of the person after a message with a name, or none: a name that is not the person's so far
+    begins another; every name that is given replaces the one before."""
+    if not isinstance(new, str) or not new.strip():
+        return name, person
+    return new, person + (name is not None and not fuzzy.one_person(name, new))
+
+
 def split_people(df: DataFrame, key: str = "phone", order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
     """SM9: df with person, a number that rises whenever a message's name is not the person's so far. Batches come sorted by
     key; the last name is all that is held."""
@@ -117,12 +127,7 @@ def split_people(df: DataFrame, key: str = "phone", order: tuple[str, ...] = ("t
             for k, v in zip(pdf[key], pdf["name"], strict=True):
                 if k != current:
                     current, name, person = k, None, 0
-                if isinstance(v, str) and v.strip():
-                    if name is not None and not fuzzy.one_person(name, v):
-                        person += 1
-                        name = v
-                    elif name is None or len(v) > len(name):
-                        name = v
+                name, person = next_person(name, person, v)
                 out.append(person)
             yield pdf.assign(person=pd.array(out, dtype="int64"))[[*names, "person"]]
 

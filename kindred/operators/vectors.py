@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,6 +15,65 @@ from ..functions.text import hamming_hex
 BLOCK = 2048
 
 
+def _block_pairs(queries: DataFrame, items: DataFrame, blocks: int | None, group: bool = False) -> DataFrame:
+    """key, vector, p, q, side and, if asked for, group of both sides, each row once for every block of the other side."""
+    n_q, n_i = (blocks, blocks) if blocks else (max(1, queries.count() // BLOCK), max(1, items.count() // BLOCK))
+
+    def dealt(df: DataFrame, side: int, name: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        place, every = F.pmod(F.xxhash64(name), F.lit(n_own)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
+        more = [F.col(name.replace("_id", "_group")).cast("string").alias("group")] if group else []
+        return df.where("vector is not null").select(F.col(name).cast("string").alias("key"), F.col("vector").cast("array<double>").alias("vector"), place, every, F.lit(side).alias("side"), *more)
+
+    return dealt(queries, 0, "query_id", "p", n_q, "q", n_i).unionByName(dealt(items, 1, "item_id", "q", n_i, "p", n_q))
+
+
+def _cosines(table: pa.Table, names: tuple[str, ...]):
+    """For vectors of one length: the named columns of the queries and of the items, and the matrix of their cosines."""
+    table = table.combine_chunks()
+    columns = [np.array(table.column(c).to_pylist(), object) for c in names]
+    side, vectors = table.column("side").to_numpy(), table.column("vector").to_pylist()
+    size = np.array([len(v) for v in vectors])
+    for dim in np.unique(size):
+        a, b = (np.flatnonzero((side == s) & (size == dim)) for s in (0, 1))
+        if len(a) and len(b) and dim:
+            x, y = (np.array([vectors[j] for j in rows], np.float64) for rows in (a, b))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                yield [c[a] for c in columns], [c[b] for c in columns], (x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T
+
+
+def knn_groups(queries: DataFrame, items: DataFrame, k: int = 10, least: float = 0.0, blocks: int | None = None) -> DataFrame:
+    """WN1 by groups: (query_group, item_group, query_id, item_id, score): for each group of queries its k best other groups
+    of items, a pair of groups by its best pair of vectors, ties by item_group; of equal pairs the largest ids.
+
+    queries: query_id, vector, query_group; items: item_id, vector, item_group. Exact, block by block as in knn_join: a task
+    hands on at most k groups for each group of its queries, which the best k of all are among.
+    """
+
+    def product(table: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        for (asked, own), (names, other), s in _cosines(table, ("key", "group")):
+            own_names, own_at = np.unique(own.astype(str), return_inverse=True)
+            other_names, other_at = np.unique(other.astype(str), return_inverse=True)
+            s = np.where(s >= least, s, -np.inf)
+            rows, cols = np.argsort(own_at, kind="stable"), np.argsort(other_at, kind="stable")
+            row_cut, col_cut = np.searchsorted(own_at[rows], np.arange(len(own_names) + 1)), np.searchsorted(other_at[cols], np.arange(len(other_names) + 1))
+            best = np.maximum.reduceat(np.maximum.reduceat(s[np.ix_(rows, cols)], col_cut[:-1], axis=1), row_cut[:-1], axis=0)
+            best = np.round(best, 9)
+            for g, name in enumerate(own_names):
+                ok = np.flatnonzero(np.isfinite(best[g]) & (other_names != name))
+                for h in ok[np.lexsort((other_names[ok], -best[g, ok]))[:k]]:
+                    i, j = rows[row_cut[g] : row_cut[g + 1]], cols[col_cut[h] : col_cut[h + 1]]
+                    _, a, b, score = max((round(float(s[x, y]), 9), asked[x], names[y], float(s[x, y])) for x in i for y in j if np.isfinite(s[x, y]))
+                    out.append((name, other_names[h], a, b, score))
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_group", "item_group", "query_id", "item_id", "score"), columns, [pa.string()] * 4 + [pa.float64()], strict=True)})
+
+    met = _block_pairs(queries, items, blocks, True).groupBy("p", "q").applyInArrow(product, "query_group string, item_group string, query_id string, item_id string, score double")
+    one = met.groupBy("query_group", "item_group").agg(F.max(F.struct(F.round("score", 9).alias("s"), "query_id", "item_id", "score")).alias("b"))
+    order = W.partitionBy("query_group").orderBy(F.col("b.s").desc(), "item_group")
+    return one.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select("query_group", "item_group", "b.query_id", "b.item_id", "b.score")
+
+
 def knn_join(queries: DataFrame, items: DataFrame, k: int = 10, least: float = 0.0, blocks: int | None = None) -> DataFrame:
     """WN1: (query_id, item_id, score): each query's k best items of at least that cosine, ties by item_id.
 
@@ -20,34 +81,20 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int = 10, least: float = 0
     task of a matrix product that keeps k items a query, and the blocks' results are ranked. A task's memory is two
     blocks; vectors that are null, zero or of another length match nothing.
     """
-    n_q, n_i = (blocks, blocks) if blocks else (max(1, queries.count() // BLOCK), max(1, items.count() // BLOCK))
-    q = queries.where("vector is not null").select(F.col("query_id").cast("string").alias("key"), F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(n_i - 1))).alias("q"), F.lit(0).alias("side"))
-    i = items.where("vector is not null").select(F.col("item_id").cast("string").alias("key"), F.col("vector").cast("array<double>").alias("vector"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("p"), F.pmod(F.xxhash64("item_id"), F.lit(n_i)).alias("q"), F.lit(1).alias("side"))
-
     def product(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        keys, side = np.array(table.column("key").to_pylist(), object), table.column("side").to_numpy()
-        vectors = table.column("vector").to_pylist()
-        size = np.array([len(v) for v in vectors])
         out: list[tuple] = []
-        for dim in np.unique(size):
-            a, b = (np.flatnonzero((side == s) & (size == dim)) for s in (0, 1))
-            if not len(a) or not len(b) or not dim:
-                continue
-            x, y = (np.array([vectors[j] for j in rows], np.float64) for rows in (a, b))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                s = (x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T
-            names = keys[b]
+        for queries_, items_, s in _cosines(table, ("key",)):
+            (asked,), (names,) = queries_, items_
             for r, row in enumerate(s):
                 ok = np.flatnonzero(row >= least)
                 if len(ok) > 4 * k:  # ties at the edge stay in
                     ok = ok[row[ok] >= np.partition(row[ok], -k)[-k]]
                 best = sorted(ok, key=lambda j: (-round(float(row[j]), 9), names[j]))[:k]
-                out += [(keys[a[r]], names[j], float(row[j])) for j in best]
+                out += [(asked[r], names[j], float(row[j])) for j in best]
         f, t, s = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"query_id": pa.array(f, pa.string()), "item_id": pa.array(t, pa.string()), "score": pa.array(s, pa.float64())})
 
-    met = q.unionByName(i).groupBy("p", "q").applyInArrow(product, "query_id string, item_id string, score double")
+    met = _block_pairs(queries, items, blocks).groupBy("p", "q").applyInArrow(product, "query_id string, item_id string, score double")
     order = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "item_id")
     return met.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
 
@@ -55,16 +102,16 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int = 10, least: float = 0
 def phash_pairs(photos: DataFrame, most: int = 8) -> DataFrame:
     """JN21: (a, b, distance) of photos whose 64-bit hashes differ in at most so many bits.
 
-    At most that many flipped bits leave one of most + 1 disjoint bands of bits unchanged, so bands are joined and the
-    distance is verified. Photos of one hash are one side of the join and are told apart afterwards."""
+    Of the hash's four bands of 16 bits, one has at most a quarter of the flipped bits. One side of the join has its bands,
+    the other its bands with up to so many bits flipped, so a band's key is shared by few hashes; the distance is verified.
+    Photos of one hash are one side of the join and are told apart afterwards."""
     good = photos.where(F.col("phash").rlike("^[0-9a-f]{16}$"))
-    bits = F.concat(*(F.lpad(F.conv(F.substring("phash", i, 8), 16, 2), 32, "0") for i in (1, 9)))
-    hashes = good.select("phash").distinct().withColumn("bits", bits)
-    cuts = [64 * i // (most + 1) for i in range(most + 2)]
-    bands = F.array(*(F.concat(F.lit(f"{i}:"), F.substring("bits", a + 1, b - a)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))))
-    keyed = hashes.select("phash", F.explode(bands).alias("band"))
-    near = keyed.join(keyed.withColumnRenamed("phash", "other"), "band").where("phash <= other").select("phash", "other").distinct()
-    near = near.withColumn("distance", hamming_hex(F.col("phash"), F.col("other"))).where(F.col("distance") <= most)
+    hashes = good.select("phash").distinct()
+    flips = [sum(1 << b for b in bits) for n in range(most // 4 + 1) for bits in combinations(range(16), n)]
+    bands = F.explode(F.array(*(F.conv(F.substring("phash", 4 * i + 1, 4), 16, 10).cast("int") + (i << 16) for i in range(4)))).alias("band")
+    near = hashes.select("phash", bands).select("phash", F.explode(F.transform(F.array(*map(F.lit, flips)), lambda m: F.col("band").bitwiseXOR(m))).alias("band"))
+    near = near.join(hashes.select(F.col("phash").alias("other"), bands), "band").where("phash <= other").select("phash", "other", hamming_hex(F.col("phash"), F.col("other")).alias("distance"))
+    near = near.where(F.col("distance") <= most).distinct()
     a, b = good.select(F.col("id").alias("a"), "phash"), good.select(F.col("id").alias("b"), F.col("phash").alias("other"))
     out = near.join(a, "phash").join(b, "other").where("phash <> other or a < b")
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")

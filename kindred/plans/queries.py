@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from ..functions import fuzzy, scores, text
 from ..operators import dedup, linking, notify, review, search, sessions, upsert, vectors
 from ..sources import feeds, ingest
-from .fixtures import duck_with, load
+from .fixtures import duck_with, load, shared_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -58,9 +58,13 @@ def sound_sql(x: str) -> str:
 TOKENS = "list_filter(string_split(coalesce(full_name, ''), ' '), lambda t: t <> '')"
 
 
-@query(f"{WR} SELECT id, {acc('full_name')} AS folded, {place_sql('last_seen_location')} AS place FROM reports")
+#: Letters of several scripts with marks, within and beside the letter.
+_MARKED = "Škoda Åsa ŻÓŁĆ ắ Ελένη Ёлка e\u0301 n\u0303 İ"
+
+
+@query(f"{WR} SELECT id, {acc(f"full_name || ' {_MARKED} ' || id")} AS folded, {place_sql('last_seen_location')} AS place FROM reports")
 def fn01_02_deaccent_place(get):
-    return get("reports").select("id", text.deaccent(F.col("full_name")).alias("folded"), text.normalize_location(F.col("last_seen_location")).alias("place"))
+    return get("reports").select("id", text.deaccent(F.concat("full_name", F.lit(f" {_MARKED} "), "id")).alias("folded"), text.normalize_location(F.col("last_seen_location")).alias("place"))
 
 
 @query(f"{WR}, p AS (SELECT id, {place_sql('last_seen_location')} AS a, {place_sql('source')} AS b FROM reports) SELECT id, {place_score_sql('a', 'b')} AS s1, {place_score_sql('a', chr(39) + 'la guaira' + chr(39))} AS s2 FROM p")
@@ -299,8 +303,13 @@ def _cells(get):
     c = c.withColumn("row", F.row_number().over(W.partitionBy("tab").orderBy("c_custkey")) + 1)
     name = F.concat(F.lit("Paciente "), (F.floor(F.col("c_custkey") / 14)).cast("string"))
     below = c.select("tab", "row", F.posexplode(F.array(name, (F.col("c_custkey") % 99 + 1).cast("string"), (F.col("c_custkey") + 20000000).cast("string"))).alias("col", "value"))
-    head = c.select("tab").distinct().select("tab", F.lit(1).alias("row"), F.posexplode(F.array(F.lit("Nombres y Apellidos"), F.lit("Edad"), F.lit("Cédula"))).alias("col", "value"))
-    return below.unionByName(head)
+    tabs, number = c.select("tab").distinct(), F.substring("tab", -1, 1).cast("int")
+    head = tabs.select("tab", F.lit(1).alias("row"), F.posexplode(F.array(F.lit("Nombres y Apellidos"), F.lit("Edad"), F.lit("Cédula"))).alias("col", "value"))
+    # tabs 0 to 2 have a title, tab 3 a search field and then a column whose head is short, the others nothing above the head
+    title = tabs.where(number < 4).select("tab", F.lit(0).alias("row"), F.lit(0).alias("col"), F.when(number == 3, "BUSCAR aquí").otherwise(F.concat(F.lit("Centro "), number.cast("string"))).alias("value"))
+    moved = F.when((number == 3) & (F.col("col") == 0), 7).otherwise(F.col("col"))
+    short = tabs.where(number == 3).select("tab", F.lit(1).alias("row"), F.lit(0).alias("col"), F.lit("N").alias("value"))
+    return below.unionByName(head).withColumn("col", moved).unionByName(title).unionByName(short)
 
 
 _CELL_SQL = """SELECT tab, name, arg_max(k, k) AS k FROM (SELECT 'Hospital ' || (c_custkey % 7) AS tab, 'Paciente ' || floor(c_custkey / 14)::BIGINT AS name, c_custkey AS k FROM customer) GROUP BY tab, name"""
@@ -311,7 +320,7 @@ def sc06_sheet_rows(get):
     return ingest.read_sheet_rows(_cells(get), _SYN).select("tab", "name", "age", "id")
 
 
-@query(f"SELECT 'found' AS kind, name AS full_name, (k % 99 + 1)::INT AS age, tab AS last_seen_location, 'CI: ' || (k + 20000000) AS distinguishing_marks, 'alive' AS person_state, 'hospital_sheet' AS source, 'hospital_sheet:' || lower(tab) || ':' || (k + 20000000) AS source_url FROM ({_CELL_SQL})")
+@query(f"SELECT 'found' AS kind, name AS full_name, (k % 99 + 1)::INT AS age, CASE WHEN right(tab, 1)::INT < 3 THEN 'Centro ' || right(tab, 1) WHEN right(tab, 1) = '3' THEN tab ELSE 'Nombres y Apellidos' END AS last_seen_location, 'CI: ' || (k + 20000000) AS distinguishing_marks, 'alive' AS person_state, 'hospital_sheet' AS source, 'hospital_sheet:' || lower(tab) || ':' || (k + 20000000) AS source_url FROM ({_CELL_SQL})")
 def nm01_sheet(get):
     return feeds.sheet(ingest.read_sheet_rows(_cells(get), _SYN))
 
@@ -340,7 +349,7 @@ def sc08_pipe_rows(get):
 
 def _cards(get):
     k = F.col("c_custkey")
-    h = F.concat(F.lit("<div><h3>"), F.col("c_name"), F.lit("</h3><p><b>Edad:</b> "), (k % 140).cast("string"), F.lit("</p><p><b>Ubicación:</b> "), F.col("c_mktsegment"), F.lit("</p><b>Sexo:</b> F</div>"))
+    h = F.concat(F.lit("<div><h3>"), F.col("c_name"), F.lit("</h3><p><b>Edad:</b> "), (k % 140).cast("string"), F.lit("</p><p><b>Ubicación:</b> "), F.col("c_mktsegment"), F.lit("</p><b>Sexo:</b> F <b>EDAD:</b> 7 <b>Sexo</b> M</div>"))
     return ingest.extract_cards(get("customer").select(k.alias("doc"), h.alias("html")))
 
 
@@ -416,11 +425,14 @@ def sc15_nm03_patients(get):
 
 
 @query(
-    """SELECT 'found' AS kind, e AS full_name, 30 AS age, n_name AS last_seen_location, 'Centro: ' || n_name AS distinguishing_marks, 'unknown' AS person_state, 'registry_lists' AS source, 'registry_list:' || n_nationkey || e AS source_url FROM (SELECT n_nationkey, n_name, unnest(['Ana', 'Luis']) AS e FROM nation)"""
+    """SELECT 'found' AS kind, c_name || e AS full_name, 30 AS age, n_name || ' ' || c_custkey // 1000 AS last_seen_location, 'Centro: ' || n_name || ' ' || c_custkey // 1000 AS distinguishing_marks, 'unknown' AS person_state, 'registry_lists' AS source, 'registry_list:' || c_custkey || e AS source_url FROM (SELECT c_custkey, c_name, n_name, unnest(['Ana', 'Luis']) AS e FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
 )
 def sc16_nm16_entries(get):
-    one = F.array(*(F.struct(F.lit(n).alias("nombre"), F.lit("30").alias("edad"), F.concat(F.col("n_nationkey").cast("string"), F.lit(n)).alias("id")) for n in ("Ana", "Luis", "X")))
-    return feeds.registry_entries(feeds.explode_entries(get("nation").select(F.col("n_name").alias("centro_nombre"), one.alias("entradas"))))
+    one = F.array(*(F.struct((F.concat("c_name", F.lit(n)) if n != "X" else F.lit("X")).alias("nombre"), F.lit("30").alias("edad"), F.concat(F.col("c_custkey").cast("string"), F.lit(n)).alias("id")) for n in ("Ana", "Luis", "X")))
+    # a list for each nation and thousand of customers
+    people = get("customer").join(get("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    lists = people.groupBy(F.concat("n_name", F.lit(" "), F.floor(F.col("c_custkey") / 1000).cast("string")).alias("centro_nombre")).agg(F.flatten(F.collect_list(one)).alias("entradas"))
+    return feeds.registry_entries(feeds.explode_entries(lists))
 
 
 def _raw(get, **cols):
@@ -449,12 +461,26 @@ def nm06_located_list(get):
     return feeds.located_list(_raw(get, slug="concat('s', c_custkey)", nombreCompleto="c_name", lugarNombre="concat('Refugio ', c_nationkey)", direccion="case when c_custkey % 2 = 0 then concat('refugio ', c_nationkey) else c_mktsegment end", condicion="case when c_custkey % 3 = 0 then 'estable' else 'desconocido' end"))
 
 
+#: The feed's states and labels, one that it doesn't know, and none.
+_STATES = {"a_salvo": "A salvo", "atrapado": "Atrapado", "atrapados": "Atrapados", "colapsado": "Edificio colapsado", "dano_grave": "Dano grave", "desaparecido": "Desaparecido", "en_rescate": "En rescate", "evacuado_ok": "Evacuado, a salvo", "fallecido": "Fallecido", "herido": "Herido", "rescatado": "Rescatado", "visto_con_vida": "Visto con vida", "nuevo": "", "": ""}
+_STATE, _LABEL = (f"split_part('{'|'.join(x)}', '|', CAST(1 + c_custkey % 14 AS INT))" for x in (_STATES, _STATES.values()))
+
+
 @query(
-    _nm("CASE WHEN c_custkey % 4 = 0 THEN 'found' WHEN c_custkey % 4 = 1 THEN 'missing' ELSE 'missing' END", "c_name", "CASE WHEN c_custkey % 140 BETWEEN 1 AND 129 THEN c_custkey % 140 END", "CASE WHEN c_custkey % 3 = 0 THEN 'Edif. Sol, Calle 1' WHEN c_custkey % 3 = 1 THEN '10.50000,-66.90000' ELSE 'La Guaira' END", "CASE WHEN c_custkey % 4 = 0 THEN 'Estado: a_salvo | alto' WHEN c_custkey % 4 = 1 THEN 'Estado: buscado | alto' ELSE 'alto' END", "NULL", "status_feed", "'status_feed:' || c_custkey")
+    _nm(
+        f"CASE WHEN {_STATE} IN ('a_salvo', 'evacuado_ok', 'rescatado', 'visto_con_vida', 'herido', 'fallecido') THEN 'found' WHEN {_STATE} = 'desaparecido' OR c_custkey // 14 % 2 = 0 THEN 'missing' ELSE 'found' END",
+        "c_name",
+        "CASE WHEN c_custkey % 140 BETWEEN 1 AND 129 THEN c_custkey % 140 END",
+        "CASE c_custkey % 3 WHEN 0 THEN 'Sol' || CASE WHEN c_custkey % 2 = 0 THEN ', Piso 4' ELSE '' END || ', Calle 1, La Guaira' WHEN 1 THEN 'La Guaira (10.50000, -66.90000)' ELSE 'La Guaira' END",
+        f"CASE WHEN {_LABEL} = '' OR c_custkey % 5 = 0 AND {_LABEL} <> '' THEN 'alto ' || CASE WHEN c_custkey % 5 = 0 THEN lower({_LABEL}) ELSE '' END ELSE 'Estado: ' || {_LABEL} || ' | alto' END".replace("'alto ' ||", "trim('alto ' ||").replace("ELSE '' END ELSE", "ELSE '' END) ELSE"),
+        "NULL",
+        "status_feed",
+        "'status_feed:' || c_custkey",
+    )
 )
 def nm07_status_enum(get):
-    e = "case c_custkey % 4 when 0 then 'A_SALVO' when 1 then 'buscado' end"
-    return feeds.status_enum(_raw(get, id="c_custkey", tipo="'busco'", nombre="c_name", edad="c_custkey % 140", descripcion="'alto'", estado=e, edificio="case when c_custkey % 3 = 0 then 'Sol' end", direccion="case when c_custkey % 3 = 0 then 'Calle 1' end", lat="case when c_custkey % 3 = 1 then 10.5 end", lng="case when c_custkey % 3 = 1 then -66.9 end"))
+    told = f"concat('alto', case when c_custkey % 5 = 0 then concat(' ', lower({_LABEL})) else '' end)"
+    return feeds.status_enum(_raw(get, id="c_custkey", tipo="case when floor(c_custkey / 14) % 2 = 0 then 'Busco' else 'reporto' end", nombre="c_name", edad="c_custkey % 140", descripcion=told, estado=f"upper({_STATE})", edificio="case when c_custkey % 3 = 0 then 'Sol' end", piso="case when c_custkey % 2 = 0 then '4' else '0' end", direccion="case when c_custkey % 3 = 0 then 'Calle 1' end", lat="case when c_custkey % 3 = 1 then 10.5 end", lng="case when c_custkey % 3 = 1 then -66.9 end"))
 
 
 @query(_nm("CASE WHEN c_custkey % 2 = 0 THEN 'found' ELSE 'missing' END", "c_name", "NULL", "c_mktsegment || ', P1'", "NULL", "NULL", "status_list", "CASE WHEN c_custkey % 3 = 0 THEN 'status_list::' || c_name ELSE 'status_list:' || c_custkey END"))
@@ -662,6 +688,11 @@ def jn01_link_by_token(get):
     return linking.link_by_id(get("reports"), "token").select("missing_id", "found_id")
 
 
+@query(f"{WR}, {_FOUND_CI} SELECT m.id AS missing_id, f.id AS found_id FROM reports m JOIN f ON contains(m.distinguishing_marks, f.n) WHERE m.kind = 'missing'")
+def jn01_link_by_part(get):
+    return linking.link_by_id(get("reports"), "substring").select("missing_id", "found_id")
+
+
 def _vector_reports(get):
     v = F.col("vec_id")
     return get("embeddings").select(F.concat(F.when(v % 2 == 0, "m").otherwise("f"), v.cast("string")).alias("id"), F.when(v % 2 == 0, "missing").otherwise("found").alias("kind"), F.lit("Ana").alias("full_name"), F.lit(None).cast("int").alias("age"), F.lit("").alias("distinguishing_marks"), F.col("embedding").alias("text_embedding"))
@@ -734,7 +765,10 @@ def jn11_recall_by_tokens(get):
     return search.recall_by_tokens(_queries(get), get("reports"))
 
 
-@query()
+@query(
+    f"""{WR}, {_Q}, w AS (SELECT query_id, word FROM (SELECT query_id, word, row_number() OVER (PARTITION BY query_id ORDER BY -len(word), word) AS n FROM (SELECT DISTINCT query_id, unnest(string_split(lower(name), ' ')) AS word FROM q) WHERE len(word) >= 3) WHERE n <= 3),
+ h AS (SELECT word, r.id, row_number() OVER (PARTITION BY word ORDER BY created_at DESC, id) AS n FROM (SELECT DISTINCT word FROM w) JOIN reports r ON contains({acc('full_name')}, word) WHERE r.source <> 'private_chat' AND starts_with(r.source, 'hospital_')) SELECT DISTINCT query_id, id FROM w JOIN h USING (word) WHERE n <= 40"""
+)
 def jn12_recall_located(get):
     return search.recall_by_tokens(_queries(get), get("reports").where(search.located()), 40)
 
@@ -1054,7 +1088,15 @@ def sm5_bursts(get):
     return sessions.bursts(_messages(get), "phone", gap=3600).withColumn("ids", F.concat_ws(",", F.col("ids").cast("array<string>")))
 
 
-@query()
+_E = "e AS (SELECT user_id::VARCHAR AS phone, event_id AS id, floor(epoch_us(ts) / 1000000)::BIGINT AS ts, event_type, value FROM events)"
+_LAST = "last_value({} IGNORE NULLS) OVER (PARTITION BY phone, part ORDER BY ts, id ROWS UNBOUNDED PRECEDING)"
+
+
+@query(
+    f"""WITH {_E}, p AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY phone ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS part FROM e),
+ s AS (SELECT id, value, {_LAST.format("CASE WHEN event_type = 'view' THEN 'missing' END")} AS kind, {_LAST.format("CASE WHEN event_type = 'click' THEN 'Ana' END")} AS name, {_LAST.format("CASE WHEN event_type = 'purchase' THEN 'Ccs' END")} AS location, {_LAST.format("CASE WHEN value > 20 THEN 30 END")} AS age, coalesce({_LAST.format("CASE WHEN value > 40 THEN true END")}, false) AS photo FROM p)
+ SELECT id, kind, name, location, CASE WHEN name IS NULL THEN 'name' WHEN kind IS NULL THEN 'kind' WHEN location IS NULL THEN 'location' WHEN age IS NULL AND NOT coalesce(value < 2, false) AND NOT photo THEN 'age' WHEN NOT photo THEN 'photo' END AS next_field FROM s"""
+)
 def sm8_intake_state(get):
     m = _messages(get)
     when = lambda t, v: F.when(F.col("event_type") == t, v)
@@ -1062,7 +1104,10 @@ def sm8_intake_state(get):
     return sessions.intake_state(m).select("id", "kind", "name", "location", "next_field")
 
 
-@query()
+@query(
+    f"""WITH {_E}, n AS (SELECT *, CASE WHEN event_type IN ('click', 'signup') THEN 'm' WHEN event_type = 'view' THEN 'c' END AS who FROM e),
+ b AS (SELECT *, last_value(who IGNORE NULLS) OVER (PARTITION BY phone ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM n) SELECT id, sum(coalesce((who <> last)::INT, 0)) OVER (PARTITION BY phone ORDER BY ts, id ROWS UNBOUNDED PRECEDING)::BIGINT AS person FROM b"""
+)
 def sm9_split_people(get):
     m = _messages(get).withColumn("name", F.expr("case when event_type = 'click' then 'Maria Perez' when event_type = 'view' then 'Carlos Perez' when event_type = 'signup' then 'Maria Perez Gomez' end"))
     return sessions.split_people(m).select("id", "person")
@@ -1094,3 +1139,127 @@ def dr2_clean_intent(get):
 @query("SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'family' ELSE 'unknown' END AS user_type FROM events")
 def dr3_user_type(get):
     return get("events").select(F.col("event_id").alias("id"), review.user_type(F.col("event_type"), {"view": "family"}).alias("user_type"))
+
+
+@query("SELECT c_custkey::VARCHAR AS cedula, c_name AS nombre, c_mktsegment AS hospital FROM customer WHERE c_custkey % 9 <> 0")
+def sc05_csv_columns(get):
+    raw = get("customer").select(F.col("c_custkey").cast("string").alias("Nro. Cédula"), F.when(F.col("c_custkey") % 9 != 0, F.col("c_name")).otherwise(" ").alias("Nombres y Apellidos"), F.col("c_mktsegment").alias("HOSPITAL"), F.lit("x").alias("Nombre del médico"), F.lit("y").alias("CI"))
+    return ingest.canonical_columns(raw, {"nombre": ("nombre",), "cedula": ("cedula", "ci"), "hospital": ("hospital",)})
+
+
+@query(f"{_QUEUE.split(', x AS')[0]}, f AS (SELECT * FROM matches WHERE status = 'pending' AND combined_score >= 0.2 ORDER BY {_ORDER} LIMIT 1000) SELECT f.id, missing_id FROM f JOIN reports a ON a.id = missing_id JOIN reports b ON b.id = found_id")
+def lm2_fetch_limit(get):
+    """A queue over the first 1000 candidates only: the limit is what the operator offers."""
+    return review.review_queue(get("matches"), get("reports"), mode="all", min_score=0.2, limit=None, fetch_limit=1000).select("id", "missing_id")
+
+
+@query(f"{WP}, {_GOOD}, s AS (SELECT a.report_id AS a, b.report_id AS b, max(list_cosine_similarity(a.e, b.e)) AS s FROM g a JOIN g b ON a.report_id <> b.report_id WHERE a.id % 50 = 0 GROUP BY ALL HAVING max(list_cosine_similarity(a.e, b.e)) >= 0.2) SELECT a AS query_report, b AS item_report, round(s, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) AS n FROM s) WHERE n <= 5")
+def pf10_other_reports(get):
+    good = linking.good_photos(get("photos"), get("reports"))
+    return linking.face_neighbours(good.where("id % 50 = 0"), good, 5, 0.2).select("query_report", "item_report", F.round("score", 4).alias("score"))
+
+
+@query(f"{WR}, {_Q}, b AS (SELECT query_id, id, CASE WHEN starts_with(source, 'hospital_') THEN 0 WHEN kind = 'found' THEN 1 ELSE 2 END AS bucket, created_at FROM q JOIN reports ON id[1:2] = 'm' || query_id % 9 + 1 OR id[1:2] = 'f' || query_id % 9 + 1) SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY created_at DESC, id) AS n FROM b) WHERE n <= CASE bucket WHEN 0 THEN 4 ELSE 3 END")
+def lm3_bucket_caps(get):
+    met = _queries(get).join(get("reports").withColumn("lead", F.substring("id", 2, 1)), F.col("lead") == (F.col("query_id") % 9 + 1).cast("string"))
+    bucket = F.when(search.located(), 0).when(F.col("kind") == "found", 1).otherwise(2)
+    return search.bucket_caps(met.withColumn("bucket", bucket), (4, 3, 3), F.col("created_at").desc(), F.col("id")).select("query_id", "id")
+
+
+@query("SELECT 'missing' AS kind, c_name AS full_name, 'status_list:' || c_custkey AS source_url FROM customer UNION ALL SELECT 'found', s_name, 'hospital_db:' || s_suppkey FROM supplier UNION ALL SELECT 'found', 'Post: ' || p_name[:100], 'post:' || p_partkey FROM part")
+def ud1_feed_registry(get):
+    raw = {
+        "status_list": get("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("display_name")),
+        "hospital_db": get("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("nombre")),
+        "posts": get("part").select(F.col("p_partkey").alias("post_id"), F.col("p_name").alias("autor_nombre"), F.lit("found at the hospital").alias("texto"), F.lit("hospital").alias("tipo")),
+    }
+    return feeds.normalize_all(raw).select("kind", "full_name", "source_url")
+
+
+@query("WITH s AS (SELECT b.vec_id::VARCHAR AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a, embeddings b WHERE a.vec_id = 1) SELECT id, round(s, 4) AS score FROM (SELECT *, row_number() OVER (ORDER BY s DESC, id) AS n FROM s WHERE s >= 0.1) WHERE n <= 10")
+def ud2_nearest(get):
+    from ..functions import sql
+
+    e = get("embeddings")
+    sql.register(e.sparkSession)
+    items = e.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part"))
+    asked = items.where("id = '1'").first()
+    if asked is None:
+        return items.select("id", F.lit(0.0).alias("score")).limit(0)
+    numbers = ", ".join(f"{x!r}D" for x in asked.vector)
+    near = e.sparkSession.sql(f"SELECT id, score FROM nearest(TABLE(SELECT id, vector, part FROM {{items}}) PARTITION BY (part), array({numbers}), 0.1D, 10) ORDER BY score DESC, id LIMIT 10", items=items)
+    return near.select("id", F.round("score", 4).alias("score"))
+
+
+@query(f"{WR} SELECT id, round(len(full_name) / 10, 4) AS first, CASE WHEN ({_NOISE}) THEN 0 ELSE 2 END AS size FROM reports WHERE NOT ({_NOISE})")
+def ud3_featurizer(get):
+    """A featurizer of the caller's own in place of the built-in one."""
+
+    def lengths(df):
+        return df.withColumn("vector", F.array(F.length(F.col("text")) * 0.0 + 1, F.lit(1.0)))
+
+    out = linking.embed_reports(get("reports"), lengths).where(F.col("text_embedding").isNotNull())
+    return out.select("id", F.round(F.length("full_name") / 10 * F.col("text_embedding")[0], 4).alias("first"), F.size("text_embedding").alias("size"))
+
+
+def _file_stream(batch):
+    """A table's file as a stream."""
+    at, name = batch.inputFiles()[0].rsplit("/", 1)
+    return batch.sparkSession.readStream.schema(batch.schema).option("pathGlobFilter", name).parquet(at)
+
+
+def _streamed(get, table: str, stream, mode: str = "append"):
+    """What a stream over one of the tables gives once it has read it, by way of the checkpoint folder."""
+    batch = get(table)
+    spark = batch.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder = shared_folder(spark)
+    rows = stream(_file_stream(batch))
+    q = rows.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
+def _stream_messages(e):
+    name = F.expr("case when event_type = 'click' then 'Maria Perez' when event_type = 'view' then 'Carlos Perez' when event_type = 'signup' then 'Maria Perez Gomez' end")
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("phone"), F.col("ts").cast("timestamp").alias("ts"), name.alias("name"), F.expr("case when event_type = 'purchase' then 'missing' end").alias("kind"))
+
+
+@query("SELECT DISTINCT event_id // 2 AS id FROM events")
+def sm1_dedupe_stream(get):
+    from ..streaming import streams
+
+    return _streamed(get, "events", lambda e: streams.dedupe_stream(_stream_messages(e).withColumn("id", F.floor(F.col("id") / 2))).select("id"))
+
+
+@query(
+    f"""WITH {_E}, n AS (SELECT *, epoch_us(events.ts) AS us, CASE WHEN e.event_type IN ('click', 'signup') THEN 'm' WHEN e.event_type = 'view' THEN 'c' END AS who FROM e JOIN events ON event_id = id),
+ b AS (SELECT *, last_value(who IGNORE NULLS) OVER (PARTITION BY phone ORDER BY us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM n) SELECT id, phone, row_number() OVER (PARTITION BY phone ORDER BY us, id) AS n, sum(coalesce((who <> last)::INT, 0)) OVER (PARTITION BY phone ORDER BY us, id ROWS UNBOUNDED PRECEDING)::BIGINT AS person FROM b"""
+)
+def sm3_session_stream(get):
+    from ..streaming import streams
+
+    return _streamed(get, "events", lambda e: streams.session_stream(_stream_messages(e))).select("id", "phone", "n", "person")
+
+
+@query("SELECT event_id AS id FROM events")
+def sm6_ingest_and_sweep(get):
+    """What the stream has, with a third of the events left out of it, and what the sweep adds."""
+    from ..streaming import streams
+
+    came = _streamed(get, "events", lambda e: e.where("event_id % 3 <> 0"))
+    e = get("events")
+    return came.select(F.col("event_id").alias("id")).unionByName(streams.sweep(e.sparkSession, e.inputFiles()[0], e.schema, came.inputFiles()[0].rsplit("/", 1)[0], "event_id").select(F.col("event_id").alias("id")))
+
+
+@query("SELECT o_orderkey AS missing_id, c_custkey AS found_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey < 5")
+def sm7_linked_batches(get):
+    from ..streaming import streams
+
+    orders, people = get("orders"), get("customer").where("c_nationkey < 5")
+    spark = orders.sparkSession
+    folder = shared_folder(spark)
+    new = _file_stream(orders).select("o_orderkey", "o_custkey")
+    link = lambda batch, known: batch.join(known, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("missing_id"), F.col("c_custkey").alias("found_id"))
+    streams.link_micro_batches(new, f"{folder}/new", f"{folder}/links", f"{folder}/state", lambda: people, link).awaitTermination()
+    return spark.read.parquet(f"{folder}/links").select("missing_id", "found_id")

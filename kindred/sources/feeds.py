@@ -64,13 +64,13 @@ def _named(name: Column, key: Column | None = None, least: int = 3) -> Column:
 
 
 def sheet(df: DataFrame, source: str = "hospital_sheet") -> DataFrame:
-    """NM1, of rows as SC6 gives them: tab, name, age, id, phone, addr, obs."""
+    """NM1, of rows as SC6 gives them: tab, title, name, age, id, phone, addr, obs. The place is the title, else the tab."""
     v = _fields(df)
     name = v("name")
     digits = text.id_digits(v("id"))
     key = F.concat(F.substring(deaccent(v("tab")), 1, 24), F.lit(":"), F.coalesce(F.nullif(F.regexp_replace(F.coalesce(v("id"), F.lit("")), "\\D", ""), F.lit("")), F.substring(deaccent(name), 1, 28)))
     ok = _named(name) & ~deaccent(name).isin("n", "nombre", "total")
-    return _report(df, ok, kind="found", full_name=name, age=text.parse_age(v("age")), last_seen_location=v("tab"), distinguishing_marks=joined_marks(labelled("CI: ", digits), v("obs"), labelled("Dir: ", v("addr"))), person_state=_state(v("obs")), source=source, source_url=F.concat(F.lit(f"{source}:"), key))
+    return _report(df, ok, kind="found", full_name=name, age=text.parse_age(v("age")), last_seen_location=F.coalesce(v("title"), v("tab")), distinguishing_marks=joined_marks(labelled("CI: ", digits), v("obs"), labelled("Dir: ", v("addr")), most=480), person_state=_state(v("obs")), source=source, source_url=F.concat(F.lit(f"{source}:"), key))
 
 
 def hospital_api(df: DataFrame, source: str = "hospital_api") -> DataFrame:
@@ -122,21 +122,42 @@ def located_list(df: DataFrame, source: str = "located_list") -> DataFrame:
     return _report(df, _named(v("nombreCompleto"), v("slug"), 1), kind="found", full_name=v("nombreCompleto"), last_seen_location=where, distinguishing_marks=marks, source=source, source_url=F.concat(F.lit(f"{source}:"), v("slug")))
 
 
-#: States of the status feed that count as found, and labels put before marks (fixed values).
-STATUS_FOUND = ("encontrado", "localizado", "a_salvo", "herido", "fallecido", "hospitalizado")
-
-
-def status_enum(df: DataFrame, source: str = "status_feed", default_place: str = "La Guaira") -> DataFrame:
-    """NM7: the kind by state, else by type; the place from building, floor and address, else coordinates; the state is put
-    before the marks, so that it survives cutting."""
+#: States of the status feed that count as found or as missing whatever the type, and the labels of states (fixed values).
+STATUS_FOUND = ("a_salvo", "evacuado_ok", "rescatado", "visto_con_vida", "herido", "fallecido")
+STATUS_MISSING = ("desaparecido",)
+STATUS_LABELS = {
+    "a_salvo": "A salvo",
+    "atrapado": "Atrapado",
+    "atrapados": "Atrapados",
+    "colapsado": "Edificio colapsado",
+    "dano_grave": "Dano grave",
+    "desaparecido": "Desaparecido",
+    "en_rescate": "En rescate",
+    "evacuado_ok": "Evacuado, a salvo",
+    "fallecido": "Fallecido",
+    "herido": "Herido",
+    "rescatado": "Rescatado",
+    "visto_con_vida": "Visto con vida",
+}
+
+
+def status_enum(df: DataFrame, source: str = "status_feed", region: str = "La Guaira") -> DataFrame:
+    """NM7: the kind by state, where the state tells it, else by type; the place from building, floor and address within
+    the region, else its coordinates; the state's label is put before marks that don't hold it, so that it survives
+    cutting."""
     v = _fields(df)
-    state = F.lower(v("estado"))
-    kind = F.when(state.isin(*STATUS_FOUND), "found").when(state.isNotNull() & (state != "desconocido"), "missing").when(F.lower(v("tipo")) == "busco", "missing").otherwise("found")
-    written = F.nullif(F.concat_ws(", ", labelled("Edif. ", v("edificio")), labelled("Piso ", v("piso")), v("direccion")), F.lit(""))
+    state, told = F.lower(v("estado")), F.coalesce(field(df, "descripcion"), F.lit(""))
+    kind = F.when(state.isin(*STATUS_FOUND), "found").when(state.isin(*STATUS_MISSING) | (F.lower(v("tipo")) == "busco"), "missing").otherwise("found")
+    floor = F.when(~v("piso").isin("None", "null", "0"), v("piso"))
+    building = F.concat(v("edificio"), F.coalesce(F.concat(F.lit(", Piso "), floor), F.lit("")))
+    written = F.nullif(F.concat_ws(", ", building, v("direccion")), F.lit(""))
     lat, lng = v("lat").try_cast("double"), v("lng").try_cast("double")
-    place = F.coalesce(written, F.when(lat.isNotNull() & lng.isNotNull(), F.format_string("%.5f,%.5f", lat, lng)), F.lit(default_place))
-    marks = joined_marks(labelled("Estado: ", F.when(state != "desconocido", state)), v("descripcion"), most=480)
-    return _report(df, _named(v("nombre"), v("id")), kind=kind, full_name=v("nombre"), age=age_of(v("edad"), 129), last_seen_location=place, distinguishing_marks=marks, source=source, source_url=F.concat(F.lit(f"{source}:"), v("id")))
+    at = F.when(lat.isNotNull() & lng.isNotNull(), F.format_string(f"{region.replace('%', '%%')} (%.5f, %.5f)", lat, lng))
+    place = F.coalesce(F.concat(written, F.lit(f", {region}")), at, F.lit(region))
+    label = F.lit(None).cast("string")
+    for name, said in STATUS_LABELS.items():
+        label = F.when((state == name) & ~F.lower(told).contains(said.lower()), said).otherwise(label)
+    return _report(df, _named(v("nombre"), v("id"), 1), kind=kind, full_name=v("nombre"), age=age_of(v("edad"), 129), last_seen_location=place, distinguishing_marks=joined_marks(labelled("Estado: ", label), told), source=source, source_url=F.concat(F.lit(f"{source}:"), v("id")))
 
 
 def status_list(df: DataFrame, source: str = "status_list") -> DataFrame:

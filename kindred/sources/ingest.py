@@ -44,14 +44,19 @@ def canonical_header(headers: list[str], synonyms: dict[str, tuple[str, ...]]) -
 
 def read_csv_canonical(spark: SparkSession, path: str, synonyms: dict[str, tuple[str, ...]], required: str = "nombre") -> DataFrame:
     """SC5: a CSV file's known columns under canonical names; rows without the required one drop out."""
-    raw = spark.read.csv(path, header=True)
+    return canonical_columns(spark.read.csv(path, header=True), synonyms, required)
+
+
+def canonical_columns(raw: DataFrame, synonyms: dict[str, tuple[str, ...]], required: str = "nombre") -> DataFrame:
+    """SC5, of rows that have been read already."""
     known = canonical_header(raw.columns, synonyms)
     return raw.select(*(F.col(f"`{h}`").alias(c) for c, h in known.items())).where(F.coalesce(F.trim(required), F.lit("")) != "")
 
 
 def read_sheet_rows(cells: DataFrame, synonyms: dict[str, tuple[str, ...]], skip: tuple[str, ...] = (), key: str = "name") -> DataFrame:
     """SC6: rows of tabs from a long table (tab, row, col, value): the header is the first of a tab's first six rows that
-    names the key column; the cells below it go under canonical names, and the last row of each key in a tab counts."""
+    names the key column; the cells below it go under canonical names, and the last row of each key in a tab counts. title
+    is the text that a tab's first or else second row begins with, if it has over three letters and is no search field."""
     c = cells.where(~F.col("tab").isin(*skip)) if skip else cells
     folded = F.trim(deaccent(F.col("value")))
     name = F.lit(None).cast("string")
@@ -65,6 +70,8 @@ def read_sheet_rows(cells: DataFrame, synonyms: dict[str, tuple[str, ...]], skip
     columns = heads.join(header, "tab").where("row = head").groupBy("tab", "field").agg(F.min("col").alias("col"), F.first("head").alias("head"))
     below = c.join(columns, ["tab", "col"]).where("row > head")
     rows = below.groupBy("tab", "row").pivot("field", list(synonyms)).agg(F.first("value"))
+    top = c.where("row < 2 and col = 0").where((F.length(F.trim("value")) > 3) & ~deaccent(F.col("value")).contains("buscar"))
+    rows = rows.join(top.groupBy("tab").agg(F.min_by(F.trim("value"), "row").alias("title")), "tab", "left")
     last = W.partitionBy("tab", key).orderBy(F.col("row").desc())
     return rows.where(F.coalesce(F.trim(key), F.lit("")) != "").withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
@@ -97,12 +104,15 @@ def extract_pipe_rows(texts: DataFrame, column: str = "text") -> DataFrame:
 
 
 def extract_cards(pages: DataFrame, html: str = "html") -> DataFrame:
-    """SC9: doc, name and a map of folded labels to values of cards: <h3>name</h3> and <b>label:</b> value pairs."""
+    """SC9: doc, name and a map of folded labels to values of cards: <h3>name</h3> and <b>label:</b> value pairs. A label
+    that a card repeats keeps its first value."""
     cards = pages.select("doc", F.posexplode(F.regexp_extract_all(html, F.lit("(?is)(<h3\\b.*?)(?=<h3\\b|$)"))).alias("card", "h"))
     name = F.trim(F.regexp_extract("h", "(?is)<h3\\b[^>]*>(.*?)</h3>", 1))
     pairs = F.arrays_zip(*(F.regexp_extract_all("h", F.lit("(?is)<b>\\s*([^<:]+):?\\s*</b>\\s*([^<]*)"), F.lit(i)).alias(n) for i, n in ((1, "k"), (2, "v"))))
-    fields = F.map_from_entries(F.filter(F.transform(pairs, lambda p: F.struct(F.trim(deaccent(p["k"])), F.trim(p["v"]))), lambda p: p["col1"] != ""))
-    return cards.select("doc", "card", name.alias("name"), fields.alias("fields"))
+    pairs = F.filter(F.transform(pairs, lambda p: F.struct(F.trim(deaccent(p["k"])).alias("k"), F.trim(p["v"]).alias("v"))), lambda p: p["k"] != "")
+    cards = cards.select("doc", "card", name.alias("name"), pairs.alias("pairs"))
+    first = F.filter("pairs", lambda p, i: F.array_position(F.col("pairs.k"), p["k"]) == i + 1)
+    return cards.select("doc", "card", "name", F.map_from_entries(first).alias("fields"))
 
 
 def deref_array(df: DataFrame, key: str, column: str, keys: tuple[str, ...]) -> DataFrame:

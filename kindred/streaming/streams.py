@@ -7,15 +7,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..operators.sessions import next_person
+
 WATERMARK = "10 minutes"
 
 
 def read_events(spark, folder: str, schema, max_files: int | None = None) -> DataFrame:
-    """SM6, SC3: a folder of Parquet files as a stream, ts as a timestamp."""
+    """SM6, SC3: a folder of Parquet files as a stream, ts as a timestamp: what comes in continuously."""
     r = spark.readStream.schema(schema)
     return (r.option("maxFilesPerTrigger", max_files) if max_files else r).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def ingest(stream: DataFrame, target_path: str, checkpoint: str, every: str | None = "5 minutes"):
+    """SM6: the running query that appends what comes in to Parquet, at that interval, or, without one, all that has come in
+    by now and then ends."""
+    writer = stream.writeStream.format("parquet").outputMode("append").option("path", target_path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def sweep(spark, folder: str, schema, target_path: str, key: str = "id", ts: str = "ts") -> DataFrame:
+    """SM6: the full sweep beside continuous ingest, to be run at a longer interval: the rows of the whole folder that the
+    target lacks, each key's latest once. What the stream has missed comes in so, and what it has is left alone."""
+    every = spark.read.schema(schema).parquet(folder)
+    latest = every.groupBy(key).agg(F.max_by(F.struct(*every.columns), F.col(ts)).alias("_r")).select("_r.*")
+    return latest.join(spark.read.schema(schema).parquet(target_path).select(key), key, "left_anti")
+
+
 def dedupe_stream(df: DataFrame, key: str = "id", ts: str = "ts", ttl: str = "60 seconds") -> DataFrame:
     """SM1: the first message of each id within the time that the watermark keeps it."""
     return df.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
@@ -28,68 +45,88 @@ def burst_stream(df: DataFrame, key: str = "phone", ts: str = "ts", gap: str = "
     return rows.select(key, F.col("burst.start").alias("begins"), F.col("burst.end").alias("ends"), "n", F.transform(F.slice("_e", 1, most), lambda e: e["id"]).alias("ids"))
 
 
-class RateLimit(StatefulProcessor):
+def _in_order(rows, columns: list[str]) -> pd.DataFrame:
+    """A key's rows of a micro-batch, which come in several chunks, in one order."""
+    return pd.concat([pdf[columns] for pdf in rows]).sort_values(["ts", "id"])
+
+
+class Forgetting(StatefulProcessor):
+    """A processor whose state for a key, self.state, goes when the watermark is ttl_s past the key's last event."""
+
+    ttl_s: float
+
+    def _keep(self, pdf: pd.DataFrame) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(int(1000 * (pdf["ts"].max().timestamp() + self.ttl_s)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+class RateLimit(Forgetting):
     """SM2: the times of a key's accepted events, at most n of them, are its state."""
 
-    def __init__(self, n: int, window_s: float):
-        self.n, self.window_s = n, window_s
+    def __init__(self, n: int, window_s: float, key: str, ttl_s: float):
+        self.n, self.window_s, self.key, self.ttl_s = n, window_s, key, ttl_s
 
     def init(self, handle) -> None:
-        self.times = handle.getValueState("times", "t array<double>")
+        self.handle, self.state = handle, handle.getValueState("times", "t array<double>")
 
     def handleInputRows(self, key, rows, timerValues):
-        held = list(self.times.get()[0]) if self.times.exists() else []
-        for pdf in rows:
-            pdf = pdf.sort_values(["ts", "id"])
-            ok = []
-            for t in pdf["ts"].map(lambda x: x.timestamp()):
-                held = [x for x in held if t - x <= self.window_s]
-                ok.append(len(held) < self.n)
-                if ok[-1]:
-                    held.append(t)
-            yield pd.DataFrame({"phone": [str(key[0])] * len(pdf), "id": pdf["id"].to_numpy(), "accepted": ok})
-        self.times.update((held,))
+        held = list(self.state.get()[0]) if self.state.exists() else []
+        pdf, ok = _in_order(rows, ["ts", "id"]), []
+        for t in pdf["ts"].map(lambda x: x.timestamp()):
+            held = [x for x in held if t - x <= self.window_s]
+            ok.append(len(held) < self.n)
+            if ok[-1]:
+                held.append(t)
+        self.state.update((held,))
+        self._keep(pdf)
+        yield pd.DataFrame({self.key: [str(key[0])] * len(pdf), "id": pdf["id"].to_numpy(), "accepted": ok})
 
-    def close(self) -> None:
-        pass
 
+def rate_limit_stream(df: DataFrame, n: int = 20, window_s: float = 60.0, key: str = "phone") -> DataFrame:
+    """SM2: (key, id, accepted) of a stream with the key, id and ts. A key is forgotten when the watermark has passed its
+    window; events behind the watermark drop out. Needs the RocksDB state store."""
+    timed = df.withWatermark("ts", WATERMARK)
+    return timed.groupBy(key).transformWithStateInPandas(RateLimit(n, window_s, key, window_s), f"`{key}` string, id long, accepted boolean", "Append", "EventTime")
 
-def rate_limit_stream(df: DataFrame, n: int = 20, window_s: float = 60.0) -> DataFrame:
-    """SM2: (phone, id, accepted) of a stream with phone, id and ts. Needs the RocksDB state store."""
-    return df.groupBy("phone").transformWithStateInPandas(RateLimit(n, window_s), "phone string, id long, accepted boolean", "Append", "None")
 
+class Session(Forgetting):
+    """SM3, SM4, SM9: what a key's conversation has collected: last value of each field, messages so far, person number."""
 
-class Session(StatefulProcessor):
-    """SM3, SM9: what a key's conversation has collected: last value of each field, messages so far, person number."""
+    def __init__(self, key: str, ttl_s: float):
+        self.key, self.ttl_s = key, ttl_s
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("session", "n long, name string, kind string, person long")
+        self.handle, self.state = handle, handle.getValueState("session", "n long, name string, kind string, person long")
 
     def handleInputRows(self, key, rows, timerValues):
-        from ..functions.fuzzy import one_person
-
         n, name, kind, person = self.state.get() if self.state.exists() else (0, None, None, 0)
-        out = []
-        for pdf in rows:
-            for r in pdf.sort_values(["ts", "id"]).itertuples():
-                n += 1
-                if isinstance(r.name, str) and r.name.strip():
-                    if name is not None and not one_person(name, r.name):
-                        person, kind = person + 1, None
-                    name = r.name
-                if isinstance(r.kind, str) and r.kind:
-                    kind = r.kind
-                out.append((str(key[0]), int(r.id), n, name, kind, person))
+        pdf, out = _in_order(rows, ["ts", "id", "name", "kind"]), []
+        for r in pdf.itertuples():
+            n += 1
+            name, now = next_person(name, person, r.name)
+            if now != person:
+                person, kind = now, None
+            if isinstance(r.kind, str) and r.kind:
+                kind = r.kind
+            out.append((str(key[0]), int(r.id), n, name, kind, person))
         self.state.update((n, name, kind, person))
-        yield pd.DataFrame(out, columns=["phone", "id", "n", "name", "kind", "person"])
-
-    def close(self) -> None:
-        pass
+        self._keep(pdf)
+        yield pd.DataFrame(out, columns=[self.key, "id", "n", "name", "kind", "person"])
 
 
-def session_stream(df: DataFrame) -> DataFrame:
-    """SM3: (phone, id, n, name, kind, person) after each message. Needs the RocksDB state store."""
-    return df.groupBy("phone").transformWithStateInPandas(Session(), "phone string, id long, n long, name string, kind string, person long", "Append", "None")
+def session_stream(df: DataFrame, key: str = "phone", ttl_s: float = 7 * 86400.0) -> DataFrame:
+    """SM3: (key, id, n, name, kind, person) after each message. A key that is silent for ttl_s, by the watermark, begins
+    anew; messages behind the watermark drop out. Needs the RocksDB state store."""
+    timed = df.withWatermark("ts", WATERMARK)
+    return timed.groupBy(key).transformWithStateInPandas(Session(key, ttl_s), f"`{key}` string, id long, n long, name string, kind string, person long", "Append", "EventTime")
 
 
 def link_micro_batches(stream: DataFrame, target_path: str, link_path: str, checkpoint: str, corpus, link):
