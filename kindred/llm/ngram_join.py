@@ -9,12 +9,14 @@ d <= n * (100 - p) / p. The sketch is cut into blocks, their number fixed for ea
 being the largest such d in the band. At most D blocks of two linked sets differ, so s + 1 blocks or more agree
 (pigeonhole). Each block is joined by the XOR of its shingles' hashes. Empty blocks say nothing; s is a little more than
 the number of them to expect, and a set with more than s empty blocks joins by its empty blocks as well, so no link is
-lost. A set joins in its own band, and in the next smaller one if a set of that band can reach it.
+lost. A set joins in its own band, and in each smaller one that has a set which the limit can reach.
 
 Candidates pass a second parity sketch (512 bits, the Hamming bound again), then an exact comparison of the texts'
 shingles. A block shared by many sets is not expanded into pairs: its members are compared with its first member, linked
 sets are contracted to components, then each set is compared with its nearest of another component, and at last all pairs
-still across components are. Blocks of more than TILE members are compared tile by tile.
+still across components are. Blocks of more than TILE members are compared tile by tile. What three or more sets of a
+task's batch share is compared and listed there, and only the first of them goes on to meet those of other batches, so a
+block that a third of all sets share reaches its task once a batch.
 """
 
 from __future__ import annotations
@@ -26,9 +28,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from ._graph import checkpointed, components
+from ._graph import Scratch, checkpointed, components
 from ._words import grouped_sum, mix, shingle_sets, short_batches, slices, text_buffer, words
 
 TILE = 2048
@@ -37,10 +38,14 @@ PART_ROWS = 200_000
 #: Keys that one task holds at a time.
 GROUP_KEYS = 1_000_000
 SKETCH_BITS = 512
+#: Pairs or members that one row of packed arrays holds.
+ROW_ENTRIES = 16_384
 
 
 def bands(percent: int, largest: int = 1 << 40) -> list[tuple[int, int, int, int]]:
     """(smallest size, largest size, blocks, s) of each band of set sizes; sets that can't differ have none."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent is {percent}, not between 1 and 100")
     out, lo = [], 1
     while lo < largest:
         hi = max(lo, lo * 4 // 3)
@@ -88,10 +93,13 @@ def block_keys(h: np.ndarray, cut: np.ndarray, n: np.ndarray, cls: np.ndarray, p
     own = np.searchsorted(lows, n, "right") - 1
     token = mix(h, 16)
     keys, owners = [], []
-    below = np.zeros(len(n), bool)
-    has = own > 0
-    below[has] = n[has] * percent <= 100 * np.array([b[1] for b in plan])[own[has] - 1]
-    for shift, chosen in ((0, (own >= 0) & (n > 0)), (1, below & (n > 0))):
+    highs = np.array([b[1] for b in plan])
+    for shift in range(len(plan)):
+        chosen = (n > 0) & (own >= shift)
+        if shift:
+            chosen[chosen] = n[chosen] * percent <= 100 * highs[own[chosen] - shift]
+        if not chosen.any():
+            break
         for band in np.unique(own[chosen]):
             rows = np.flatnonzero(chosen & (own == band))
             _, _, blocks, spare = plan[band - shift]
@@ -121,8 +129,9 @@ def take_range(row: np.ndarray, r: int) -> slice:
 
 
 def _candidates(docs: DataFrame, k: int, percent: int, groups: int) -> DataFrame:
-    """For each group of keys: the pairs of a block's first class with its others, and the blocks of three or more."""
-    plan = bands(percent)
+    """Packed arrays: pairs (a, b) of a block's first class with its others, and members (keys, owners) of blocks of three
+    or more."""
+    plan, spread = bands(percent), 4 * groups + 16
 
     def emit(batches):
         held, size = [], 0
@@ -142,45 +151,79 @@ def _candidates(docs: DataFrame, k: int, percent: int, groups: int) -> DataFrame
 
     def packed(held):
         key, owner = (np.concatenate(x) for x in zip(*held, strict=True))
-        group = ((key >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
+        key, owner = _distinct(key, owner)
+        cut, n = _runs(key)
+        wide = np.repeat(n > 2, n)
+        lead = np.repeat(owner[cut[:-1]], n)
+        other = wide & (owner != lead)
+        turn = int(owner[0]) if len(owner) else 0
+        # what the batch decides passes through the groups' exchange in parts of its own
+        out = [(-1 - (turn + i) % spread, b"", b"", b"", *row) for i, row in enumerate(_rows_of(lead[other], owner[other], key[wide], owner[wide]))]
+        sent = ~wide
+        sent[cut[:-1]] = True
+        key, owner, more = key[sent], owner[sent], wide[sent]
+        group = (((key >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(group, kind="stable")
-        key, owner, group = key[order], owner[order], group[order]
-        cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else np.zeros(1, int)
-        spans = list(zip(cut[:-1], cut[1:], strict=True))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([int(group[a]) for a, _ in spans], pa.int64()), pa.array([key[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in spans], pa.binary())],
-            ["part", "keys", "owners"],
-        )
+        key, owner, more, group = key[order], owner[order], more[order], group[order]
+        cut, n = _runs(group)
+        out += [(int(group[a]), key[a:b].tobytes(), owner[a:b].tobytes(), more[a:b].tobytes(), b"", b"", b"", b"") for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        columns = list(zip(*out, strict=True)) if out else [()] * 8
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "key", "owner", "more", *PACKED])
 
     def meet(table: pa.Table) -> pa.Table:
-        key = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")])
-        cls = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("owners")])
+        if table.column("part")[0].as_py() < 0:
+            return table.select(PACKED)
+        key, cls, more = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)]) for c, t in (("key", np.uint64), ("owner", np.int64), ("more", bool)))
         order = np.lexsort((cls, key))
-        key, cls = key[order], cls[order]
-        keep = np.ones(len(key), bool)
-        keep[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls = key[keep], cls[keep]
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        n = np.diff(cut)
+        key, cls, more = key[order], cls[order], more[order]
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]))
+        key, cls, more = key[new], cls[new], np.logical_or.reduceat(more, new)
+        cut, n = _runs(key)
         lead = np.repeat(cls[cut[:-1]], n)
         other = cls != lead
         pair = np.unique(np.stack([lead[other], cls[other]], 1), axis=0)
-        wide = np.repeat(n > 2, n)
-        return pa.table({"a": [pair[:, 0].tobytes()], "b": [pair[:, 1].tobytes()], "keys": [key[wide].tobytes()], "owners": [cls[wide].tobytes()]})
+        # a class with more of its batch behind it is listed there
+        wide = np.repeat((n > 1) & (n + np.add.reduceat(more.astype(np.int64), cut[:-1]) > 2), n) & ~more
+        rows = list(_rows_of(pair[:, 0], pair[:, 1], key[wide], cls[wide]))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        return pa.Table.from_arrays([pa.array(c, pa.binary()) for c in columns], PACKED)
 
-    blobs = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, "part long, keys binary, owners binary")
+    blobs = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, "part long, key binary, owner binary, more binary, a binary, b binary, keys binary, owners binary")
     return blobs.groupBy("part").applyInArrow(meet, "a binary, b binary, keys binary, owners binary")
 
 
+PACKED = ["a", "b", "keys", "owners"]
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, with the end; and their lengths."""
+    cut = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
+    return cut, np.diff(cut)
+
+
+def _distinct(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    keep = np.ones(len(key), bool)
+    keep[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    return key[keep], owner[keep]
+
+
+def _rows_of(a: np.ndarray, b: np.ndarray, key: np.ndarray, owner: np.ndarray) -> Iterator[tuple[bytes, bytes, bytes, bytes]]:
+    for at in range(0, len(a), ROW_ENTRIES):
+        yield a[at : at + ROW_ENTRIES].tobytes(), b[at : at + ROW_ENTRIES].tobytes(), b"", b""
+    for at in range(0, len(key), ROW_ENTRIES):
+        yield b"", b"", key[at : at + ROW_ENTRIES].tobytes(), owner[at : at + ROW_ENTRIES].tobytes()
+
+
 def _unpacked(blobs: DataFrame, x: str, y: str, names: str) -> DataFrame:
     first, second = names.split()
 
     def unpack(batches):
         for batch in batches:
             for p, q in zip(batch.column(0), batch.column(1), strict=True):
-                p, q = np.frombuffer(p.as_py(), np.int64), np.frombuffer(q.as_py(), np.int64)
-                for at in range(0, len(p), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(p[at : at + 100_000]), pa.array(q[at : at + 100_000])], [first, second])
+                if p.as_py():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64)) for x in (p, q)], [first, second])
 
     return blobs.select(x, y).mapInArrow(unpack, f"{first} long, {second} long")
 
@@ -271,57 +314,68 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     Words are runs other than space and 09-0D, with A-Z lower-cased; a text of fewer than k words, but not none, has its
     whole sequence as one shingle. Null, empty and blank texts have no shingles and link with nothing. Rows that share a
     doc_id are one document: they link, and one row is returned, with the largest of their set sizes. Rows without a
-    doc_id are left out. Other columns of docs are ignored. An empty table gives an empty result.
+    doc_id are left out. Other columns of docs are ignored. An empty table gives an empty result. percent is 1 to 100; the
+    number of join keys is about a set's size times (100 - percent) / percent. Tables between the steps are written to the
+    checkpoint folder and deleted.
     """
     docs = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    signed = checkpointed(signatures(docs, k))
-    # a class is a set of shingles; cls names it, two classes of one name only share their candidates
-    classes = checkpointed(
-        signed.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    )
-    total = signed.agg(F.sum("n_shingles")).first()[0] or 0
-    groups = max(1, int(total * 1.7 * (100 - percent) / percent) // GROUP_KEYS)
-    found = checkpointed(_candidates(docs, k, percent, groups))
-    names = classes.select(F.col("fp1").alias("cls"), "rep", "n_shingles", "sketch")
-    stars = _unpacked(found, "a", "b", "a b").distinct()
-    wide = _unpacked(found, "keys", "owners", "key cls")
-
-    def rename(df, col, to):
-        x = names.select(F.col("cls").alias(col), F.col("rep").alias(to), F.col("n_shingles").alias(f"n_{to}"), F.col("sketch").alias(f"s_{to}"))
-        return df.join(x, col)
-
-    def bits(x, y):
-        return sum(F.bit_count(F.conv(F.hex(F.substring(x, i, 4)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring(y, i, 4)), 16, 10).cast("long"))) for i in range(1, SKETCH_BITS // 8, 4))
-
-    near = rename(rename(stars, "a", "ra"), "b", "rb").where("100 * least(n_ra, n_rb) >= " + str(percent) + " * greatest(n_ra, n_rb)")
-    near = checkpointed(near.where(bits(F.col("s_ra"), F.col("s_rb")) * (100 + percent) <= (100 - percent) * (F.col("n_ra") + F.col("n_rb"))).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b").distinct())
-    members = checkpointed(wide.join(names.select("cls", "rep"), "cls").select("key", F.col("rep").alias("cls")))
-    wanted = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).unionByName(members.select(F.col("cls").alias("doc_id"))).distinct()
-
-    def pack(batches):
-        squeeze = zstandard.ZstdCompressor(1).compress
-        for batch in batches:
-            data, off = text_buffer(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(data[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["cls", "packed"])
-
-    texts = checkpointed(docs.mapInArrow(pack, "cls long, packed binary").join(wanted.withColumnRenamed("doc_id", "cls"), "cls", "left_semi").dropDuplicates(["cls"]))
-    links = checkpointed(_verified(near, texts, k, percent))
-    sketches = names.select(F.col("rep").alias("cls"), "n_shingles", "sketch")
-    block = W.partitionBy("key")
-    for best in (True, True, False):
-        comp = components(links)
-        placed = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component"))
-        # a block within one component stays so
-        seen = placed.select("*", F.count("*").over(block).alias("held"), F.min("component").over(block).alias("lo"), F.max("component").over(block).alias("hi"))
-        open_ = checkpointed(seen.where("lo < hi").drop("lo", "hi"))
-        more = checkpointed(_across(open_, sketches, percent, best))
-        if more.isEmpty():
-            break
-        members = open_.select("key", "cls")
-        links = checkpointed(links.unionByName(_verified(more, texts, k, percent)))
-    # rows that share a doc_id but not a text are one document
-    same = signed.where("n_shingles > 0").join(classes.select("fp1", "fp2", "rep"), ["fp1", "fp2"]).select("doc_id", "rep")
-    return _labelled(signed, same, links)
+    bands(percent)
+    with Scratch(docs) as scratch:
+        signed = scratch.hold(signatures(docs, k))
+        # a class is a set of shingles; cls names it, two classes of one name only share their candidates
+        classes = signed.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        classes = scratch.hold(classes)
+        total = signed.agg(F.sum("n_shingles")).first()[0] or 0
+        groups = max(1, int(total * 1.7 * (100 - percent) / percent) // GROUP_KEYS)
+        found = scratch.hold(_candidates(docs, k, percent, groups))
+        names = classes.select(F.col("fp1").alias("cls"), "rep", "n_shingles", "sketch")
+        stars = _unpacked(found, "a", "b", "a b").distinct()
+        wide = _unpacked(found, "keys", "owners", "key cls")
+
+        def rename(df, col, to):
+            x = names.select(F.col("cls").alias(col), F.col("rep").alias(to), F.col("n_shingles").alias(f"n_{to}"), F.col("sketch").alias(f"s_{to}"))
+            return df.join(x, col)
+
+        def bits(x, y):
+            return sum(F.bit_count(F.conv(F.hex(F.substring(x, i, 4)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring(y, i, 4)), 16, 10).cast("long"))) for i in range(1, SKETCH_BITS // 8, 4))
+
+        near = rename(rename(stars, "a", "ra"), "b", "rb").where("100 * least(n_ra, n_rb) >= " + str(percent) + " * greatest(n_ra, n_rb)")
+        near = near.where(bits(F.col("s_ra"), F.col("s_rb")) * (100 + percent) <= (100 - percent) * (F.col("n_ra") + F.col("n_rb")))
+        near = scratch.hold(near.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b").distinct())
+        members = scratch.hold(wide.join(names.select("cls", "rep"), "cls").select("key", F.col("rep").alias("cls")).distinct())
+        scratch.drop(found)
+        wanted = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).unionByName(members.select("cls")).distinct()
+
+        def pack(batches):
+            squeeze = zstandard.ZstdCompressor(1).compress
+            for batch in batches:
+                data, off = text_buffer(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(data[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["cls", "packed"])
+
+        # of rows that share a doc_id one is taken, before texts are packed and dealt out
+        texts = scratch.hold(docs.withColumnRenamed("doc_id", "cls").join(wanted, "cls", "left_semi").mapInArrow(pack, "cls long, packed binary").dropDuplicates(["cls"]))
+        links = scratch.hold(_verified(near, texts, k, percent))
+        scratch.drop(near)
+        sketches = names.select(F.col("rep").alias("cls"), "n_shingles", "sketch")
+        for best in (True, True, False):
+            comp = components(links)
+            placed = members.select("key", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component"))
+            # a block within one component stays so; under a key of their own the blocks' counts are dealt anew, so that
+            # Spark can split a block that many sets share
+            several = placed.groupBy("key").agg(F.count("*").alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+            several = several.select((F.col("key") + F.lit(0)).alias("block"), "held")
+            open_ = scratch.hold(placed.join(several, F.col("key") == F.col("block")).drop("block"))
+            more = scratch.hold(_across(open_, sketches, percent, best))
+            scratch.drop(members)
+            if more.isEmpty():
+                break
+            members = open_
+            new = scratch.hold(links.unionByName(_verified(more, texts, k, percent)))
+            scratch.drop(links, more)
+            links = new
+        # rows that share a doc_id but not a text are one document
+        same = signed.where("n_shingles > 0").join(classes.select("fp1", "fp2", "rep"), ["fp1", "fp2"]).select("doc_id", "rep")
+        return checkpointed(_labelled(signed, same, links))
 
 
 def _labelled(signed: DataFrame, same: DataFrame, links: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def jaccard_truth(rows, k, percent):
     return {i: (len(sets[i]), c) for i, c in components_of(sets, links).items()}
 
 
-@pytest.mark.parametrize("k, percent", [(3, 90), (5, 80)])
+@pytest.mark.parametrize("k, percent", [(3, 90), (5, 80), (2, 50)])
 def test_jaccard_components_equal_brute_force(spark, corpus, k, percent):
     from kindred.llm.ngram_join import jaccard_components
 
@@ -99,6 +99,40 @@ def test_jaccard_chain_of_near_copies_in_small_tiles(spark, monkeypatch):
     assert got == jaccard_truth(rows, 3, 80)
 
 
+@pytest.mark.parametrize("percent", [50, 60, 75, 90])
+def test_jaccard_keys_meet_at_the_limit(percent):
+    """Nested sets whose similarity is the least that links share a key, whatever bands they fall in."""
+    from kindred.llm.ngram_join import bands, block_keys
+
+    rng = np.random.default_rng(11)
+    plan = bands(percent)
+    for _ in range(60):
+        n = int(rng.integers(1, 200))
+        whole = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        part = np.sort(rng.choice(whole, -(-len(whole) * percent // 100), replace=False))
+        keys, owner = block_keys(np.concatenate([part, whole]), np.array([0, len(part), len(part) + len(whole)]), np.array([len(part), len(whole)]), np.array([0, 1]), plan, percent)
+        if len(part) < len(whole):
+            assert set(keys[owner == 0]) & set(keys[owner == 1])
+    with pytest.raises(ValueError):
+        bands(0)
+
+
+def test_jaccard_blocks_shared_by_many(spark):
+    """Copies and near copies of one text over many batches: what a batch decides and what goes on make one whole."""
+    from kindred.llm.ngram_join import jaccard_components
+
+    rng = np.random.default_rng(13)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for j in rng.integers(0, 80, i % 4):
+            w[j] = f"x{rng.integers(6)}"
+        rows.append((i, " ".join(w), "en", "s"))
+    df = table(spark, rows).repartition(7)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, 3, 80).collect()} == jaccard_truth(rows, 3, 80)
+
+
 def test_jaccard_rows_that_share_a_doc_id(spark):
     from kindred.llm.ngram_join import jaccard_components
 
@@ -273,6 +307,25 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch, tile):
     assert got == {i: (n, c, i == c) for i, (n, c) in cosine_truth(scaled, 0.93).items()}
 
 
+def test_embedding_copies_are_folded(spark):
+    from kindred.llm.embedding_dedup import merged, near_duplicates
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(3, 8))
+    rows = [(i, [float(x) for x in (base[0] if i < 60 else base[i % 3] + rng.normal(size=8) * 0.1)], 1) for i in range(90)]
+    rows += [(i, [-0.0 if j else 1.0 for j in range(8)] if i % 2 else [0.0 if j else 1.0 for j in range(8)], 2) for i in range(200, 210)] + [(200, rows[0][1], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    rows = [(r.vec_id, list(r.embedding), r.label) for r in df.collect()]
+    once = {}
+    for i, v, label in rows:
+        once[i] = min(once.get(i, (label, v)), (label, v))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicates(df, 0.93, 0.999999).collect()}
+    assert got == {i: (n, c, i == c) for i, (n, c) in cosine_truth([(i, v, label) for i, (label, v) in once.items()], 0.93).items()}
+    a, b = rng.integers(0, 200, (2, 150))
+    low = components_of(range(200), list(zip(a.tolist(), b.tolist())))
+    assert merged(np.arange(200), a, b).tolist() == [low[i] for i in range(200)]
+
+
 def test_url_rules_and_models(spark):
     from kindred.llm.queries import URL_RULES
     from kindred.llm.url_filter import judge
