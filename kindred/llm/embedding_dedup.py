@@ -3,8 +3,9 @@
 Vectors of one label meet in a bucket if the signs of their products with a table's hyperplanes agree. The tables' number
 follows from the least cosine and the wanted recall, the planes' from the number of vectors, so that a bucket stays small
 as the input grows. Pairs of a bucket are compared in double precision, tile by tile, and never written out: each vector's
-links are counted at the first table where its pair meets, and a tile hands on a spanning forest of its links. A bucket
-that holds a third of all vectors is thus many small tasks of bounded memory.
+links are counted at the first table where its pair meets, and a tile hands on a spanning forest of its links. Equal
+vectors are one class with a count from the start. A bucket that holds a third of all vectors is thus many small tasks of
+bounded memory, or, where its vectors are equal, a single row.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._graph import checkpointed, components
+from ._graph import Scratch, checkpointed, components
 
 TILE = 1024
 
@@ -38,17 +39,33 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
     least of them by label and components. Rows without vec_id are left out. Other columns are ignored; an empty table
     gives an empty result.
     """
-    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.struct(F.col("label"), F.col("embedding").cast("array<double>").alias("x")).alias("v")).where("vec_id is not null")
-    every = checkpointed(every.groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v.label", "v.x"))
-    usable = every.where(
-        "label is not null and x is not null and size(x) > 0 and forall(x, e -> e is not null and not isnan(e) and abs(e) < double('infinity')) and exists(x, e -> e <> 0)"
-    ).withColumn("label", F.col("label").cast("string"))
-    planes, tables = lsh_shape(usable.count(), cosine, recall)
+    with Scratch(vectors) as scratch:
+        return checkpointed(_labelled(vectors, cosine, recall, seed, scratch))
+
+
+def merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """root, the smallest member of each one's set, after the sets of a and b have been joined pair by pair."""
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _labelled(vectors: DataFrame, cosine: float, recall: float, seed: int, scratch: Scratch) -> DataFrame:
+    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.struct(F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("x")).alias("v")).where("vec_id is not null")
+    every = scratch.hold(every.groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v.label", "v.x"))
+    good = "coalesce(label is not null and size(x) > 0 and forall(x, e -> e is not null and not isnan(e) and abs(e) < double('infinity')) and exists(x, e -> e <> 0), false)"
+    usable = every.where(good)
+    classes = scratch.hold(usable.groupBy("label", "x").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
+    planes, tables = lsh_shape(classes.count(), cosine, recall)
 
     def sign(batches):
         normals: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids, labels, xs = batch.column(0), batch.column(1), batch.column(2)
+            xs = batch.column(2)
             size = np.diff(xs.offsets.to_numpy())
             for dim in np.unique(size):
                 rows = np.flatnonzero(size == dim)
@@ -60,34 +77,25 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
                 bits = (x @ normals[dim] > 0).reshape(len(rows), tables, planes)
                 code = bits @ (np.int64(1) << np.arange(planes, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(rows)), labels.take(pa.array(rows)), pa.array(list(x)), pa.array(list(code)), pa.array(np.full(len(rows), dim, np.int32))], ["vec_id", "label", "x", "codes", "dim"]
+                    [*(batch.column(c).take(pa.array(rows)) for c in ("vec_id", "label", "copies")), pa.array(list(x)), pa.array(list(code)), pa.array(np.full(len(rows), dim, np.int32))], ["vec_id", "label", "copies", "x", "codes", "dim"]
                 )
 
-    signed = usable.select("vec_id", "label", "x").mapInArrow(sign, "vec_id long, label string, x array<double>, codes array<long>, dim int")
-    signed = checkpointed(signed)
+    signed = scratch.hold(classes.select("vec_id", "label", "x", "copies").mapInArrow(sign, "vec_id long, label string, copies long, x array<double>, codes array<long>, dim int"))
     placed = signed.select("vec_id", "label", "dim", F.posexplode("codes").alias("turn", "code"))
     sizes = placed.groupBy("label", "dim", "turn", "code").agg(F.count("*").alias("held")).where("held > 1")
     tiled = placed.join(sizes, ["label", "dim", "turn", "code"]).withColumn("tiles", F.ceil(F.col("held") / TILE).cast("int"))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    tiled = tiled.select("vec_id", "label", "dim", "turn", "code", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile").join(signed.select("vec_id", "x", "codes"), "vec_id")
+    tiled = tiled.select("vec_id", "label", "dim", "turn", "code", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile").join(signed.select("vec_id", "copies", "x", "codes"), "vec_id")
 
     def compare(table: pa.Table) -> pa.Table:
         turn, p, q = (table.column(c)[0].as_py() for c in ("turn", "p", "q"))
-        ids, tile = table.column("vec_id").to_numpy(), table.column("tile").to_numpy()
+        ids, tile, copies = (table.column(c).to_numpy() for c in ("vec_id", "tile", "copies"))
         x = np.concatenate([c.flatten().to_numpy() for c in table.column("x").chunks]).reshape(len(ids), -1)
         codes = np.concatenate([c.flatten().to_numpy() for c in table.column("codes").chunks]).reshape(len(ids), -1)[:, :turn]
         order = np.argsort(ids)
-        ids, tile, x, codes = ids[order], tile[order], x[order], codes[order]
+        ids, tile, copies, x, codes = ids[order], tile[order], copies[order], x[order], codes[order]
         left, right = np.flatnonzero(tile == p), np.flatnonzero(tile == q)
-        links, forest = np.zeros(len(ids), np.int64), []
-        root = np.arange(len(ids))
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
+        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
         for at in range(0, len(left), 256):
             rows = left[at : at + 256]
             a, b = np.nonzero(x[rows] @ x[right].T >= cosine)
@@ -97,20 +105,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
             if turn and len(a):
                 first = ~(codes[a] == codes[b]).any(1)  # else they have met at an earlier table
                 a, b = a[first], b[first]
-            links += np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
-            for i, j in zip(a, b, strict=True):
-                i, j = find(i), find(j)
-                if i != j:
-                    root[max(i, j)] = min(i, j)
-        for i in np.flatnonzero(root != np.arange(len(ids))):
-            forest.append((ids[i], ids[find(i)]))
+            np.add.at(links, a, copies[b])
+            np.add.at(links, b, copies[a])
+            root = merged(root, a, b)
+        forest = [(ids[i], ids[root[i]]) for i in np.flatnonzero(root != np.arange(len(ids)))]
         some = np.flatnonzero(links)
         out = [(int(ids[i]), int(links[i]), None) for i in some] + [(int(i), 0, int(j)) for i, j in forest]
         v, n, to = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"vec_id": pa.array(v, pa.int64()), "links": pa.array(n, pa.int64()), "to": pa.array(to, pa.int64())})
 
-    met = checkpointed(tiled.groupBy("label", "dim", "turn", "code", "p", "q").applyInArrow(compare, "vec_id long, links long, to long"))
-    counted = met.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
+    met = scratch.hold(tiled.groupBy("label", "dim", "turn", "code", "p", "q").applyInArrow(compare, "vec_id long, links long, to long"))
+    counted = met.groupBy("vec_id").agg(F.sum("links").alias("links"))
     grouped = components(met.where("to is not null"), "vec_id", "to").withColumnRenamed("node", "vec_id")
-    out = every.select("vec_id").join(counted, "vec_id", "left").join(grouped, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    # members of a class link with one another and share its links; a class of many is split by Spark as both sides are tables
+    done = classes.join(counted, "vec_id", "left").join(grouped, "vec_id", "left")
+    done = scratch.hold(done.select("label", "x", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")))
+    linked = usable.join(done, ["label", "x"]).select("vec_id", "n_links", "component_id")
+    alone = every.where(f"not {good}").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
