@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._graph import checkpointed
+from ._graph import Scratch, checkpointed
 from ._words import mix, runs, short_batches, slices, words
 
 GRAM = 3
@@ -91,70 +91,72 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     left out. Other columns are ignored. Empty tables give an empty result or no hits.
     """
     docs = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    grams = checkpointed(item_windows(items, window))
+    with Scratch(docs) as scratch:
+        return checkpointed(_hits(docs, items, window, scratch))
 
-    def counter(wanted):
-        def count(batches):
-            total = np.zeros(len(wanted), np.int64)
-            for _, data, off in slices(batches):
-                g, _ = _found(words(data, off, lower=True, alnum=True), wanted)
-                total += np.bincount(np.searchsorted(wanted, g), minlength=len(wanted))
-            seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(wanted[seen]), pa.array(total[seen])], ["gram", "seen"])
 
-        return count
+def _counter(wanted: np.ndarray):
+    def count(batches):
+        total = np.zeros(len(wanted), np.int64)
+        for _, data, off in slices(batches):
+            g, _ = _found(words(data, off, lower=True, alnum=True), wanted)
+            total += np.bincount(np.searchsorted(wanted, g), minlength=len(wanted))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(wanted[seen]), pa.array(total[seen])], ["gram", "seen"])
 
+    return count
+
+
+def _scanner(wanted: np.ndarray, window: int, summary: bool):
+    """A row for each wanted gram of a text, with the words around it, and with summary one a text for its size."""
+    names = ["doc_id", "n_words", "gram", "before", "at", "context"]
+
+    def scan(batches):
+        for piece, data, off in slices(batches):
+            w = words(data, off, lower=True, alnum=True)
+            g, at = _found(w, wanted)
+            cut = w.bounds()
+            ids = piece.column(0).to_numpy(zero_copy_only=False)
+            doc = w.doc[at]
+            lo = np.maximum(at - window + 1, cut[doc])
+            hi = np.minimum(at + window, cut[doc + 1])
+            context = [[w.data[w.start[i] : w.end[i]].tobytes().decode() for i in range(a, b)] for a, b in zip(lo, hi, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.nulls(len(g), pa.int64()), pa.array(g, pa.int64()), pa.array(at - lo, pa.int32()), pa.array(at - cut[doc]), pa.array(context, pa.list_(pa.string()))], names)
+            if summary:
+                m = len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(cut)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.string()))], names)
+
+    return scan
+
+
+def _hits(docs: DataFrame, items: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+    grams = scratch.hold(item_windows(items, window))
     counts = None
     for wanted in _blocks(grams):
-        part = docs.select("text").mapInArrow(counter(wanted), "gram long, seen long")
+        part = docs.select("text").mapInArrow(_counter(wanted), "gram long, seen long")
         counts = part if counts is None else counts.unionByName(part)
     rarity = counts.groupBy("gram").agg(F.sum("seen").alias("seen"))
     # a window with a shingle that no document has cannot occur
     ranked = grams.join(rarity, "gram", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
     chosen = ranked.groupBy("item_id", "words").agg(F.min(F.struct("seen", "gram", "place")).alias("best")).where("best.seen > 0")
-    # what occurs is compared once for all items that have it
-    probes = checkpointed(chosen.groupBy("words", F.col("best.gram").alias("gram"), F.col("best.place").alias("place")).agg(F.collect_set("item_id").alias("item_ids")))
-
-    def scanner(wanted, summary):
-        def scan(batches):
-            for piece, data, off in slices(batches):
-                w = words(data, off, lower=True, alnum=True)
-                g, at = _found(w, wanted)
-                cut = w.bounds()
-                ids = piece.column(0).to_numpy(zero_copy_only=False)
-                doc = w.doc[at]
-                lo = np.maximum(at - window + 1, cut[doc])
-                hi = np.minimum(at + window, cut[doc + 1])
-                n = np.diff(cut)
-                context = [[w.data[w.start[i] : w.end[i]].tobytes().decode() for i in range(a, b)] for a, b in zip(lo, hi, strict=True)]
-                key, owner = pa.array(g, pa.int64()), ids[doc]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(owner), pa.array(n[doc]), key, pa.array([True] * len(g), pa.bool_()), pa.array(at - lo, pa.int32()), pa.array(at - cut[doc]), pa.array(context, pa.list_(pa.string()))],
-                    ["doc_id", "n_words", "gram", "hit", "before", "at", "context"],
-                )
-                if summary:
-                    m = len(ids)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids), pa.array(n), pa.array(mix(ids.astype(np.uint64), 50).view(np.int64)), pa.array([False] * m), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.string()))],
-                        ["doc_id", "n_words", "gram", "hit", "before", "at", "context"],
-                    )
-
-        return scan
-
+    chosen = scratch.hold(chosen.select("item_id", "words", "best.gram", "best.place"))
+    # what occurs is compared once for all items that have it, under a number
+    probes = scratch.hold(chosen.groupBy("words", "gram", "place").count().select("words", "gram", "place", F.monotonically_increasing_id().alias("number")))
+    owners = chosen.join(probes, ["words", "gram", "place"]).select("number", "item_id")
     rows = None
     for wanted in _blocks(probes):
-        part = docs.mapInArrow(scanner(wanted, rows is None), "doc_id long, n_words long, gram long, hit boolean, before int, at long, context array<string>")
+        part = docs.mapInArrow(_scanner(wanted, window, rows is None), "doc_id long, n_words long, gram long, before int, at long, context array<string>")
         rows = part if rows is None else rows.unionByName(part)
-    # a row that only tells a document's size has a key of its own and meets no probe
-    met = rows.join(probes.withColumn("hit", F.lit(True)), ["gram", "hit"], "left")
+    rows = scratch.hold(rows)
     size = F.size("words")
-    fits = F.col("before") >= F.col("place")
-    fits &= F.col("before") - F.col("place") + size <= F.size("context")
+    fits = (F.col("before") >= F.col("place")) & (F.col("before") - F.col("place") + size <= F.size("context"))
     same = F.when(fits, F.slice("context", F.greatest(F.col("before") - F.col("place"), F.lit(0)) + 1, F.greatest(size, F.lit(1))) == F.col("words"))
-    met = met.withColumn("same", F.coalesce(same, F.lit(False)))
-    span = F.when(F.col("same"), F.struct((F.col("at") - F.col("place")).alias("first"), size.cast("long").alias("length")))
-    each = met.select("doc_id", "n_words", span.alias("span"), F.when(F.col("same"), F.col("item_ids")).alias("item_ids"))
-    total = each.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items"))
+    met = rows.where("gram is not null").join(probes, "gram").where(same)
+    met = met.select("doc_id", F.struct((F.col("at") - F.col("place")).alias("first"), size.cast("long").alias("length")).alias("span"), "number")
+    named = met.select("doc_id", "number").distinct().join(owners, "number").select("doc_id", "item_id").distinct()
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("n_words", "long"), ("span", "struct<first:bigint,length:bigint>"), ("item_id", "string"))]
+    each = rows.where("n_words is not null").select("doc_id", "n_words", *none[1:]).unionByName(met.select("doc_id", none[0], "span", none[2])).unionByName(named.select("doc_id", *none[:2], "item_id"))
+    total = each.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     # spans are in order: a word counts where no earlier span has reached
     step = F.expr(
         "aggregate(spans, struct(0L as n, 0L as reach), (a, s) -> struct("
