@@ -7,20 +7,22 @@ they are used up. Ranks beyond a source's target are not taken, and the few rank
 points end close the schedule, so each source meets its target to the word.
 
 Running sums (documents in shuffled order, ranks of slots) go chunk by chunk, so a source with a third of all rows is no
-task of its own.
+task of its own. Sources themselves are few beside documents: their shares come from windows over one row a source.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._graph import checkpointed
+from ._graph import Scratch, checkpointed
 
 BLOCK_WORDS = 512
 CELLS = 4096
-SLOTS_A_CHUNK = 16384
+SLOTS_A_CHUNK = ROWS_A_CHUNK = 16384
 GOLDEN = 0.6180339887498949
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -72,7 +74,8 @@ def schedule(sources: DataFrame, total: int, block: int = BLOCK_WORDS) -> DataFr
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, pieces: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every row: how many of its words the mix takes.
+    """doc_id, source, size, source_size, target, taken, first_slot and n_stretches of every row: how many of its words the
+    mix takes, the slot of the schedule that takes the first of them, and in how many stretches.
 
     With pieces: slot, doc_id, first and words of every stretch that a slot takes instead, in the order of training.
     Words are runs other than space and 09-0D; null and empty texts have size 0 and are taken 0 times. Documents of a
@@ -81,20 +84,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("shuffle"))
-    sized = checkpointed(sized)
-    sources = checkpointed(targets(sized, weights, share, most).withColumn("quota", F.floor(F.col("target") + 0.5)))
-    total = sources.agg(F.sum("quota")).first()[0] or 0
-    placed = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("chunk", F.substr("shuffle", F.lit(1), F.lit(3)))
-    placed = checkpointed(running(placed, ["place"], "chunk", ["shuffle", "doc_id", "size"], "size", "start"))
-    passes = F.explode(F.sequence(F.lit(0), F.lit(int(most) - 1)))
-    turns = placed.where("size > 0").withColumn("turn", passes).withColumn("lo", F.col("turn") * F.col("source_size") + F.col("start")).withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("quota"))).where("lo < hi")
-    stretches = turns.withColumn("rank", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
-    slots = schedule(sources, total, block)
-    first, last = F.greatest(F.col("lo"), F.col("rank") * block), F.least(F.col("hi"), (F.col("rank") + 1) * block)
-    met = stretches.join(slots, ["place", "rank"]).select("slot", "place", "doc_id", "start", "size", (first - F.col("lo")).alias("first"), (last - first).alias("words"))
-    if pieces:
-        return met.select("slot", "doc_id", "first", "words")
-    # a place in its source's order names a row, also where rows share a doc_id
-    used = met.groupBy("place", "start").agg(F.sum("words").alias("taken"))
-    filled = placed.where("size > 0").join(used, ["place", "start"], "left").unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return filled.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    with Scratch(docs) as scratch:
+        sized = scratch.hold(sized)
+        sources = scratch.hold(targets(sized, weights, share, most).withColumn("quota", F.floor(F.col("target") + 0.5)))
+        total = sources.agg(F.sum("quota")).first()[0] or 0
+        # chunks of the shuffled order by leading digits, as many as the rows need
+        digits = min(8, max(1, math.ceil(math.log(max(1, sized.count() / ROWS_A_CHUNK), 16))))
+        placed = sized.join(F.broadcast(sources) if sources.count() <= CELLS else sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("chunk", F.substr("shuffle", F.lit(1), F.lit(digits)))
+        placed = scratch.hold(running(placed, ["place"], "chunk", ["shuffle", "doc_id", "size"], "size", "start"))
+        passes = F.explode(F.sequence(F.lit(0), F.lit(int(most) - 1)))
+        turns = placed.where("size > 0").withColumn("turn", passes).withColumn("lo", F.col("turn") * F.col("source_size") + F.col("start")).withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("quota"))).where("lo < hi")
+        stretches = turns.withColumn("rank", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
+        slots = schedule(sources, total, block)
+        first, last = F.greatest(F.col("lo"), F.col("rank") * block), F.least(F.col("hi"), (F.col("rank") + 1) * block)
+        met = stretches.join(slots, ["place", "rank"]).select("slot", "place", "doc_id", "start", "size", (first - F.col("lo")).alias("first"), (last - first).alias("words"))
+        if pieces:
+            return checkpointed(met.select("slot", "doc_id", "first", "words"))
+        # a place in its source's order names a row, also where rows share a doc_id
+        used = met.groupBy("place", "start").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_stretches"))
+        none = {"taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long"), "n_stretches": F.lit(0).cast("long")}
+        filled = placed.where("size > 0").join(used, ["place", "start"], "left").unionByName(placed.where("size = 0").withColumns(none))
+        zero = F.lit(0).cast("long")
+        return checkpointed(filled.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", zero).alias("taken"), "first_slot", F.coalesce("n_stretches", zero).alias("n_stretches")))

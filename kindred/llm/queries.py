@@ -100,9 +100,12 @@ def op7_benchmark_decontamination(spark, sf_dir):
 
 @query
 def op8_source_mixing(spark, sf_dir):
+    from pyspark.sql import functions as F
+
     from .mixing import mix
 
-    return mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0).select("doc_id", "size", "source_size", "target", "taken")
+    out = mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.coalesce("first_slot", F.lit(-1).cast("long")).alias("first_slot"), "n_stretches")
 
 
 def crawl_records(pages):
@@ -204,10 +207,19 @@ w AS (SELECT *, (CASE (place - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END)::D
 o AS (SELECT *, row_number() OVER q AS turn, (1.5::DOUBLE * sum(ss) OVER () - coalesce(sum(cap) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
   FROM w WINDOW q AS (ORDER BY cap / weight, place)),
 f AS (SELECT arg_min(level, turn) AS level, min(turn) AS turn FROM o WHERE level * weight <= cap),
-t AS (SELECT o.source, ss, CASE WHEN o.turn < f.turn THEN cap ELSE f.level * weight END AS target FROM o, f),
-r AS (SELECT d.*, ss, target, floor(target + 0.5)::BIGINT AS quota, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY substr(h, 1, 3), h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lo
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, ss AS source_size, target, (greatest(0, least(lo + size, quota) - lo) + greatest(0, least(ss + lo + size, quota) - ss - lo))::BIGINT AS taken FROM r
+t AS (SELECT o.source, o.place, ss, CASE WHEN o.turn < f.turn THEN cap ELSE f.level * weight END AS target FROM o, f),
+r AS (SELECT d.*, place, ss, target, floor(target + 0.5)::BIGINT AS quota, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY substr(h, 1, 3), h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lo
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY place), 0.0) AS lo FROM (SELECT place, quota, (quota + 511) // 512 AS need, sum(quota) OVER (ORDER BY place)::DOUBLE / sum(quota) OVER ()::DOUBLE AS hi, (sum(quota) OVER () + 511)::BIGINT // 512 AS n
+  FROM (SELECT place, floor(target + 0.5)::BIGINT AS quota FROM t) WHERE quota > 0)),
+pts AS (SELECT i AS slot, ((i + 1) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS x FROM (SELECT unnest(range(0, (SELECT max(n) FROM g))) AS i)),
+dealt AS (SELECT slot, place, need, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS rank FROM pts JOIN g ON lo <= x AND x < hi),
+had AS (SELECT g.place, g.need, g.n, count(dealt.slot) AS n_dealt FROM g LEFT JOIN dealt USING (place) GROUP BY ALL),
+slots AS (SELECT slot, place, rank FROM dealt WHERE rank < need UNION ALL SELECT n + rank, place, rank FROM (SELECT n, place, unnest(range(n_dealt, need)) AS rank FROM had)),
+st AS (SELECT place, lo AS start, unnest(range(a // 512, (b - 1) // 512 + 1)) AS rank FROM (SELECT place, lo, turn * ss + lo AS a, least(turn * ss + lo + size, quota) AS b FROM r, (SELECT unnest([0, 1]) AS turn) WHERE size > 0) WHERE a < b),
+used AS (SELECT place, start, min(slot)::BIGINT AS first_slot, count(*) AS n FROM st JOIN slots USING (place, rank) GROUP BY ALL)
+SELECT doc_id, size, ss AS source_size, target, (greatest(0, least(lo + size, quota) - lo) + greatest(0, least(ss + lo + size, quota) - ss - lo))::BIGINT AS taken,
+  CASE WHEN size > 0 THEN coalesce(first_slot, -1) ELSE -1 END AS first_slot, CASE WHEN size > 0 THEN coalesce(n, 0) ELSE 0 END::BIGINT AS n_stretches FROM r LEFT JOIN used ON used.place = r.place AND used.start = r.lo
 """
 
 _CANON = """regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '')"""
