@@ -15,7 +15,6 @@ Scoring is one pass over the documents without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._words import Words, short_batches, slices, text_buffer, words
+from ._graph import Scratch
+from ._words import Words, short_batches, slices, words
 
 DIM = 8
 FILTERS = 8
@@ -87,18 +87,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * logits.astype(np.float64) + self.shift, -40, 40)))
 
 
-def _read(texts: list[str], limit: int = SLICE // 4) -> Iterator[Words]:
-    """The texts' words, a few texts at a time, so that the driver holds little more than the texts."""
-    at, size = 0, 0
-    for i in range(len(texts) + 1):
-        if i == len(texts) or size and size + len(texts[i]) > limit:
-            if i > at:
-                yield words(*text_buffer(pa.array(texts[at:i], pa.string())), lower=True, alnum=True)
-            at, size = i, 0
-        if i < len(texts):
-            size += len(texts[i])
-
-
 def _log_odds(rows: np.ndarray, cut: np.ndarray, docs: np.ndarray, y: np.ndarray, alpha: float = 2.0) -> np.ndarray:
     """Of each embedding row: log-odds of the label in documents that have it, with alpha pseudo-documents of the mean."""
     n = np.zeros((2, sum(ROWS)))
@@ -108,8 +96,10 @@ def _log_odds(rows: np.ndarray, cut: np.ndarray, docs: np.ndarray, y: np.ndarray
     return np.log((n[1] + alpha * share) / (n[0] + alpha * (1 - share)) * ((1 - share) / share)).astype(np.float32)
 
 
-def fit(texts: list[str], y: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.03, seed: int = 3) -> Model:
-    """Adagrad on the log-loss; gradients flow through each filter's largest response only, so steps are sparse."""
+def fit(rows: np.ndarray, cut: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.03, seed: int = 3) -> Model:
+    """Adagrad on the log-loss; gradients flow through each filter's largest response only, so steps are sparse.
+
+    rows: embedding rows of all words of all texts; cut: where each text begins, and the end; y: the texts' labels."""
     rng = np.random.default_rng(seed)
     width = FILTERS * len(WIDTHS)
     m = Model(rng.normal(0, 0.02, (sum(ROWS), DIM)).astype(np.float32), [rng.normal(0, 0.1, (n, DIM, FILTERS)) for n in WIDTHS], -rng.uniform(0.2, 2.0, width), rng.normal(0, 0.3, width), 0.0)
@@ -119,13 +109,10 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 12, batch: int = 32, rate
         m.head[:], m.offset = 0, 6.0 if len(y) and y.all() else -6.0
         m.embed[:], m.filters = 0, [f.astype(np.float32) for f in m.filters]
         return m
-    read = [(_buckets(w).astype(np.int32), np.diff(w.bounds())) for w in _read(texts)]
-    rows, cut = np.concatenate([r for r, _ in read]), np.concatenate([[0], *(n for _, n in read)]).cumsum()
-    del read
     seen = np.zeros(len(m.embed), bool)
     seen[rows] = True
     m.embed[~seen] = 0
-    half = rng.permutation(len(texts))
+    half = rng.permutation(len(y))
     m.embed[:, 0] = _log_odds(rows, cut, half[: len(half) // 2], y)
     trained = half[len(half) // 2 :]
     g2 = {"e": np.full(m.embed.shape, 1e-4, np.float32), "h": np.full(m.head.shape, 1e-2), "b": np.full(m.bias.shape, 1e-2), "o": 1e-2, **{i: np.full(f.shape, 1e-2) for i, f in enumerate(m.filters)}}
@@ -233,21 +220,41 @@ def fold() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, seed: int = 3) -> Model:
-    """A model from at most sample labelled rows to train on (half of them toxic where there are as many), calibrated on
-    all labelled rows of another fifth. Rows with null doc_id or label are left out; of labels that share a doc_id the
-    largest counts. Without labels or with labels of one kind, scores are all alike: low, unless all labels
-    are toxic."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_bytes: int = 24 << 20, seed: int = 3) -> Model:
+    """A model from at most sample labelled rows to train on (half of them toxic where there are as many) of at most
+    sample_bytes of text together, in the order of a hash, calibrated on all labelled rows of another fifth.
+
+    Only embedding rows of the sample's words reach the driver, no texts. Rows with null doc_id or label are left out; of
+    labels, and of the sample's texts, that share a doc_id the largest counts. Without labels or with labels of one kind,
+    scores are all alike: low, unless all labels are toxic."""
     turn = F.xxhash64("doc_id", F.lit(seed))
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(fold() != 2)
     known = known.withColumn("turn", turn).withColumn("held", F.pmod("turn", F.lit(5)) == 0)
     part = [known.where(f"not held and toxic = {k}").orderBy("turn", "doc_id").limit(sample // 2) for k in (1, 0)]
-    # at most sample ids: a fixed bound
     known_docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    rows = known_docs.select("doc_id", "text").join(F.broadcast(part[0].unionByName(part[1])), "doc_id").orderBy("turn", "doc_id").toPandas()
-    y = rows["toxic"].to_numpy(np.float64)
-    m = fit([t if isinstance(t, str) else "" for t in rows["text"]], y, seed=seed)
-    del rows
+    with Scratch(docs) as scratch:
+        # at most sample ids: a fixed bound
+        picked = known_docs.select("doc_id", "text").join(F.broadcast(part[0].unionByName(part[1])), "doc_id").groupBy("turn", "doc_id", "toxic").agg(F.max("text").alias("text"))
+        picked = scratch.hold(picked)
+        sizes = picked.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), "turn").orderBy("turn", "doc_id").toPandas()
+        chosen, left = [], sample_bytes
+        for i, n in zip(sizes["doc_id"], sizes["n"], strict=True):
+            if n <= left:
+                chosen.append((int(i),))
+                left -= n
+        chosen = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long"))
+
+        def read(batches):
+            for piece, data, off in slices(batches, limit=SLICE):
+                w = words(data, off, lower=True, alnum=True)
+                rows, cut = _buckets(w).astype(np.int32), w.bounds()
+                yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array([rows[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["turn", "doc_id", "toxic", "rows"])
+
+        got = short_batches(picked.join(chosen, "doc_id").select("turn", "doc_id", "toxic", "text")).mapInArrow(read, "turn long, doc_id long, toxic int, rows binary").orderBy("turn", "doc_id").toPandas()
+    y = got["toxic"].to_numpy(np.float64)
+    rows = np.frombuffer(b"".join(got["rows"]), np.int32).reshape(-1, len(ROWS))
+    m = fit(rows, np.concatenate([[0], np.cumsum([len(r) // (4 * len(ROWS)) for r in got["rows"]])]).astype(np.int64), y, seed=seed)
+    del got, rows
     if 0 < y.sum() < len(y):
         # scored before they meet their labels, so that no text is shuffled
         held = known_docs.where((fold() != 2) & (F.pmod(turn, F.lit(5)) == 0))
@@ -275,8 +282,9 @@ def _logits(docs: DataFrame, model: Model, name: str, score: bool = False) -> Da
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs, and toxicity_score (0 to 1), toxicity_threshold (of the row's lang) and toxic_rejected.
 
-    The score depends on the whole text alone. Null and empty texts are scored as texts without words. A docs table with
-    columns of the new names is an error; an empty table gives an empty result.
+    The score depends on the whole text alone. Null and empty texts are scored as texts without words; a very long text is
+    one piece of its task's work. Rows that share a doc_id are returned one by one. A docs table with columns of the new
+    names is an error; an empty table gives an empty result.
     """
     clash = {"toxicity_score", "toxicity_threshold", "toxic_rejected"} & set(docs.columns)
     if clash:

@@ -254,6 +254,8 @@ def test_decontamination_equals_brute_force(spark, corpus):
 def test_mixing_meets_targets(spark, corpus):
     from kindred.llm.mixing import mix
 
+    repeated = corpus + corpus[:3]
+    assert mix(table(spark, repeated), block=16).count() == len(repeated)
     got = mix(table(spark, corpus), block=16).toPandas()
     assert len(got) == len(corpus)
     size = {i: len(split(t)) for i, t, *_ in corpus}
@@ -280,6 +282,37 @@ def test_mixing_schedule_keeps_shares_everywhere(spark, corpus):
     assert p.groupby("slot")["words"].sum().max() <= 16
 
 
+def test_mixing_follows_the_schedule(spark, corpus):
+    """first_slot and n_stretches by walking the golden-ratio points one by one."""
+    from kindred.llm.mixing import mix
+
+    block = 16
+    got = mix(table(spark, corpus), block=block).toPandas()
+    sources = sorted({r.source for r in got.itertuples()}, key=lambda s: (not isinstance(s, str), s if isinstance(s, str) else ""))
+    quota = {s: int(np.floor(got[got.source.isna() if not isinstance(s, str) else got.source == s].target.iloc[0] + 0.5)) for s in sources}
+    total, at, edges = sum(quota.values()), 0, []
+    for s in sources:
+        edges.append((at / total, (at + quota[s]) / total, s))
+        at += quota[s]
+    slot_of, n = collections.defaultdict(dict), -(-total // block)
+    for slot in range(n):
+        point = (slot + 1) * 0.6180339887498949 % 1.0
+        s = next((s for lo, hi, s in edges if lo <= point < hi), None)
+        if s in quota and len(slot_of[s]) < -(-quota[s] // block):
+            slot_of[s][len(slot_of[s])] = slot
+    for s in sources:
+        for rank in range(len(slot_of[s]), -(-quota[s] // block)):
+            slot_of[s][rank] = n + rank
+    for s in sources:
+        own = got[got.source.isna() if not isinstance(s, str) else got.source == s]
+        own = sorted(own.itertuples(), key=lambda r: (hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.doc_id, r.size))
+        start, whole = 0, sum(r.size for r in own)
+        for r in own:
+            slots = [slot_of[s][rank] for turn in (0, 1) for lo in [turn * whole + start] for hi in [min(lo + r.size, quota[s])] if lo < hi for rank in range(lo // block, (hi - 1) // block + 1)]
+            assert (r.n_stretches, None if np.isnan(r.first_slot) else r.first_slot) == (len(slots), min(slots, default=None))
+            start += r.size
+
+
 def cosine_truth(rows, least):
     good = {i: (label, np.array(v, float)) for i, v, label in rows if label is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     links = [(a, b) for a in good for b in good if a < b and good[a][0] == good[b][0] and len(good[a][1]) == len(good[b][1]) and good[a][1] @ good[b][1] / np.linalg.norm(good[a][1]) / np.linalg.norm(good[b][1]) >= least]
@@ -435,6 +468,42 @@ def test_toxicity_held_out_accuracy(spark, toxic):
     assert (other.sort_values("doc_id").toxicity_score.to_numpy() == got.sort_values("doc_id").toxicity_score.to_numpy()).all()
 
 
+def test_toxicity_forward_pass_equals_plain_convolution():
+    """Tables, gathers and pooling by segment against loops over words, filters and places; cuts of batches don't matter."""
+    import pyarrow as pa
+
+    from kindred.llm import toxicity as x
+    from kindred.llm._words import text_buffer, words
+
+    rng = np.random.default_rng(14)
+    width = x.FILTERS * len(x.WIDTHS)
+    m = x.Model(rng.normal(size=(sum(x.ROWS), x.DIM)).astype(np.float32), [rng.normal(size=(n, x.DIM, x.FILTERS)).astype(np.float32) for n in x.WIDTHS], rng.normal(size=width), rng.normal(size=width), 0.3)
+    texts = [prose(rng, int(n)) for n in (0, 1, 2, 3, 9, 40, 0, 5)] + [None]
+    read = lambda some: words(*text_buffer(pa.array(some, pa.string())), lower=True, alnum=True)
+    got = m.logits(read(texts), m.tables())
+    for i, t in enumerate(texts):
+        e = m.embed[x._buckets(read([t]))].sum(1) if t else np.zeros((0, x.DIM))
+        pooled = []
+        for f in m.filters:
+            for c in range(x.FILTERS):
+                places = [sum(float(e[p + k] @ f[k, :, c]) for k in range(len(f)) if p + k < len(e)) for p in range(len(e))]
+                pooled.append(max(places, default=0.0))
+        assert got[i] == pytest.approx(float(np.maximum(np.array(pooled) + m.bias, 0) @ m.head + m.offset), rel=1e-4, abs=1e-3)
+    alone = np.concatenate([m.logits(read([t]), m.tables()) for t in texts])
+    assert np.allclose(alone, got, atol=1e-4)
+
+
+def test_toxicity_sample_is_bounded_and_repeats_count_once(spark, toxic):
+    from kindred.llm.toxicity import toxicity, train
+
+    rows, labels = toxic
+    rows = rows[:200] + rows[:60] + [(0, "a b " * 200_000, "en", "s")]
+    docs, lab = table(spark, rows), spark.createDataFrame(labels[:200], "doc_id long, quality int, toxic int")
+    model = train(docs, lab, sample=100, sample_bytes=20_000)
+    out = toxicity(docs, model)
+    assert out.count() == len(rows) and out.where("toxicity_score between 0 and 1").count() == len(rows)
+
+
 def test_toxicity_with_one_label_or_none(spark, toxic):
     from kindred.llm.toxicity import toxicity, train
 
