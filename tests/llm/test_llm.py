@@ -795,6 +795,21 @@ def test_pipeline_stages(spark, corpus, toxic, tmp_path):
     assert {r.doc_id for r in out.collect()} == set(seen[3])
 
 
+def test_pipeline_stages_judge_rows_without_and_with_shared_ids(spark, corpus, tmp_path):
+    import corpus_pipeline
+
+    cols = ["doc_id", "text", "lang", "source", "n_chars"]
+    text, leak = " ".join(f"w{i}" for i in range(40)), " ".join(f"b{i}" for i in range(20))
+    rows = [(1, text), (None, text), (2, text + " more"), (3, leak), (3, "clean words only here today"), (3, "clean words only here today"), (None, "x " + leak), (None, "alone and clean"), (None, None)]
+    docs = table(spark, [(i, t, "en", "s") for i, t in rows]).select(cols)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert near.columns == cols
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=str) == sorted([(1, text), (3, leak), (3, "clean words only here today"), (None, "alone and clean"), (None, None)], key=str)
+    clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted([x for x in rows if leak not in (x[1] or "")], key=str)
+
+
 def test_digests_of_queries(spark):
     """The thin queries' digest columns follow from the operators' outputs."""
     from kindred.llm.queries import QUERIES
