@@ -123,13 +123,17 @@ def bucket_caps(df: DataFrame, caps: tuple[int, ...], *order: Column) -> DataFra
 
 
 def search_and_answer(queries: DataFrame, reports: DataFrame, caps: tuple[int, int, int] = (4, 3, 3)) -> DataFrame:
-    """PL8, SO3, LM3: (query_id, bucket, rank, id, line): located (by number, or a hospital's report that age or place
-    corroborates), weak (a hospital's by name alone) and reference (others), each report in its first bucket only."""
-    by_id = search_by_id(queries, reports, caps[0]).select("query_id", "id", F.lit(0).alias("bucket"), F.lit(2.0).alias("score"))
-    ranked = rank_candidates(queries, recall_by_tokens(queries, reports, 40), reports)
+    """PL8, SO3, LM3: (query_id, bucket, rank, id, line): located (found people and hospitals' reports by number, or a
+    hospital's report that age or place corroborates), weak (a hospital's by name alone) and reference (others), each report
+    in its first bucket only, hits by number first. Hospitals' reports are recalled by themselves, so that newer reports of
+    other sources don't crowd them out."""
+    by_id = search_by_id(queries, reports).join(reports.select("id", "kind", "source"), "id")
+    by_id = by_id.select("query_id", "id", F.when(located() | (F.col("kind") == "found"), 0).otherwise(2).alias("bucket"), (3.0 - F.col("rank") / 100).alias("score"))
+    ranked = rank_candidates(queries, recall_by_tokens(queries, reports.where(located()), 40), reports)
+    others = rank_candidates(queries, recall_by_tokens(queries, reports), reports).where(~located())
     sure = (F.col("name_score") >= 0.75) & (F.coalesce(F.abs(F.col("q_age") - F.col("age")) <= 10, F.lit(False)) | (F.col("place_score") >= 0.7))
     bucket = F.when(located(), F.when(sure, 0).otherwise(1)).otherwise(2)
-    by_name = collapse_greedy(ranked.where(located()), sum(caps)).unionByName(collapse_greedy(ranked.where(~located()), caps[2])).select("query_id", "id", bucket.alias("bucket"), "score")
+    by_name = collapse_greedy(ranked).unionByName(collapse_greedy(others)).select("query_id", "id", bucket.alias("bucket"), "score")
     once = by_id.unionByName(by_name).groupBy("query_id", "id").agg(F.min("bucket").alias("bucket"), F.max("score").alias("score"))
     out = bucket_caps(once, caps, F.col("score").desc(), F.col("id")).join(reports.select("id", "full_name", "age", "last_seen_location", "source"), "id")
     line = text.format_line(F.col("full_name"), F.col("age"), F.col("last_seen_location"), F.col("source"), F.lit(None).cast("string"))
