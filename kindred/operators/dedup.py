@@ -11,6 +11,11 @@ from ..functions import fuzzy, text
 from .upsert import mark_duplicates
 
 
+#: Columns that blocks are by, and names of a block that one task compares with as many others.
+BLOCK = ("kind", "_first", "_place")
+TILE = 512
+
+
 def _rank(marks: bool = True) -> list[Column]:
     m = F.col("distinguishing_marks") if marks else F.lit(None).cast("string")
     score = text.status_rank(F.col("kind"), m), text.completeness(F.col("age"), F.col("last_seen_location"), m)
@@ -47,30 +52,46 @@ def _compact(blocked: DataFrame) -> DataFrame:
     return blocked.groupBy("kind", "_first", "_place", "full_name").agg(F.min("id").alias("anchor"))
 
 
+def _alike(names: DataFrame, threshold: float) -> DataFrame:
+    """(block columns, anchor, other) of a block's distinct names that reach the threshold, the earlier first. Large blocks
+    are compared tile by tile, each pair of tiles in a task of its own."""
+    held = names.groupBy(*BLOCK).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tiled = names.join(held, list(BLOCK)).withColumn("tile", F.pmod(F.xxhash64("full_name"), F.col("tiles")).cast("int")).withColumn("to", F.explode(F.expr("sequence(0, tiles - 1)")))
+    tiled = tiled.select(*BLOCK, "anchor", "full_name", "tile", F.least("tile", "to").alias("p"), F.greatest("tile", "to").alias("q"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip(pdf["anchor"], pdf["full_name"], pdf["tile"], strict=True))
+        across = pdf["p"].iloc[0] != pdf["q"].iloc[0]
+        out = [(a, b) for i, (a, x, s) in enumerate(rows) for b, y, t in rows[i + 1 :] if (s != t or not across) and fuzzy.weighted_ratio(x, y) >= threshold]
+        return pd.DataFrame(out, columns=["anchor", "other"]).assign(**{c: pdf[c].iloc[0] for c in BLOCK})
+
+    return tiled.groupBy(*BLOCK, "p", "q").applyInPandas(compare, "anchor string, other string, kind string, _first string, _place string")
+
+
 def dedup_by_name(reports: DataFrame, threshold: float = 85.0, use_marks: bool = False) -> DataFrame:
     """PL2: (id, canonical): within each block, in the order of ids, a report that no cluster has yet becomes an anchor and
-    takes all later ones whose names reach the threshold. Not transitive. Equal names cluster alike, so the greedy pass
-    runs over distinct names; it is the one step in Python, a block at a time."""
+    takes all later ones whose names reach the threshold. Not transitive. Equal names cluster alike, so names are compared
+    once each; the greedy pass, a block at a time, only follows the pairs that reach the threshold."""
     b = blocks(reports)
+    names = _compact(b)
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("anchor")
-        left = list(zip(pdf["anchor"], pdf["full_name"], strict=True))
-        out = []
-        while left:
-            head, name = left[0]
-            rest = []
-            for a, n in left:
-                if a == head or fuzzy.weighted_ratio(name, n) >= threshold:
-                    out.append((n, head))
-                else:
-                    rest.append((a, n))
-            left = rest
-        return pd.DataFrame(out, columns=["full_name", "cluster"]).assign(kind=pdf["kind"].iloc[0], _first=pdf["_first"].iloc[0], _place=pdf["_place"].iloc[0])
-
-    names = _compact(b).groupBy("kind", "_first", "_place").applyInPandas(greedy, "full_name string, cluster string, kind string, _first string, _place string")
-    placed = b.join(names, ["kind", "_first", "_place", "full_name"])
-    best = F.first("id").over(W.partitionBy("kind", "_first", "_place", "cluster").orderBy(*_rank(use_marks)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        near: dict[str, list[str]] = {}
+        for a, other in zip(pdf["anchor"], pdf["other"], strict=True):
+            if isinstance(other, str):
+                near.setdefault(a, []).append(other)
+        cluster: dict[str, str] = {}
+        for a in sorted(pdf["anchor"].unique()):
+            if a not in cluster:
+                cluster[a] = a
+                for other in near.get(a, ()):
+                    cluster.setdefault(other, a)
+        return pd.DataFrame(list(cluster.items()), columns=["anchor", "cluster"]).assign(**{c: pdf[c].iloc[0] for c in BLOCK})
+
+    own = names.select(*BLOCK, "anchor", F.lit(None).cast("string").alias("other"))
+    placed = own.unionByName(_alike(names, threshold)).groupBy(*BLOCK).applyInPandas(greedy, "anchor string, cluster string, kind string, _first string, _place string")
+    placed = b.join(names.join(placed, [*BLOCK, "anchor"]).drop("anchor"), [*BLOCK, "full_name"])
+    best = F.first("id").over(W.partitionBy(*BLOCK, "cluster").orderBy(*_rank(use_marks)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return placed.withColumn("canonical", best).where("id <> canonical").select("id", "canonical")
 
 

@@ -1,5 +1,7 @@
 """Small hand-written tables for the rules that SQL over the driver's tables does not reach."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +29,29 @@ def test_name_pass_is_greedy_in_order_of_ids(spark):
     assert got == {("b", "a")} or got == {("b", "a"), ("c", "a")}
 
 
+@pytest.mark.parametrize("tile", [3, 512])
+def test_name_pass_equals_greedy_loop(spark, monkeypatch, tile):
+    from kindred.functions import fuzzy
+
+    monkeypatch.setattr(dedup, "TILE", tile)
+    rng = random.Random(4)
+    parts = ["maria", "mariana", "perez", "peres", "gomez", "gomes", "luisa", "luis", "diaz"]
+    rows = [(f"r{i:03}", "missing", "ana " + " ".join(rng.choices(parts, k=rng.randint(1, 3))), None, "Ccs", None, "x", i) for i in range(60)]
+    left, cluster = sorted((r[0], r[2]) for r in rows), {}
+    while left:
+        head, name = left[0]
+        taken = [x for x in left if x[0] == head or fuzzy.weighted_ratio(name, x[1]) >= 85.0]
+        cluster.update({i: head for i, _ in taken})
+        left = [x for x in left if x not in taken]
+    groups = {}
+    for i, head in cluster.items():
+        groups.setdefault(head, set()).add(i)
+    got = {}
+    for r in dedup.dedup_by_name(reports(spark, *rows), 85.0).collect():
+        got.setdefault(r.canonical, {r.canonical}).add(r.id)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+
+
 def test_dedup_leaves_one_survivor_and_is_idempotent(spark):
     r = reports(spark, ("a", "missing", "Ana Paz", None, None, "CI: 1234567", "x", 1), ("b", "missing", "Ana Paz", 30, "Ccs", "CI: 1234567 y mas", "x", 2), ("c", "missing", "Ana Paz", None, "Ccs", None, "x", 3))
     once = dedup.dedup(r)
