@@ -154,9 +154,8 @@ def status_enum(df: DataFrame, source: str = "status_feed", region: str = "La Gu
     lat, lng = v("lat").try_cast("double"), v("lng").try_cast("double")
     at = F.when(lat.isNotNull() & lng.isNotNull(), F.format_string(f"{region.replace('%', '%%')} (%.5f, %.5f)", lat, lng))
     place = F.coalesce(F.concat(written, F.lit(f", {region}")), at, F.lit(region))
-    label = F.lit(None).cast("string")
-    for name, said in STATUS_LABELS.items():
-        label = F.when((state == name) & ~F.lower(told).contains(said.lower()), said).otherwise(label)
+    said = F.create_map(*(F.lit(x) for pair in STATUS_LABELS.items() for x in pair))[state]
+    label = F.when(~F.lower(told).contains(F.lower(said)), said)
     return _report(df, _named(v("nombre"), v("id"), 1), kind=kind, full_name=v("nombre"), age=age_of(v("edad"), 129), last_seen_location=place, distinguishing_marks=joined_marks(labelled("Estado: ", label), told), source=source, source_url=F.concat(F.lit(f"{source}:"), v("id")))
 
 
