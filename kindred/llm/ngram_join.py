@@ -34,7 +34,9 @@ from ._words import grouped_sum, mix, shingle_sets, short_batches, slices, text_
 
 TILE = 2048
 #: Members of blocks that one task compares.
-PART_ROWS = 200_000
+PART_ROWS = 20_000
+#: Bits of the filter that keeps texts that are surely not wanted from being dealt out, in 2 ** 15 at a time.
+FILTER_CHUNKS = 1 << 9
 #: Keys that one task holds at a time.
 GROUP_KEYS = 1_000_000
 SKETCH_BITS = 512
@@ -216,6 +218,26 @@ def _rows_of(a: np.ndarray, b: np.ndarray, key: np.ndarray, owner: np.ndarray) -
         yield b"", b"", key[at : at + ROW_ENTRIES].tobytes(), owner[at : at + ROW_ENTRIES].tobytes()
 
 
+def _place(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64), 60) % np.uint64(FILTER_CHUNKS << 15)).astype(np.int64)
+
+
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """A bit for each place of _place that a wanted id (column cls) has: a table of fixed size (2 MB), however many ids there
+    are. It only spares work: what passes is joined with the ids."""
+
+    def places(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_place(batch.column(0).to_numpy())))], ["place"])
+
+    at = wanted.select("cls").mapInArrow(places, "place long")
+    bits = at.groupBy(F.shiftright("place", 15).alias("chunk")).agg(F.bitmap_construct_agg(F.col("place") % (1 << 15)).alias("bits")).collect()
+    out = np.zeros((FILTER_CHUNKS, 1 << 12), np.uint8)
+    for r in bits:
+        out[r.chunk] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
 def _unpacked(blobs: DataFrame, x: str, y: str, names: str) -> DataFrame:
     first, second = names.split()
 
@@ -346,14 +368,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         scratch.drop(found)
         wanted = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).unionByName(members.select("cls")).distinct()
 
+        wanted = scratch.hold(wanted)
+        passing = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
+
         def pack(batches):
             squeeze = zstandard.ZstdCompressor(1).compress
             for batch in batches:
-                data, off = text_buffer(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(data[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["cls", "packed"])
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                at = _place(ids)
+                some = np.flatnonzero((passing.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                data, off = text_buffer(batch.column(1).take(pa.array(some)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array([squeeze(data[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["cls", "packed"])
 
-        # of rows that share a doc_id one is taken, before texts are packed and dealt out
-        texts = scratch.hold(docs.withColumnRenamed("doc_id", "cls").join(wanted, "cls", "left_semi").mapInArrow(pack, "cls long, packed binary").dropDuplicates(["cls"]))
+        texts = scratch.hold(docs.mapInArrow(pack, "cls long, packed binary").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))
         links = scratch.hold(_verified(near, texts, k, percent))
         scratch.drop(near)
         sketches = names.select(F.col("rep").alias("cls"), "n_shingles", "sketch")

@@ -117,6 +117,16 @@ def test_jaccard_keys_meet_at_the_limit(percent):
         bands(0)
 
 
+def test_jaccard_filter_passes_all_wanted_ids(spark):
+    from kindred.llm.ngram_join import _filter, _place
+
+    ids = np.random.default_rng(15).integers(-(1 << 62), 1 << 62, 3000)
+    bits = _filter(spark.createDataFrame([(int(i),) for i in ids[:1500]], "cls long"))
+    at = _place(ids)
+    passing = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+    assert passing[:1500].all() and passing[1500:].mean() < 0.02
+
+
 def test_jaccard_blocks_shared_by_many(spark):
     """Copies and near copies of one text over many batches: what a batch decides and what goes on make one whole."""
     from kindred.llm.ngram_join import jaccard_components
