@@ -327,16 +327,16 @@ def nm01_sheet(get):
 
 def _html(get):
     k = F.col("c_custkey").cast("string")
-    tr = F.concat(F.lit("<tr><th>N</th><th>x</th></tr><tr class='a'><td>"), k, F.lit("</td><td>Hosp "), (F.col("c_custkey") % 5).cast("string"), F.lit("</td><td><b>"), F.lit("Ana Paz"), F.lit("</b></td><td>"), (F.col("c_custkey") % 150).cast("string"), F.lit("</td></tr>"))
+    tr = F.concat(F.lit("<tr><th>N</th><th>x</th></tr><tr class='a'><td>"), k, F.lit("</td><td>12 Hosp "), (F.col("c_custkey") % 5).cast("string"), F.lit("</td><td><b>"), F.lit("Ana Paz (menor)"), F.lit("</b></td><td>"), (F.col("c_custkey") % 150).cast("string"), F.lit(" años</td></tr><tr><td>Hospital</td><td>Nombre y apellido</td><td>30</td></tr>"))
     return get("customer").select(F.col("c_custkey").alias("doc"), tr.alias("html"))
 
 
-@query("SELECT c_custkey AS doc, 'Hosp ' || (c_custkey % 5) AS hospital, 'Ana Paz' AS name, (c_custkey % 150)::VARCHAR AS age FROM customer WHERE c_custkey % 150 BETWEEN 1 AND 120")
+@query("SELECT c_custkey AS doc, 'Hosp ' || (c_custkey % 5) AS hospital, 'Ana Paz (menor)' AS name, (c_custkey % 150)::VARCHAR AS age FROM customer WHERE c_custkey % 150 BETWEEN 1 AND 120")
 def sc07_table_rows(get):
     return ingest.extract_table_rows(_html(get)).select("doc", "hospital", "name", "age")
 
 
-@query("SELECT 'found' AS kind, 'Ana Paz' AS full_name, (c_custkey % 150)::INT AS age, 'Hosp ' || (c_custkey % 5) AS last_seen_location, NULL AS distinguishing_marks, NULL AS person_state, 'doc_table' AS source, 'doc:' || c_custkey || ':Ana Paz' AS source_url FROM customer WHERE c_custkey % 150 BETWEEN 1 AND 120")
+@query("SELECT 'found' AS kind, 'Ana Paz (menor)' AS full_name, (c_custkey % 150)::INT AS age, 'Hosp ' || (c_custkey % 5) AS last_seen_location, NULL AS distinguishing_marks, NULL AS person_state, 'doc_table' AS source, 'doc:' || c_custkey || ':Ana Paz (menor)' AS source_url FROM customer WHERE c_custkey % 150 BETWEEN 1 AND 120")
 def nm04_document_table(get):
     return feeds.document_table(ingest.extract_table_rows(_html(get)))
 
@@ -504,9 +504,13 @@ def nm11_decoded_people(get):
     return feeds.decoded_people(d.withColumn("idNumber", F.concat(F.lit("5"), F.col("id").cast("string"))))
 
 
-@query(_nm("'found'", "c_name", _AGE119, "'H, D'", "'CI: ' || (20000000 + c_custkey) || ' | Estado: ok'", "NULL", "csv_people", "'csv_people:' || (20000000 + c_custkey)", "c_custkey % 2 = 0") + " UNION ALL " + _nm("'found'", "c_name", _AGE119, "'H, D'", "'Estado: ok'", "NULL", "csv_people", f"'csv_people:' || regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g') || '_h' || coalesce('_' || ({_AGE119}), '')", "c_custkey % 2 = 1"))
+@query(
+    _nm("'found'", "c_name", _AGE119, "'H. Ñ'", "'CI: V-' || (20000000 + c_custkey) || ' | Estatus: ok'", "NULL", "csv_people", "'csv_people:ci_V' || (20000000 + c_custkey)", "c_custkey % 2 = 0 AND c_custkey % 11 <> 0")
+    + " UNION ALL "
+    + _nm("'found'", "c_name", _AGE119, "'H. Ñ'", "'Estatus: ok'", "NULL", "csv_people", "'csv_people:' || regexp_replace(lower(c_name), '[^a-z0-9]', '_', 'g') || '_h__n_' || (c_custkey % 130) || '_a_os'", "c_custkey % 2 = 1 AND c_custkey % 11 <> 0").replace("_a_os", "_anos")
+)
 def nm13_csv_people(get):
-    return feeds.csv_people(_raw(get, nombre="c_name", hospital="'H'", edad="c_custkey % 130", cedula="case when c_custkey % 2 = 0 then 20000000 + c_custkey end", direccion="'D'", estatus="'ok'"))
+    return feeds.csv_people(_raw(get, nombre="case when c_custkey % 11 = 0 then 'Paciente' else c_name end", hospital="'H. Ñ'", edad="concat(c_custkey % 130, ' años')", cedula="case when c_custkey % 2 = 0 then concat('V-', 20000000 + c_custkey) end", direccion="'D'", estatus="'ok'"))
 
 
 @query(_nm("CASE WHEN c_custkey % 2 = 0 THEN 'found' ELSE 'missing' END", "c_name", _AGE119, "'T'", "'CI: ' || (20000000 + c_custkey) || ' | d | Centro: C'", "'unknown'", "registry", "'registry:' || c_custkey"))
@@ -530,9 +534,9 @@ def nm19_posts(get):
     return feeds.posts(get("documents").select(F.col("doc_id").alias("post_id"), F.col("text").alias("texto"), t.alias("tipo"), F.col("source").alias("autor_nombre")))
 
 
-@query(_nm("'missing'", "c_name", _AGE119, "c_mktsegment", "'CI: ' || (20000000 + c_custkey) || ' | d'", "NULL", "private_chat", "'k' || c_custkey"))
+@query(_nm("'missing'", "c_name", "c_custkey % 130", "c_mktsegment", "'CI: ' || (20000000 + c_custkey) || ' | d'", "NULL", "private_chat", "'k' || c_custkey"))
 def nm20_21_chat(get):
-    df = feeds.free_text(_raw(get, body="concat(c_name, ', F , ', c_custkey % 130, ',', c_mktsegment)", kind="'missing'", cedula="concat('V', 20000000 + c_custkey)", description="'d'", report_key="concat('k', c_custkey)"))
+    df = feeds.free_text(_raw(get, body="concat(c_name, ', F , ', c_custkey % 130, ',', c_mktsegment)", kind="case when c_custkey % 2 = 0 then 'missing' end", cedula="concat('V', 20000000 + c_custkey)", description="'d'", report_key="concat('k', c_custkey)"))
     return feeds.chat_reports(df)
 
 

@@ -108,7 +108,7 @@ def hospital_db(df: DataFrame, source: str = "hospital_db") -> DataFrame:
     v = _fields(df)
     raw = [F.coalesce(v(*n), F.lit("")) for n in (("nombre", "name"), ("hospital",), ("ciudad",))]
     key = F.coalesce(v("id"), F.concat(F.lit("hash:"), F.substring(F.sha2(F.concat_ws("|", *raw), 256), 1, 16)))
-    dead = F.lower(v("estado")).isin("fallecido", "fallecida", "muerto", "muerta", "deceased")
+    dead = F.lower(v("estado")).isin("fallecido", "muerto", "deceased")
     return _report(df, None, kind="found", full_name=F.coalesce(v("nombre", "name"), F.lit("Desconocido")), age=v("edad", "age").try_cast("int"), last_seen_location=v("hospital", "ubicacion", "ciudad"), distinguishing_marks=F.when(dead, "Fallecido"), source=source, source_url=F.concat(F.lit(f"{source}:"), key))
 
 
@@ -203,30 +203,31 @@ def tagged_tables(df: DataFrame, source: str = "tables") -> DataFrame:
 
 
 def _slug(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(deaccent(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    plain = F.regexp_replace(deaccent(c), "[^\\x00-\\x7F]", "")
+    return F.regexp_replace(F.substring(F.regexp_replace(plain, "[^a-z0-9]", "_"), 1, 40), "^_+|_+$", "")
 
 
 def csv_people(df: DataFrame, source: str = "csv_people") -> DataFrame:
-    """NM13, after SC5: keyed by identifier, else by name, hospital and age."""
+    """NM13, after SC5: keyed by identifier, else by name, hospital and age. Home addresses are left out."""
     v = _fields(df)
-    digits = text.id_digits(v("cedula"))
-    by_name = F.concat_ws("_", _slug(v("nombre")), _slug(v("hospital")), age_of(v("edad")).cast("string"))
-    marks = joined_marks(labelled("CI: ", digits), labelled("Estado: ", v("estatus")))
-    return _report(df, _named(v("nombre")), kind="found", full_name=v("nombre"), age=age_of(v("edad")), last_seen_location=F.nullif(F.concat_ws(", ", v("hospital"), v("direccion")), F.lit("")), distinguishing_marks=marks, source=source, source_url=F.concat(F.lit(f"{source}:"), F.coalesce(digits, by_name)))
+    name, known, age = v("nombre"), v("cedula"), v("edad")
+    by_name = F.concat(_slug(name), F.lit("_"), _slug(v("hospital")), F.when(age.isNotNull(), F.concat(F.lit("_"), _slug(age))).otherwise(""))
+    key = F.coalesce(F.concat(F.lit("ci_"), F.regexp_replace(known, "[^A-Za-z0-9]", "")), by_name)
+    marks = joined_marks(labelled("CI: ", known), labelled("Estatus: ", v("estatus")), most=1 << 30)
+    real = _named(name, least=1) & ~F.lower(name).isin("nombre", "name", "paciente", "n/a", "-")
+    return _report(df, real, kind="found", full_name=name, age=age_of(F.regexp_extract(age, "\\b(\\d{1,3})\\b", 1)), last_seen_location=v("hospital"), distinguishing_marks=marks, source=source, source_url=F.concat(F.lit(f"{source}:"), key))
 
 
 def cards(df: DataFrame, source: str = "cards") -> DataFrame:
-    """NM14, after SC9: name and a map fields of folded labels to values."""
+    """NM14, after SC9: name and a map fields of folded labels to values. The place is the last of those whose label begins
+    like one."""
     f = F.col("fields")
     name = blank_to_null(F.col("name"))
-
-    def at(k):
-        return blank_to_null(F.try_element_at(f, F.lit(k)))
-
-    age = F.regexp_extract(at("edad"), "\\d{1,3}", 0).try_cast("int")
-    place = F.coalesce(*(at(k) for k in ("ubicacion", "lugar", "hospital", "centro")))
+    age = F.regexp_extract(F.try_element_at(f, F.lit("edad")), "\\d{1,3}", 0).try_cast("int")
+    places = F.filter(F.map_entries(f), lambda e: e["key"].startswith("ubicacion") | e["key"].startswith("lugar") | e["key"].startswith("centro"))
+    place = blank_to_null(F.try_element_at(places, F.lit(-1))["value"])
     key = F.substring(F.md5(F.concat(F.lower(name), F.lit("|"), F.lower(F.coalesce(place, F.lit(""))))), 1, 16)
-    return _report(df, _named(name), kind="found", full_name=name, age=F.when(age.between(1, 129), age), last_seen_location=place, distinguishing_marks=labelled("Sexo: ", at("sexo")), source=source, source_url=F.concat(F.lit(f"{source}:"), key))
+    return _report(df, _named(name), kind="found", full_name=name, age=F.when(age.between(1, 129), age), last_seen_location=place, distinguishing_marks=labelled("Sexo: ", F.try_element_at(f, F.lit("sexo"))), source=source, source_url=F.concat(F.lit(f"{source}:"), key))
 
 
 def registry_people(df: DataFrame, source: str = "registry") -> DataFrame:
@@ -253,8 +254,9 @@ def registry_entries(df: DataFrame, source: str = "registry_lists") -> DataFrame
 def event_feed(df: DataFrame, source: str = "event_feed") -> DataFrame:
     """NM17: noise by design; _geolocation is an array of two numbers."""
     v = _fields(df)
-    geo = F.concat_ws(",", F.col("_geolocation").cast("array<string>")) if "_geolocation" in df.columns else F.lit(None).cast("string")
-    return _report(df, None, kind="found", full_name=F.concat(F.lit("EVENTO: "), F.coalesce(v("Evento"), F.lit("Sin tipo"))), last_seen_location=F.coalesce(v("Ubicacion"), F.nullif(geo, F.lit(""))), distinguishing_marks=F.coalesce(field(df, "Descripcion_del_evento"), F.lit("")), source=source, source_url=F.concat(F.lit(f"{source}:"), F.coalesce(v("_id"), F.lit(""))))
+    at = [F.get(F.col("_geolocation").cast("array<string>"), i) for i in (0, 1)] if "_geolocation" in df.columns else [F.lit(None).cast("string")]
+    geo = F.when(at[0].isNotNull() & at[-1].isNotNull(), F.concat_ws(",", *at))
+    return _report(df, None, kind="found", full_name=F.concat(F.lit("EVENTO: "), F.coalesce(v("Evento"), F.lit("Sin tipo"))), last_seen_location=F.coalesce(v("Ubicacion"), geo), distinguishing_marks=F.coalesce(field(df, "Descripcion_del_evento"), F.lit("")), source=source, source_url=F.concat(F.lit(f"{source}:"), F.coalesce(v("_id"), F.lit(""))))
 
 
 def legacy_people(df: DataFrame, source: str = "legacy") -> DataFrame:
@@ -274,10 +276,10 @@ def posts(df: DataFrame, source: str = "posts") -> DataFrame:
 
 
 def chat_reports(df: DataFrame, source: str = "private_chat") -> DataFrame:
-    """NM20: what a conversation has collected, under its key."""
+    """NM20: what a conversation has collected, under its key: missing unless it says otherwise, the marks whole."""
     v = _fields(df)
-    marks = joined_marks(id_mark(v("cedula")), v("description"))
-    return _report(df, v("kind").isin("missing", "found"), kind=v("kind"), full_name=F.coalesce(v("name"), F.lit("Desconocido")), age=age_of(v("age")), last_seen_location=v("location"), distinguishing_marks=marks, source=source, source_url=v("report_key"))
+    marks = joined_marks(id_mark(v("cedula")), v("description"), most=1 << 30)
+    return _report(df, None, kind=F.coalesce(v("kind"), F.lit("missing")), full_name=F.coalesce(v("name"), F.lit("")), age=v("age").try_cast("int"), last_seen_location=v("location"), distinguishing_marks=marks, source=source, source_url=v("report_key"))
 
 
 def free_text(df: DataFrame, column: str = "body") -> DataFrame:

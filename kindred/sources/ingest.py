@@ -86,14 +86,16 @@ def html_to_text(c: Column, max_chars: int | None = 12_000) -> Column:
 
 
 def extract_table_rows(pages: DataFrame, html: str = "html") -> DataFrame:
-    """SC7: doc, hospital, name, age of <tr> rows of three or four cells; heads and rows without a plausible name or age
-    drop out."""
+    """SC7: doc, hospital, name, age of <tr> rows: the first three cells, or the three after the first where there are four
+    or more. Heads and rows without a plausible name or age drop out."""
     rows = pages.select("doc", F.posexplode(F.regexp_extract_all(html, F.lit("(?is)<tr\\b[^>]*>(.*?)</tr>"))).alias("row", "tr"))
-    cells = F.transform(F.regexp_extract_all("tr", F.lit("(?is)<td\\b[^>]*>(.*?)</td>")), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), "\\s+", " ")))
-    r = rows.withColumn("c", cells).where("size(c) in (3, 4)")
-    shift = F.size("c") - 3
-    out = r.select("doc", "row", *(F.try_element_at("c", F.greatest(shift + i, F.lit(1))).alias(n) for i, n in ((1, "hospital"), (2, "name"), (3, "age"))))
-    return out.where(F.col("name").rlike("^[\\p{L}][\\p{L} .'-]{2,}$") & F.col("age").try_cast("int").between(1, 120))
+    cells = F.transform(F.regexp_extract_all("tr", F.lit("(?is)<t[dh]\\b[^>]*>(.*?)</t[dh]>")), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), "\\s+", " ")))
+    r = rows.withColumn("c", cells).where("size(c) >= 3").withColumn("whole", F.upper(F.array_join("c", " ")))
+    r = r.where(~(F.col("whole").contains("HOSPITAL") & (F.col("whole").contains("NOMBRE") | F.col("whole").contains("APELLIDO"))))
+    shift = F.when(F.size("c") >= 4, 1).otherwise(0)
+    hospital, name, age = (F.try_element_at("c", shift + i) for i in (1, 2, 3))
+    out = r.select("doc", "row", F.coalesce(F.nullif(F.regexp_replace(hospital, "^\\d+\\s+", ""), F.lit("")), F.lit("Hospital")).alias("hospital"), name.alias("name"), F.regexp_replace(age, "\\D", "").alias("age"))
+    return out.where(F.col("name").rlike("(?iu)^[A-ZÁÉÍÓÚÜÑ\\s/().-]{3,}") & F.col("age").try_cast("int").between(1, 120))
 
 
 def extract_pipe_rows(texts: DataFrame, column: str = "text") -> DataFrame:
