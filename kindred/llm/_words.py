@@ -7,6 +7,7 @@ every process.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,10 +17,7 @@ from pyspark.sql import DataFrame
 
 SLICE_BYTES = 2 << 20
 _MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 _rng = np.random.default_rng(20240501)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULT = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -37,24 +35,9 @@ def _table(lower: bool, alnum: bool) -> np.ndarray:
 
 #: Byte tables by (lower-case A-Z, letters and digits only): separators become a space.
 TABLES = {(lo, al): _table(lo, al) for lo in (False, True) for al in (False, True)}
-
-_powers: dict[str, np.ndarray] = {}
-
-
-def _pow(name: str, base: int, n: int) -> np.ndarray:
-    got = _powers.get(name)
-    if got is None or len(got) < n:
-        size = 1 << max(n - 1, 1).bit_length()
-        got = np.empty(size, np.uint64)
-        got[0] = 1
-        filled = 1
-        while filled < size:
-            take = min(filled, size - filled)
-            got[filled : filled + take] = got[:take] * np.uint64(pow(base, filled, 1 << 64))
-            filled += take
-        if size <= 2 * SLICE_BYTES:
-            _powers[name] = got
-    return got[:n]
+#: The table of lower-cased words of letters alone.
+LETTERS = TABLES[(True, True)].copy()
+LETTERS[48:58] = 32
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -68,6 +51,31 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 512
+
+
+def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes: its length, then lane after lane of eight bytes, each mixed before the next."""
+    size = end - start
+    if not len(size):
+        return np.empty(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    short = np.minimum(size, LONG_WORD)
+    out = mix(size.astype(np.uint64), 31)
+    rows, j = np.flatnonzero(short > 0), 0
+    while len(rows):
+        left = np.minimum(short[rows] - 8 * j, 8).astype(np.uint64)
+        lane = lanes[start[rows] + 8 * j] << (np.uint64(8) * (np.uint64(8) - left))
+        out[rows] = mix(out[rows] * np.uint64(0x9E3779B97F4A7C15) + lane, 32)
+        j += 1
+        rows = rows[short[rows] > 8 * j]
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 @dataclass
 class Words:
     """The words of some documents: byte ranges in data, document index and hash of each word."""
@@ -78,7 +86,6 @@ class Words:
     doc: np.ndarray
     hash: np.ndarray
     n_docs: int
-    prefix: np.ndarray
 
     def bounds(self) -> np.ndarray:
         """Where each document's words begin; one entry more than documents."""
@@ -86,13 +93,7 @@ class Words:
 
     def head(self, n: int) -> np.ndarray:
         """Hash of each word's first n bytes (all of a shorter word)."""
-        return self._range(self.start, np.minimum(self.end, self.start + n))
-
-    def _range(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if not len(start):
-            return np.empty(0, np.uint64)
-        raw = self.prefix[end] - self.prefix[start]
-        return mix(raw * _pow("inv", _BASE_INV, len(self.prefix))[start])
+        return range_hash(self.data, self.start, np.minimum(self.end, self.start + n))
 
 
 def short_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
@@ -128,13 +129,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             lo = hi
 
 
-def words(data: np.ndarray, off: np.ndarray, lower: bool = False, alnum: bool = False) -> Words:
-    """Words of the texts: runs of bytes other than space and 09-0D, or (alnum) of 0-9, a-z and bytes over 7F.
+def words(data: np.ndarray, off: np.ndarray, lower: bool = False, alnum: bool = False, letters: bool = False) -> Words:
+    """Words of the texts: runs of bytes other than space and 09-0D, or (alnum) of 0-9, a-z and bytes over 7F, or (letters)
+    of a-z and bytes over 7F.
 
     UTF-8 bytes of characters beyond ASCII are never separators, so this equals splitting by code points.
     """
     n = len(data)
-    mapped = TABLES[(lower, alnum)][data]
+    mapped = (LETTERS if letters else TABLES[(lower, alnum)])[data]
     is_word = mapped != 32
     before = np.empty(n, bool)
     after = np.empty(n, bool)
@@ -147,12 +149,8 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = False, alnum: bool =
         after[first[first > 0] - 1] = True
     start = np.flatnonzero(is_word & before)
     end = np.flatnonzero(is_word & after) + 1
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[mapped] * _pow("pow", _BASE, n), out=prefix[1:])
     doc = np.searchsorted(off, start, "right") - 1
-    out = Words(mapped, start, end, doc, np.empty(0, np.uint64), len(off) - 1, prefix)
-    out.hash = out._range(start, end)
-    return out
+    return Words(mapped, start, end, doc, range_hash(mapped, start, end), len(off) - 1)
 
 
 def runs(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -146,6 +146,25 @@ def op10_token_lengths(spark, sf_dir):
     return length_report(encoded_lengths(table(spark, sf_dir, "documents")))
 
 
+@query
+def op11_token_files(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .token_files import decode, new_folder, write_tokens
+
+    docs = table(spark, sf_dir, "documents")
+    folder = new_folder(docs)
+    write_tokens(docs, folder)
+    return decode(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op12_source_divergence(spark, sf_dir):
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"), least_docs=3, ranks=200)
+
+
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -241,3 +260,23 @@ SELECT page_id AS record_id, cu AS canonical_url, ts, kind, outcome, CASE outcom
     ELSE concat_ws('|', 'cache-control=' || cc, 'content-type=' || ct, 'date=' || dt, 'etag=' || tag, 'last-modified=' || lm) END AS merged,
   CASE outcome WHEN 'response' THEN body WHEN 'resolved' THEN e_body END AS body_md5 FROM m
 """
+
+_UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_SQL["op12_source_divergence"] = f"""
+WITH x AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+d AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOW}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM x),
+kept AS (SELECT lang, t, count(*)::HUGEINT AS n FROM d GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT x.lang, source, coalesce(v, 0) AS v FROM x LEFT JOIN v USING (lang)),
+own AS (SELECT lang, source, t, count(*)::HUGEINT AS n FROM d GROUP BY ALL),
+c AS (SELECT g.lang, g.source, v, k.t, coalesce(o.n, 0) AS n, k.n AS total FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.t = k.t),
+p AS (SELECT *, 1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + v) AS p FROM c),
+pairs AS (SELECT a.lang, a.source, a.v, b.source AS item FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+term AS (SELECT p.lang, p.source, p.v, t AS item, p, 1 + (1000000000 * (total + 1)) // (v.n + v.v) AS q FROM p JOIN v ON v.lang = p.lang WHERE p.n > 0),
+u AS (SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value, v FROM pairs LEFT JOIN far USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', item, ((p - q) * (p - q)) // q, v FROM term WHERE p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank, v::BIGINT AS n_terms
+FROM u QUALIFY part = 'pair' OR rank <= 200
+"""
