@@ -33,8 +33,8 @@ _VISIBLE = _LETTER | _MARK | _DIGIT
 
 def piece_starts(data: np.ndarray, off: np.ndarray, words: bool = False) -> np.ndarray:
     """Where the pieces of UTF-8 texts begin: at each text, and at a space after a visible ASCII character, or after a byte
-    of another character if a visible ASCII character follows; with words also at a mark other than | after a letter and at
-    both ends of a line break next to a visible character (all of ASCII).
+    of another character if a visible ASCII character follows; with words also at a mark other than | after a letter, at a line
+    break after a visible character and at a visible character after such a break (all of ASCII).
 
     Byte-level vocabularies split at all of these places whatever is around them (| can be inside a special token). Pieces
     of the other kind have their space in front and none inside. So the ids of a text are those of its pieces, one after
@@ -48,7 +48,9 @@ def piece_starts(data: np.ndarray, off: np.ndarray, words: bool = False) -> np.n
     seen = (before & _VISIBLE) > 0
     cut = (kind == _SPACE) & (seen | ((before == _OTHER) & ((after & _VISIBLE) > 0)))
     if words:
-        cut |= ((kind == _MARK) & (before == _LETTER) & (data != 124)) | ((kind == _BREAK) & seen) | ((before == _BREAK) & ((kind & _VISIBLE) > 0))
+        single = np.zeros(len(data), bool)
+        single[1:] = ((kind == _BREAK) & seen)[:-1]
+        cut |= ((kind == _MARK) & (before == _LETTER) & (data != 124)) | ((kind == _BREAK) & seen) | (single & ((kind & _VISIBLE) > 0))
     cut[off[:-1][off[:-1] < len(data)]] = True
     return np.flatnonzero(cut)
 
@@ -118,8 +120,10 @@ def byte_level(source: bytes, special_as_text: bool) -> Encoder:
 
 @lru_cache(1)
 def piece_level(source: bytes) -> Encoder:
-    """Encoder of a sentencepiece model, which sets a space before a text, so that pieces go without theirs."""
+    """Encoder of a sentencepiece model, which sets a space before a text, so that pieces go without theirs; a space alone
+    is a piece of the vocabulary."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_proto=source)
-    return Encoder(lambda pieces: model.encode([x[1:] for x in pieces], num_threads=1), False)
+    space = [model.piece_to_id("▁")]
+    return Encoder(lambda pieces: [space if x == " " else y for x, y in zip(pieces, model.encode([x[1:] for x in pieces], num_threads=1), strict=True)], False)

@@ -153,6 +153,37 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = False, alnum: bool =
     return Words(mapped, start, end, doc, range_hash(mapped, start, end), len(off) - 1)
 
 
+def word_column(w: Words) -> pa.LargeStringArray:
+    """The words as an Arrow column."""
+    size = w.end - w.start
+    off = np.concatenate([[0], np.cumsum(size)])
+    data = w.data[np.repeat(w.start - off[:-1], size) + np.arange(off[-1])]
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data))
+
+
+def text_names(w: Words, off: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers for each text, a cryptographic hash of its words in their order."""
+    keep = w.data != 32
+    keep[1:] |= keep[:-1].copy()
+    cut = np.concatenate([[0], np.cumsum(keep)])[off]
+    raw = w.data[keep].tobytes()
+    names = b"".join(hashlib.blake2b(raw[a:b].strip(b" "), digest_size=16).digest() for a, b in zip(cut[:-1], cut[1:], strict=True))
+    return np.frombuffer(names, "<u8").reshape(-1, 2)
+
+
+def same_words(a: Words, at_a: np.ndarray, b: Words, at_b: np.ndarray, k: int) -> np.ndarray:
+    """Whether the k words from each place on are the same in both."""
+    words_a, words_b = ((at[:, None] + np.arange(k)).ravel() for at in (at_a, at_b))
+    size = a.end[words_a] - a.start[words_a]
+    same = size == b.end[words_b] - b.start[words_b]
+    size = np.where(same, size, 0)
+    off = np.cumsum(size) - size
+    byte = np.arange(size.sum())
+    differs = a.data[np.repeat(a.start[words_a] - off, size) + byte] != b.data[np.repeat(b.start[words_b] - off, size) + byte]
+    upto = np.concatenate([[0], np.cumsum(differs)])
+    return (same & (upto[off + size] == upto[off])).reshape(-1, k).all(1)
+
+
 def runs(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words within a document, and the index of each run's first word."""
     n = len(h) - k + 1
@@ -187,10 +218,3 @@ def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         keep[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
         h, owner = h[keep], owner[keep]
     return h, np.searchsorted(owner, np.arange(w.n_docs + 1))
-
-
-def grouped_sum(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Sums of x between neighbouring cuts, wrapping at 64 bits."""
-    total = np.zeros(len(x) + 1, x.dtype)
-    np.cumsum(x, out=total[1:])
-    return total[cut[1:]] - total[cut[:-1]]

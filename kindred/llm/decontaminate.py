@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import Scratch, checkpointed
-from ._words import mix, runs, short_batches, slices, words
+from ._words import mix, runs, short_batches, slices, word_column, words
 
 GRAM = 3
 BLOCK = 1_000_000
+#: Windows that a row batch holds.
+WINDOWS = 4096
 
 
 def _grams(w, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -29,30 +31,32 @@ def _grams(w, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """item_id, words, gram and the gram's place in the window, for every gram of every window of the items."""
+    """item_id, words and grams (numbers, in order of place) of every window of the items, a few thousand windows at a time
+    however long an item is."""
 
     def split(batches):
         for piece, data, off in slices(batches):
             w = words(data, off, lower=True, alnum=True)
-            cut = w.bounds()
-            text = [bytes(data_) for data_ in (w.data[a:b] for a, b in zip(w.start, w.end, strict=True))]
+            cut, column = w.bounds(), word_column(w).cast(pa.string())
             by_size = {k: _grams(w, k) for k in range(1, GRAM + 1)}
-            out: list[tuple] = []
-            for i, name in enumerate(piece.column(0).to_pylist()):
-                a, b = int(cut[i]), int(cut[i + 1])
-                if a == b:
+            for i, name in enumerate(piece.column(0)):
+                a, n = int(cut[i]), int(cut[i + 1] - cut[i])
+                if not n:
                     continue
-                size = min(window, b - a)
-                h, at = by_size[min(GRAM, size)]
-                for s in range(a, b - size + 1):
-                    lo, hi = np.searchsorted(at, [s, s + size - min(GRAM, size) + 1])
-                    own = [t.decode() for t in text[s : s + size]]
-                    out += [(name, own, int(g), int(p - s)) for g, p in zip(h[lo:hi].view(np.int64), at[lo:hi], strict=True)]
-            if out:
-                ids, own, gram, place = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(own), pa.array(gram), pa.array(place, pa.int32())], ["item_id", "words", "gram", "place"])
-
-    return items.select(F.col("item_id").cast("string"), "text").where("item_id is not null").mapInArrow(split, "item_id string, words array<string>, gram long, place int")
+                size = min(window, n)
+                gram = min(GRAM, size)
+                h, at = by_size[gram]
+                # a text's grams follow one another
+                h = h[np.searchsorted(at, a) :].view(np.int64)
+                for lo in range(0, n - size + 1, WINDOWS):
+                    first = np.arange(lo, min(lo + WINDOWS, n - size + 1))
+                    own = column.take(pa.array((a + first[:, None] + np.arange(size)).ravel()))
+                    grams = pa.array(h[(first[:, None] + np.arange(size - gram + 1)).ravel()])
+                    steps = np.arange(len(first) + 1, dtype=np.int32)
+                    lists = [pa.ListArray.from_arrays(pa.array(steps * np.int32(len(x) // len(first))), x) for x in (own, grams)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(first), pa.string()), *lists], ["item_id", "words", "grams"])
+
+    return items.select(F.col("item_id").cast("string"), "text").mapInArrow(split, "item_id string, words array<string>, grams array<long>")
 
 
 def _found(w, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +90,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 
     Words are runs of 0-9, a-z and characters beyond ASCII, after lower-casing A-Z. A window is that many consecutive words
     of an item; an item of fewer words, but not none, is one window. A document's word inside an occurrence of a window is
-    hit. Null and empty texts have no words; items without text or item_id have no windows. Repeated items count once by
-    item_id. Rows that share a doc_id give one row: the most words, and the hits of all of them. Rows without a doc_id are
+    hit. Null and empty texts have no words; items without text have no windows. Items without item_id hit words, but are
+    not among a document's items. Repeated items count once by item_id. Rows that share a doc_id give one row: the most words, and the hits of all of them. Rows without a doc_id are
     left out. Other columns are ignored. Empty tables give an empty result or no hits.
     """
     docs = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
@@ -130,7 +134,8 @@ def _scanner(wanted: np.ndarray, window: int, summary: bool):
 
 
 def _hits(docs: DataFrame, items: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    grams = scratch.hold(item_windows(items, window))
+    windows = scratch.hold(item_windows(items, window).withColumn("window", F.monotonically_increasing_id()))
+    grams = windows.select("window", F.posexplode("grams").alias("place", "gram"))
     counts = None
     for wanted in _blocks(grams):
         part = docs.select("text").mapInArrow(_counter(wanted), "gram long, seen long")
@@ -138,8 +143,8 @@ def _hits(docs: DataFrame, items: DataFrame, window: int, scratch: Scratch) -> D
     rarity = counts.groupBy("gram").agg(F.sum("seen").alias("seen"))
     # a window with a shingle that no document has cannot occur
     ranked = grams.join(rarity, "gram", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
-    chosen = ranked.groupBy("item_id", "words").agg(F.min(F.struct("seen", "gram", "place")).alias("best")).where("best.seen > 0")
-    chosen = scratch.hold(chosen.select("item_id", "words", "best.gram", "best.place"))
+    chosen = ranked.groupBy("window").agg(F.min(F.struct("seen", "gram", "place")).alias("best")).where("best.seen > 0")
+    chosen = scratch.hold(windows.join(chosen, "window").select("item_id", "words", "best.gram", "best.place"))
     # what occurs is compared once for all items that have it, under a number
     probes = scratch.hold(chosen.groupBy("words", "gram", "place").count().select("words", "gram", "place", F.monotonically_increasing_id().alias("number")))
     owners = chosen.join(probes, ["words", "gram", "place"]).select("number", "item_id")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ._graph import Scratch, checkpointed
-from ._words import mix, short_batches, slices, words
+from ._words import short_batches, slices, word_column, words
 
 SCALE = 1_000_000_000
 #: Term counts that a task holds before it hands them on.
@@ -55,7 +55,7 @@ def term_counts(docs: DataFrame, bits: int = 64) -> DataFrame:
             w = words(data, off, lower=True, letters=True)
             digest = w.hash >> np.uint64(64 - bits)
             own = np.array([groups.setdefault(g, len(groups)) for g in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), strict=True)], np.int64)
-            text = pa.LargeStringArray.from_buffers(len(w.start), *_gathered(w)).dictionary_encode()
+            text = word_column(w).dictionary_encode()
             term = text.indices.to_numpy()
             # a term's rows of one document, then of one group
             order, at = _runs(term, w.doc)
@@ -97,14 +97,6 @@ def term_counts(docs: DataFrame, bits: int = 64) -> DataFrame:
 COLUMNS = ["lang", "source", "digest", "count", "n_docs", "term"]
 
 
-def _gathered(w) -> list:
-    """Buffers of an Arrow column of the words."""
-    size = w.end - w.start
-    off = np.concatenate([[0], np.cumsum(size)])
-    data = w.data[np.repeat(w.start - off[:-1], size) + np.arange(off[-1])]
-    return [pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)]
-
-
 def divergence(docs: DataFrame, least_docs: int = 3, ranks: int = 200, bits: int = 64) -> DataFrame:
     """lang, source, part, item, value, rank and n_terms (kept terms of the lang) for every (lang, source) group of docs.
 

@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join by parity sketches.
 
-Two texts link when the Jaccard similarity of their sets of k-word shingles is at least p percent. Texts with the same
-set form a class; one representative of each class takes part in the join.
+Two texts link when the Jaccard similarity of their sets of k-word shingles is at least p percent. Texts of the same words
+in the same order, by 128 bits of a cryptographic hash, form a class; one representative of each class takes part in the
+join.
 
 A set of shingles is hashed into a parity sketch: each shingle flips one cell, so the Hamming distance of two sketches is
 at most the size d of the sets' symmetric difference, and linked sets of which the smaller has n shingles have
@@ -12,7 +13,7 @@ the number of them to expect, and a set with more than s empty blocks joins by i
 lost. A set joins in its own band, and in each smaller one that has a set which the limit can reach.
 
 Candidates pass a second parity sketch (512 bits, the Hamming bound again), then an exact comparison of the texts'
-shingles. A block shared by many sets is not expanded into pairs: its members are compared with its first member, linked
+shingles: those whose hashes agree are compared word by word. A block shared by many sets is not expanded into pairs: its members are compared with its first member, linked
 sets are contracted to components, then each set is compared with its nearest of another component, and at last all pairs
 still across components are. Blocks of more than TILE members are compared tile by tile. What three or more sets of a
 task's batch share is compared and listed there, and only the first of them goes on to meet those of other batches, so a
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import Scratch, checkpointed, components
-from ._words import grouped_sum, mix, shingle_sets, short_batches, slices, text_buffer, words
+from ._words import mix, runs, same_words, shingle_sets, short_batches, slices, text_buffer, text_names, words
 
 TILE = 2048
 #: Members of blocks that one task compares.
@@ -45,20 +46,19 @@ ROW_ENTRIES = 16_384
 
 
 def bands(percent: int, largest: int = 1 << 40) -> list[tuple[int, int, int, int]]:
-    """(smallest size, largest size, blocks, s) of each band of set sizes; sets that can't differ have none."""
+    """(smallest size, largest size, blocks, s) of each band of set sizes; sets that can't differ are one block."""
     if not 0 < percent <= 100:
         raise ValueError(f"percent is {percent}, not between 1 and 100")
     out, lo = [], 1
     while lo < largest:
         hi = max(lo, lo * 4 // 3)
         most = hi * (100 - percent) // percent
-        if most:
-            spare, blocks = 0, most + 1
-            if most >= 7:
-                empty = (most + 1) * np.exp(-lo / (most + 1))
-                spare = int(np.ceil(empty + 3 * np.sqrt(empty)))
-                blocks += spare
-            out.append((lo, hi, blocks, spare))
+        spare, blocks = 0, most + 1
+        if most >= 7:
+            empty = (most + 1) * np.exp(-lo / (most + 1))
+            spare = int(np.ceil(empty + 3 * np.sqrt(empty)))
+            blocks += spare
+        out.append((lo, hi, blocks, spare))
         lo = hi + 1
     return out
 
@@ -67,14 +67,12 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int):
     for piece, data, off in slices(batches):
         w = words(data, off, lower=True)
         h, cut = shingle_sets(w, k)
-        n = np.diff(cut)
-        with np.errstate(over="ignore"):
-            fp1, fp2 = grouped_sum(mix(h, 11), cut), grouped_sum(mix(h, 12), cut)
-        yield piece.column(piece.schema.get_field_index("doc_id")), h, cut, n, mix(fp1, 13), mix(fp2, 14)
+        names = text_names(w, off)
+        yield piece.column(piece.schema.get_field_index("doc_id")), h, cut, np.diff(cut), names[:, 0].copy(), names[:, 1].copy()
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, set size, 128-bit fingerprint of the set and 512-bit parity sketch of every row."""
+    """doc_id, set size, 128-bit name of the words and 512-bit parity sketch of the set of every row."""
 
     def sign(batches):
         for ids, h, cut, n, fp1, fp2 in _sets(batches, k):
@@ -296,11 +294,53 @@ def _across(open_: DataFrame, names: DataFrame, percent: int, best: bool) -> Dat
     return tiled.groupBy("part").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose shingle sets reach the similarity. texts: cls, packed."""
+class _Shingles:
+    """A text's distinct shingles by hash (bits wide), each with its first place; exact is whether equal hashes have equal
+    words. A text of fewer than k words is one shingle."""
+
+    def __init__(self, data: np.ndarray, k: int, bits: int):
+        self.words = w = words(data, np.array([0, len(data)]), lower=True)
+        self.k = min(k, len(w.start))
+        h, at = runs(w.hash, w.doc, self.k) if self.k else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        h = h >> np.uint64(64 - bits)
+        order = np.argsort(h, kind="stable")
+        h, at = h[order], at[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+        lead = np.repeat(at[first], np.diff(np.append(first, len(h))))
+        again = at != lead
+        self.exact = bool(same_words(w, at[again], w, lead[again], self.k).all()) if again.any() else True
+        self.hash, self.at = h[first], at[first]
+
+    def tuples(self) -> set[tuple[bytes, ...]]:
+        own = self.words.data.tobytes().split()
+        return {tuple(own[i : i + self.k]) for i in range(len(own) - self.k + 1)} if self.k else set()
+
+    def linked(self, other: _Shingles, percent: int) -> bool:
+        """Whether the sets' similarity is reached. Hashes can only show more in common than there is, so what they refuse
+        is not compared; what they pass is, word by word, and set by set where a hash stands for several shingles."""
+
+        def reached(n: int, m: int, both: int) -> bool:
+            return both > 0 and 100 * both >= percent * (n + m - both)
+
+        p, q = (self, other) if len(self.hash) <= len(other.hash) else (other, self)
+        if p.exact and q.exact:
+            if not len(p.hash):
+                return False
+            at = np.minimum(np.searchsorted(q.hash, p.hash), len(q.hash) - 1)
+            met = np.flatnonzero(q.hash[at] == p.hash)
+            if not reached(len(p.hash), len(q.hash), len(met)):
+                return False
+            if p.k == q.k and same_words(p.words, p.at[met], q.words, q.at[at[met]], p.k).all():
+                return True
+        x, y = self.tuples(), other.tuples()
+        return reached(len(x), len(y), len(x & y))
+
+
+def _verifier(k: int, percent: int, bits: int = 64):
+    """Batches of pairs with packed texts -> those linked. bits is the width of hashes: fewer only cost time."""
 
     def verify(batches):
-        last: dict[int, np.ndarray] = {}
+        last: dict[int, _Shingles] = {}
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep = []
@@ -309,25 +349,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 for name, col in ((x, "left"), (y, "right")):
                     got = last.get(name)
                     if got is None:
-                        data = np.frombuffer(zstandard.decompress(batch.column(col)[i].as_py()), np.uint8)
-                        got = shingle_sets(words(data, np.array([0, len(data)]), lower=True), k)[0]
+                        got = _Shingles(np.frombuffer(zstandard.decompress(batch.column(col)[i].as_py()), np.uint8), k, bits)
                         if len(last) > 256:
                             last.clear()
                         last[name] = got
                     sets.append(got)
-                p, q = sets
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                both = int(np.sum(q[np.minimum(at, len(q) - 1)] == p)) if len(q) else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
+                keep.append(sets[0].linked(sets[1], percent))
             kept = np.flatnonzero(keep)
             if len(kept):
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), batch.column(1).take(pa.array(kept))], ["src", "dst"])
 
+    return verify
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose shingle sets reach the similarity. texts: cls, packed."""
     left = pairs.join(texts.select(F.col("cls").alias("a"), F.col("packed").alias("left")), "a")
     both = left.join(texts.select(F.col("cls").alias("b"), F.col("packed").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(verify, "src long, dst long")
+    return both.select("a", "b", "left", "right").mapInArrow(_verifier(k, percent), "src long, dst long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -344,7 +383,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     bands(percent)
     with Scratch(docs) as scratch:
         signed = scratch.hold(signatures(docs, k))
-        # a class is a set of shingles; cls names it, two classes of one name only share their candidates
+        # a class is a sequence of words; cls names it, two classes of one name only share their candidates
         classes = signed.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
         classes = scratch.hold(classes)
         total = signed.agg(F.sum("n_shingles")).first()[0] or 0

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import checkpointed
-from ._words import _MULT, Words, mix, short_batches, slices, words
+from ._words import _MULT, Words, mix, short_batches, slices, text_names, words
 
 #: Windows that a group and a batch hold.
 GROUP = 600_000
@@ -39,6 +39,8 @@ LEVELS = (1, 2, 3)
 SLOT_BITS = 14
 #: Text that one task puts together in the end.
 TEXT_BYTES = 8 << 20
+#: Shared doc_ids that are sent to every task.
+FEW_IDS = 100_000
 
 
 def word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, int]:
@@ -203,15 +205,15 @@ def _encode(ids: np.ndarray, prints: np.ndarray, pos: np.ndarray) -> tuple[bytes
     body = step.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
     squeeze = zstandard.ZstdCompressor(1).compress
     head = np.array([len(at), len(ids)], np.int64).tobytes()
-    return squeeze(head + table + prints[at].astype(np.uint16).tobytes() + n.astype(np.uint32).tobytes()), squeeze(body)
+    return squeeze(head + table + prints[at].astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() + n.astype(np.uint32).tobytes()), squeeze(body)
 
 
 def _decode(table: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw, steps = zstandard.decompress(table), zstandard.decompress(body)
     d, m = np.frombuffer(raw, np.int64, 2)
     ids = np.cumsum(np.frombuffer(raw, np.uint8, 8 * d, 16).reshape(8, d).T.copy().view("<i8").ravel())
-    prints = np.frombuffer(raw, np.uint16, d, 16 + 8 * d)
-    n = np.frombuffer(raw, np.uint32, d, 16 + 10 * d).astype(np.int64)
+    prints = np.frombuffer(raw, np.uint8, 8 * d, 16 + 8 * d).reshape(8, d).T.copy().view("<u8").ravel()
+    n = np.frombuffer(raw, np.uint32, d, 16 + 16 * d).astype(np.int64)
     step = np.frombuffer(steps, np.uint8).reshape(4, m).T.copy().view("<u4").ravel().astype(np.int64)
     total = np.cumsum(step)
     start = np.concatenate([[0], np.cumsum(n)[:-1]]) if d else np.empty(0, np.int64)
@@ -219,13 +221,11 @@ def _decode(table: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.repeat(ids, n), np.repeat(prints, n), total
 
 
-def _prints(w) -> np.ndarray:
-    """16 bits of each text's words, to tell apart rows that share a doc_id."""
-    from ._words import grouped_sum
-
-    cut = w.bounds()
-    order = mix(w.hash + (np.arange(len(w.hash)) - np.repeat(cut[:-1], np.diff(cut))).astype(np.uint64), 23)
-    return (mix(grouped_sum(order, cut), 24) >> np.uint64(48)).astype(np.uint16)
+def _prints(w, off: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """64 bits of a cryptographic hash of a text's words where other rows share its doc_id, to tell them apart; else 0."""
+    if not shared.any():
+        return np.zeros(len(shared), np.uint64)
+    return np.where(shared, text_names(w, off)[:, 0], np.uint64(0))
 
 
 def _emit(window: int, first: np.ndarray, parts: np.ndarray, buckets: int):
@@ -238,7 +238,8 @@ def _emit(window: int, first: np.ndarray, parts: np.ndarray, buckets: int):
             w = words(data, off)
             ids = np.asarray(piece.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False), np.int64)
             at, anchor, prefixes, path = _windows(w, window)
-            held.append((w, ids, at, anchor, _groups(prefixes, path, first, parts), path))
+            shared = np.asarray(piece.column(2).to_numpy(zero_copy_only=False), bool)
+            held.append((w, ids, at, anchor, _groups(prefixes, path, first, parts), path, _prints(w, off, shared)))
             size += len(at)
             if size > BATCH:
                 yield from blobs(held)
@@ -254,7 +255,7 @@ def _emit(window: int, first: np.ndarray, parts: np.ndarray, buckets: int):
         start = np.concatenate([w.start + r for (w, *_), r in zip(held, room, strict=False)])
         end = np.concatenate([w.end + r for (w, *_), r in zip(held, room, strict=False)])
         at, anchor = (np.concatenate([x[i] + b for x, b in zip(held, base, strict=False)]) for i in (2, 3))
-        ids, prints, pos = (np.concatenate(x) for x in zip(*((ids[w.doc[at]], _prints(w)[w.doc[at]], at - w.bounds()[w.doc[at]]) for w, ids, at, *_ in held), strict=True))
+        ids, prints, pos = (np.concatenate(x) for x in zip(*((ids[w.doc[at]], prints[w.doc[at]], at - w.bounds()[w.doc[at]]) for w, ids, at, *_, prints in held), strict=True))
         group, path = (np.concatenate([x[i] for x in held]) for i in (4, 5))
         held.clear()
         codes, _ = word_codes(data, start, end)
@@ -339,15 +340,15 @@ def _rows(kind: int, rows: list[tuple]) -> pa.RecordBatch:
 def _by_bucket(ids: np.ndarray, prints: np.ndarray, pos: np.ndarray, buckets: int):
     if not len(ids):
         return
-    bucket = _bucket(ids, buckets)
+    bucket = _bucket(ids, prints, buckets)
     order = np.lexsort((pos, prints, ids, bucket))
     ids, prints, pos, bucket = ids[order], prints[order], pos[order].astype(np.int64), bucket[order]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     yield _rows(1, [(int(bucket[a]), b"", *_encode(ids[a:b], prints[a:b], pos[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)])
 
 
-def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (((mix(ids.view(np.uint64), 25) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+def _bucket(ids: np.ndarray, prints: np.ndarray, buckets: int) -> np.ndarray:
+    return (((mix(ids.view(np.uint64) + prints, 25) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
 SCHEMA = "kind int, part long, path binary, head binary, body binary"
@@ -364,6 +365,9 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """
     docs = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     counts = census(docs, window)
+    several = docs.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("shared"))
+    n_several = several.count()
+    docs = docs.withColumn("shared", F.lit(False)) if not n_several else docs.join(F.broadcast(several) if n_several <= FEW_IDS else several, "doc_id", "left").na.fill(False, ["shared"])
     first, parts = prefix_plan(counts)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, size // TEXT_BYTES)
@@ -375,13 +379,14 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     def pack(batches):
         squeeze = zstandard.ZstdCompressor(1).compress
         for piece, data, off in slices(batches):
-            ids = np.asarray(piece.column(0).to_numpy(zero_copy_only=False), np.int64)
-            bucket = _bucket(ids, buckets)
+            ids, shared = (np.asarray(piece.column(i).to_numpy(zero_copy_only=False)) for i in (0, 2))
+            prints = _prints(words(data, off), off, shared) if shared.any() else np.zeros(len(ids), np.uint64)
+            bucket = _bucket(ids, prints, buckets)
             raw, rows = data.tobytes(), []
             for b in np.unique(bucket):
                 at = np.flatnonzero(bucket == b)
                 body = b"".join(raw[off[i] : off[i + 1]] for i in at)
-                rows.append((int(b), ids[at].tobytes(), np.diff(off)[at].astype(np.int64).tobytes(), squeeze(body)))
+                rows.append((int(b), ids[at].tobytes(), np.diff(off)[at].astype(np.int64).tobytes() + prints[at].tobytes(), squeeze(body)))
             yield _rows(2, rows)
 
     def restore(table: pa.Table) -> pa.Table:
@@ -394,13 +399,12 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                 marks.setdefault((int(ids[a]), int(prints[a])), []).append(pos[a:b])
         out: list[tuple] = []
         for i in np.flatnonzero(kind == 2):
-            ids, n = np.frombuffer(table.column("path")[i].as_py(), np.int64), np.frombuffer(table.column("head")[i].as_py(), np.int64)
+            ids, head = np.frombuffer(table.column("path")[i].as_py(), np.int64), table.column("head")[i].as_py()
+            n, prints = np.frombuffer(head, np.int64, len(ids)), np.frombuffer(head, np.uint64, len(ids), 8 * len(ids))
             body, off = zstandard.decompress(table.column("body")[i].as_py()), np.concatenate([[0], np.cumsum(n)])
-            named = {int(x) for x in ids} & {k[0] for k in marks}
-            prints = _prints(words(np.frombuffer(body, np.uint8), off)) if named else np.zeros(len(ids), np.uint16)
             for j, x in enumerate(ids):
                 own = body[off[j] : off[j + 1]].split()
-                at = marks.get((int(x), int(prints[j]))) if named else None
+                at = marks.get((int(x), int(prints[j])))
                 removed = 0
                 total = len(own)
                 if at:

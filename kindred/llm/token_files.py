@@ -197,16 +197,23 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, shard
         for piece, data, off in slices(batches):
             ids, cut = encoder.ids(data, off)
             count = np.diff(cut) + 1
+            ends = np.cumsum(count)
             whole = np.full(len(ids) + len(count), END, np.int32)
             at = np.ones(len(whole), bool)
-            at[np.cumsum(count) - 1] = False
+            at[ends - 1] = False
             whole[at] = ids
-            held.append((piece.column(0).fill_null(0).to_numpy(), piece.column(0).is_null().to_numpy(zero_copy_only=False), whole, count))
-            size += len(whole)
-            if size >= shard_ids:
-                yield shard()
-                before, seq, size = before + size, seq + 1, 0
-                held.clear()
+            names, null = piece.column(0).fill_null(0).to_numpy(), piece.column(0).is_null().to_numpy(zero_copy_only=False)
+            lo = done = 0
+            while lo < len(count):
+                # documents until the shard is full
+                hi = min(int(np.searchsorted(ends, done + shard_ids - size)) + 1, len(count))
+                held.append((names[lo:hi], null[lo:hi], whole[done : ends[hi - 1]], count[lo:hi]))
+                size += int(ends[hi - 1]) - done
+                lo, done = hi, int(ends[hi - 1])
+                if size >= shard_ids:
+                    yield shard()
+                    before, seq, size = before + size, seq + 1, 0
+                    held.clear()
         if held:
             yield shard()
 
