@@ -150,6 +150,64 @@ def test_jaccard_rows_that_share_a_doc_id(spark):
     assert {tuple(r) for r in jaccard_components(table(spark, rows), 3, 90).collect()} == {(7, 4, 7), (9, 4, 7)}
 
 
+def thue_morse(n):
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a
+
+
+def test_jaccard_of_words_that_weak_hashes_confuse(spark):
+    from kindred.llm.ngram_join import jaccard_components
+
+    a = thue_morse(1024)
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{a} {a} {b} {a}", "en", "s"), (2, f"{b} {b} {a} {b}", "en", "s"), (3, a, "en", "s"), (4, b, "en", "s")]
+    assert {(r.doc_id, r.component_id) for r in jaccard_components(table(spark, rows), 3, 90).collect()} == {(i, i) for i in range(1, 5)}
+
+
+def test_jaccard_links_equal_sets_in_another_order(spark):
+    from kindred.llm.ngram_join import jaccard_components
+
+    rows = [(1, "a b c a b c", "en", "s"), (2, "a b c a b c a", "en", "s"), (3, "b c a b c a b c a b", "en", "s"), (4, "a b", "en", "s"), (5, "A  b", "en", "s")]
+    for percent in (90, 100):
+        assert {(r.doc_id, r.component_id) for r in jaccard_components(table(spark, rows), 3, percent).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+
+
+@pytest.mark.parametrize("bits", [64, 6, 1])
+def test_jaccard_verifies_by_words_where_hashes_collide(bits):
+    import pyarrow as pa
+    import zstandard
+
+    from kindred.llm.ngram_join import _verifier
+
+    rng = np.random.default_rng(5)
+    texts = ["", "a b", "a  B", "b a", "a b c", "a b c a b c", "a b c a b c a"]
+    for _ in range(40):
+        w = list(rng.choice(WORDS, int(rng.integers(1, 60))))
+        texts.append(" ".join(w))
+        for j in rng.integers(0, len(w), 1):
+            w[j] = "otro"
+        texts.append(" ".join(w))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    pack = zstandard.ZstdCompressor().compress
+    batch = pa.record_batch({"a": [i for i, _ in pairs], "b": [j for _, j in pairs], "left": [pack(texts[i].encode()) for i, _ in pairs], "right": [pack(texts[j].encode()) for _, j in pairs]})
+    got = {(x, y) for out in _verifier(3, 80, bits)(iter([batch])) for x, y in zip(out["src"].to_pylist(), out["dst"].to_pylist())}
+    sets = [shingles(t, 3) for t in texts]
+    assert got == {(i, j) for i, j in pairs if sets[i] & sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+
+
+def test_repeats_of_many_rows_that_share_one_id(spark):
+    """With 300 texts of one doc_id, 16 bits can't tell them apart: only the copy of the first row's text loses words."""
+    from kindred.llm.substring_dedup import remove_repeats
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 30, 14))) for _ in range(300)]
+    rows = [(1, texts[0], "en", "s"), *((5, t, "en", "s") for t in texts), (5, texts[0], "en", "s")]
+    got = collections.Counter((r.doc_id, r.n_removed) for r in remove_repeats(table(spark, rows), 13).collect())
+    assert got == {(1, 0): 1, (5, 14): 2, (5, 0): 299}
+
+
 def test_repeats_equal_brute_force(spark, corpus):
     from kindred.llm.substring_dedup import remove_repeats
 
@@ -226,7 +284,7 @@ def test_repeats_compare_words_where_hashes_collide(corpus, monkeypatch, collide
     counts = np.zeros((3, 1 << s.SLOT_BITS), np.int64)
     counts[:] = 10
     first, parts = s.prefix_plan(counts, 100_000)
-    batches = [pa.record_batch({"doc_id": [r[0] for r in rows[a : a + 40]], "text": [r[1] for r in rows[a : a + 40]]}) for a in range(0, len(rows), 40)]
+    batches = [pa.record_batch({"doc_id": [r[0] for r in rows[a : a + 40]], "text": [r[1] for r in rows[a : a + 40]], "shared": [a == 40] * len(rows[a : a + 40])}) for a in range(0, len(rows), 40)]
     sent = pa.Table.from_batches(list(s._emit(13, first, parts, 2)(iter(batches))))
     got = set()
     for kind, part in {(k, p) for k, p in zip(sent["kind"].to_pylist(), sent["part"].to_pylist())}:
@@ -247,17 +305,17 @@ def test_decontamination_equals_brute_force(spark, corpus):
 
     rng = np.random.default_rng(3)
     long = split(next(t for i, t, *_ in corpus if i == 505))
-    items = [(1, " ".join(long[50:90])), (2, "Uno"), (3, None), (4, ""), (5, "nadie dijo esto jamas en ningun lugar del mundo entero hoy"), (6, prose(rng, 2)), (1, " ".join(long[50:90])), (10, " ".join(long[60:75])), (None, "uno"), (7, "NEGRO! come")]
+    items = [(1, " ".join(long[50:90])), (2, "Uno"), (3, None), (4, ""), (5, "nadie dijo esto jamas en ningun lugar del mundo entero hoy"), (6, prose(rng, 2)), (1, " ".join(long[50:90])), (10, " ".join(long[60:75])), (None, "uno"), (7, "NEGRO! come"), (None, " ".join(long[200:215]))]
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontaminate(table(spark, corpus), spark.createDataFrame(items, "item_id long, text string"), 10).collect()}
     tokens = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
-    windows = {(i, tuple(w[j : j + min(10, len(w))])) for i, t in items if i is not None for w in [tokens(t)] if w for j in range(len(w) - min(10, len(w)) + 1)}
+    windows = {(i, tuple(w[j : j + min(10, len(w))])) for i, t in items for w in [tokens(t)] if w for j in range(len(w) - min(10, len(w)) + 1)}
     for i, t, *_ in corpus:
         w, hit, named = tokens(t), set(), set()
         for item, x in windows:
             for j in range(len(w) - len(x) + 1):
                 if w[j] == x[0] and tuple(w[j : j + len(x)]) == x:
                     hit |= set(range(j, j + len(x)))
-                    named.add(str(item))
+                    named |= {str(item)} - {"None"}
         assert got[i] == (len(w), len(hit), sorted(named), bool(hit)), i
 
 
