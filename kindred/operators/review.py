@@ -12,6 +12,8 @@ from .upsert import collapse_batch, insert_new
 
 #: Messages and questions of a block that best_faq compares at once.
 FAQ_BLOCK = 64
+#: How many matches a queue looks at, by mode (fixed values).
+FETCH_LIMITS = {"high": 1000, "hospital": 1000, "all": 400}
 #: What a review decision makes of a match (fixed values).
 DECISIONS = {"confirmed": "confirmed", "rejected": "dismissed", "found": "found"}
 
@@ -28,21 +30,22 @@ def enriched(matches: DataFrame, reports: DataFrame) -> DataFrame:
 def review_queue(matches: DataFrame, reports: DataFrame, mode: str = "high", status: str = "pending", min_score: float = 0.0, limit: int | None = 50, fetch_limit: int | None = None) -> DataFrame:
     """PL10, PF2, WN2, ST_SORT1, LM2: matches to review: acknowledged by the family first, then by score.
 
-    mode high takes face matches and scores from 0.9 on, hospital and all take scores from min_score on. Sides that are
-    duplicates drop out; high and hospital also want a hospital on the found side, two sources and no re-hosted photo, and
-    keep each missing report's best match only."""
+    mode high takes face matches and scores from 0.9 on, hospital and all take scores from min_score on. fetch_limit takes
+    only so many of these, by score alone, before anything else (FETCH_LIMITS has the usual ones). Sides that are
+    duplicates drop out; high and hospital also want a hospital on the found side, no two sides of one known source and no
+    re-hosted photo. Of each missing report's matches that are left the first is kept."""
     m = matches.where(F.col("status") == status)
     m = m.where((F.col("face_score") > 0) | (F.col("combined_score") >= 0.9)) if mode == "high" else m.where(F.col("combined_score") >= min_score)
-    order = [F.when(F.col("family_ack") == "yes", 0).otherwise(1), F.col("combined_score").desc(), F.col("id")]
     if fetch_limit:
-        m = m.orderBy(*order).limit(fetch_limit)
+        m = m.orderBy(F.col("combined_score").desc(), "id").limit(fetch_limit)
+    order = [F.when(F.col("family_ack") == "yes", 0).otherwise(1), F.col("combined_score").desc(), F.col("id")]
     out = enriched(m, reports)
     if "missing_dup_of" in out.columns:
         out = out.where("missing_dup_of is null and found_dup_of is null")
     out = out.withColumn("is_hospital", F.coalesce(F.col("found_source").startswith("hospital_"), F.lit(False)))
     if mode in ("high", "hospital"):
-        out = out.where("is_hospital and missing_source <> found_source and not coalesce(same_photo_suspected, false)")
-        out = collapse_batch(out, ["missing_id"], *order)
+        out = out.where("is_hospital and not coalesce(missing_source = found_source, false) and not coalesce(same_photo_suspected, false)")
+    out = collapse_batch(out, ["missing_id"], *order)
     out = out.select("id", "missing_id", "found_id", "missing_full_name", "found_full_name", "found_source", "combined_score", "face_score", "family_ack", "is_hospital")
     return out.orderBy(*order).limit(limit) if limit else out
 
@@ -71,13 +74,15 @@ def review_log(log: DataFrame, limit: int = 30, offset: int = 0) -> DataFrame:
 def record_acks(matches: DataFrame, disclosures: DataFrame, acks: DataFrame, hours: int = 72) -> DataFrame:
     """PL17, JN14, JN15: matches with the families' answers; their status never changes.
 
-    disclosures: phone, match_id, report_id, ts (seconds); acks: phone, ack, ts. An answer belongs to the latest match shown to
-    the phone in the hours before; a match's latest answer counts. Shown matches and answers are merged by phone and time in
-    one window, so no pair of them is formed."""
+    disclosures: phone, match_id, report_id, ts (seconds); acks: phone, ack, ts. An answer belongs to the match that was shown
+    to the phone last, within the hours before it, and uses it up, also when it comes too late: a second answer changes
+    nothing until another match is shown. Of a match's answers, from several phones or showings, the latest counts. Shown
+    matches and answers are merged by phone and time in one window, so no pair of them is formed."""
     shown = disclosures.select("phone", "ts", F.lit(0).alias("turn"), F.struct("match_id", "report_id", F.col("ts").alias("at")).alias("shown"), F.lit(None).cast("string").alias("ack"))
     told = acks.select("phone", "ts", F.lit(1).alias("turn"), F.lit(None).cast(shown.schema["shown"].dataType).alias("shown"), "ack")
-    w = W.partitionBy("phone").orderBy("ts", "turn", F.col("shown.match_id")).rowsBetween(W.unboundedPreceding, 0)
-    met = shown.unionByName(told).withColumn("last", F.last("shown", ignorenulls=True).over(w)).where("turn = 1").where(F.col("ts") - F.col("last.at") <= hours * 3600)
+    w = W.partitionBy("phone").orderBy("ts", "turn", F.col("shown.match_id"), "ack")
+    # what comes right before an answer is what it answers, unless that is an answer itself
+    met = shown.unionByName(told).withColumn("last", F.lag("shown").over(w)).where("turn = 1").where(F.col("ts") - F.col("last.at") <= hours * 3600)
     latest = collapse_batch(met.select(F.col("last.match_id").alias("id"), F.col("last.report_id").alias("_report"), F.col("ack").alias("_ack"), F.col("ts").alias("_ts")), ["id"], F.col("_ts").desc(), F.col("_ack"))
     out = matches.join(latest, "id", "left")
     side = F.when(F.col("_report") == F.col("missing_id"), "missing").when(F.col("_report") == F.col("found_id"), "found")
@@ -123,19 +128,22 @@ def external_leads(leads: DataFrame, least: float = 0.6, show_contact: bool = Fa
     return leads.where(F.col("score") >= least).select("id", "full_name", "score", "created_at", contact.alias("contact")).orderBy(F.col("created_at").desc(), "id")
 
 
-def decide(intent: Column, confidence: Column, urgency: Column, topic_change: Column, match: Column) -> Column:
+def decide(intent: Column, confidence: Column, urgency: Column, topic_change: Column, match: Column, node: Column | None = None) -> Column:
     """DR1: struct of target, reason and method, by six rules in order: a sure urgent intent, a change of topic, a similar
-    node over an unsure intent, an intent of middling confidence, a similar node, or nothing."""
+    node over an unsure intent, an intent of middling confidence, a similar node, or nothing. node is where an intent leads
+    (by default the intent itself); an intent that leads nowhere still gives way to a similar node when it is unsure."""
     sure = F.when(intent.isNotNull(), F.coalesce(confidence, F.lit(0.0))).otherwise(0.0)
+    match = F.nullif(match, F.lit(""))
+    node = F.when(intent.isNotNull(), F.nullif(intent if node is None else node, F.lit("")))
 
     def answer(t, reason, method):
         return F.struct(t.alias("target"), F.lit(reason).alias("reason"), F.lit(method).alias("method"))
 
     return (
-        F.when((sure > INTENT_HIGH) & (urgency == "high"), answer(intent, "high_confidence_urgent", "intent"))
-        .when(F.coalesce(topic_change, F.lit(False)) & (sure > INTENT_MIDDLE), answer(intent, "topic_change", "intent"))
+        F.when((sure > INTENT_HIGH) & (urgency == "high") & node.isNotNull(), answer(node, "high_confidence_urgent", "intent"))
+        .when(F.coalesce(topic_change, F.lit(False)) & (sure > INTENT_MIDDLE) & node.isNotNull(), answer(node, "topic_change", "intent"))
         .when(intent.isNotNull() & (sure < INTENT_MIDDLE) & match.isNotNull(), answer(match, "following_flow", "similarity"))
-        .when(sure > INTENT_LOW, answer(intent, "intent_detected", "intent"))
+        .when((sure > INTENT_LOW) & node.isNotNull(), answer(node, "intent_detected", "intent"))
         .when(match.isNotNull(), answer(match, "low_confidence_follow_flow", "similarity"))
         .otherwise(answer(F.lit("fallback"), "no_clear_intent", "fallback"))
     )

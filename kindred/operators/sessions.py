@@ -37,19 +37,39 @@ def carry_forward(df: DataFrame, key: str, order: list[str], fields: list[str],
     return d.withColumns({f: F.last(f, ignorenulls=True).over(w) for f in fields}).drop("_part")
 
 
-def intake_state(messages: DataFrame, key: str = "phone", order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
-    """SM8: messages with the fields collected since the last restart, and next_field: the first of name, kind, location,
-    age and photo that is neither collected, skipped (array) nor covered by a photo."""
-    fields = ["kind", "name", "location", "age", "has_photo"]
-    state = carry_forward(messages, key, list(order), fields, F.col("restart"))
-    skipped = F.coalesce("skipped", F.array().cast("array<string>"))
-    covered = F.coalesce("has_photo", F.lit(False))
+#: What an intake form asks for, in this order (fixed values).
+FORM = ("name", "cedula", "age", "location", "description", "contact")
+
+
+def intake_state(messages: DataFrame, key: str = "phone", order: tuple[str, ...] = ("ts", "id"), people: bool = False) -> DataFrame:
+    """SM8: messages with kind and the form's fields as collected since the last restart, and next_field: the first of FORM
+    that is neither collected, skipped nor covered; null when the form is complete.
+
+    messages: key, order, restart, any of kind, FORM's fields and has_photo, and skipped (array of fields). Blank values
+    count as none. What is skipped stays so until the restart; a photo, too, covers the description, and the name of a
+    found person. With people, a name that is not the person's so far also restarts the form (SM9), with its own message
+    in it."""
+    names = [c for c in ("kind", *FORM) if c in messages.columns]
+    none = {c: F.lit(None).cast("string") for c in ("kind", *FORM) if c not in messages.columns}
+    m = messages.withColumns({c: F.when(F.trim(F.col(c).cast("string")) != "", F.col(c)) for c in names} | none)
+    skipped = F.coalesce("skipped", F.array().cast("array<string>")) if "skipped" in m.columns else F.array().cast("array<string>")
+    photo = F.col("has_photo") if "has_photo" in m.columns else F.lit(False)
+    m = m.withColumns({f"_skip_{f}": F.when(F.array_contains(skipped, f), True) for f in FORM} | {"_photo": F.when(photo, True)})
+    reset = F.col("restart")
+    if people:
+        m = m.withColumn("_form", F.concat_ws("|", F.col(key).cast("string"), F.sum(F.when(reset, 1).otherwise(0)).over(_upto(key, *order)).cast("string")))
+        m = split_people(m, "_form", order)
+        reset = reset | F.coalesce(F.col("person") != F.lag("person").over(W.partitionBy("_form").orderBy(*order)), F.lit(False))
+        m = m.withColumn("_reset", reset)
+        reset = F.col("_reset")
+    state = carry_forward(m, key, list(order), ["kind", *FORM, "_photo", *(f"_skip_{f}" for f in FORM)], reset)
+    covered = {"description": F.col("_photo").isNotNull(), "name": F.col("_photo").isNotNull() & F.coalesce(F.col("kind") == "found", F.lit(False))}
 
     def lacks(f):
-        return F.col(f).isNull() & ~F.array_contains(skipped, f) & (~covered if f == "age" else F.lit(True))
+        return F.col(f).isNull() & F.col(f"_skip_{f}").isNull() & ~covered.get(f, F.lit(False))
 
-    nxt = F.coalesce(*(F.when(lacks(f), f) for f in ("name", "kind", "location", "age")), F.when(~covered & ~F.array_contains(skipped, "photo"), "photo"))
-    return state.withColumn("next_field", nxt)
+    helpers = ["_photo", *(f"_skip_{f}" for f in FORM), *(("_form", "_reset", "person") if people else ())]
+    return state.withColumn("next_field", F.coalesce(*(F.when(lacks(f), f) for f in FORM))).drop(*helpers)
 
 
 def recent_mode(df: DataFrame, key: str, value: str, order: list[str], n: int = 10) -> DataFrame:

@@ -790,9 +790,9 @@ def _acks(get):
 
 
 @query(
-    f"""{duck_with('matches')}, e AS (SELECT user_id::VARCHAR AS phone, floor(epoch_us(ts) / 1000000)::BIGINT AS ts, event_id, event_type FROM events),
- l AS (SELECT *, last_value(CASE WHEN event_type <> 'click' THEN event_id END IGNORE NULLS) OVER w AS id, last_value(CASE WHEN event_type <> 'click' THEN ts END IGNORE NULLS) OVER w AS tm FROM e WINDOW w AS (PARTITION BY phone ORDER BY ts, event_type = 'click', CASE WHEN event_type <> 'click' THEN event_id END NULLS FIRST ROWS UNBOUNDED PRECEDING)),
- a AS (SELECT id, CASE WHEN event_id % 2 = 0 THEN 'yes' ELSE 'no' END AS ack, ts, row_number() OVER (PARTITION BY id ORDER BY ts DESC, CASE WHEN event_id % 2 = 0 THEN 'yes' ELSE 'no' END) AS n FROM l WHERE event_type = 'click' AND id IS NOT NULL AND ts - tm <= 259200)
+    f"""{duck_with('matches')}, e AS (SELECT user_id::VARCHAR AS phone, floor(epoch_us(ts) / 1000000)::BIGINT AS ts, event_id, event_type, CASE WHEN event_type <> 'click' THEN event_id END AS shown, CASE WHEN event_id % 2 = 0 THEN 'yes' ELSE 'no' END AS ack FROM events),
+ l AS (SELECT *, lag(shown) OVER w AS id, lag(ts) OVER w AS tm FROM e WINDOW w AS (PARTITION BY phone ORDER BY ts, event_type = 'click', shown NULLS FIRST, ack)),
+ a AS (SELECT id, ack, ts, row_number() OVER (PARTITION BY id ORDER BY ts DESC, ack) AS n FROM l WHERE event_type = 'click' AND id IS NOT NULL AND ts - tm <= 259200)
  SELECT m.id, status, coalesce(ack, family_ack) AS family_ack, CASE WHEN 'm' || (a.id % 7) = missing_id THEN 'missing' WHEN 'm' || (a.id % 7) = found_id THEN 'found' END AS family_ack_side, ts AS family_ack_at FROM matches m LEFT JOIN a ON a.id = m.id AND n = 1"""
 )
 def jn14_15_pl17_acks(get):
@@ -968,14 +968,16 @@ def pl9_search_person(get):
 
 
 _ORDER = "CASE WHEN family_ack = 'yes' THEN 0 ELSE 1 END, combined_score DESC, id"
-_QUEUE = f"""{WM}, x AS (SELECT m.*, a.full_name AS missing_full_name, b.full_name AS found_full_name, b.source AS found_source, row_number() OVER (PARTITION BY missing_id ORDER BY {_ORDER.replace(' id', ' m.id')}) AS n FROM matches m JOIN reports a ON a.id = missing_id JOIN reports b ON b.id = found_id
- WHERE status = 'pending' AND (face_score > 0 OR combined_score >= 0.9) AND starts_with(b.source, 'hospital_') AND a.source <> b.source AND NOT coalesce(same_photo_suspected, false))
+_SOURCELESS = "CASE WHEN id LIKE '%3' THEN NULL ELSE source END"
+_QUEUE = f"""{WM}, r AS (SELECT * REPLACE ({_SOURCELESS} AS source) FROM reports WHERE kind = 'missing'), x AS (SELECT m.*, a.full_name AS missing_full_name, b.full_name AS found_full_name, b.source AS found_source, row_number() OVER (PARTITION BY missing_id ORDER BY {_ORDER.replace(' id', ' m.id')}) AS n FROM matches m JOIN r a ON a.id = missing_id JOIN reports b ON b.id = found_id
+ WHERE status = 'pending' AND (face_score > 0 OR combined_score >= 0.9) AND starts_with(b.source, 'hospital_') AND a.source IS DISTINCT FROM b.source AND NOT coalesce(same_photo_suspected, false))
 SELECT id, missing_id, found_id, missing_full_name, found_full_name, found_source, combined_score, face_score, family_ack, true AS is_hospital FROM x WHERE n = 1 ORDER BY {_ORDER} LIMIT 50"""
 
 
 @query(_QUEUE)
 def pl10_review_queue(get):
-    return review.review_queue(get("matches"), get("reports"))
+    r = get("reports")
+    return review.review_queue(get("matches"), r.withColumn("source", F.when(F.col("kind") == "missing", F.expr(_SOURCELESS)).otherwise(F.col("source"))))
 
 
 _DEC = f"""{duck_with('reports', 'matches', 'decisions')}, d AS (SELECT match_id AS id, arg_max(decision, (decided_at, decision)) AS decision, max(decided_at) AS tm FROM decisions GROUP BY match_id),
@@ -1001,20 +1003,32 @@ def pl12_review_log_page(get):
 
 
 _NOW = 1700500000
-_TOLD = f"""{duck_with('reports', 'matches', 'subscribers')}, o AS (SELECT * FROM matches WHERE status = 'confirmed' AND NOT coalesce(notify_sent, false)),
+_BLANKED = "CAST(substr(id, 2) AS BIGINT) % 11 = 3"
+_TOLD = f"""{duck_with('reports', 'matches', 'subscribers')}, r AS (SELECT * REPLACE (CASE WHEN {_BLANKED} THEN '' ELSE full_name END AS full_name, CASE WHEN {_BLANKED} THEN NULL ELSE last_seen_location END AS last_seen_location) FROM reports),
+ subs AS (SELECT * FROM subscribers UNION ALL SELECT report_id, '09' || phone, NULL FROM subscribers WHERE report_id LIKE '%5'),
+ o AS (SELECT * FROM matches WHERE status = 'confirmed' AND NOT coalesce(notify_sent, false)),
  side AS (SELECT id, combined_score, 'missing' AS side, missing_id AS report_id, found_id AS other_id FROM o UNION ALL SELECT id, combined_score, 'found', found_id, missing_id FROM o),
- told AS (SELECT side.*, phone, coalesce({_NOW} - last_notified_at < 86400, false) AS resting, concat_ws(' — ', nullif(r.full_name, ''), nullif(r.last_seen_location, '')) AS text FROM side JOIN subscribers s USING (report_id) JOIN reports r ON r.id = other_id),
- best AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY combined_score DESC, id) AS n FROM told WHERE NOT resting)"""
+ told AS (SELECT side.*, phone, NOT coalesce({_NOW} - last_notified_at < 86400, false) AND (coalesce(r.full_name, '') <> '' OR coalesce(r.last_seen_location, '') <> '') AS fit, concat_ws(' — ', nullif(r.full_name, ''), nullif(r.last_seen_location, '')) AS text FROM side JOIN subs s USING (report_id) LEFT JOIN r ON r.id = other_id),
+ best AS (SELECT *, row_number() OVER (PARTITION BY report_id, phone ORDER BY combined_score DESC, id) AS n FROM told WHERE fit)"""
+
+
+def _family(get):
+    """Matches, subscribers of whom some reports have two, and reports of which some have neither name nor place."""
+    blank = F.expr(_BLANKED)
+    r = get("reports").withColumns({"full_name": F.when(blank, "").otherwise(F.col("full_name")), "last_seen_location": F.when(~blank, F.col("last_seen_location"))})
+    s = get("subscribers")
+    second = s.where("report_id like '%5'").select("report_id", F.concat(F.lit("09"), "phone").alias("phone"), F.lit(None).cast("long").alias("last_notified_at"))
+    return get("matches"), s.unionByName(second), r
 
 
 @query(f"{_TOLD} SELECT id AS match_id, report_id, phone, side, text FROM best WHERE n = 1")
 def pl13_wn9_outbox(get):
-    return notify.notifications(get("matches"), get("subscribers"), get("reports"), _NOW, batch=None)[0]
+    return notify.notifications(*_family(get), _NOW, batch=None)[0]
 
 
-@query(f"{_TOLD}, held AS (SELECT DISTINCT t.id FROM told t LEFT JOIN (SELECT id, report_id FROM best WHERE n = 1) b USING (id, report_id) WHERE b.id IS NULL) SELECT m.id, CASE WHEN m.id IN (SELECT id FROM o) AND m.id NOT IN (SELECT id FROM held) THEN true ELSE m.notify_sent END AS notify_sent FROM matches m")
+@query(f"{_TOLD}, d AS (SELECT t.id, bool_and(b.id IS NOT NULL) AS done FROM told t LEFT JOIN (SELECT id, report_id, phone FROM best WHERE n = 1) b USING (id, report_id, phone) GROUP BY t.id) SELECT m.id, CASE WHEN done THEN true ELSE m.notify_sent END AS notify_sent FROM matches m LEFT JOIN d ON d.id = m.id")
 def pl13_matches_after(get):
-    return notify.notifications(get("matches"), get("subscribers"), get("reports"), _NOW, batch=None)[1].select("id", "notify_sent")
+    return notify.notifications(*_family(get), _NOW, batch=None)[1].select("id", "notify_sent")
 
 
 def _admin(get):
@@ -1098,14 +1112,17 @@ _LAST = "last_value({} IGNORE NULLS) OVER (PARTITION BY phone, part ORDER BY ts,
 
 @query(
     f"""WITH {_E}, p AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY phone ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS part FROM e),
- s AS (SELECT id, value, {_LAST.format("CASE WHEN event_type = 'view' THEN 'missing' END")} AS kind, {_LAST.format("CASE WHEN event_type = 'click' THEN 'Ana' END")} AS name, {_LAST.format("CASE WHEN event_type = 'purchase' THEN 'Ccs' END")} AS location, {_LAST.format("CASE WHEN value > 20 THEN 30 END")} AS age, coalesce({_LAST.format("CASE WHEN value > 40 THEN true END")}, false) AS photo FROM p)
- SELECT id, kind, name, location, CASE WHEN name IS NULL THEN 'name' WHEN kind IS NULL THEN 'kind' WHEN location IS NULL THEN 'location' WHEN age IS NULL AND NOT coalesce(value < 2, false) AND NOT photo THEN 'age' WHEN NOT photo THEN 'photo' END AS next_field FROM s"""
+ s AS (SELECT id, {_LAST.format("CASE WHEN event_type = 'view' THEN CASE WHEN id % 2 = 0 THEN 'found' ELSE 'missing' END END")} AS kind, {_LAST.format("CASE WHEN event_type = 'click' AND id % 3 = 0 THEN 'Ana' END")} AS name, {_LAST.format("CASE WHEN event_type = 'click' AND id % 3 = 1 THEN '12345678' END")} AS cedula,
+ {_LAST.format("CASE WHEN event_type = 'purchase' THEN 'Ccs' END")} AS location, {_LAST.format("CASE WHEN value > 20 THEN 30 END")} AS age, {_LAST.format("CASE WHEN id % 7 = 0 THEN 'x' END")} AS contact, {_LAST.format("CASE WHEN value > 40 THEN true END")} AS photo, {_LAST.format("CASE WHEN value < 2 THEN true END")} AS skip_age, {_LAST.format("CASE WHEN value < 1 THEN true END")} AS skip_name FROM p)
+ SELECT id, kind, name, cedula, location, CASE WHEN name IS NULL AND skip_name IS NULL AND NOT (photo IS NOT NULL AND coalesce(kind = 'found', false)) THEN 'name' WHEN cedula IS NULL THEN 'cedula' WHEN age IS NULL AND skip_age IS NULL THEN 'age' WHEN location IS NULL THEN 'location' WHEN photo IS NULL THEN 'description' WHEN contact IS NULL THEN 'contact' END AS next_field FROM s"""
 )
 def sm8_intake_state(get):
-    m = _messages(get)
-    when = lambda t, v: F.when(F.col("event_type") == t, v)
-    m = m.select("id", "phone", "ts", when("view", F.lit("missing")).alias("kind"), when("click", F.lit("Ana")).alias("name"), when("purchase", F.lit("Ccs")).alias("location"), F.when(F.col("value") > 20, 30).alias("age"), F.when(F.col("value") > 40, True).alias("has_photo"), (F.col("event_type") == "signup").alias("restart"), F.when(F.col("value") < 2, F.array(F.lit("age"))).alias("skipped"))
-    return sessions.intake_state(m).select("id", "kind", "name", "location", "next_field")
+    m, when, k = _messages(get), lambda t, v: F.when(F.col("event_type") == t, v), F.col("id")
+    said = {
+        "kind": when("view", F.when(k % 2 == 0, "found").otherwise("missing")), "name": when("click", F.when(k % 3 == 0, "Ana").otherwise(" ")), "cedula": when("click", F.when(k % 3 == 1, "12345678")), "location": when("purchase", F.lit("Ccs")), "age": F.when(F.col("value") > 20, 30),
+        "contact": F.when(k % 7 == 0, "x"), "has_photo": F.col("value") > 40, "restart": F.col("event_type") == "signup", "skipped": F.when(F.col("value") < 1, F.array(F.lit("age"), F.lit("name"))).when(F.col("value") < 2, F.array(F.lit("age"))),
+    }
+    return sessions.intake_state(m.withColumns(said)).select("id", "kind", "name", "cedula", "location", "next_field")
 
 
 @query(
@@ -1124,13 +1141,13 @@ def sm10_incoming(get):
 
 
 @query(
-    """WITH e AS (SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS i, (event_id % 100) / 100 AS c, event_id % 4 = 0 AS u, event_id % 5 = 0 AS t, CASE WHEN event_id % 2 = 0 THEN 'next' END AS m FROM events),
- s AS (SELECT *, CASE WHEN i IS NOT NULL THEN c ELSE 0.0 END AS x FROM e) SELECT event_id AS id, CASE WHEN x > 0.8 AND u THEN i WHEN t AND x > 0.7 THEN i WHEN i IS NOT NULL AND x < 0.7 AND m IS NOT NULL THEN m WHEN x > 0.65 THEN i WHEN m IS NOT NULL THEN m ELSE 'fallback' END AS target,
- CASE WHEN x > 0.8 AND u THEN 'high_confidence_urgent' WHEN t AND x > 0.7 THEN 'topic_change' WHEN i IS NOT NULL AND x < 0.7 AND m IS NOT NULL THEN 'following_flow' WHEN x > 0.65 THEN 'intent_detected' WHEN m IS NOT NULL THEN 'low_confidence_follow_flow' ELSE 'no_clear_intent' END AS reason FROM s"""
+    """WITH e AS (SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS i, CASE WHEN event_type NOT IN ('error', 'click') THEN 'to_' || event_type END AS o, (event_id % 100) / 100 AS c, event_id % 4 = 0 AS u, event_id % 5 = 0 AS t, CASE WHEN event_id % 2 = 0 THEN 'next' END AS m FROM events),
+ s AS (SELECT *, CASE WHEN i IS NOT NULL THEN c ELSE 0.0 END AS x FROM e), r AS (SELECT *, CASE WHEN x > 0.8 AND u AND o IS NOT NULL THEN 1 WHEN t AND x > 0.7 AND o IS NOT NULL THEN 2 WHEN i IS NOT NULL AND x < 0.7 AND m IS NOT NULL THEN 3 WHEN x > 0.65 AND o IS NOT NULL THEN 4 WHEN m IS NOT NULL THEN 5 ELSE 6 END AS rule FROM s)
+ SELECT event_id AS id, CASE WHEN rule IN (1, 2, 4) THEN o WHEN rule IN (3, 5) THEN m ELSE 'fallback' END AS target, ['high_confidence_urgent', 'topic_change', 'following_flow', 'intent_detected', 'low_confidence_follow_flow', 'no_clear_intent'][rule] AS reason FROM r"""
 )
 def dr1_decide(get):
-    k = F.col("event_id")
-    d = review.decide(F.when(F.col("event_type") != "error", F.col("event_type")), (k % 100) / 100, F.when(k % 4 == 0, "high"), k % 5 == 0, F.when(k % 2 == 0, "next"))
+    k, t = F.col("event_id"), F.col("event_type")
+    d = review.decide(F.when(t != "error", t), (k % 100) / 100, F.when(k % 4 == 0, "high"), k % 5 == 0, F.when(k % 2 == 0, "next"), F.when(~t.isin("error", "click"), F.concat(F.lit("to_"), t)))
     return get("events").select(k.alias("id"), d.alias("d")).select("id", "d.target", "d.reason")
 
 
@@ -1151,10 +1168,12 @@ def sc05_csv_columns(get):
     return ingest.canonical_columns(raw, {"nombre": ("nombre",), "cedula": ("cedula", "ci"), "hospital": ("hospital",)})
 
 
-@query(f"{_QUEUE.split(', x AS')[0]}, f AS (SELECT * FROM matches WHERE status = 'pending' AND combined_score >= 0.2 ORDER BY {_ORDER} LIMIT 1000) SELECT f.id, missing_id FROM f JOIN reports a ON a.id = missing_id JOIN reports b ON b.id = found_id")
+@query(
+    f"{WM}, f AS (SELECT * FROM matches WHERE status = 'pending' AND combined_score >= 0.2 ORDER BY combined_score DESC, id LIMIT 400), x AS (SELECT f.id, missing_id, row_number() OVER (PARTITION BY missing_id ORDER BY CASE WHEN family_ack = 'yes' THEN 0 ELSE 1 END, combined_score DESC, f.id) AS n FROM f JOIN reports a ON a.id = missing_id JOIN reports b ON b.id = found_id) SELECT id, missing_id FROM x WHERE n = 1"
+)
 def lm2_fetch_limit(get):
-    """A queue over the first 1000 candidates only: the limit is what the operator offers."""
-    return review.review_queue(get("matches"), get("reports"), mode="all", min_score=0.2, limit=None, fetch_limit=1000).select("id", "missing_id")
+    """A queue over the first candidates by score only: the limit is what the operator offers."""
+    return review.review_queue(get("matches"), get("reports"), mode="all", min_score=0.2, limit=None, fetch_limit=review.FETCH_LIMITS["all"]).select("id", "missing_id")
 
 
 @query(f"{WP}, {_GOOD}, s AS (SELECT a.report_id AS a, b.report_id AS b, max(list_cosine_similarity(a.e, b.e)) AS s FROM g a JOIN g b ON a.report_id <> b.report_id WHERE a.id % 50 = 0 GROUP BY ALL HAVING max(list_cosine_similarity(a.e, b.e)) >= 0.2) SELECT a AS query_report, b AS item_report, round(s, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) AS n FROM s) WHERE n <= 5")

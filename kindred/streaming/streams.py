@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators.sessions import next_person
+from ..operators.sessions import FORM, next_person
 
 WATERMARK = "10 minutes"
 
@@ -98,35 +100,39 @@ def rate_limit_stream(df: DataFrame, n: int = 20, window_s: float = 60.0, key: s
 
 
 class Session(Forgetting):
-    """SM3, SM4, SM9: what a key's conversation has collected: last value of each field, messages so far, person number."""
+    """SM3, SM4, SM9: what a key's conversation has collected: last value of each field, messages so far, person number. A
+    message about another person clears all fields before its own are taken."""
 
-    def __init__(self, key: str, ttl_s: float):
-        self.key, self.ttl_s = key, ttl_s
+    def __init__(self, key: str, fields: list[str], ttl_s: float):
+        self.key, self.fields, self.ttl_s = key, fields, ttl_s
 
     def init(self, handle) -> None:
-        self.handle, self.state = handle, handle.getValueState("session", "n long, name string, kind string, person long")
+        self.handle, self.state = handle, handle.getValueState("session", "n long, person long, collected string")
 
     def handleInputRows(self, key, rows, timerValues):
-        n, name, kind, person = self.state.get() if self.state.exists() else (0, None, None, 0)
-        pdf, out = _in_order(rows, ["ts", "id", "name", "kind"]), []
-        for r in pdf.itertuples():
+        n, person, collected = self.state.get() if self.state.exists() else (0, 0, "{}")
+        held: dict[str, str] = json.loads(collected)
+        pdf, out = _in_order(rows, ["ts", "id", *self.fields]), []
+        for r in pdf.to_dict("records"):
             n += 1
-            name, now = next_person(name, person, r.name)
+            now = next_person(held.get("name"), person, r.get("name"))[1]
             if now != person:
-                person, kind = now, None
-            if isinstance(r.kind, str) and r.kind:
-                kind = r.kind
-            out.append((str(key[0]), int(r.id), n, name, kind, person))
-        self.state.update((n, name, kind, person))
+                person, held = now, {}
+            held |= {f: str(r[f]) for f in self.fields if not pd.isna(r[f]) and str(r[f]).strip()}
+            out.append((str(key[0]), int(r["id"]), n, *(held.get(f) for f in self.fields), person))
+        self.state.update((n, person, json.dumps(held)))
         self._keep(pdf)
-        yield pd.DataFrame(out, columns=[self.key, "id", "n", "name", "kind", "person"])
+        yield pd.DataFrame(out, columns=[self.key, "id", "n", *self.fields, "person"])
 
 
 def session_stream(df: DataFrame, key: str = "phone", ttl_s: float = 7 * 86400.0) -> DataFrame:
-    """SM3: (key, id, n, name, kind, person) after each message. A key that is silent for ttl_s, by the watermark, begins
-    anew; messages behind the watermark drop out. Needs the RocksDB state store."""
+    """SM3: (key, id, n, the fields, person) after each message; the fields are kind and those of FORM that df has, as
+    strings. A key that is silent for ttl_s, by the watermark, begins anew; messages behind the watermark drop out. Needs
+    the RocksDB state store."""
     timed = df.withWatermark("ts", WATERMARK)
-    return timed.groupBy(key).transformWithStateInPandas(Session(key, ttl_s), f"`{key}` string, id long, n long, name string, kind string, person long", "Append", "EventTime")
+    fields = [f for f in ("name", "kind", *FORM[1:]) if f in df.columns]
+    schema = f"`{key}` string, id long, n long, {', '.join(f'{f} string' for f in fields)}, person long"
+    return timed.groupBy(key).transformWithStateInPandas(Session(key, fields, ttl_s), schema, "Append", "EventTime")
 
 
 def link_micro_batches(stream: DataFrame, target_path: str, link_path: str, checkpoint: str, corpus, link):
