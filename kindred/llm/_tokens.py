@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,10 +57,10 @@ def piece_starts(data: np.ndarray, off: np.ndarray, words: bool = False) -> np.n
 
 
 class Encoder:
-    """Ids of texts; encode gives the ids of each of a list of pieces."""
+    """Ids of texts; encode gives the ids of each of a list of pieces. It remembers a share-th of what a task may."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], words: bool):
-        self.encode, self.words = encode, words
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], words: bool, share: int = 1):
+        self.encode, self.words, self.share = encode, words, share
         self._forget()
 
     def _forget(self) -> None:
@@ -75,7 +76,7 @@ class Encoder:
         return out
 
     def _places(self, names: list[str]) -> np.ndarray:
-        if len(self.known) + len(names) > KNOWN or self.filled > KNOWN_IDS:
+        if len(self.known) + len(names) > KNOWN // self.share or self.filled > KNOWN_IDS // self.share:
             self._forget()
         known = self.known
         new = [x for x in names if x not in known]
@@ -86,7 +87,7 @@ class Encoder:
             place = len(known)
             self.flat = self._grown(self.flat, self.filled + int(n.sum()))
             self.first, self.count = (self._grown(x, place + len(some)) for x in (self.first, self.count))
-            self.flat[self.filled : self.filled + int(n.sum())] = np.fromiter((x for own in ids for x in own), np.int32, int(n.sum()))
+            self.flat[self.filled : self.filled + int(n.sum())] = np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))
             self.first[place : place + len(some)] = self.filled + np.cumsum(n) - n
             self.count[place : place + len(some)] = n
             self.filled += int(n.sum())
@@ -108,22 +109,22 @@ class Encoder:
 
 # what a worker process has encoded serves its later tasks too
 @lru_cache(2)
-def byte_level(source: bytes, special_as_text: bool) -> Encoder:
+def byte_level(source: bytes, special_as_text: bool, share: int = 1) -> Encoder:
     """Encoder of a byte-level vocabulary file of the tokenizers library."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_buffer(source)
     tokenizer.encode_special_tokens = special_as_text
-    return Encoder(lambda pieces: [x.ids for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)], True)
+    return Encoder(lambda pieces: [x.ids for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)], True, share)
 
 
 @lru_cache(1)
-def piece_level(source: bytes) -> Encoder:
+def piece_level(source: bytes, share: int = 1) -> Encoder:
     """Encoder of a sentencepiece model, which sets a space before a text, so that pieces go without theirs; a space alone
     is a piece of the vocabulary."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_proto=source)
     space = [model.piece_to_id("▁")]
-    return Encoder(lambda pieces: [space if x == " " else y for x, y in zip(pieces, model.encode([x[1:] for x in pieces], num_threads=1), strict=True)], False)
+    return Encoder(lambda pieces: [space if x == " " else y for x, y in zip(pieces, model.encode([x[1:] for x in pieces], num_threads=1), strict=True)], False, share)

@@ -32,8 +32,10 @@ from ._words import short_batches, slices
 
 SHARD_IDS = 1 << 20
 #: A pair is replaced where it occurs so often in a shard, and rounds go on while one removes this share of the symbols.
-LEAST, GAIN = 8, 1 / 32
+LEAST, GAIN = 8, 1 / 16
 END = 0
+#: Bytes of text that are encoded at a time, or one text.
+BATCH_BYTES = 8 << 20
 _NONE = np.iinfo(np.int32).max
 SHARD = "part int, seq int, before long, n_docs long, n_ids long, index binary, grammar binary, symbols binary"
 
@@ -110,20 +112,23 @@ def repair(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return terminals, np.concatenate(rules), lengths, seq, np.flatnonzero(last) + 1
 
 
-def expand(symbols: np.ndarray, terminals: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """Token ids of symbols, one level of rules at a time."""
+def expand(symbols: np.ndarray, terminals: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Token ids of symbols: those of the nonterminals among them, one level of rules at a time, then all in one go."""
     n = len(terminals)
-    seq = symbols
-    while True:
-        wide = seq >= n
-        if not wide.any():
-            return terminals[seq]
-        size = 1 + wide
-        at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), seq.dtype)
-        out[at] = np.where(wide, rules[np.where(wide, seq - n, 0), 0] if len(rules) else 0, seq)
-        out[at[wide] + 1] = rules[seq[wide] - n, 1]
+    used = np.flatnonzero(np.bincount(symbols, minlength=len(lengths)))
+    seq = used
+    while (wide := seq >= n).any():
+        at = np.cumsum(1 + wide) - 1 - wide
+        out = np.empty(len(seq) + int(wide.sum()), seq.dtype)
+        left, right = rules[seq[wide] - n].T
+        out[at[~wide]] = seq[~wide]
+        out[at[wide]], out[at[wide] + 1] = left, right
         seq = out
+    first = np.zeros(len(lengths), np.int64)
+    first[used] = np.cumsum(lengths[used]) - lengths[used]
+    size = lengths[symbols]
+    off = np.cumsum(size) - size
+    return terminals[seq[np.repeat(first[symbols] - off, size) + np.arange(size.sum())]]
 
 
 def expand_range(symbols: np.ndarray, terminals: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start: int, n: int) -> np.ndarray:
@@ -131,7 +136,7 @@ def expand_range(symbols: np.ndarray, terminals: np.ndarray, rules: np.ndarray,
     upto = np.cumsum(lengths[symbols])
     lo, hi = np.searchsorted(upto, start, "right"), np.searchsorted(upto, start + n, "left") + 1
     skip = start - (int(upto[lo - 1]) if lo else 0)
-    return expand(symbols[lo:hi], terminals, rules)[skip : skip + n]
+    return expand(symbols[lo:hi], terminals, rules, lengths)[skip : skip + n]
 
 
 def _narrow(x: np.ndarray) -> bytes:
@@ -194,7 +199,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, shard
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [x.split()[0] for x in SHARD.split(", ")])
 
-        for piece, data, off in slices(batches):
+        for piece, data, off in slices(batches, limit=BATCH_BYTES):
             ids, cut = encoder.ids(data, off)
             count = np.diff(cut) + 1
             ends = np.cumsum(count)
@@ -238,8 +243,7 @@ def decode(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for first, index, grammar, symbols in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 doc_ids, null, count, _ = read_index(index)
-                terminals, rules, _ = read_grammar(grammar)
-                raw = expand(_wide(symbols), terminals, rules).astype("<u4")
+                raw = expand(_wide(symbols), *read_grammar(grammar)).astype("<u4")
                 ends = np.cumsum(count)
                 for lo in range(0, len(count), 1024):
                     hi = min(lo + 1024, len(count))

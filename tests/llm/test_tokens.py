@@ -27,12 +27,10 @@ ODD = [
 def tokenizer():
     from tokenizers import Tokenizer
 
-    return lambda plain: _with(Tokenizer.from_file(_tokens.vocabulary("byte_bpe_50k.json")), plain)
-
-
-def _with(tokenizer, plain):
-    tokenizer.encode_special_tokens = plain
-    return tokenizer
+    both = [Tokenizer.from_file(_tokens.vocabulary("byte_bpe_50k.json")) for _ in range(2)]
+    for plain, own in enumerate(both):
+        own.encode_special_tokens = bool(plain)
+    return both.__getitem__
 
 
 @pytest.fixture(scope="module")
@@ -81,7 +79,7 @@ def test_grammar_round_trip(docs, start, n):
     ids = np.array([x for d in docs for x in [*d, 0]] * 3, np.int32)
     ends = np.cumsum([len(d) + 1 for d in docs] * 3)
     terminals, rules, lengths, symbols, cut = repair(ids, ends)
-    assert np.array_equal(expand(symbols, terminals, rules), ids)
+    assert np.array_equal(expand(symbols, terminals, rules, lengths), ids)
     assert lengths[symbols].sum() == len(ids) and len(cut) == len(ends)
     # a document's symbols expand to its own ids
     upto = np.cumsum(lengths[symbols])
@@ -94,8 +92,8 @@ def test_grammar_round_trip(docs, start, n):
 def test_grammar_shortens_what_repeats():
     ids = np.array(([5, 6, 7, 8, 9, 0] * 400) + [4] * 3000 + [0], np.int32)
     ends = np.array([*range(6, 2401, 6), len(ids)])
-    terminals, rules, _, symbols, _ = repair(ids, ends)
-    assert len(symbols) < len(ids) / 3 and len(rules) > 2 and np.array_equal(expand(symbols, terminals, rules), ids)
+    terminals, rules, lengths, symbols, _ = repair(ids, ends)
+    assert len(symbols) < len(ids) / 3 and len(rules) > 2 and np.array_equal(expand(symbols, terminals, rules, lengths), ids)
 
 
 def by_doc(rows):
