@@ -79,8 +79,9 @@ def _same_bytes(tokens: pa.ListArray, table: pa.Array, size: np.ndarray, data: n
     """Whether each document's tokens, joined, are its text."""
     ids, cut = tokens.flatten().to_numpy(), tokens.offsets.to_numpy()
     length = np.concatenate([[0], np.cumsum(size[ids])])[cut]
-    joined = table.take(pa.array(ids))
-    raw = np.frombuffer(b"".join(joined.to_pylist()), np.uint8) if len(ids) else np.empty(0, np.uint8)
+    # an Arrow column's values lie one after the other
+    joined = table.take(pa.array(ids)).buffers()[2] if len(ids) else None
+    raw = np.frombuffer(joined, np.uint8, length[-1]) if joined else np.empty(0, np.uint8)
     same = np.diff(length) == np.diff(off)
     if len(raw) == len(data) and same.all():
         differs = np.concatenate([[0], np.cumsum(raw != data)])
@@ -120,16 +121,16 @@ def align(tokens_a: pa.ListArray, tokens_b: pa.ListArray, size_a: np.ndarray, si
     cut = tokens_a.offsets.to_numpy() + tokens_b.offsets.to_numpy()
     strings = pc.binary_join(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pieces), "")
 
-    # each distinct end of either kind closes a stretch of one token of each kind
-    doc, end = np.concatenate([doc_a, doc_b]), np.concatenate([end_a, end_b])
-    order = np.lexsort((end, doc))
-    doc, end = doc[order], end[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (end[1:] != end[:-1])
-    doc, end = doc[new], end[new]
-    shift = np.int64(end.max() + 1) if len(end) else np.int64(1)
-    at = doc * shift + end
-    return n_groups, strings, (doc, a[np.searchsorted(doc_a * shift + end_a, at)], b[np.searchsorted(doc_b * shift + end_b, at)])
+    # each distinct end of either kind closes a stretch of one token of each kind: the first that ends there or later
+    shift = np.int64(max(end_a.max(), end_b.max()) + 1) if len(a) else np.int64(1)
+    at = np.concatenate([doc_a * shift + end_a, doc_b * shift + end_b])
+    order = np.argsort(at, kind="stable")
+    at, of_a = at[order], order < len(a)
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1]
+    ended = np.cumsum(of_a) - of_a
+    i, j = ended[new], (np.arange(len(at)) - ended)[new]
+    return n_groups, strings, (doc_a[i], a[i], b[j])
 
 
 def aligned(docs: DataFrame, byte_file: str | None = None, piece_file: str | None = None) -> DataFrame:
@@ -143,7 +144,7 @@ def aligned(docs: DataFrame, byte_file: str | None = None, piece_file: str | Non
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source_a, source_b = (x.value for x in sources)
-        encoders = byte_level(source_a, True), piece_level(source_b)
+        encoders = byte_level(source_a, True, 4), piece_level(source_b, 4)
         (bytes_a, size_a), (bytes_b, size_b) = byte_lengths(source_a), piece_lengths(source_b)
         tables = [(pa.array(x, pa.binary()), n) for x, n in ((bytes_a, size_a), (bytes_b, size_b))]
         for piece, data, off in slices(batches, limit=PIECE_BYTES):
