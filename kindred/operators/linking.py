@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text
+from .ann import CellIndex, build_index
 from .vectors import knn_groups, knn_join
 
 
@@ -44,14 +45,20 @@ def link_by_id(reports: DataFrame, mode: str = "equal") -> DataFrame:
     return _pending(m.join(found, "n").select("missing_id", "found_id", F.lit(1.0).alias("score")).distinct(), "id")
 
 
-def link_by_text(reports: DataFrame, recall: float = 0.75, accept: float = 0.82, k: int = 10) -> DataFrame:
-    """JN2: each report's k nearest of the other kind by text vector, in both directions, from the accepted score on."""
+def _indexed(items: DataFrame, index_folder: str | None, name: str) -> DataFrame | CellIndex:
+    """items themselves, or an index of them below the folder."""
+    return items if index_folder is None else build_index(items, f"{index_folder}/{name}")
+
+
+def link_by_text(reports: DataFrame, recall: float = 0.75, accept: float = 0.82, k: int = 10, index_folder: str | None = None) -> DataFrame:
+    """JN2: each report's k nearest of the other kind by text vector, in both directions, from the accepted score on. With a
+    new folder that driver and executors share, vectors are indexed there and only near cells are compared."""
     usable = reports.where("text_embedding is not null").where(~text.is_noise(F.col("full_name")))
     out = []
     for kind, other in (("missing", "found"), ("found", "missing")):
         q = usable.where(F.col("kind") == kind).select(F.col("id").alias("query_id"), F.col("text_embedding").alias("vector"))
         i = usable.where(F.col("kind") == other).select(F.col("id").alias("item_id"), F.col("text_embedding").alias("vector"))
-        near = knn_join(q, i, k, recall).where(F.col("score") >= accept)
+        near = knn_join(q, _indexed(i, index_folder, f"text-{other}"), k, recall).where(F.col("score") >= accept)
         out.append(near.select(*_oriented(F.lit(kind), F.col("query_id"), F.col("item_id")), "score"))
     return _pending(out[0].unionByName(out[1]).groupBy("missing_id", "found_id").agg(F.max("score").alias("score")), "text")
 
@@ -68,11 +75,12 @@ def unprocessed_photos(photos: DataFrame, prefix: str) -> DataFrame:
     return photos.where(~F.coalesce("quality_ok", F.lit(False)) & F.col("storage_path").startswith(prefix))
 
 
-def face_neighbours(query_photos: DataFrame, item_photos: DataFrame, k: int = 10, recall: float = 0.5, per: str = "report") -> DataFrame:
+def face_neighbours(query_photos: DataFrame, item_photos: DataFrame, k: int = 10, recall: float = 0.5, per: str = "report", index_folder: str | None = None) -> DataFrame:
     """WN1: (query_report, item_report, query_photo, item_photo, score). With per='report' a report counts once among the
-    k, by its best photo; with 'photo' the k are photos."""
+    k, by its best photo; with 'photo' the k are photos. With a new folder the items are indexed there."""
     q = query_photos.select(F.col("id").alias("query_id"), F.col("face_embedding").alias("vector"), F.col("report_id").alias("query_group"))
     i = item_photos.select(F.col("id").alias("item_id"), F.col("face_embedding").alias("vector"), F.col("report_id").alias("item_group"))
+    i = _indexed(i, index_folder, "faces")
     if per == "report":
         near = knn_groups(q, i, k, recall)
         return near.select(F.col("query_group").alias("query_report"), F.col("item_group").alias("item_report"), F.col("query_id").alias("query_photo"), F.col("item_id").alias("item_photo"), "score")
@@ -84,19 +92,19 @@ def face_neighbours(query_photos: DataFrame, item_photos: DataFrame, k: int = 10
     return pairs.select("query_report", "item_report", F.col("b.query_id").alias("query_photo"), F.col("b.item_id").alias("item_photo"), F.col("b.score").alias("score"))
 
 
-def link_by_face(reports: DataFrame, photos: DataFrame, recall: float = 0.5, accept: float = 0.65, k: int = 10) -> DataFrame:
-    """JN3: each missing report's k nearest found ones by face, from the accepted score on."""
-    near = face_neighbours(good_photos(photos, reports, "missing"), good_photos(photos, reports, "found"), k, recall)
+def link_by_face(reports: DataFrame, photos: DataFrame, recall: float = 0.5, accept: float = 0.65, k: int = 10, index_folder: str | None = None) -> DataFrame:
+    """JN3: each missing report's k nearest found ones by face, from the accepted score on; index_folder as in JN2."""
+    near = face_neighbours(good_photos(photos, reports, "missing"), good_photos(photos, reports, "found"), k, recall, index_folder=index_folder)
     return _pending(near.where(F.col("score") >= accept).select(F.col("query_report").alias("missing_id"), F.col("item_report").alias("found_id"), "score"), "face")
 
 
-def link_new_photos(new: DataFrame, photos: DataFrame, reports: DataFrame, recall: float = 0.5, k: int = 10, near_hash: int = 8) -> DataFrame:
+def link_new_photos(new: DataFrame, photos: DataFrame, reports: DataFrame, recall: float = 0.5, k: int = 10, near_hash: int = 8, index_folder: str | None = None) -> DataFrame:
     """JN4: links of new photos with reports of the other kind, flagged where the photos look like one re-hosted. The hash
-    compared is the matched photo's."""
+    compared is the matched photo's; index_folder as in JN2."""
     out = []
     mine, theirs = good_photos(new, reports), good_photos(photos, reports)
     for kind, other in (("missing", "found"), ("found", "missing")):
-        near = face_neighbours(mine.where(F.col("kind") == kind), theirs.where(F.col("kind") == other), k, recall)
+        near = face_neighbours(mine.where(F.col("kind") == kind), theirs.where(F.col("kind") == other), k, recall, index_folder=index_folder and f"{index_folder}/{other}")
         out.append(near.withColumn("kind", F.lit(kind)))
     near = out[0].unionByName(out[1])
     side = [F.col(c) for c in ("phash", "source_url", "photo_url", "source")]
@@ -141,22 +149,24 @@ def first_phase(links: DataFrame, *phases: str) -> DataFrame:
     return links.withColumn("_n", F.row_number().over(W.partitionBy("missing_id", "found_id").orderBy(turn, F.col("combined_score").desc()))).where("_n = 1").drop("_n")
 
 
-def consolidate(reports: DataFrame, photos: DataFrame, existing: DataFrame | None = None, featurizer=None, text_accept: float = 0.82, face_accept: float = 0.65) -> DataFrame:
-    """PL6: links by identifier, then text, then face; a pair keeps its first, and pairs in existing stay out."""
+def consolidate(reports: DataFrame, photos: DataFrame, existing: DataFrame | None = None, featurizer=None, text_accept: float = 0.82, face_accept: float = 0.65, index_folder: str | None = None) -> DataFrame:
+    """PL6: links by identifier, then text, then face; a pair keeps its first, and pairs in existing stay out. index_folder
+    as in JN2."""
     ready = embed_reports(reports, featurizer)
-    links = link_by_id(ready).unionByName(link_by_text(ready, min(0.75, text_accept), text_accept)).unionByName(link_by_face(ready, photos, min(0.5, face_accept), face_accept))
+    by_text = link_by_text(ready, min(0.75, text_accept), text_accept, index_folder=index_folder)
+    links = link_by_id(ready).unionByName(by_text).unionByName(link_by_face(ready, photos, min(0.5, face_accept), face_accept, index_folder=index_folder))
     links = first_phase(links, "id", "text", "face")
     return links if existing is None else links.join(existing.select("missing_id", "found_id"), ["missing_id", "found_id"], "left_anti")
 
 
-def incremental_link(new: DataFrame, corpus: DataFrame, featurizer=None, recall: float = 0.75, accept: float = 0.82, k: int = 10) -> DataFrame:
-    """PL19: text links of new reports with those of the other kind in corpus."""
+def incremental_link(new: DataFrame, corpus: DataFrame, featurizer=None, recall: float = 0.75, accept: float = 0.82, k: int = 10, index_folder: str | None = None) -> DataFrame:
+    """PL19: text links of new reports with those of the other kind in corpus; index_folder as in JN2."""
     fresh, old = embed_reports(new, featurizer), embed_reports(corpus, featurizer)
     out = []
     for kind, other in (("missing", "found"), ("found", "missing")):
         q = fresh.where((F.col("kind") == kind) & F.col("text_embedding").isNotNull()).select(F.col("id").alias("query_id"), F.col("text_embedding").alias("vector"))
         i = old.where((F.col("kind") == other) & F.col("text_embedding").isNotNull()).select(F.col("id").alias("item_id"), F.col("text_embedding").alias("vector"))
-        out.append(knn_join(q, i, k, recall).where(F.col("score") >= accept).select(*_oriented(F.lit(kind), F.col("query_id"), F.col("item_id")), "score"))
+        out.append(knn_join(q, _indexed(i, index_folder, f"text-{other}"), k, recall).where(F.col("score") >= accept).select(*_oriented(F.lit(kind), F.col("query_id"), F.col("item_id")), "score"))
     return _pending(out[0].unionByName(out[1]), "text").distinct()
 
 

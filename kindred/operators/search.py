@@ -175,12 +175,12 @@ def admin_search(reports: DataFrame, queries: DataFrame, limit: int = 60) -> Dat
     return q.select("query_id", "key").join(best, "key").select("query_id", "id", "rank")
 
 
-def face_search(query_photos: DataFrame, photos: DataFrame, reports: DataFrame, recall: float = 0.4, k: int = 12) -> DataFrame:
+def face_search(query_photos: DataFrame, photos: DataFrame, reports: DataFrame, recall: float = 0.4, k: int = 12, index_folder: str | None = None) -> DataFrame:
     """PL15: each query photo's k best reports of each kind, one row a report, in order of score. query_photos: id, report_id,
-    face_embedding."""
+    face_embedding. With a new folder that driver and executors share, photos are indexed there."""
     out = None
     for kind in ("missing", "found"):
-        near = face_neighbours(query_photos, good_photos(photos, reports, kind), k, recall).withColumn("kind", F.lit(kind))
+        near = face_neighbours(query_photos, good_photos(photos, reports, kind), k, recall, index_folder=index_folder and f"{index_folder}/{kind}").withColumn("kind", F.lit(kind))
         out = near if out is None else out.unionByName(near)
     return collapse_results(out, [F.col("query_report"), F.col("item_report")], F.col("score").desc(), F.col("kind")).select("query_report", "item_report", "kind", F.round("score", 4).alias("score"))
 

@@ -6,11 +6,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import hamming_hex
+from .ann import CellIndex
 
 BLOCK = 2048
 
@@ -27,26 +28,42 @@ def _block_pairs(queries: DataFrame, items: DataFrame, blocks: int | None, group
     return dealt(queries, 0, "query_id", "p", n_q, "q", n_i).unionByName(dealt(items, 1, "item_id", "q", n_i, "p", n_q))
 
 
+def _vectors(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all vectors, one after the other, and where each vector begins, with the end. Nulls in vectors are
+    not numbers."""
+    lists = column.combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else lists.chunk(0)
+    cut = lists.offsets.to_numpy()
+    return np.asarray(lists.values.to_numpy(zero_copy_only=False), np.float64), cut
+
+
 def _cosines(table: pa.Table, names: tuple[str, ...]):
     """For vectors of one length: the named columns of the queries and of the items, and the matrix of their cosines."""
     table = table.combine_chunks()
     columns = [np.array(table.column(c).to_pylist(), object) for c in names]
-    side, vectors = table.column("side").to_numpy(), table.column("vector").to_pylist()
-    size = np.array([len(v) for v in vectors])
+    side, (flat, cut) = table.column("side").to_numpy(), _vectors(table.column("vector"))
+    size = np.diff(cut)
     for dim in np.unique(size):
         a, b = (np.flatnonzero((side == s) & (size == dim)) for s in (0, 1))
         if len(a) and len(b) and dim:
-            x, y = (np.array([vectors[j] for j in rows], np.float64) for rows in (a, b))
+            x, y = (flat[cut[rows][:, None] + np.arange(dim)] for rows in (a, b))
             with np.errstate(invalid="ignore", divide="ignore"):
                 yield [c[a] for c in columns], [c[b] for c in columns], (x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T
 
 
-def knn_groups(queries: DataFrame, items: DataFrame, k: int = 10, least: float = 0.0, blocks: int | None = None) -> DataFrame:
+def _met(queries: DataFrame, items: DataFrame | CellIndex, blocks: int | None, probes: int | None, group: bool = False) -> GroupedData:
+    """What queries are compared with: all items, block by block, or those of an index's cells."""
+    if isinstance(items, CellIndex):
+        return items.pairs(queries, probes, group).groupBy("cell", "p", "q")
+    return _block_pairs(queries, items, blocks, group).groupBy("p", "q")
+
+
+def knn_groups(queries: DataFrame, items: DataFrame, k: int = 10, least: float = 0.0, blocks: int | None = None, probes: int | None = None) -> DataFrame:
     """WN1 by groups: (query_group, item_group, query_id, item_id, score): for each group of queries its k best other groups
     of items, a pair of groups by its best pair of vectors, ties by item_group; of equal pairs the largest ids.
 
-    queries: query_id, vector, query_group; items: item_id, vector, item_group. Exact, block by block as in knn_join: a task
-    hands on at most k groups for each group of its queries, which the best k of all are among.
+    queries: query_id, vector, query_group; items: item_id, vector, item_group, or an index of such items, as in knn_join. A
+    task hands on at most k groups for each group of its queries, which the best k of all it compares are among.
     """
 
     def product(table: pa.Table) -> pa.Table:
@@ -68,19 +85,21 @@ def knn_groups(queries: DataFrame, items: DataFrame, k: int = 10, least: float =
         columns = list(zip(*out, strict=True)) if out else [()] * 5
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_group", "item_group", "query_id", "item_id", "score"), columns, [pa.string()] * 4 + [pa.float64()], strict=True)})
 
-    met = _block_pairs(queries, items, blocks, True).groupBy("p", "q").applyInArrow(product, "query_group string, item_group string, query_id string, item_id string, score double")
+    met = _met(queries, items, blocks, probes, True).applyInArrow(product, "query_group string, item_group string, query_id string, item_id string, score double")
     one = met.groupBy("query_group", "item_group").agg(F.max(F.struct(F.round("score", 9).alias("s"), "query_id", "item_id", "score")).alias("b"))
     order = W.partitionBy("query_group").orderBy(F.col("b.s").desc(), "item_group")
     return one.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select("query_group", "item_group", "b.query_id", "b.item_id", "b.score")
 
 
-def knn_join(queries: DataFrame, items: DataFrame, k: int = 10, least: float = 0.0, blocks: int | None = None) -> DataFrame:
+def knn_join(queries: DataFrame, items: DataFrame | CellIndex, k: int = 10, least: float = 0.0, blocks: int | None = None, probes: int | None = None) -> DataFrame:
     """WN1: (query_id, item_id, score): each query's k best items of at least that cosine, ties by item_id.
 
-    queries: query_id, vector; items: item_id, vector. Exact. Both sides are dealt into blocks, each pair of blocks is one
-    task of a matrix product that keeps k items a query, and the blocks' results are ranked. A task's memory is two
-    blocks; vectors that are null, zero or of another length match nothing.
-    """
+    queries: query_id, vector; items: item_id, vector, or an index of such items. Vectors that are null, zero or of another
+    length match nothing. Over a table the result is exact: both sides are dealt into blocks, and each pair of blocks is one
+    task of a matrix product that keeps k items a query; a task's memory is two blocks. Over an index only the items of the
+    probes cells nearest to a query are compared with it (by default as many as the index was calibrated for), so some
+    neighbours can be missing; scores are exact."""
+
     def product(table: pa.Table) -> pa.Table:
         out: list[tuple] = []
         for queries_, items_, s in _cosines(table, ("key",)):
@@ -94,7 +113,7 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int = 10, least: float = 0
         f, t, s = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"query_id": pa.array(f, pa.string()), "item_id": pa.array(t, pa.string()), "score": pa.array(s, pa.float64())})
 
-    met = _block_pairs(queries, items, blocks).groupBy("p", "q").applyInArrow(product, "query_id string, item_id string, score double")
+    met = _met(queries, items, blocks, probes).applyInArrow(product, "query_id string, item_id string, score double")
     order = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "item_id")
     return met.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
 

@@ -868,6 +868,29 @@ def wn1_knn(get):
     return vectors.knn_join(q, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))).withColumn("score", F.round("score", 4))
 
 
+def _index(get):
+    """An index of all embeddings, and every 50th of them as queries."""
+    from ..operators import ann
+
+    e = get("embeddings")
+    index = ann.build_index(e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), shared_folder(e.sparkSession))
+    return index, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query()
+def wn1_knn_indexed(get):
+    """The ten nearest as far as the probed cells hold them: tests measure how many of the exact ones these are."""
+    index, q = _index(get)
+    return vectors.knn_join(q, index).withColumn("score", F.round("score", 4))
+
+
+@query("WITH s AS (SELECT a.vec_id AS q, b.vec_id AS i, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) SELECT q::VARCHAR AS query_id, i::VARCHAR AS item_id, round(s, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, i::VARCHAR) AS n FROM s WHERE s >= 0.999999999) WHERE n <= 10")
+def wn1_equal_vectors_indexed(get):
+    """Equal vectors are in one cell, the one that a query probes first, so one cell is enough for all of them."""
+    index, q = _index(get)
+    return vectors.knn_join(q, index, least=0.999999999, probes=1).withColumn("score", F.round("score", 4))
+
+
 @query()
 def wn3_collapse_greedy(get):
     r = get("reports")
