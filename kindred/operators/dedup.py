@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import fuzzy, text
-from .upsert import mark_duplicates
+from .upsert import checkpointed, mark_duplicates
 
 
 #: Columns that blocks are by, and names of a block that one task compares with as many others.
 BLOCK = ("kind", "_first", "_place")
 TILE = 512
+#: Pairs of alike names of a block that one task settles in a loop.
+SMALL = 50_000
 
 
 def _rank(marks: bool = True) -> list[Column]:
@@ -68,29 +70,55 @@ def _alike(names: DataFrame, threshold: float) -> DataFrame:
     return tiled.groupBy(*BLOCK, "p", "q").applyInPandas(compare, "anchor string, other string, kind string, _first string, _place string")
 
 
+def _settled(edges: DataFrame) -> DataFrame:
+    """other, of all nodes that an earlier anchor takes, by rounds over the pairs (anchor, other), the earlier first.
+
+    A node without an earlier neighbour is an anchor, and its neighbours leave; what is left is looked at anew. That is the
+    loop over nodes in their order, many steps at a time. Each round is a few joins and is held in the checkpoint folder;
+    their number is that of turns on the longest chain of names, each like the next only."""
+    left, taken = checkpointed(edges.select("anchor", "other")), None
+    while not left.isEmpty():
+        later = left.select(F.col("other").alias("anchor")).distinct()
+        gone = checkpointed(left.join(later, "anchor", "left_anti").select("other").distinct())
+        taken = gone if taken is None else taken.unionByName(gone)
+        # of an anchor's pairs all others are gone; no pair of a gone node counts any more
+        left = checkpointed(left.join(gone, "other", "left_anti").join(gone.select(F.col("other").alias("anchor")), "anchor", "left_anti"))
+    return edges.select("other").limit(0) if taken is None else taken
+
+
+def greedy_clusters(edges: DataFrame) -> DataFrame:
+    """PL2: (anchor, cluster) of the nodes that an earlier one takes. edges: block columns, anchor, other, the earlier first.
+
+    In the order of ids, a node that no cluster has becomes an anchor and takes all later neighbours that no cluster has.
+    Blocks of up to SMALL pairs are one task's loop each; larger ones are settled together in rounds."""
+    n = edges.groupBy(*BLOCK).agg(F.count("*").alias("_pairs"))
+    sized = edges.join(n, list(BLOCK))
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        cluster: dict[str, str] = {}
+        for a, other in sorted(zip(pdf["anchor"], pdf["other"], strict=True)):
+            if a not in cluster:
+                cluster.setdefault(other, a)
+        return pd.DataFrame(list(cluster.items()), columns=["anchor", "cluster"])
+
+    small = sized.where(F.col("_pairs") <= SMALL).groupBy(*BLOCK).applyInPandas(greedy, "anchor string, cluster string")
+    large = sized.where(F.col("_pairs") > SMALL).select("anchor", "other")
+    if large.isEmpty():
+        return small
+    taken = _settled(large)
+    # a taken node goes to the first of its anchors
+    own = large.join(taken.select(F.col("other").alias("anchor")), "anchor", "left_anti").groupBy("other").agg(F.min("anchor").alias("cluster"))
+    return small.unionByName(own.select(F.col("other").alias("anchor"), "cluster"))
+
+
 def dedup_by_name(reports: DataFrame, threshold: float = 85.0, use_marks: bool = False) -> DataFrame:
     """PL2: (id, canonical): within each block, in the order of ids, a report that no cluster has yet becomes an anchor and
     takes all later ones whose names reach the threshold. Not transitive. Equal names cluster alike, so names are compared
-    once each; the greedy pass, a block at a time, only follows the pairs that reach the threshold."""
+    once each; the greedy pass only follows the pairs that reach the threshold, which are held in the checkpoint folder."""
     b = blocks(reports)
     names = _compact(b)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[str]] = {}
-        for a, other in zip(pdf["anchor"], pdf["other"], strict=True):
-            if isinstance(other, str):
-                near.setdefault(a, []).append(other)
-        cluster: dict[str, str] = {}
-        for a in sorted(pdf["anchor"].unique()):
-            if a not in cluster:
-                cluster[a] = a
-                for other in near.get(a, ()):
-                    cluster.setdefault(other, a)
-        return pd.DataFrame(list(cluster.items()), columns=["anchor", "cluster"]).assign(**{c: pdf[c].iloc[0] for c in BLOCK})
-
-    own = names.select(*BLOCK, "anchor", F.lit(None).cast("string").alias("other"))
-    placed = own.unionByName(_alike(names, threshold)).groupBy(*BLOCK).applyInPandas(greedy, "anchor string, cluster string, kind string, _first string, _place string")
-    placed = b.join(names.join(placed, [*BLOCK, "anchor"]).drop("anchor"), [*BLOCK, "full_name"])
+    placed = names.join(greedy_clusters(checkpointed(_alike(names, threshold))), "anchor", "left").withColumn("cluster", F.coalesce("cluster", "anchor"))
+    placed = b.join(placed.drop("anchor"), [*BLOCK, "full_name"])
     best = F.first("id").over(W.partitionBy(*BLOCK, "cluster").orderBy(*_rank(use_marks)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return placed.withColumn("canonical", best).where("id <> canonical").select("id", "canonical")
 

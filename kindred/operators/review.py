@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +13,8 @@ from pyspark.sql import Window as W
 from ..functions.scores import INTENT_HIGH, INTENT_LOW, INTENT_MIDDLE
 from .upsert import collapse_batch, insert_new
 
-#: Messages and questions of a block that best_faq compares at once.
-FAQ_BLOCK = 64
+#: Bytes of questions that are sent to every task.
+FAQ_BYTES = 4 << 20
 #: How many matches a queue looks at, by mode (fixed values).
 FETCH_LIMITS = {"high": 1000, "hospital": 1000, "all": 400}
 #: What a review decision makes of a match (fixed values).
@@ -186,47 +189,110 @@ def resolve_tenant(messages: DataFrame, tenants: DataFrame, single: bool = False
     return messages.join(active.groupBy("session").agg(F.min("tenant_id").alias("tenant_id")), "session", "left")
 
 
-def best_faq(messages: DataFrame, faqs: DataFrame, cutoff: float = 0.65) -> DataFrame:
-    """JN18: (message_id, faq_id, ratio): each message's most similar question, if the gestalt ratio reaches the cutoff.
+def _letters(text: str) -> list[tuple[int, str]]:
+    """A text's letters as a set: each with its turn among equal ones, those of late turns first, as few texts have them."""
+    seen: dict[str, int] = {}
+    out = []
+    for c in text:
+        seen[c] = seen.get(c, 0) + 1
+        out.append((-seen[c], c))
+    return sorted(out)
+
+
+def _prefix(text: str, cutoff: float) -> list[str]:
+    """Letters of which one at least is shared with the prefix of any text whose ratio reaches the cutoff: two texts of a and b
+    letters share cutoff * (a + b) / 2 of them at least, and b is a * cutoff / (2 - cutoff) at least."""
+    a = len(text)
+    shortest = math.ceil(a * cutoff / (2 - cutoff) - 1e-9)
+    shared = max(1, math.ceil(cutoff * (a + shortest) / 2 - 1e-9))
+    # two empty texts are alike
+    return [f"{c}{-n}" for n, c in _letters(text)[: a - shared + 1]] or [""]
 
-    Every distinct message meets every question, as the ratio bounds nothing that could be joined by: blocks of messages
-    meet blocks of questions, and each pair of blocks hands on its best question of each message."""
+
+def _best_of(pairs, cutoff: float) -> list[tuple]:
+    """(text, faq, ratio) of each text's best question among pairs (text, its folded form, questions as (faq, folded form)):
+    the ratio by letters bounds the gestalt ratio, so a text's questions are tried in its order until none can be better."""
     from ..functions import fuzzy
 
-    def blocks(df, schema):
-        def cut(batches):
-            for pdf in batches:
-                for at in range(0, len(pdf), FAQ_BLOCK):
-                    yield pd.DataFrame({c: [pdf[c].iloc[at : at + FAQ_BLOCK].tolist()] for c in pdf.columns})
+    out, matchers, counts = [], {}, {}
+
+    def counted(t: str) -> Counter:
+        if t not in counts:
+            counts[t] = Counter(t)
+        return counts[t]
+
+    for text, folded, questions in pairs:
+        mine, bounds = counted(folded), []
+        for faq, question in questions:
+            n = len(folded) + len(question)
+            both = (mine & counted(question)).total()
+            bounds.append((-round(2.0 * both / n if n else 1.0, 6), faq, question))
+        top = None
+        for bound, faq, question in sorted(bounds):
+            if -bound < cutoff or top and -bound < top[0]:
+                break
+            m = matchers.get(question)
+            if m is None:
+                # what the matcher learns of its second text serves all texts
+                m = matchers[question] = fuzzy.difflib.SequenceMatcher(None, "", question)
+            m.set_seq1(folded)
+            r = round(m.ratio(), 6)
+            if r >= cutoff and (top is None or r > top[0] or r == top[0] and faq < top[1]):
+                top = (r, faq)
+        if top:
+            out.append((text, top[1], top[0]))
+        counts.pop(folded, None) if len(counts) > 50_000 else None
+    return out
+
 
-        return df.mapInPandas(cut, schema)
+def best_faq(messages: DataFrame, faqs: DataFrame, cutoff: float = 0.65, most_sent: int = FAQ_BYTES) -> DataFrame:
+    """JN18: (message_id, faq_id, ratio): each message's most similar question, if the gestalt ratio reaches the cutoff (above
+    0); ties to the smaller faq_id. Distinct messages are compared once. Null messages, questions and faq_ids match nothing.
+
+    Questions of up to most_sent bytes go to every task, which has all of them for each message. More are joined: two texts
+    whose ratio reaches the cutoff share many letters, counted with their repeats, so one of the first letters of both, in
+    an order of rarity, is the same (a prefix join of letter multisets), and their lengths are not far apart. What is joined
+    is compared in either way by the ratio of shared letters first, which bounds the gestalt ratio from above."""
+    from ..functions import fuzzy
 
+    if not 0 < cutoff <= 1:
+        raise ValueError(f"cutoff is {cutoff}, not above 0 and up to 1")
     kind = faqs.schema["faq_id"].dataType.simpleString()
-    texts = blocks(messages.where("text is not null").select("text").distinct(), "text array<string>")
-    asked = blocks(faqs.where("faq_id is not null and question is not null").select("faq_id", "question"), f"faq_id array<{kind}>, question array<string>")
-
-    def best(batches):
-        for pdf in batches:
-            out = []
-            for said, ids, questions in zip(pdf["text"], pdf["faq_id"], pdf["question"], strict=True):
-                top = {}
-                folded = [(t, fuzzy._fold(t)) for t in said]
-                for faq, question in zip(ids, questions, strict=True):
-                    # what the matcher learns of its second text serves all messages
-                    m = fuzzy.difflib.SequenceMatcher(None, "", fuzzy._fold(question))
-                    for t, f in folded:
-                        least = max(cutoff, top[t][0]) if t in top else cutoff
-                        m.set_seq1(f)
-                        if round(m.real_quick_ratio(), 6) < least or round(m.quick_ratio(), 6) < least:
-                            continue
-                        r = round(m.ratio(), 6)
-                        if r >= cutoff and (t not in top or r > top[t][0] or r == top[t][0] and faq < top[t][1]):
-                            top[t] = (r, faq)
-                out += [(t, faq, r) for t, (r, faq) in top.items()]
-            yield pd.DataFrame(out, columns=["text", "faq_id", "ratio"])
-
-    # a fixed number of tasks, as a row of this table is much work
-    tiles = texts.crossJoin(asked).repartition(4 * messages.sparkSession.sparkContext.defaultParallelism)
-    met = tiles.mapInPandas(best, f"text string, faq_id {kind}, ratio double")
+    texts = messages.where("text is not null").select("text").distinct()
+    asked = faqs.where("faq_id is not null and question is not null").select("faq_id", "question")
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("question") + 64), F.lit(0))).first()[0]
+    if size <= most_sent:
+        known = messages.sparkSession.sparkContext.broadcast([(r.faq_id, fuzzy._fold(r.question)) for r in asked.collect()])
+
+        def best(batches):
+            for pdf in batches:
+                rows = _best_of(((t, fuzzy._fold(t), known.value) for t in pdf["text"]), cutoff)
+                yield pd.DataFrame(rows, columns=["text", "faq_id", "ratio"])
+
+        # texts are dealt anew by distinct, so a row of much work is one of many
+        met = texts.mapInPandas(best, f"text string, faq_id {kind}, ratio double")
+    else:
+        # what rounding to six places lets pass must be joined
+        low = max(cutoff - 1e-6, 1e-6)
+
+        def keys(names: list[str], text: str):
+            def emit(batches):
+                for pdf in batches:
+                    folded = [fuzzy._fold(t) for t in pdf[text]]
+                    out = pd.DataFrame({**{n: pdf[n] for n in names}, "letter": [_prefix(t, low) for t in folded], "n": [len(t) for t in folded]})
+                    yield out.explode("letter").astype({"n": "int32"})
+
+            return emit
+
+        left = texts.mapInPandas(keys(["text"], "text"), "text string, letter string, n int")
+        right = asked.mapInPandas(keys(["faq_id", "question"], "question"), f"faq_id {kind}, question string, letter string, n int").withColumnRenamed("n", "m")
+        near = left.join(right, "letter").where(F.lit(2.0) * F.least("n", "m") >= F.lit(low) * (F.col("n") + F.col("m")))
+
+        def verify(batches):
+            for pdf in batches:
+                rows = _best_of(((t, fuzzy._fold(t), [(f, fuzzy._fold(q))]) for t, f, q in zip(pdf["text"], pdf["faq_id"], pdf["question"], strict=True)), cutoff)
+                yield pd.DataFrame(rows, columns=["text", "faq_id", "ratio"])
+
+        met = near.select("text", "faq_id", "question").distinct().mapInPandas(verify, f"text string, faq_id {kind}, ratio double")
     top = met.groupBy("text").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "faq_id")).alias("top"))
     return messages.select("message_id", "text").join(top, "text").select("message_id", F.col("top.faq_id").alias("faq_id"), (-F.col("top.r")).alias("ratio"))

@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, held in the folder that spark.checkpoint.dir names, or that the session has; a local session without either gets
+    a temporary one, on a cluster that is an error, as executors don't share such a folder."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def collapse_batch(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """SK3, AG8, WN2: the first row of each key in that order."""
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
@@ -64,6 +80,34 @@ def log_run(before: DataFrame, after: DataFrame, keys: list[str], source: str, r
     return n.select(F.lit(source).alias("source"), F.lit(run_type).alias("run_type"), "inserted", "updated", F.lit(None).cast("string").alias("error"))
 
 
+def observed_upsert(target: DataFrame, updates: DataFrame, write, source: str, run_type: str, keys: tuple[str, ...] = ("source", "source_url"), noise: Column | None = None, mode: str = "merge") -> dict:
+    """AG3, SK6: an upsert and what its own pass counts, as a row of the run log.
+
+    updates that fail are counted as errors and left out: those with a null key, and all but the first of a key's rows.
+    noise is a condition for rows to be counted and left out as well. checked is all of them, inserted and updated what is
+    left, by whether the target has the key. The counts are observed on the plan that write, an action, runs; if it fails the
+    row says so, with what it had not counted as null. One pass over target and updates, no second look at either table."""
+    watch, keys = Observation(f"run-{uuid.uuid4().hex}"), list(keys)
+    null = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+    flagged = updates.withColumn("_noise", F.coalesce(noise, F.lit(False)) if noise is not None else F.lit(False))
+    turn = F.row_number().over(W.partitionBy(*keys).orderBy("_noise", F.xxhash64(*updates.columns)))
+    flagged = flagged.withColumn("_error", null | (~F.col("_noise") & (turn > 1)))
+    flagged = flagged.join(target.select(*keys, F.lit(True).alias("_there")), keys, "left")
+    good = ~F.col("_noise") & ~F.col("_error")
+    counts = {"checked": F.lit(True), "noise": F.col("_noise") & ~null, "errors": F.col("_error"), "inserted": good & F.col("_there").isNull(), "updated": good & F.col("_there").isNotNull()}
+    if mode == "ignore":
+        counts["updated"] = F.lit(False)
+    # the mark keeps rows that don't count in the plan up to the observation
+    seen = flagged.observe(watch, *(F.count_if(c).alias(n) for n, c in counts.items()))
+    row = dict.fromkeys(counts) | {"source": source, "run_type": run_type, "error": None}
+    try:
+        write(upsert(target, seen.where(good).select(updates.columns), tuple(keys), mode))
+        row |= watch.get
+    except Exception as e:  # noqa: BLE001  the log keeps what went wrong, the caller decides
+        row["error"] = f"{type(e).__name__}: {str(e).splitlines()[0][:200]}"
+    return row
+
+
 def upsert_actors(target: DataFrame, events: DataFrame, key: str = "phone", ts: str = "ts") -> DataFrame:
     """SK8: actors by key with the latest time seen; names come from the newest event that has one."""
     seen = events.groupBy(key).agg(F.max(ts).alias("last_seen"), F.max_by("name", F.when(F.col("name").isNotNull(), F.col(ts))).alias("name"))

@@ -1300,6 +1300,7 @@ def sm6_ingest_and_sweep(get):
 
 @query("SELECT o_orderkey AS missing_id, c_custkey AS found_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey < 5")
 def sm7_linked_batches(get):
+    from ..operators.stored import StoredTable
     from ..streaming import streams
 
     orders, people = get("orders"), get("customer").where("c_nationkey < 5")
@@ -1307,5 +1308,91 @@ def sm7_linked_batches(get):
     folder = shared_folder(spark)
     new = _file_stream(orders).select("o_orderkey", "o_custkey")
     link = lambda batch, known: batch.join(known, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("missing_id"), F.col("c_custkey").alias("found_id"))
-    streams.link_micro_batches(new, f"{folder}/new", f"{folder}/links", f"{folder}/state", lambda: people, link).awaitTermination()
-    return spark.read.parquet(f"{folder}/links").select("missing_id", "found_id")
+    reports = StoredTable(spark, f"{folder}/new", new.schema, ("o_orderkey",), 8)
+    links = StoredTable(spark, f"{folder}/links", link(orders.select("o_orderkey", "o_custkey"), people).schema, ("missing_id", "found_id"), 8)
+    streams.link_micro_batches(new, reports, links, f"{folder}/state", lambda: people, link).awaitTermination()
+    return links.read()
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def sm7_sk1_upserted_stream(get):
+    """A stream in which every key comes many times, laid over a stored table: each key's newest row is left."""
+    from ..operators.stored import StoredTable
+    from ..streaming import streams
+
+    events = get("events").select("user_id", "event_id", "event_type", "value")
+    spark = events.sparkSession
+    folder = shared_folder(spark)
+    table = StoredTable(spark, f"{folder}/users", events.schema, ("user_id",), 8)
+    streams.upsert_stream(_file_stream(get("events")).select(events.columns), table, f"{folder}/state", order=("event_id",)).awaitTermination()
+    return table.read()
+
+
+def _payloads(get):
+    e, k = get("events"), F.col("event_id")
+    forms = {
+        "view": '{"intent": "buscar", "confidence": 0.%d, "node_key": "n%d", "latency_ms": %d}', "click": '{"current_node": "n0", "target_node": "n%d", "metodo": "intent", "intent_confidence": 0.%d, "similarity_confidence": 0.5}',
+        "purchase": '{"node_key": "n%d", "metodo": "similarity", "response_length": %d}', "signup": '{"intent": "none", "confidence": 0.0, "latency_ms": %d}',
+    }
+    said = {"view": (k % 9 + 1, k % 3, k % 500), "click": (k % 3, k % 9 + 1), "purchase": (k % 3, k % 80), "signup": (k % 500,)}
+    data = F.coalesce(*(F.when(F.col("event_type") == t, F.format_string(f, *said[t])) for t, f in forms.items()), F.lit("{broken"))
+    return e.select("event_id", "event_type", F.to_date("ts").alias("day"), data.alias("data"))
+
+
+@query(
+    """WITH e AS (SELECT event_type, event_id AS k, CASE event_type WHEN 'view' THEN 'n' || k % 3 WHEN 'click' THEN 'n' || k % 3 WHEN 'purchase' THEN 'n' || k % 3 END AS node, CASE WHEN event_type IN ('view', 'click') THEN (k % 9 + 1) / 10 END AS c, CASE WHEN event_type IN ('view', 'signup') THEN (k % 500)::DOUBLE END AS l FROM events)
+ SELECT event_type, node, count(*) AS n, count(CASE WHEN event_type = 'view' THEN 1 END) AS n_intents, round(avg(c), 6) AS avg_confidence, round(avg(l), 6) AS avg_latency, max(l) AS latency_max, CASE WHEN count(c) > 0 THEN true END AS median_near, CASE WHEN count(l) > 0 THEN true END AS p95_near FROM e GROUP BY ALL"""
+)
+def ag9_node_metrics(get):
+    """Counts and means by type and node from daily sketches; the sketches' quantiles are held against exact ranks."""
+    events = sessions.event_payloads(_payloads(get))
+    out = sessions.merged_sketches(sessions.event_sketches(events, F.col("day")))
+    ranks = events.alias("e").join(out.alias("o"), F.col("e.event_type").eqNullSafe(F.col("o.event_type")) & F.col("e.node").eqNullSafe(F.col("o.node"))).groupBy("o.event_type", "o.node")
+
+    def near(c, at, q):
+        # the share of values below and up to the quantile, with the sketch's error on both sides
+        low, high = F.avg((F.col(f"e.{c}") < F.col(f"o.{at}")).cast("double")), F.avg((F.col(f"e.{c}") <= F.col(f"o.{at}")).cast("double"))
+        return (low <= q + 0.03) & (high >= q - 0.03)
+
+    held = ranks.agg(near("confidence", "confidence_p50", 0.5).alias("median_near"), near("latency_ms", "latency_ms_p95", 0.95).alias("p95_near"))
+    both = out.join(held.withColumnsRenamed({"event_type": "t", "node": "d"}), F.col("event_type").eqNullSafe(F.col("t")) & F.col("node").eqNullSafe(F.col("d")))
+    return both.select("event_type", "node", "n", "n_intents", F.round("avg_confidence", 6).alias("avg_confidence"), F.round("avg_latency", 6).alias("avg_latency"), "latency_max", "median_near", "p95_near")
+
+
+@query(
+    f"{WR}, u AS (SELECT source, source_url, full_name, id LIKE '%4' AS noise, id LIKE '%7' AS lost FROM reports WHERE id NOT LIKE '%1'), t AS (SELECT source, source_url FROM reports WHERE id LIKE '%3' OR id LIKE '%4' OR id LIKE '%5') SELECT 'x' AS source, 'full' AS run_type, count(*) AS checked, count(*) FILTER (noise) AS noise, count(*) FILTER (lost) AS errors, count(*) FILTER (NOT noise AND NOT lost AND t.source IS NULL) AS inserted, count(*) FILTER (NOT noise AND NOT lost AND t.source IS NOT NULL) AS updated, NULL::VARCHAR AS error FROM u LEFT JOIN t ON t.source = u.source AND t.source_url = u.source_url"
+)
+def ag3_observed_run(get):
+    """What an upsert's own pass counts: a report in ten lacks its key, one in ten is noise."""
+    r = get("reports").withColumn("last", F.expr("substr(id, -1)"))
+    names = ["source", "source_url", "full_name"]
+    r = r.withColumn("source_url", F.concat("source_url", F.lit("#"), "id"))
+    new = r.where("last <> '1'").select("source", F.when(F.col("last") != "7", F.col("source_url")).alias("source_url"), F.when(F.col("last") == "4", "???").otherwise(F.col("full_name")).alias("full_name"))
+    row = upsert.observed_upsert(r.where("last in ('3', '4', '5')").select(names), new, lambda df: df.write.parquet(f"{shared_folder(df.sparkSession)}/run"), "x", "full", noise=F.col("full_name") == "???")
+    kinds = "source string, run_type string, checked long, noise long, errors long, inserted long, updated long, error string"
+    return r.sparkSession.createDataFrame([tuple(row[c.split()[0]] for c in kinds.split(", "))], kinds)
+
+
+@query(f"{WR} SELECT id, created_at FROM reports WHERE kind = 'found'")
+def sc03_kept_cursor(get):
+    """All found reports, read in runs of a thousand, of which each fifth is stopped before its cursor is moved."""
+    from ..operators.stored import Cursor, StoredTable
+
+    found = get("reports").where("kind = 'found'").select("id", "created_at")
+    spark = found.sparkSession
+    folder = shared_folder(spark)
+    done, cursor = StoredTable(spark, f"{folder}/done", found.schema, ("id",), 4), Cursor(spark, f"{folder}/cursor")
+    number = iter(range(1 << 30))
+
+    def work(rows):
+        n = next(number)
+        done.merge(rows, n, "ignore")
+        if n % 5 == 1:
+            raise InterruptedError
+
+    while True:
+        try:
+            if not cursor.run(found, work):
+                return done.read()
+        except InterruptedError:
+            pass

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.sessions import FORM, next_person
+from ..operators.stored import StoredTable
 
 WATERMARK = "10 minutes"
 
@@ -135,12 +136,22 @@ def session_stream(df: DataFrame, key: str = "phone", ttl_s: float = 7 * 86400.0
     return timed.groupBy(key).transformWithStateInPandas(Session(key, fields, ttl_s), schema, "Append", "EventTime")
 
 
-def link_micro_batches(stream: DataFrame, target_path: str, link_path: str, checkpoint: str, corpus, link):
-    """SM7: each micro-batch is appended to the reports and its links to the corpus are written; a batch that is tried again
-    overwrites its own files, so nothing is written twice."""
+def upsert_stream(stream: DataFrame, table: StoredTable, checkpoint: str, mode: str = "merge", order: tuple[str, ...] = ()):
+    """SM7, SK1: the running query that lays each micro-batch over a stored table, whatever has come in by now, and then
+    ends. A batch that is tried again after a failure changes nothing more."""
+    return stream.writeStream.foreachBatch(lambda batch, number: table.merge(batch, number, mode, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def link_micro_batches(stream: DataFrame, reports: StoredTable, links: StoredTable, checkpoint: str, corpus, link, order: tuple[str, ...] = ()):
+    """SM7: each micro-batch is laid over the reports, and its links to the corpus are added to the links, those that are there
+    left alone. A report that comes again replaces itself, and a batch that is tried again changes nothing more."""
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target_path}/batch={number}")
-        link(batch, corpus()).write.mode("overwrite").parquet(f"{link_path}/batch={number}")
+        batch = batch.persist()
+        try:
+            reports.merge(batch, number, order=order)
+            links.merge(link(batch, corpus()), number, "ignore")
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
