@@ -29,6 +29,24 @@ def test_name_pass_is_greedy_in_order_of_ids(spark):
     assert got == {("b", "a")} or got == {("b", "a"), ("c", "a")}
 
 
+def test_greedy_clusters_in_rounds_equal_the_loop(spark, monkeypatch):
+    """Random graphs, and a chain on which each node has the next as its only neighbour."""
+    rng = random.Random(8)
+    graphs = [{(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(m)) if a < b} for n, m in ((12, 30), (40, 60), (60, 500))] + [{(i, i + 1) for i in range(13)}]
+    rows = [("missing", f"g{g}", "", f"{g}-{a:03}", f"{g}-{b:03}") for g, pairs in enumerate(graphs) for a, b in pairs]
+    want = {}
+    for g, pairs in enumerate(graphs):
+        for a in range(60):
+            name = f"{g}-{a:03}"
+            if name not in want:
+                for b in sorted(b for x, b in pairs if x == a):
+                    want.setdefault(f"{g}-{b:03}", name)
+    edges = spark.createDataFrame(rows, "kind string, _first string, _place string, anchor string, other string")
+    for small in (0, 40, 1 << 20):
+        monkeypatch.setattr(dedup, "SMALL", small)
+        assert {(x.anchor, x.cluster) for x in dedup.greedy_clusters(edges).collect()} == set(want.items())
+
+
 @pytest.mark.parametrize("tile", [3, 512])
 def test_name_pass_equals_greedy_loop(spark, monkeypatch, tile):
     from kindred.functions import fuzzy
@@ -96,11 +114,75 @@ def test_notifications(spark, legacy):
     s = spark.createDataFrame([("m1", "1", None), ("m2", "2", 900_000)], "report_id string, phone string, last_notified_at long")
     outbox, after, subs = notify.notifications(m, s, r, 950_000, legacy_cooldown=legacy)
     assert [(x.match_id, x.report_id, x.text) for x in outbox.collect()] == [(1, "m1", "D — x")]
-    # 1 is done; 2 waits for the next run; 3's other side is blank, so nobody is left to tell; 5's subscriber rests
-    assert {x.id for x in after.where("notify_sent").collect()} == ({1, 3, 5} if legacy else {1, 3})
+    # 1 is done; 2 waits for the next run, as its subscriber has been told of 1; the subscriber of 3 and 5 rests
+    assert {x.id for x in after.where("notify_sent").collect()} == ({1, 2, 3, 5} if legacy else {1})
     assert {(x.report_id, x.last_notified_at) for x in subs.collect()} == {("m1", 950_000), ("m2", 900_000)}
 
 
+@pytest.mark.parametrize("legacy", [False, True])
+def test_families_that_could_not_be_told_stay_open(spark, legacy):
+    r = reports(spark, ("m1", "missing", "A", 1, "x", None, "s", 1), ("m2", "missing", "B", 1, "x", None, "s", 1), ("m3", "missing", "C", 1, "x", None, "s", 1), ("f1", "found", "", 1, " " * 0, None, "h", 1), ("f2", "found", "D", 1, None, None, "h", 1))
+    m = _matches(spark, (1, "m1", "f1", 0.9, 0.0, "confirmed", False, False, None), (2, "m2", "f2", 0.8, 0.0, "confirmed", False, None, None), (3, "m3", "f2", 0.7, 0.0, "confirmed", False, False, None), (4, "m3", "gone", 0.95, 0.0, "confirmed", False, False, None), (5, "m1", "f2", 0.5, 0.0, "confirmed", False, False, None))
+    s = spark.createDataFrame([("m1", "1", None), ("m3", "31", None), ("m3", "30", 949_000), ("m3", "32", 1)], "report_id string, phone string, last_notified_at long")
+    outbox, after, subs = notify.notifications(m, s, r, 950_000, legacy_cooldown=legacy)
+    # 1's other side is blank and 4's is not there: nothing is sent of them, the next match is told instead
+    assert {(x.match_id, x.phone, x.text) for x in outbox.collect()} == {(5, "1", "D"), (3, "31", "D"), (3, "32", "D")}
+    # 1 and 4 stay open, 2 has no subscriber, and of 3 one phone rests
+    assert {x.id for x in after.where("notify_sent").collect()} == ({3, 5} if legacy else {5})
+    assert {(x.phone, x.last_notified_at) for x in subs.collect()} == {("1", 950_000), ("31", 950_000), ("30", 949_000), ("32", 950_000)}
+
+
+def test_review_queue_in_every_mode_has_one_match_a_missing_report(spark):
+    r = reports(spark, ("m1", "missing", "A", 1, "x", None, None, 1), ("m2", "missing", "B", 1, "x", None, "hospital_1", 1), ("f1", "found", "C", 1, "x", None, "hospital_1", 1), ("f2", "found", "D", 1, "x", None, "s", 1))
+    m = _matches(spark, (1, "m1", "f1", 0.95, 0.0, "pending", False, False, None), (2, "m1", "f2", 0.99, 0.0, "pending", False, False, None), (3, "m2", "f1", 0.5, 0.2, "pending", False, False, "yes"), (4, "m2", "f2", 0.6, 0.0, "pending", False, False, "no"))
+    queue = lambda **k: [x.id for x in review.review_queue(m, r, **k).collect()]
+    # what the family has confirmed comes first, but the fetch goes by score alone
+    assert queue(mode="all") == [3, 2]
+    assert queue(mode="all", fetch_limit=2) == [2] and queue(mode="all", fetch_limit=3) == [2, 4]
+    # a missing report without a source is no reason to drop a match; one of the same source is
+    assert queue(mode="high") == [1]
+
+
+def test_an_answer_uses_up_what_was_shown(spark):
+    m = _matches(spark, *((i, "m1", "f1", 0.9, 0.0, "pending", False, False, None) for i in range(1, 7)))
+    hour = 3600
+    shown = [("p", 1, "m1", 0), ("q", 2, "m1", 0), ("r", 3, "f1", 0), ("r", 4, "f1", 50), ("s", 5, "x", 0), ("t", 6, "m1", 0)]
+    acks = [("p", "yes", 10), ("p", "no", 20), ("q", "yes", 73 * hour), ("q", "yes", 73 * hour + 1), ("r", "yes", 10), ("r", "no", 60), ("s", "yes", 72 * hour), ("u", "yes", 5), ("t", "no", -5)]
+    got = review.record_acks(m, spark.createDataFrame(shown, "phone string, match_id long, report_id string, ts long"), spark.createDataFrame(acks, "phone string, ack string, ts long"))
+    assert {x.id: (x.family_ack, x.family_ack_side, x.family_ack_at) for x in got.collect()} == {1: ("yes", "missing", 10), 2: (None, None, None), 3: ("yes", "found", 10), 4: ("no", "found", 60), 5: ("yes", None, 72 * hour), 6: (None, None, None)}
+
+
+FORM = "id long, phone string, ts long, kind string, name string, cedula string, age int, location string, description string, contact string, has_photo boolean, restart boolean, skipped array<string>"
+
+
+def test_intake_form(spark):
+    def asked(*messages, people=False):
+        names = [x.split()[0] for x in FORM.split(", ")]
+        rows = [tuple({"id": i, "phone": "p", "ts": i, "restart": False} .get(n, m.get(n)) if n not in m else m[n] for n in names) for i, m in enumerate(messages)]
+        return [x.next_field for x in sessions.intake_state(spark.createDataFrame(rows, FORM), people=people).orderBy("id").collect()]
+
+    # a photo stands for a found person's name and for any description, not for the age
+    assert asked({"kind": "found", "has_photo": True}) == ["cedula"]
+    assert asked({"kind": "missing", "has_photo": True}) == ["name"]
+    assert asked({"kind": "missing", "name": "Ana", "location": "x", "has_photo": True}, {"cedula": "1"}, {"age": 3}, {"contact": "0412"}) == ["cedula", "age", "contact", None]
+    # what is skipped stays skipped, blanks are no answer, a restart forgets both
+    assert asked({"name": "Ana", "skipped": ["cedula"]}, {"age": 3}, {"location": " "}, {"restart": True, "cedula": "1"}) == ["age", "location", "location", "name"]
+    # another person begins a form of their own
+    assert asked({"name": "Ana Paz", "cedula": "1"}, {"name": "Ana Paz Gil", "age": 3}, {"name": "Luis Diaz", "age": 4}, people=True) == ["age", "location", "cedula"]
+
+
+def test_decisions_with_and_without_a_node(spark):
+    lit = lambda v, t="string": F.lit(v).cast(t)
+    rule = lambda i, c, u, t, m, n: tuple(spark.range(1).select(review.decide(lit(i), lit(c, "double"), lit(u), lit(t, "boolean"), lit(m), lit(n)).alias("d")).first().d)
+    assert rule("ask", 0.9, "high", False, "m", "n") == ("n", "high_confidence_urgent", "intent")
+    assert rule("ask", 0.9, "high", True, "m", None) == ("m", "low_confidence_follow_flow", "similarity")
+    assert rule("ask", 0.75, "low", True, "m", "n") == ("n", "topic_change", "intent")
+    assert rule("ask", 0.5, "low", True, "m", None) == ("m", "following_flow", "similarity")
+    assert rule("ask", 0.68, "low", False, None, "n") == ("n", "intent_detected", "intent")
+    assert rule("ask", 0.68, "low", False, None, "") == ("fallback", "no_clear_intent", "fallback")
+    assert rule(None, 0.9, "high", True, "", "n") == ("fallback", "no_clear_intent", "fallback")
+
+
 def test_rate_limit_counts_accepted_events(spark):
     e = spark.createDataFrame([(i, "p", float(t)) for i, t in enumerate([*range(25), 60, 60.001])], "id long, phone string, ts double")
     got = {r.id: r.accepted for r in sessions.rate_limit(e).collect()}
@@ -171,3 +253,28 @@ def test_best_faq_compares_all_questions(spark):
         if met and -min(met)[0] >= 0.5:
             want[m] = (min(met)[1], -min(met)[0])
     assert {x.message_id: (x.faq_id, x.ratio) for x in got.collect()} == want and "m1" in want and "m2" in want
+
+
+@pytest.mark.parametrize("cutoff", [0.05, 0.3, 0.65, 0.9, 1.0])
+def test_best_faq_sent_and_joined_equals_all_pairs(spark, cutoff):
+    from difflib import SequenceMatcher
+
+    from kindred.functions import fuzzy
+
+    rng = random.Random(3)
+    words = "donde esta mi familia como registro una persona refugio hospital aaaa zz que es esto".split()
+    text = lambda: " ".join(rng.choices(words, k=rng.randint(1, 7)))
+    asked = [(i, text()) for i in range(25)] + [(90, None), (None, "x"), (91, "¿Dónde ESTÁ?"), (92, "!!!"), (93, "aaaaaaaa")]
+    said = [(f"m{i}", text()) for i in range(40)] + [("n", None), ("e", "¡!"), ("d", "donde esta"), ("d2", "donde esta"), ("a", "aaaa aaaa")]
+    want = {}
+    for m, t in said:
+        if t is not None:
+            met = [(-round(SequenceMatcher(None, fuzzy._fold(t), fuzzy._fold(a)).ratio(), 6), i) for i, a in asked if i is not None and a is not None]
+            if -min(met)[0] >= cutoff:
+                want[m] = (min(met)[1], -min(met)[0])
+    messages, faqs = spark.createDataFrame(said, "message_id string, text string"), spark.createDataFrame(asked, "faq_id long, question string")
+    for most_sent in (1 << 20, 0):
+        got = review.best_faq(messages, faqs, cutoff, most_sent)
+        assert {x.message_id: (x.faq_id, x.ratio) for x in got.collect()} == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan
