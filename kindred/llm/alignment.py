@@ -30,7 +30,7 @@ from ._words import short_batches, slices
 #: A pair is hot when it has more than 1 / HOT of all documents' pairs.
 HOT = 1 << 17
 #: Bytes of text that are aligned at a time, or one text.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 #: An id pair as one number: first id times this, plus the second.
 SHIFT = 1 << 24
 
