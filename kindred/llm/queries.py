@@ -84,7 +84,7 @@ def op5_toxicity_cnn(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     scored = toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select(
-        "doc_id", (fold() == 2).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.3).cast("int").alias("predicted"), F.col("toxicity_threshold").alias("lang_threshold"), "toxic_rejected"
+        "doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.3).cast("int").alias("predicted"), F.col("toxicity_threshold").alias("lang_threshold"), "toxic_rejected"
     )
 
 

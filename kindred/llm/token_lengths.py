@@ -79,3 +79,34 @@ def length_report(lengths: DataFrame) -> DataFrame:
     return out.select(
         "n_tokens", "n_docs", "docs_up_to", over.alias("docs_over"), "tokens_up_to", (F.col("tokens_up_to") + over * F.col("n_tokens")).alias("truncated_tokens"), (F.col("docs_up_to") / F.col("d_all")).alias("share_up_to"), F.col("t_all").alias("total_tokens")
     )
+
+
+def at_limits(report: DataFrame, limits: DataFrame) -> DataFrame:
+    """limit and the same numbers as in length_report for every row of limits (limit), also for limits that no document's
+    length is: what fits and what is cut follows from the longest length up to the limit. A limit below all lengths fits
+    none; null limits are left out, repeated ones returned once each. Without documents there are no rows.
+
+    Limits meet the report's rows in one order of both, chunk by chunk of CHUNK lengths; a chunk's last row is carried on."""
+    named = ["docs_up_to", "tokens_up_to", "docs_over", "total_tokens"]
+    last = F.struct("n_tokens", *named)
+    rows = report.select(F.col("n_tokens").alias("at"), F.lit(0).alias("turn"), last.alias("row"))
+    asked = limits.where("limit is not null").select(F.col("limit").cast("long").alias("at"), F.lit(1).alias("turn"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
+    both = rows.unionByName(asked).withColumn("chunk", F.floor(F.col("at") / CHUNK))
+    before = W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    chunks = both.groupBy("chunk").agg(F.max("row").alias("top")).select("chunk", F.last("top", ignorenulls=True).over(before).alias("carried"))
+    within = W.partitionBy("chunk").orderBy("at", "turn").rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = both.withColumn("near", F.last("row", ignorenulls=True).over(within)).where("turn = 1").join(chunks, "chunk").withColumn("row", F.coalesce("near", "carried"))
+    whole = report.agg(F.max("total_tokens").alias("all_tokens"), F.max(F.col("docs_up_to") + F.col("docs_over")).alias("all_docs")).where("all_docs is not null")
+    out = met.join(F.broadcast(whole))
+    fits, over = F.coalesce("row.docs_up_to", F.lit(0)), F.coalesce("row.docs_over", F.col("all_docs"))
+    tokens = F.coalesce("row.tokens_up_to", F.lit(0))
+    return out.select(
+        F.col("at").alias("limit"), fits.alias("docs_up_to"), over.alias("docs_over"), tokens.alias("tokens_up_to"), (tokens + over * F.greatest("at", F.lit(0))).alias("truncated_tokens"), (fits / F.col("all_docs")).alias("share_up_to"), F.col("all_tokens").alias("total_tokens")
+    )
+
+
+def quantile_lengths(report: DataFrame, shares: list[float]) -> DataFrame:
+    """share and n_tokens, the least length that at least that share of documents does not exceed, for each of the shares (0
+    to 1). Without documents there are no rows."""
+    at = F.explode(F.array(*(F.lit(float(x)) for x in shares))).alias("share")
+    return report.select("n_tokens", "share_up_to", at).where("share_up_to >= share").groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))

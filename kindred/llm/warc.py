@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ._graph import checkpointed
+
 #: Headers that a 304 answer may update (fixed by the HTTP caching standard).
 UPDATABLE = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 CHUNK_SECONDS = 3600
@@ -82,9 +84,11 @@ def resolve_revisits(records: DataFrame, body: str | None = None, chunk_seconds:
     )
     if body is None:
         return out
+    # read three times from here on
+    out = checkpointed(out)
     # a popular response's body goes to several tasks; at most SHARE ids are popular, so their list may be broadcast
     named = out.where("resolved_id is not null")
-    popular = named.groupBy("resolved_id").count().where(F.col("count") > max(SALTS, records.count() // SHARE)).select(F.col("resolved_id").alias("popular"))
+    popular = named.groupBy("resolved_id").count().where(F.col("count") > max(SALTS, out.count() // SHARE)).select(F.col("resolved_id").alias("popular"))
 
     def salted(df: DataFrame, salts: Column) -> DataFrame:
         wide = df.join(F.broadcast(popular), F.col("resolved_id") == F.col("popular"), "left")

@@ -886,3 +886,35 @@ def test_digests_of_queries(spark):
     row = QUERIES["op1_pii_boosting"](spark, d).where("spans = ''").first()
     assert row.base_sha256 == hashlib.sha256(b"").hexdigest()
     assert set(QUERIES["op5_toxicity_cnn"](spark, d).columns) >= {"doc_id", "held_out", "score", "predicted"}
+
+
+def test_token_lengths_at_any_limit(spark):
+    from kindred.llm.token_lengths import at_limits, length_report, quantile_lengths
+
+    rng = np.random.default_rng(11)
+    lengths = [int(x) for x in rng.integers(0, 5000, 60)] + [1024, 1024, 2048, 0]
+    report = length_report(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n_tokens long"))
+    limits = [-5, 0, 1, 1023, 1024, 1025, 2047, 3000, 4999, 5000, 10**9, 3000, None]
+    got = sorted(tuple(r) for r in at_limits(report, spark.createDataFrame([(x,) for x in limits], "limit long")).collect())
+    want = []
+    for x in limits:
+        if x is not None:
+            fit = [n for n in lengths if n <= x]
+            want.append((x, len(fit), len(lengths) - len(fit), sum(fit), sum(fit) + (len(lengths) - len(fit)) * max(x, 0), len(fit) / len(lengths), sum(lengths)))
+    assert got == sorted(want)
+    order = sorted(lengths)
+    shares = [0.01, 0.25, 0.5, 0.9, 1.0]
+    assert {r.share: r.n_tokens for r in quantile_lengths(report, shares).collect()} == {s: next(n for n in order if sum(m <= n for m in order) / len(order) >= s) for s in shares}
+    none = length_report(spark.createDataFrame([], "doc_id long, n_tokens long"))
+    assert at_limits(none, spark.createDataFrame([(1,)], "limit long")).count() == 0 == quantile_lengths(none, [0.5]).count()
+
+
+def test_decontamination_of_a_very_long_item(spark):
+    """Two million words of one item are windows a few thousand at a time."""
+    from kindred.llm.decontaminate import decontaminate, item_windows
+
+    item = " ".join(map(str, range(2_000_000)))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert item_windows(items, 10).selectExpr("count(*) n", "count(distinct words) m", "max(size(grams)) g").first()[:] == (1_999_991, 1_999_991, 8)
+    docs = table(spark, [(1, " ".join(map(str, range(1_500_000, 1_500_030))), "en", "s"), (2, "x y 5 6 7 8 9 10 11 12 13 z", "en", "s"), (3, "x y 5 6 7 8 9 10 11 12 13 14 z", "en", "s")])
+    assert {(r.doc_id, r.n_words, r.n_hit) for r in decontaminate(docs, items, 10).collect()} == {(1, 30, 30), (2, 12, 0), (3, 13, 10)}
