@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +31,155 @@ def lcs(a: str, b: str) -> int:
     return len(a) - bin(rows).count("1")
 
 
+#: Pairs whose longest common subsequences are worked out at once, and the longest text that is part of that.
+TOGETHER, LONG = 4096, 512
+
+
+def lcs_many(a: list[str], b: list[str]) -> np.ndarray:
+    """lcs of each pair of texts: the recurrence on bits, for thousands of pairs at a time, in as many 64-bit words as the
+    longest text of the chunk needs."""
+    out = np.zeros(len(a), np.int64)
+    size = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    for i in np.flatnonzero((size.max(1) > LONG) & (size.min(1) > 0)):
+        out[i] = lcs(a[i], b[i])
+    some = np.flatnonzero((size.min(1) > 0) & (size.max(1) <= LONG))
+    # texts of one length take as many steps
+    some = some[np.argsort(size[some].max(1), kind="stable")]
+    for at in range(0, len(some), TOGETHER):
+        rows = some[at : at + TOGETHER]
+        out[rows] = _lcs_chunk([a[i] for i in rows], [b[i] for i in rows])
+    return out
+
+
+def _codes(texts: list[str], fill: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts, a text a row, and the texts' lengths."""
+    size = np.array([len(t) for t in texts])
+    out = np.full((len(texts), size.max()), fill, np.int64)
+    out[np.arange(size.max()) < size[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    return out, size
+
+
+def _lcs_chunk(a: list[str], b: list[str]) -> np.ndarray:
+    (x, n), (y, _) = _codes(a, -1), _codes(b, -2)
+    words = -(-x.shape[1] // 64)
+    # a bit for each letter of a that the letter of b equals
+    match = np.zeros((words, len(a), y.shape[1]), np.uint64)
+    for k in range(x.shape[1]):
+        match[k // 64] |= (y == x[:, k, None]).astype(np.uint64) << np.uint64(k % 64)
+    rows = np.full((words, len(a)), ~np.uint64(0))
+    for j in range(y.shape[1]):
+        carry = np.zeros(len(a), np.uint64)
+        for w in range(words):
+            u = rows[w] & match[w, :, j]
+            total = rows[w] + u
+            over = total < u
+            total += carry
+            carry = (over | (total < carry)).astype(np.uint64)
+            rows[w] = total | (rows[w] & ~u)
+    place = np.arange(words)[:, None] * 64
+    inside = np.clip(n[None, :] - place, 0, 64)
+    ones = np.where(inside == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(inside, 63).astype(np.uint64)) - np.uint64(1))
+    return np.bitwise_count(~rows & ones).sum(0, dtype=np.int64)
+
+
+def ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """plain_ratio of each pair."""
+    n = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.float64)
+    return np.where(n > 0, 200.0 * lcs_many(a, b) / np.where(n > 0, n, 1), 100.0)
+
+
+def sort_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """sort_ratio of each pair."""
+    return ratios([_sorted(x) for x in a], [_sorted(x) for x in b])
+
+
+def set_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """set_ratio of each pair."""
+    out = np.zeros(len(a))
+    owner, left, right = [], [], []
+    for i, (s, t) in enumerate(zip(a, b, strict=True)):
+        x, y = set(s.split()), set(t.split())
+        if not x or not y:
+            continue
+        common, p, q = sorted(x & y), sorted(x - y), sorted(y - x)
+        if common and (not p or not q):
+            out[i] = 100.0
+            continue
+        both, one, two = " ".join(common), " ".join([*common, *p]), " ".join([*common, *q])
+        pairs = [(one, two), (both, one), (both, two)] if common else [(one, two)]
+        owner += [i] * len(pairs)
+        left += [x for x, _ in pairs]
+        right += [y for _, y in pairs]
+    np.maximum.at(out, owner, ratios(left, right)) if owner else None
+    return out
+
+
+def window_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """window_ratio of each pair: its windows are pairs of their own."""
+    out = np.zeros(len(a))
+    owner, left, right = [], [], []
+
+    def settle() -> None:
+        np.maximum.at(out, owner, ratios(left, right))
+        owner.clear(), left.clear(), right.clear()
+
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        if len(x) > len(y):
+            x, y = y, x
+        if not x:
+            out[i] = 0.0 if y else 100.0
+            continue
+        n, chars = len(x), set(x)
+        if x in y:
+            out[i] = 100.0
+            continue
+        windows = {y[max(0, j) : j + n] for j in range(1 - n, len(y)) if (y[j + n - 1 if j + n <= len(y) else -1] if j >= 0 else y[0]) in chars}
+        owner += [i] * len(windows)
+        left += [x] * len(windows)
+        right += windows
+        if len(owner) > 8 * TOGETHER:
+            settle()
+    if owner:
+        settle()
+    return out
+
+
+def weighted_ratios(a: list[str], b: list[str], least: float = 0.0) -> np.ndarray:
+    """weighted_ratio of each pair; with least, pairs whose letters and lengths already show that they don't reach it may
+    have less than their ratio, but then less than least."""
+    size = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)], np.float64).reshape(-1, 2)
+    out = np.zeros(len(a))
+    some = np.flatnonzero(size.min(1) > 0)
+    if not len(some):
+        return out
+    wide = size[some].max(1) / size[some].min(1)
+    near, far = some[wide < 1.5], some[wide >= 1.5]
+    pick = lambda rows: ([a[i] for i in rows], [b[i] for i in rows])
+    if len(near):
+        out[near] = ratios(*pick(near))
+        # the other two count 0.95 at most
+        rest = near[out[near] < 95.0]
+        if least > 95.0:
+            rest = rest[:0]
+        if len(rest):
+            x, y = pick(rest)
+            out[rest] = np.maximum(out[rest], 0.95 * np.maximum(sort_ratios(x, y), set_ratios(x, y)))
+    if len(far):
+        scale = np.where(wide[wide >= 1.5] <= 8, 0.9, 0.6)
+        # what windows can give is bounded by their scale
+        able = 100.0 * scale >= least
+        out[far] = ratios(*pick(far))
+        far, scale = far[able], scale[able]
+        if len(far):
+            x, y = pick(far)
+            tokens = np.array([100.0 if set(s.split()) & set(t.split()) else -1.0 for s, t in zip(x, y, strict=True)])
+            open_ = np.flatnonzero(tokens < 0)
+            if len(open_):
+                tokens[open_] = window_ratios([_sorted(x[i]) for i in open_], [_sorted(y[i]) for i in open_])
+            out[far] = np.maximum.reduce([out[far], scale * window_ratios(x, y), 0.95 * scale * tokens])
+    return out
+
+
 def plain_ratio(a: str, b: str) -> float:
     n = len(a) + len(b)
     return 200.0 * lcs(a, b) / n if n else 100.0
@@ -147,15 +297,19 @@ def closest(text: str | None, options: list[str] | None, threshold: float) -> st
     return found if best >= threshold else None
 
 
+#: Functions of one pair -> of many.
+MANY = {plain_ratio: ratios, sort_ratio: sort_ratios, window_ratio: window_ratios, weighted_ratio: weighted_ratios}
+
+
 def scored(f, a: pd.Series, b: pd.Series) -> pd.Series:
     """f of each pair of texts, worked out once for pairs that a batch repeats; null where either is."""
-    known: dict[tuple, float | None] = {}
-    out = []
-    for pair in zip(a, b, strict=True):
-        if pair not in known:
-            known[pair] = None if pair[0] is None or pair[1] is None else f(*pair)
-        out.append(known[pair])
-    return pd.Series(out, dtype="float64")
+    pairs = pd.DataFrame({"a": a.to_numpy(object), "b": b.to_numpy(object)})
+    code = pairs.groupby(["a", "b"], sort=False, dropna=True).ngroup().fillna(-1).to_numpy(np.int64)
+    _, first = np.unique(code, return_index=True)
+    first = first[code[first] >= 0]
+    x, y = (pairs[c].iloc[first].tolist() for c in "ab")
+    got = MANY[f](x, y) if f in MANY else np.array([f(s, t) for s, t in zip(x, y, strict=True)], np.float64)
+    return pd.Series(np.where(code >= 0, got[code] if len(got) else np.nan, np.nan), dtype="float64")
 
 
 def _scores(f):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ BLOCK = ("kind", "_first", "_place")
 TILE = 512
 #: Pairs of alike names of a block that one task settles in a loop.
 SMALL = 50_000
+#: Pairs of names that are compared at once.
+PAIRS = 16_384
 
 
 def _rank(marks: bool = True) -> list[Column]:
@@ -62,10 +65,19 @@ def _alike(names: DataFrame, threshold: float) -> DataFrame:
     tiled = tiled.select(*BLOCK, "anchor", "full_name", "tile", F.least("tile", "to").alias("p"), F.greatest("tile", "to").alias("q"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(pdf["anchor"], pdf["full_name"], pdf["tile"], strict=True))
+        pdf = pdf.sort_values("anchor")
+        anchor, names, tile = (pdf[c].to_numpy() for c in ("anchor", "full_name", "tile"))
         across = pdf["p"].iloc[0] != pdf["q"].iloc[0]
-        out = [(a, b) for i, (a, x, s) in enumerate(rows) for b, y, t in rows[i + 1 :] if (s != t or not across) and fuzzy.weighted_ratio(x, y) >= threshold]
-        return pd.DataFrame(out, columns=["anchor", "other"]).assign(**{c: pdf[c].iloc[0] for c in BLOCK})
+        out = []
+        for i in range(len(pdf)):
+            j = np.arange(i + 1, len(pdf))
+            out.append(np.stack([np.full(len(j), i), j])[:, tile[j] != tile[i]] if across else np.stack([np.full(len(j), i), j]))
+        i, j = np.concatenate(out, 1)
+        alike = np.zeros(len(i), bool)
+        for at in range(0, len(i), PAIRS):
+            x, y = names[i[at : at + PAIRS]].tolist(), names[j[at : at + PAIRS]].tolist()
+            alike[at : at + PAIRS] = fuzzy.weighted_ratios(x, y, threshold) >= threshold
+        return pd.DataFrame({"anchor": anchor[i[alike]], "other": anchor[j[alike]]}, dtype=object).assign(**{c: pdf[c].iloc[0] for c in BLOCK})
 
     return tiled.groupBy(*BLOCK, "p", "q").applyInPandas(compare, "anchor string, other string, kind string, _first string, _place string")
 

@@ -115,3 +115,34 @@ def test_same_person():
 def test_gestalt():
     assert fuzzy.closest("quiero ver mi reporte", ["reporte", "ayuda"], 0.6) == "reporte"
     assert fuzzy.closest("xyz", ["reporte"], 0.6) is None
+
+
+def test_ratios_of_many_pairs_equal_those_of_one():
+    import random
+
+    from kindred.functions import fuzzy
+
+    rng = random.Random(5)
+    words = ["ana", "maria", "pérez", "perez", "gonzález", "de", "la", "li", "o", "xiomara", "\U00010400b", "a" * 70]
+    texts = ["", " ", "a", "ab" * 150, "x" * 600] + [" ".join(rng.choices(words, k=rng.randint(1, 6))) for _ in range(150)] + ["".join(rng.choices("abc ", k=rng.randint(1, 200))) for _ in range(60)]
+    pairs = [(rng.choice(texts), rng.choice(texts)) for _ in range(1500)] + [(a, a) for a in texts]
+    a, b = map(list, zip(*pairs, strict=True))
+    assert fuzzy.lcs_many(a, b).tolist() == [fuzzy.lcs(x, y) for x, y in pairs]
+    for one, many in ((fuzzy.plain_ratio, fuzzy.ratios), (fuzzy.sort_ratio, fuzzy.sort_ratios), (fuzzy.set_ratio, fuzzy.set_ratios), (fuzzy.window_ratio, fuzzy.window_ratios), (fuzzy.weighted_ratio, fuzzy.weighted_ratios)):
+        assert many(a, b).tolist() == [one(x, y) for x, y in pairs]
+        assert many([], []).tolist() == []
+    for least in (50.0, 85.0, 92.0, 97.0):
+        got = fuzzy.weighted_ratios(a, b, least)
+        assert [(g >= least, g if g >= least else None) for g in got] == [(w >= least, w if w >= least else None) for w in (fuzzy.weighted_ratio(x, y) for x, y in pairs)]
+
+
+def test_scores_of_repeated_and_null_pairs():
+    import pandas as pd
+
+    from kindred.functions import fuzzy
+
+    a, b = pd.Series(["ana", None, "ana", "x", None]), pd.Series(["ama", "x", "ama", None, None])
+    got = fuzzy.scored(fuzzy.plain_ratio, a, b)
+    assert got[0] == got[2] == fuzzy.plain_ratio("ana", "ama") and got[[1, 3, 4]].isna().all()
+    assert fuzzy.scored(fuzzy.name_match, a, b)[0] == fuzzy.name_match("ana", "ama")
+    assert len(fuzzy.scored(fuzzy.plain_ratio, a[:0], b[:0])) == 0
