@@ -33,8 +33,8 @@ def pick_canonical(df: DataFrame, *cluster: str) -> DataFrame:
 
 
 def dedup_by_id(reports: DataFrame) -> DataFrame:
-    """PL1: (id, canonical) of reports that share kind and identifier with a better one."""
-    known = reports.withColumn("_ci", text.extract_id(F.col("distinguishing_marks"))).where("_ci is not null")
+    """PL1: (id, canonical) of reports that share kind and identifier with a better one; a column cedula is taken for it."""
+    known = reports.withColumn("_ci", F.col("cedula") if "cedula" in reports.columns else text.extract_id(F.col("distinguishing_marks"))).where("_ci is not null")
     return pick_canonical(known, "kind", "_ci").where("id <> canonical").select("id", "canonical")
 
 

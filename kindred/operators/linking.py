@@ -29,11 +29,13 @@ def link_by_id(reports: DataFrame, mode: str = "equal") -> DataFrame:
 
     equal joins the identifiers that both state; token finds the found report's identifier as a whole number anywhere in
     the missing one's marks; substring finds it inside longer numbers as well. All are equi-joins: an identifier has 5 to 10
-    digits, so it equals one of the stretches of these lengths in the numbers of the marks."""
-    found = reports.where("kind = 'found'").select(F.col("id").alias("found_id"), text.extract_id(F.col("distinguishing_marks")).alias("n")).where("n is not null")
+    digits, so it equals one of the stretches of these lengths in the numbers of the marks. A column cedula, where there is
+    one, is taken for the identifier."""
+    identifier = F.col("cedula") if "cedula" in reports.columns else text.extract_id(F.col("distinguishing_marks"))
+    found = reports.where("kind = 'found'").select(F.col("id").alias("found_id"), identifier.alias("n")).where("n is not null")
     m = reports.where("kind = 'missing'").select(F.col("id").alias("missing_id"), "distinguishing_marks")
     if mode == "equal":
-        m = m.select("missing_id", text.extract_id(F.col("distinguishing_marks")).alias("n")).where("n is not null")
+        m = reports.where("kind = 'missing'").select(F.col("id").alias("missing_id"), identifier.alias("n")).where("n is not null")
     elif mode == "token":
         m = m.select("missing_id", F.explode(F.array_distinct(F.regexp_extract_all("distinguishing_marks", F.lit("(\\d+)")))).alias("n")).where("length(n) >= 5")
     elif mode == "substring":

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import fuzzy, scores, text
+from .layout import NameIndex
 from .linking import face_neighbours, good_photos
 
 PRIVATE = ("private_chat",)
@@ -51,13 +52,19 @@ def _containing(parts: DataFrame, texts: DataFrame, sizes: tuple[int, ...]) -> D
     return rarest.join(index, "gram").where(F.col("text").contains(F.col("part"))).select("part", "text")
 
 
-def recall_by_tokens(queries: DataFrame, reports: DataFrame, per_token: int = 15) -> DataFrame:
+def recall_by_tokens(queries: DataFrame, reports: DataFrame, per_token: int = 15, index: NameIndex | None = None) -> DataFrame:
     """JN11, JN12, PF3, SO2: (query_id, id) of public reports whose name contains one of a query's words; the per_token
     newest of each word, each report once a query.
 
     Words are looked up by their rarest 3-gram in an inverted index of names and then verified, so the join is an
-    equi-join; a name that many reports bear is indexed once."""
+    equi-join; a name that many reports bear is indexed once. index is a kept one of folded names (text.deaccent), in which
+    all names of reports must be."""
     folded = public(reports).select("id", "created_at", text.deaccent(F.col("full_name")).alias("name")).where("length(name) >= 3")
+    if index is not None:
+        words = queries.select("query_id", F.explode(search_tokens(F.col("name"))).alias("word"))
+        hits = index.containing(words.select(F.col("word").alias("part"))).withColumnRenamed("part", "word").join(folded, "name")
+        newest = hits.withColumn("_n", F.row_number().over(W.partitionBy("word").orderBy(F.col("created_at").desc(), "id"))).where(F.col("_n") <= per_token)
+        return words.join(newest, "word").select("query_id", "id").distinct()
     names = folded.select("name").distinct()
     index = names.select("name", F.explode(_grams(F.col("name"))).alias("gram"))
     rarity = index.groupBy("gram").agg(F.count("*").alias("names"))
@@ -154,10 +161,10 @@ def search_person(queries: DataFrame, source: DataFrame, least: float = 0.45) ->
     return collapse_results(scored, [F.col("query_id"), F.lower("full_name")], F.col("score").desc(), F.col("id")).select("query_id", "id", "full_name", F.round("name_score", 4).alias("name_score"), "score")
 
 
-def admin_search(reports: DataFrame, queries: DataFrame, limit: int = 60) -> DataFrame:
+def admin_search(reports: DataFrame, queries: DataFrame, limit: int = 60, index: NameIndex | None = None) -> DataFrame:
     """PL14, ST_SORT2, LM1: (query_id, id, rank): by number where a query has six digits or more, else by every word of the
     name; hospitals first, then found, newest first. Numbers and words, also short ones, may stand inside longer ones;
-    words may come in any order. Queries of the same text are looked up once."""
+    words may come in any order. Queries of the same text are looked up once. index is a kept one, as in recall_by_tokens."""
     q = queries.select("query_id", F.regexp_replace("q", "\\D", "").alias("digits"), F.array_sort(F.array_distinct(text.tokens(text.deaccent(F.col("q"))))).alias("words"))
     q = q.withColumn("key", F.when(F.length("digits") >= 6, F.col("digits")).otherwise(F.array_join("words", " "))).where("key <> ''")
     keys = q.select("key", "digits", "words").dropDuplicates(["key"])
@@ -168,7 +175,8 @@ def admin_search(reports: DataFrame, queries: DataFrame, limit: int = 60) -> Dat
     longest = F.element_at(F.array_sort(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
     named = keys.where("length(digits) < 6").select("key", "words", longest.alias("part"))
     names = reports.select("id", text.deaccent(F.col("full_name")).alias("text"))
-    met = named.join(_containing(named.select("part"), names.select("text"), (1, 2, 3)), "part").where(F.forall("words", lambda w: F.col("text").contains(w)))
+    holding = _containing(named.select("part"), names.select("text"), (1, 2, 3)) if index is None else index.containing(named.select("part")).withColumnRenamed("name", "text")
+    met = named.join(holding, "part").where(F.forall("words", lambda w: F.col("text").contains(w)))
     hits = by_number.unionByName(met.join(names, "text").select("key", "id")).join(reports.select("id", "kind", "source", "created_at"), "id")
     order = W.partitionBy("key").orderBy(F.when(located(), 0).when(F.col("kind") == "found", 1).otherwise(2), F.col("created_at").desc(), "id")
     best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("key", "id", "rank")

@@ -1396,3 +1396,42 @@ def sc03_kept_cursor(get):
                 return done.read()
         except InterruptedError:
             pass
+
+
+def _store(get):
+    from ..operators.layout import ReportStore
+
+    spark = get("region").sparkSession
+    return ReportStore(spark, shared_folder(spark), 8)
+
+
+@query(f"{WM} SELECT m.id, a.full_name AS missing_full_name, b.source AS found_source FROM matches m JOIN reports a ON a.id = missing_id JOIN reports b ON b.id = found_id")
+def jn06_enriched_stored(get):
+    """JN6 over stored reports and matches: reports are joined where they lie."""
+    store = _store(get)
+    return review.enriched(store.write_matches(get("matches"), "missing_id"), store.write_reports(get("reports"))).select("id", "missing_full_name", "found_source")
+
+
+@query(f"{WR}, {_FOUND_CI} SELECT DISTINCT m.id AS missing_id, f.id AS found_id, 1.0::DOUBLE AS combined_score FROM reports m JOIN f ON f.n = {_CI.replace('distinguishing_marks', 'm.distinguishing_marks')} WHERE m.kind = 'missing'")
+def jn01_link_by_id_stored(get):
+    """JN1 over stored identifiers."""
+    return linking.link_by_id(_store(get).write_identifiers(get("reports"))).select("missing_id", "found_id", "combined_score")
+
+
+@query(f"{WR}, {_PTR} SELECT id, canonical FROM ptr WHERE id <> canonical")
+def pl1_dedup_by_id_stored(get):
+    """PL1 over stored identifiers."""
+    return dedup.dedup_by_id(_store(get).write_identifiers(get("reports")))
+
+
+@query(ORACLE_SQL["jn11_recall_by_tokens"])
+def jn11_recall_by_kept_index(get):
+    """JN11 by a kept index of names, of which a half is added later."""
+    from ..operators.layout import NameIndex
+
+    r = get("reports")
+    names = r.select("id", text.deaccent(F.col("full_name")).alias("name"))
+    index = NameIndex(r.sparkSession, shared_folder(r.sparkSession), 8)
+    index.add(names.where("id like 'm%'"))
+    index.add(names)
+    return search.recall_by_tokens(_queries(get), r, index=index)
