@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -65,8 +65,7 @@ class Scratch:
             self._delete(self.paths.pop(id(df))[1])
 
     def _delete(self, path: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete(self.spark, path)
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -109,6 +108,17 @@ def _dealt_anew(low: DataFrame) -> DataFrame:
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet below spark.checkpoint.dir and read again."""
+    return written(df, name)[0]
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df, written as Parquet below spark.checkpoint.dir and read again, and where it is."""
     path = f"{checkpoint_folder(df)}/stage-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes what is written there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
