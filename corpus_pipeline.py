@@ -76,12 +76,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet and read again."""
-    from kindred.llm._graph import stage_table
+    """All stages over documents; each result is written as Parquet and read again, and deleted when the next one is written.
+    The last stage's is read by what it returns and stays."""
+    from kindred.llm._graph import delete, written
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stage_table(docs, name)
+            docs, path = written(docs, name)
+            if before:
+                delete(spark, before)
+            before = path
     return docs
