@@ -106,11 +106,6 @@ def _dealt_anew(low: DataFrame) -> DataFrame:
     return low.select((F.col("u") + F.lit(0)).alias("node"), "m")
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet below spark.checkpoint.dir and read again."""
-    return written(df, name)[0]
-
-
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df, written as Parquet below spark.checkpoint.dir and read again, and where it is."""
     path = f"{checkpoint_folder(df)}/stage-{name}-{uuid.uuid4().hex}"
