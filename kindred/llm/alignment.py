@@ -133,8 +133,9 @@ def align(tokens_a: pa.ListArray, tokens_b: pa.ListArray, size_a: np.ndarray, si
     return n_groups, strings, (doc_a[i], a[i], b[j])
 
 
-def aligned(docs: DataFrame, byte_file: str | None = None, piece_file: str | None = None) -> DataFrame:
-    """row (a number of its own), doc_id, n_a, n_b, n_groups, n_links, groups (the string, '' without tokens), and of each
+def aligned(docs: DataFrame, byte_file: str | None = None, piece_file: str | None = None, digest: bool = False) -> DataFrame:
+    """row (a number of its own), doc_id, n_a, n_b, n_groups, n_links, groups (the string, '' without tokens; with digest
+    its SHA-256 in lower-case hex instead), and of each
     distinct linked id pair its number (first id * SHIFT + second) in pairs and how often it is linked in times."""
     spark = docs.sparkSession
     sources = []
@@ -164,6 +165,8 @@ def aligned(docs: DataFrame, byte_file: str | None = None, piece_file: str | Non
             lists = [pc.if_else(pa.array(good), x, pa.scalar([], x.type)) if not good.all() else x for x in lists]
             lists = [_list(x.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(x).to_numpy())])) for x in lists]
             n_groups, groups, (doc, a, b) = align(*lists, size_a, size_b)
+            if digest:
+                groups = pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in groups.to_pylist()], pa.string())
             links = pa.table({"doc": doc, "pair": a.astype(np.int64) * SHIFT + b, "one": np.ones(len(doc), np.int32)})
             links = links.group_by(["doc", "pair"], use_threads=False).aggregate([("one", "sum")]).sort_by([("doc", "ascending"), ("pair", "ascending")])
             cut = pa.array(np.searchsorted(links.column("doc").to_numpy(), np.arange(len(good) + 1)), pa.int32())
@@ -202,15 +205,7 @@ def alignment_report(docs: DataFrame, byte_file: str | None = None, piece_file:
     of work in its own task.
     """
     with Scratch(docs) as scratch:
-
-        def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.schema.get_field_index("groups")
-                digest = pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in batch.column(at).to_pylist()], pa.string())
-                yield batch.set_column(at, "groups", digest)
-
-        found = aligned(docs, byte_file, piece_file)
-        found = scratch.hold(found.mapInArrow(digested, found.schema))
+        found = scratch.hold(aligned(docs, byte_file, piece_file, True))
         counts = scratch.hold(pair_counts(found))
         total = counts.agg(F.sum("held")).first()[0] or 0
         hot = counts.where(F.col("held") > total // HOT).toPandas().sort_values("pair")
