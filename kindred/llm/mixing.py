@@ -7,7 +7,8 @@ they are used up. Ranks beyond a source's target are not taken, and the few rank
 points end close the schedule, so each source meets its target to the word.
 
 Running sums (documents in shuffled order, ranks of slots) go chunk by chunk, so a source with a third of all rows is no
-task of its own. Sources themselves are few beside documents: their shares come from windows over one row a source.
+task of its own. Rows of one source, doc_id and size are one row with a count until their places are known, so rows without
+doc_id, or with a shared one, are no more rows of a chunk than they have sizes. Sources themselves are few beside documents: their shares come from windows over one row a source.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from ._graph import Scratch, checkpointed
 BLOCK_WORDS = 512
 CELLS = 4096
 SLOTS_A_CHUNK = ROWS_A_CHUNK = 16384
+#: Equal rows that one row of a task is spread into.
+COPIES_A_ROW = 4096
 GOLDEN = 0.6180339887498949
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -36,6 +39,15 @@ def running(df: DataFrame, keys: list[str], chunk: str, order: list[str], value:
     return df.join(sums, [*keys, chunk]).withColumn(name, F.col("_before") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_before")
 
 
+def spread(folded: DataFrame, rows: int) -> DataFrame:
+    """A row for each of the copies of a row of folded, start being the copy's own. rows: how many there are in all. Rows of
+    many copies are cut and dealt out anew before they are spread."""
+    few, many = folded.where(F.col("copies") <= COPIES_A_ROW).withColumn("from", F.lit(0).cast("long")), folded.where(F.col("copies") > COPIES_A_ROW)
+    many = many.withColumn("from", F.explode(F.expr(f"sequence(0L, copies - 1, {COPIES_A_ROW}L)"))).repartition(max(1, rows >> 20), "place", "start", "from")
+    copy = F.explode(F.expr(f"sequence(from, least(copies, from + {COPIES_A_ROW}) - 1)"))
+    return few.unionByName(many).withColumn("copy", copy).withColumn("start", F.col("start") + F.col("copy") * F.col("size")).drop("from", "copy", "copies", "words")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """place, source, source_size and target of every source of sizes (source, size).
 
@@ -82,16 +94,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     source are shuffled by the MD5 of their doc_id, rows that share one by size. Taken never exceeds most (a whole number
     of passes) times the size. Reruns agree. Other columns are ignored; an empty table gives an empty result.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("shuffle"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    folded = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies"))
     with Scratch(docs) as scratch:
-        sized = scratch.hold(sized)
-        sources = scratch.hold(targets(sized, weights, share, most).withColumn("quota", F.floor(F.col("target") + 0.5)))
+        folded = scratch.hold(folded.withColumns({"words": F.col("size") * F.col("copies"), "shuffle": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))}))
+        sources = scratch.hold(targets(folded.select("source", F.col("words").alias("size")), weights, share, most).withColumn("quota", F.floor(F.col("target") + 0.5)))
         total = sources.agg(F.sum("quota")).first()[0] or 0
         # chunks of the shuffled order by leading digits, as many as the rows need
-        digits = min(8, max(1, math.ceil(math.log(max(1, sized.count() / ROWS_A_CHUNK), 16))))
-        placed = sized.join(F.broadcast(sources) if sources.count() <= CELLS else sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("chunk", F.substr("shuffle", F.lit(1), F.lit(digits)))
-        placed = scratch.hold(running(placed, ["place"], "chunk", ["shuffle", "doc_id", "size"], "size", "start"))
+        n, rows = folded.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+        digits = min(8, max(1, math.ceil(math.log(max(1, n / ROWS_A_CHUNK), 16))))
+        placed = folded.join(F.broadcast(sources) if sources.count() <= CELLS else sources, folded["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("chunk", F.substr("shuffle", F.lit(1), F.lit(digits)))
+        placed = scratch.hold(running(placed, ["place"], "chunk", ["shuffle", "doc_id", "size"], "words", "start"))
+        placed = spread(placed, rows)
         passes = F.explode(F.sequence(F.lit(0), F.lit(int(most) - 1)))
         turns = placed.where("size > 0").withColumn("turn", passes).withColumn("lo", F.col("turn") * F.col("source_size") + F.col("start")).withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("quota"))).where("lo < hi")
         stretches = turns.withColumn("rank", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))

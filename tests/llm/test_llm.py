@@ -381,6 +381,26 @@ def test_mixing_follows_the_schedule(spark, corpus):
             start += r.size
 
 
+def test_mixing_spreads_rows_that_share_ids(spark, monkeypatch):
+    """Half of all rows without doc_id, most of them equal: each has its own place in the shuffled order."""
+    from kindred.llm import mixing
+
+    monkeypatch.setattr(mixing, "COPIES_A_ROW", 7)
+    rng = np.random.default_rng(4)
+    rows = [(None, prose(rng, 9), "es", "a")] * 50 + [(None, prose(rng, n % 13), "es", "b") for n in range(30)] + [(n // 2, prose(rng, n % 5), "es", "ab"[n % 2]) for n in range(60)] + [(8, None, None, None)] * 9
+    got = mixing.mix(table(spark, rows), block=16).toPandas()
+    assert sorted((str(i), str(s), len(split(t))) for i, t, _, s in rows) == sorted((str(int(r.doc_id)) if r.doc_id == r.doc_id else "None", str(r.source), r.size) for r in got.itertuples())
+    for _, g in got.groupby(got.source.fillna("~")):
+        quota, whole = int(np.floor(g.target.iloc[0] + 0.5)), int(g["size"].sum())
+        assert whole == g.source_size.iloc[0]
+        own = sorted((hashlib.md5(b"" if r.doc_id != r.doc_id else str(int(r.doc_id)).encode()).hexdigest(), r.size, r.taken) for r in g.itertuples())
+        start, want = 0, []
+        for key, size, _ in own:
+            want.append((key, size, sum(max(0, min(turn * whole + start + size, quota) - turn * whole - start) for turn in (0, 1))))
+            start += size
+        assert sorted(want) == own
+
+
 def cosine_truth(rows, least):
     good = {i: (label, np.array(v, float)) for i, v, label in rows if label is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     links = [(a, b) for a in good for b in good if a < b and good[a][0] == good[b][0] and len(good[a][1]) == len(good[b][1]) and good[a][1] @ good[b][1] / np.linalg.norm(good[a][1]) / np.linalg.norm(good[b][1]) >= least]
