@@ -51,6 +51,21 @@ def block_pairs(reports: DataFrame) -> DataFrame:
     return left.join(right, ["kind", "_first", "_place"]).where("a < b").select("a", "b", "a_name", "b_name")
 
 
+def name_classes(reports: DataFrame) -> DataFrame:
+    """(id, anchor) of reports with a block: the smallest id of its block's reports of the same name."""
+    b = blocks(reports).select("id", *BLOCK, F.col("full_name").alias("name"))
+    return b.join(_compact(blocks(reports)).withColumnRenamed("full_name", "name"), [*BLOCK, "name"]).select("id", "anchor")
+
+
+def name_pairs(reports: DataFrame) -> DataFrame:
+    """JN10 by names: (a, b, a_name, b_name) of a block's distinct names wherever a report of the first comes before one of the
+    second, also twice the same name; a and b are the names' smallest ids. With name_classes these are all of block_pairs."""
+    n = blocks(reports).groupBy(*BLOCK, "full_name").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    left = n.select(*BLOCK, F.col("first").alias("a"), F.col("full_name").alias("a_name"))
+    right = n.select(*BLOCK, F.col("first").alias("b"), F.col("full_name").alias("b_name"), "last")
+    return left.join(right, list(BLOCK)).where("a < last").select("a", "b", "a_name", "b_name")
+
+
 def _compact(blocked: DataFrame) -> DataFrame:
     """One row for each distinct name of a block, with the id of its first report: a block's work and memory then follow
     its distinct names, however many reports repeat them."""

@@ -2,7 +2,7 @@
 
 import pytest
 
-from kindred.operators import search
+from kindred.operators import dedup, search
 
 REPORT = "id string, kind string, full_name string, age int, last_seen_location string, distinguishing_marks string, source string, created_at long"
 
@@ -23,3 +23,12 @@ def test_search_person_scores_what_is_alike_once(spark, reports, monkeypatch):
     assert got and [x for x in got if x[0] < 4] == alone
     # queries of four kinds; reports of a name, age and place once
     assert scored[0].count() <= 4 * reports.select("full_name", "age", "last_seen_location").distinct().count() < 12 * reports.where("full_name like 'A%'").count()
+
+
+def test_name_classes_and_pairs_are_all_block_pairs(reports):
+    rep = {x.id: x.anchor for x in dedup.name_classes(reports).collect()}
+    met = {(x.a, x.b) for x in dedup.name_pairs(reports).collect()}
+    want = {(x.a, x.b) for x in dedup.block_pairs(reports).collect()}
+    assert want == {(a, b) for a in rep for b in rep if a < b and (rep[a], rep[b]) in met}
+    assert len(met) < len(want) / 4
+    assert {(x.a_name, x.b_name) for x in dedup.block_pairs(reports).collect()} == {(x.a_name, x.b_name) for x in dedup.name_pairs(reports).collect()}
