@@ -32,3 +32,14 @@ def test_name_classes_and_pairs_are_all_block_pairs(reports):
     assert want == {(a, b) for a in rep for b in rep if a < b and (rep[a], rep[b]) in met}
     assert len(met) < len(want) / 4
     assert {(x.a_name, x.b_name) for x in dedup.block_pairs(reports).collect()} == {(x.a_name, x.b_name) for x in dedup.name_pairs(reports).collect()}
+
+
+def test_bucket_caps_by_a_shared_key_are_each_querys(spark, reports):
+    r = reports.selectExpr("*", "substring(id, 2, 1) lead", "if(kind = 'found', 0, 1) bucket")
+    q = spark.createDataFrame([(i, str(i % 9 + 1)) for i in range(30)], "query_id long, lead string")
+    order = r["created_at"].desc(), r["id"]
+    want = search.bucket_caps(q.join(r, "lead"), (2, 3), *order).select("query_id", "id", "rank")
+    best = search.bucket_caps(r, (2, 3), *order, by="lead")
+    assert sorted(q.join(best, "lead").select("query_id", "id", "rank").collect()) == sorted(want.collect())
+    # tasks keep a key's first rows before the shuffle
+    assert best._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
