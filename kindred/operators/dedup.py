@@ -51,6 +51,14 @@ def block_pairs(reports: DataFrame) -> DataFrame:
     return left.join(right, ["kind", "_first", "_place"]).where("a < b").select("a", "b", "a_name", "b_name")
 
 
+def block_links(reports: DataFrame) -> DataFrame:
+    """JN10 without its pairs: (id, block, n_links): reports of one block are all linked, so the block's smallest id and the
+    number of others in it say the same, in a row a report."""
+    b = blocks(reports)
+    size = b.groupBy(*BLOCK).agg(F.min("id").alias("block"), (F.count("*") - 1).alias("n_links"))
+    return b.select("id", *BLOCK).join(size, list(BLOCK)).select("id", "block", "n_links")
+
+
 def name_classes(reports: DataFrame) -> DataFrame:
     """(id, anchor) of reports with a block: the smallest id of its block's reports of the same name."""
     b = blocks(reports).select("id", *BLOCK, F.col("full_name").alias("name"))

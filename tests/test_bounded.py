@@ -43,3 +43,10 @@ def test_bucket_caps_by_a_shared_key_are_each_querys(spark, reports):
     assert sorted(q.join(best, "lead").select("query_id", "id", "rank").collect()) == sorted(want.collect())
     # tasks keep a key's first rows before the shuffle
     assert best._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
+
+
+def test_block_links_are_all_block_pairs(reports):
+    rows = dedup.block_links(reports).collect()
+    want = {(x.a, x.b) for x in dedup.block_pairs(reports).collect()}
+    assert want == {(x.id, y.id) for x in rows for y in rows if x.block == y.block and x.id < y.id}
+    assert sum(x.n_links for x in rows) == 2 * len(want)
