@@ -169,7 +169,8 @@ def incremental_link(new: DataFrame, corpus: DataFrame, featurizer=None, recall:
         q = fresh.where((F.col("kind") == kind) & F.col("text_embedding").isNotNull()).select(F.col("id").alias("query_id"), F.col("text_embedding").alias("vector"))
         i = old.where((F.col("kind") == other) & F.col("text_embedding").isNotNull()).select(F.col("id").alias("item_id"), F.col("text_embedding").alias("vector"))
         out.append(knn_join(q, _indexed(i, index_folder, f"text-{other}"), k, recall).where(F.col("score") >= accept).select(*_oriented(F.lit(kind), F.col("query_id"), F.col("item_id")), "score"))
-    return _pending(out[0].unionByName(out[1]), "text").distinct()
+    # both directions may find a pair, with scores that differ in their last places
+    return _pending(out[0].unionByName(out[1]).groupBy("missing_id", "found_id").agg(F.max("score").alias("score")), "text")
 
 
 def cross_registry(results: DataFrame, reports: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from kindred.operators import dedup, search
+from kindred.operators import dedup, linking, search
 
 REPORT = "id string, kind string, full_name string, age int, last_seen_location string, distinguishing_marks string, source string, created_at long"
 
@@ -50,3 +50,13 @@ def test_block_links_are_all_block_pairs(reports):
     want = {(x.a, x.b) for x in dedup.block_pairs(reports).collect()}
     assert want == {(x.id, y.id) for x in rows for y in rows if x.block == y.block and x.id < y.id}
     assert sum(x.n_links for x in rows) == 2 * len(want)
+
+
+def test_incremental_links_of_both_directions_are_one(spark, monkeypatch):
+    # a matrix product and its transpose differ in last places
+    scores = iter([0.9, 0.9000000000000001])
+    near = lambda q, i, *more: spark.createDataFrame([("m1", "f1", next(scores))] if not more_seen.append(1) and len(more_seen) == 1 else [("f1", "m1", next(scores))], "query_id string, item_id string, score double")
+    more_seen: list = []
+    monkeypatch.setattr(linking, "knn_join", near)
+    r = spark.createDataFrame([("m1", "missing", "Ana", 1, "x", [1.0]), ("f1", "found", "Ana", 1, "x", [1.0])], "id string, kind string, full_name string, age int, distinguishing_marks string, text_embedding array<double>")
+    assert [(x.missing_id, x.found_id, x.text_score) for x in linking.incremental_link(r, r).collect()] == [("m1", "f1", 0.9000000000000001)]
