@@ -12,20 +12,34 @@ from pyspark.sql import Window as W
 
 from ..functions.text import hamming_hex
 from .ann import CellIndex
+from .upsert import checkpointed
 
-BLOCK = 2048
+#: Rows of the smallest blocks, and numbers of the largest: the fewer blocks, the less often a vector is sent.
+BLOCK, NUMBERS = 2048, 1 << 20
+#: Cosines that a task holds at once.
+TILE = 1 << 22
+
+
+def _blocks(df: DataFrame) -> int:
+    """Blocks of a side: up to eight of 2048 rows or more, so that small inputs too are several tasks, and then as many as hold
+    at most NUMBERS numbers each."""
+    n, dim = df.agg(F.count("vector"), F.max(F.size("vector"))).first()
+    return max(1, min(n // BLOCK, 8), n * (dim or 0) // NUMBERS)
 
 
 def _block_pairs(queries: DataFrame, items: DataFrame, blocks: int | None, group: bool = False) -> DataFrame:
     """key, vector, p, q, side and, if asked for, group of both sides, each row once for every block of the other side."""
-    n_q, n_i = (blocks, blocks) if blocks else (max(1, queries.count() // BLOCK), max(1, items.count() // BLOCK))
+    n_q, n_i = (blocks, blocks) if blocks else (_blocks(queries), _blocks(items))
+    floats = all(df.schema["vector"].dataType.simpleString() == "array<float>" for df in (queries, items))
+    numbers = "array<float>" if floats else "array<double>"
 
     def dealt(df: DataFrame, side: int, name: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         place, every = F.pmod(F.xxhash64(name), F.lit(n_own)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
         more = [F.col(name.replace("_id", "_group")).cast("string").alias("group")] if group else []
-        return df.where("vector is not null").select(F.col(name).cast("string").alias("key"), F.col("vector").cast("array<double>").alias("vector"), place, every, F.lit(side).alias("side"), *more)
+        return df.where("vector is not null").select(F.col(name).cast("string").alias("key"), F.col("vector").cast(numbers).alias("vector"), place, every, F.lit(side).alias("side"), *more)
 
-    return dealt(queries, 0, "query_id", "p", n_q, "q", n_i).unionByName(dealt(items, 1, "item_id", "q", n_i, "p", n_q))
+    # a pair of blocks is few bytes and much work, so partitions must not be put together by their bytes
+    return dealt(queries, 0, "query_id", "p", n_q, "q", n_i).unionByName(dealt(items, 1, "item_id", "q", n_i, "p", n_q)).repartition(min(n_q * n_i, 4096), "p", "q")
 
 
 def _vectors(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,7 +52,8 @@ def _vectors(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cosines(table: pa.Table, names: tuple[str, ...]):
-    """For vectors of one length: the named columns of the queries and of the items, and the matrix of their cosines."""
+    """For vectors of one length, some queries at a time: the named columns of these queries and of the items, and the matrix
+    of their cosines; where there is none, it holds -inf."""
     table = table.combine_chunks()
     columns = [np.array(table.column(c).to_pylist(), object) for c in names]
     side, (flat, cut) = table.column("side").to_numpy(), _vectors(table.column("vector"))
@@ -48,7 +63,35 @@ def _cosines(table: pa.Table, names: tuple[str, ...]):
         if len(a) and len(b) and dim:
             x, y = (flat[cut[rows][:, None] + np.arange(dim)] for rows in (a, b))
             with np.errstate(invalid="ignore", divide="ignore"):
-                yield [c[a] for c in columns], [c[b] for c in columns], (x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T
+                x, y = x / np.linalg.norm(x, axis=1)[:, None], y / np.linalg.norm(y, axis=1)[:, None]
+            step, other = max(1, TILE // len(b)), [c[b] for c in columns]
+            for at in range(0, len(a), step):
+                with np.errstate(invalid="ignore"):
+                    s = x[at : at + step] @ y.T
+                s[np.isnan(s)] = -np.inf
+                yield [c[a[at : at + step]] for c in columns], other, s
+
+
+def _nearest(s: np.ndarray, least: float, k: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k largest numbers of each row, of least at least, in order; ties, to nine places, by rank of the
+    column."""
+    keep = (s >= least) & np.isfinite(s)
+    many = np.flatnonzero(np.count_nonzero(keep, axis=1) > 4 * k)
+    if len(many):
+        # what rounds to the number at the edge stays in
+        edge = np.partition(s[many], -k, axis=1)[:, -k] - 2e-9
+        keep[many] &= s[many] >= edge[:, None]
+    rows, cols = np.nonzero(keep)
+    order = np.lexsort((rank[cols], -np.round(s[rows, cols], 9), rows))
+    rows, cols = rows[order], cols[order]
+    first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[first], cols[first]
+
+
+def _ranks(names: np.ndarray) -> np.ndarray:
+    out = np.empty(len(names), np.int64)
+    out[np.argsort(names, kind="stable")] = np.arange(len(names))
+    return out
 
 
 def _met(queries: DataFrame, items: DataFrame | CellIndex, blocks: int | None, probes: int | None, group: bool = False) -> GroupedData:
@@ -75,13 +118,15 @@ def knn_groups(queries: DataFrame, items: DataFrame, k: int = 10, least: float =
             rows, cols = np.argsort(own_at, kind="stable"), np.argsort(other_at, kind="stable")
             row_cut, col_cut = np.searchsorted(own_at[rows], np.arange(len(own_names) + 1)), np.searchsorted(other_at[cols], np.arange(len(other_names) + 1))
             best = np.maximum.reduceat(np.maximum.reduceat(s[np.ix_(rows, cols)], col_cut[:-1], axis=1), row_cut[:-1], axis=0)
-            best = np.round(best, 9)
-            for g, name in enumerate(own_names):
-                ok = np.flatnonzero(np.isfinite(best[g]) & (other_names != name))
-                for h in ok[np.lexsort((other_names[ok], -best[g, ok]))[:k]]:
-                    i, j = rows[row_cut[g] : row_cut[g + 1]], cols[col_cut[h] : col_cut[h + 1]]
-                    _, a, b, score = max((round(float(s[x, y]), 9), asked[x], names[y], float(s[x, y])) for x in i for y in j if np.isfinite(s[x, y]))
-                    out.append((name, other_names[h], a, b, score))
+            # a group is no neighbour of itself
+            same = np.searchsorted(other_names, own_names)
+            own_too = np.flatnonzero(other_names[np.minimum(same, len(other_names) - 1)] == own_names)
+            best[own_too, same[own_too]] = -np.inf
+            for g, h in zip(*_nearest(best, least, k, np.arange(len(other_names))), strict=True):
+                i, j = rows[row_cut[g] : row_cut[g + 1]], cols[col_cut[h] : col_cut[h + 1]]
+                x, y = np.nonzero(s[np.ix_(i, j)] >= best[g, h] - 2e-9)
+                _, a, b, score = max((round(float(s[p, q]), 9), asked[p], names[q], float(s[p, q])) for p, q in zip(i[x], j[y], strict=True))
+                out.append((own_names[g], other_names[h], a, b, score))
         columns = list(zip(*out, strict=True)) if out else [()] * 5
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_group", "item_group", "query_id", "item_id", "score"), columns, [pa.string()] * 4 + [pa.float64()], strict=True)})
 
@@ -94,28 +139,43 @@ def knn_groups(queries: DataFrame, items: DataFrame, k: int = 10, least: float =
 def knn_join(queries: DataFrame, items: DataFrame | CellIndex, k: int = 10, least: float = 0.0, blocks: int | None = None, probes: int | None = None) -> DataFrame:
     """WN1: (query_id, item_id, score): each query's k best items of at least that cosine, ties by item_id.
 
-    queries: query_id, vector; items: item_id, vector, or an index of such items. Vectors that are null, zero or of another
-    length match nothing. Over a table the result is exact: both sides are dealt into blocks, and each pair of blocks is one
-    task of a matrix product that keeps k items a query; a task's memory is two blocks. Over an index only the items of the
+    queries: query_id, vector; items: item_id, vector, or an index of such items; ids are unique. Vectors that are null, zero
+    or of another length match nothing. Over a table the result is exact: both sides are dealt into blocks, and each pair of
+    blocks is one task of a matrix product that keeps k items a query; a task's memory is two blocks and a tile of cosines.
+    Equal vectors are compared once, by the smallest of their ids, and are held in the checkpoint folder. Over an index only the items of the
     probes cells nearest to a query are compared with it (by default as many as the index was calibrated for), so some
     neighbours can be missing; scores are exact."""
 
     def product(table: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        for queries_, items_, s in _cosines(table, ("key",)):
-            (asked,), (names,) = queries_, items_
-            for r, row in enumerate(s):
-                ok = np.flatnonzero(row >= least)
-                if len(ok) > 4 * k:  # ties at the edge stay in
-                    ok = ok[row[ok] >= np.partition(row[ok], -k)[-k]]
-                best = sorted(ok, key=lambda j: (-round(float(row[j]), 9), names[j]))[:k]
-                out += [(asked[r], names[j], float(row[j])) for j in best]
-        f, t, s = zip(*out, strict=True) if out else ((), (), ())
+        out: list[tuple[np.ndarray, ...]] = []
+        for (asked,), (names,), s in _cosines(table, ("key",)):
+            rows, cols = _nearest(s, least, k, _ranks(names))
+            out.append((asked[rows], names[cols], s[rows, cols]))
+        f, t, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else ((), (), ())
         return pa.table({"query_id": pa.array(f, pa.string()), "item_id": pa.array(t, pa.string()), "score": pa.array(s, pa.float64())})
 
-    met = _met(queries, items, blocks, probes).applyInArrow(product, "query_id string, item_id string, score double")
-    order = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "item_id")
-    return met.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+    def best(met: DataFrame, by: str) -> DataFrame:
+        order = W.partitionBy(by).orderBy(F.round("score", 9).desc(), "item_id")
+        return met.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+
+    def compared(met: GroupedData) -> DataFrame:
+        return best(met.applyInArrow(product, "query_id string, item_id string, score double"), "query_id")
+
+    if isinstance(items, CellIndex):
+        return compared(_met(queries, items, blocks, probes))
+    asked, given = _classes(queries, "query_id"), _classes(items, "item_id")
+    one = [df.where("member = first").select(F.col("first").alias(name), "vector") for df, name in ((asked, "query_id"), (given, "item_id"))]
+    near = compared(_met(*one, blocks, probes))
+    # a class gives its k smallest ids at most
+    members = given.withColumn("_n", F.row_number().over(W.partitionBy("first").orderBy("member"))).where(F.col("_n") <= k)
+    near = best(near.join(members.select(F.col("first").alias("item_id"), "member"), "item_id").select("query_id", F.col("member").alias("item_id"), "score"), "query_id")
+    return asked.select(F.col("first").alias("_q"), F.col("member").alias("query_id")).join(near.withColumnRenamed("query_id", "_q"), "_q").select("query_id", "item_id", "score")
+
+
+def _classes(df: DataFrame, name: str) -> DataFrame:
+    """(first, member, vector): rows with a vector, and the smallest id of those that have the same."""
+    rows = df.where("vector is not null").select(F.col(name).cast("string").alias("member"), "vector")
+    return checkpointed(rows.withColumn("first", F.min("member").over(W.partitionBy("vector"))))
 
 
 def phash_pairs(photos: DataFrame, most: int = 8) -> DataFrame:

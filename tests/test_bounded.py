@@ -2,7 +2,7 @@
 
 import pytest
 
-from kindred.operators import dedup, linking, search
+from kindred.operators import dedup, linking, search, vectors
 
 REPORT = "id string, kind string, full_name string, age int, last_seen_location string, distinguishing_marks string, source string, created_at long"
 
@@ -60,3 +60,33 @@ def test_incremental_links_of_both_directions_are_one(spark, monkeypatch):
     monkeypatch.setattr(linking, "knn_join", near)
     r = spark.createDataFrame([("m1", "missing", "Ana", 1, "x", [1.0]), ("f1", "found", "Ana", 1, "x", [1.0])], "id string, kind string, full_name string, age int, distinguishing_marks string, text_embedding array<double>")
     assert [(x.missing_id, x.found_id, x.text_score) for x in linking.incremental_link(r, r).collect()] == [("m1", "f1", 0.9000000000000001)]
+
+
+def test_neighbours_equal_to_nine_places_go_by_id(spark):
+    # from the last id on, each item is a little less alike than the next, by less than counts
+    items = spark.createDataFrame([(f"i{99 - i}", [1.0, 1e-6 * i]) for i in range(30)], "item_id string, vector array<double>")
+    got = vectors.knn_join(spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vector array<double>"), items, 3)
+    assert sorted(x.item_id for x in got.collect()) == ["i70", "i71", "i72"]
+
+
+def test_equal_vectors_are_compared_once(spark, monkeypatch):
+    met, pairs = [], vectors._block_pairs
+    monkeypatch.setattr(vectors, "_block_pairs", lambda *args: met.append(pairs(*args)) or met[-1])
+    v = [[1.0, 0.0], [0.9, 0.1], [0.0, 1.0]]
+    q = spark.createDataFrame([(f"q{i}", v[i % 3]) for i in range(30)], "query_id string, vector array<double>")
+    items = spark.createDataFrame([(f"i{i:02}", v[i % 2]) for i in range(40)] + [("n", None)], "item_id string, vector array<double>")
+    got = {}
+    for x in vectors.knn_join(q, items, 25, 0.5).collect():
+        got.setdefault(x.query_id, []).append(x.item_id)
+    near, far = [f"i{i:02}" for i in range(0, 40, 2)], [f"i{i:02}" for i in range(1, 40, 2)]
+    assert got == {f"q{i}": got[f"q{i}"] for i in range(30) if i % 3 < 2}
+    assert all(sorted(ids) == sorted((near + far[:5]) if int(q[1:]) % 3 == 0 else (far + near[:5])) for q, ids in got.items())
+    assert met[0].count() == 3 + 2
+
+
+def test_large_sides_are_few_blocks(spark):
+    df = spark.range(40_000).selectExpr("id query_id", "transform(sequence(1, 64), x -> cast(id % 7 + x as float)) vector")
+    # each vector is sent to eight blocks, not to nineteen, as floats
+    assert vectors._blocks(df) == 8
+    sent = vectors._block_pairs(df, df.withColumnRenamed("query_id", "item_id"), None)
+    assert sent.schema["vector"].dataType.simpleString() == "array<float>"
