@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text
 from .ann import CellIndex, build_index
+from .upsert import checkpointed
 from .vectors import knn_groups, knn_join
 
 
@@ -153,10 +154,10 @@ def first_phase(links: DataFrame, *phases: str) -> DataFrame:
 
 def consolidate(reports: DataFrame, photos: DataFrame, existing: DataFrame | None = None, featurizer=None, text_accept: float = 0.82, face_accept: float = 0.65, index_folder: str | None = None) -> DataFrame:
     """PL6: links by identifier, then text, then face; a pair keeps its first, and pairs in existing stay out. index_folder
-    as in JN2."""
-    ready = embed_reports(reports, featurizer)
+    as in JN2. Vectors are made once and held in the checkpoint folder."""
+    ready = checkpointed(embed_reports(reports, featurizer).select("id", "kind", "full_name", "text_embedding"))
     by_text = link_by_text(ready, min(0.75, text_accept), text_accept, index_folder=index_folder)
-    links = link_by_id(ready).unionByName(by_text).unionByName(link_by_face(ready, photos, min(0.5, face_accept), face_accept, index_folder=index_folder))
+    links = link_by_id(reports).unionByName(by_text).unionByName(link_by_face(reports, photos, min(0.5, face_accept), face_accept, index_folder=index_folder))
     links = first_phase(links, "id", "text", "face")
     return links if existing is None else links.join(existing.select("missing_id", "found_id"), ["missing_id", "found_id"], "left_anti")
 
