@@ -6,11 +6,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import hamming_hex
 from .ann import CellIndex
 from .upsert import checkpointed
 
@@ -181,16 +180,34 @@ def _classes(df: DataFrame, name: str) -> DataFrame:
 def phash_pairs(photos: DataFrame, most: int = 8) -> DataFrame:
     """JN21: (a, b, distance) of photos whose 64-bit hashes differ in at most so many bits.
 
-    Of the hash's four bands of 16 bits, one has at most a quarter of the flipped bits. One side of the join has its bands,
-    the other its bands with up to so many bits flipped, so a band's key is shared by few hashes; the distance is verified.
-    Photos of one hash are one side of the join and are told apart afterwards."""
-    good = photos.where(F.col("phash").rlike("^[0-9a-f]{16}$"))
-    hashes = good.select("phash").distinct()
-    flips = [sum(1 << b for b in bits) for n in range(most // 4 + 1) for bits in combinations(range(16), n)]
-    bands = F.explode(F.array(*(F.conv(F.substring("phash", 4 * i + 1, 4), 16, 10).cast("int") + (i << 16) for i in range(4)))).alias("band")
-    near = hashes.select("phash", bands).select("phash", F.explode(F.transform(F.array(*map(F.lit, flips)), lambda m: F.col("band").bitwiseXOR(m))).alias("band"))
-    near = near.join(hashes.select(F.col("phash").alias("other"), bands), "band").where("phash <= other").select("phash", "other", hamming_hex(F.col("phash"), F.col("other")).alias("distance"))
-    near = near.where(F.col("distance") <= most).distinct()
-    a, b = good.select(F.col("id").alias("a"), "phash"), good.select(F.col("id").alias("b"), F.col("phash").alias("other"))
-    out = near.join(a, "phash").join(b, "other").where("phash <> other or a < b")
+    Of the hash's bands of 22, 21 and 21 bits, one has at most a third of the flipped bits. Both sides of the join have each
+    band with up to half of these bits flipped, so a key is shared by few hashes. A pair is taken in the first band that is
+    near enough, at the key where the first side has flipped the lower half of its bits, so it comes out once. Photos of one
+    hash are one side of the join and are told apart afterwards."""
+    half = [F.conv(F.substring("phash", at, 8), 16, 10).cast("long") for at in (1, 9)]
+    good = photos.where(F.col("phash").rlike("^[0-9a-f]{16}$")).select("id", F.shiftleft(half[0], 32).bitwiseOR(half[1]).alias("h"))
+    near = most // 3
+    cuts = ((0, 22), (22, 21), (43, 21))
+
+    def part(x: Column, band: int) -> Column:
+        return F.shiftrightunsigned(x, cuts[band][0]).bitwiseAND(F.lit((1 << cuts[band][1]) - 1))
+
+    def keys(band: int) -> Column:
+        flips = [sum(1 << b for b in bits) for n in range((near + 1) // 2 + 1) for bits in combinations(range(cuts[band][1]), n)]
+        return F.transform(F.array(*(F.lit(m).cast("long") for m in flips)), lambda m: F.struct(F.lit(band).alias("band"), part(F.col("h"), band).bitwiseXOR(m).alias("key"), m.alias("flipped")))
+
+    keyed = good.select("h").distinct().select("h", F.explode(F.flatten(F.array(*map(keys, range(3))))).alias("k")).select("h", "k.*")
+    met = keyed.join(keyed.select(F.col("h").alias("g"), "band", "key"), ["band", "key"]).where("h <= g")
+    differ = F.col("h").bitwiseXOR(F.col("g"))
+    here = F.element_at(F.array(*(part(differ, i) for i in range(3))), F.col("band") + 1)
+    lower, rest = F.lit(0).cast("long"), here
+    for n in range(1, near // 2 + 1):
+        lowest = rest.bitwiseAND(-rest)
+        lower, rest = F.when(F.bit_count(here) >= 2 * n, lower.bitwiseOR(lowest)).otherwise(lower), rest.bitwiseXOR(lowest)
+    first = F.bit_count(here) <= near
+    for i in range(2):
+        first = first & ((F.col("band") <= i) | (F.bit_count(part(differ, i)) > near))
+    met = met.where((F.bit_count(differ) <= most) & first & (F.col("flipped") == lower)).select("h", "g", F.bit_count(differ).alias("distance"))
+    a, b = good.select(F.col("id").alias("a"), "h"), good.select(F.col("id").alias("b"), F.col("h").alias("g"))
+    out = met.join(a, "h").join(b, "g").where("h <> g or a < b")
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")

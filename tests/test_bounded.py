@@ -1,5 +1,7 @@
 """Work that follows distinct rows and keys, against the pairs of rows that it stands for."""
 
+import random
+
 import pytest
 
 from kindred.operators import dedup, linking, search, vectors
@@ -99,3 +101,15 @@ def test_deref_keeps_arrays_in_their_rows(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 2, "x", None), (1, 3, "true", "y")]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("most", [2, 5, 8, 12])
+def test_hash_pairs_come_out_once_of_keys_that_few_share(spark, most):
+    rng = random.Random(most)
+    hashes = [rng.getrandbits(64) for _ in range(20)]
+    hashes += [h ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 13))) for h in hashes for _ in range(6)]
+    got = vectors.phash_pairs(spark.createDataFrame([(i, f"{h:016x}") for i, h in enumerate(hashes)], "id long, phash string"), most)
+    want = [(a, b, (hashes[a] ^ hashes[b]).bit_count()) for a in range(len(hashes)) for b in range(a + 1, len(hashes)) if (hashes[a] ^ hashes[b]).bit_count() <= most]
+    assert sorted(map(tuple, got.collect())) == want
+    # no table of pairs is made distinct
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") <= 2
