@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from kindred.functions import fuzzy
 from kindred.operators import dedup, linking, search, vectors
 from kindred.sources import ingest
 
@@ -113,3 +114,28 @@ def test_hash_pairs_come_out_once_of_keys_that_few_share(spark, most):
     assert sorted(map(tuple, got.collect())) == want
     # no table of pairs is made distinct
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") <= 2
+
+
+def test_gestalt_compares_in_full_only_what_can_win(monkeypatch):
+    plain, full = fuzzy.difflib.SequenceMatcher, []
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abcde ", k=rng.randint(0, 12))) for _ in range(80)]
+
+    def all_compared(text, options, threshold):
+        best, found = 0.0, None
+        for o in options:
+            if o and text:
+                score = 1.0 if f" {o} " in f" {text} " else max(plain(None, text, o).ratio(), 0.8 if o in text else 0.0)
+                if score > best:
+                    best, found = score, o
+        return found if best >= threshold else None
+
+    class Counted(plain):
+        def ratio(self):
+            full.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(fuzzy.difflib, "SequenceMatcher", Counted)
+    options = texts[:6]
+    assert [fuzzy.closest(t, options, 0.6) for t in texts] == [all_compared(t, options, 0.6) for t in texts]
+    assert len(full) < len(texts) * len(options) / 3
