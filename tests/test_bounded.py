@@ -139,3 +139,22 @@ def test_gestalt_compares_in_full_only_what_can_win(monkeypatch):
     options = texts[:6]
     assert [fuzzy.closest(t, options, 0.6) for t in texts] == [all_compared(t, options, 0.6) for t in texts]
     assert len(full) < len(texts) * len(options) / 3
+
+
+def test_greedy_collapse_reads_queries_one_after_the_other(spark):
+    names = ["Ana Paz", "Ana Gil", "Luis Paz", "Eva Sol", None, ""]
+    rows = [(q, f"r{i}", names[(q + i) % 6], ["A", None][i % 2], (i * 7 % 5) / 10) for q in range(40) for i in range(12)]
+    ranked = spark.createDataFrame([*rows, (None, "r", "Ana Paz", "A", 0.5)], "query_id long, id string, full_name string, place string, score double")
+    want = {(None, "r")}
+    for q in range(40):
+        seen, kept = set(), []
+        for _, i, name, place, _ in sorted((x for x in rows if x[0] == q), key=lambda x: (-x[4], x[1])):
+            words = (name or "").lower().split() or [""]
+            keys = {(w, place or "") for w in (words[0], words[-1])}
+            if not keys & seen and len(kept) < 3:
+                seen |= keys
+                kept.append((q, i))
+        want |= set(kept)
+    got = search.collapse_greedy(ranked)
+    assert {(x.query_id, x.id) for x in got.collect()} == want
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
