@@ -5,16 +5,21 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import gestalt
+from ..functions.gestalt import Texts
 from ..functions.scores import INTENT_HIGH, INTENT_LOW, INTENT_MIDDLE
 from .upsert import collapse_batch, insert_new
 
 #: Bytes of questions that are sent to every task.
 FAQ_BYTES = 4 << 20
+#: A text's pairs that are compared before its others, and pairs that are bounded at once.
+FAQ_FIRST, FAQ_PAIRS = 12, 1 << 17
 #: How many matches a queue looks at, by mode (fixed values).
 FETCH_LIMITS = {"high": 1000, "hospital": 1000, "all": 400}
 #: What a review decision makes of a match (fixed values).
@@ -209,40 +214,23 @@ def _prefix(text: str, cutoff: float) -> list[str]:
     return [f"{c}{-n}" for n, c in _letters(text)[: a - shared + 1]] or [""]
 
 
-def _best_of(pairs, cutoff: float) -> list[tuple]:
-    """(text, faq, ratio) of each text's best question among pairs (text, its folded form, questions as (faq, folded form)):
-    the ratio by letters bounds the gestalt ratio, so a text's questions are tried in its order until none can be better."""
-    from ..functions import fuzzy
-
-    out, matchers, counts = [], {}, {}
-
-    def counted(t: str) -> Counter:
-        if t not in counts:
-            counts[t] = Counter(t)
-        return counts[t]
-
-    for text, folded, questions in pairs:
-        mine, bounds = counted(folded), []
-        for faq, question in questions:
-            n = len(folded) + len(question)
-            both = (mine & counted(question)).total()
-            bounds.append((-round(2.0 * both / n if n else 1.0, 6), faq, question))
-        top = None
-        for bound, faq, question in sorted(bounds):
-            if -bound < cutoff or top and -bound < top[0]:
-                break
-            m = matchers.get(question)
-            if m is None:
-                # what the matcher learns of its second text serves all texts
-                m = matchers[question] = fuzzy.difflib.SequenceMatcher(None, "", question)
-            m.set_seq1(folded)
-            r = round(m.ratio(), 6)
-            if r >= cutoff and (top is None or r > top[0] or r == top[0] and faq < top[1]):
-                top = (r, faq)
-        if top:
-            out.append((text, top[1], top[0]))
-        counts.pop(folded, None) if len(counts) > 50_000 else None
-    return out
+def _best_of(texts: list[str], folded: Texts, faqs: list, questions: Texts, x: np.ndarray, y: np.ndarray, cutoff: float) -> list[tuple]:
+    """(text, faq, ratio) of each text's best question among the pairs x of texts and y of questions: the letters that two
+    texts share bound their ratio, so the pairs of the highest bounds show what others must reach."""
+    best, top = np.full(len(texts), cutoff), {}
+    most = gestalt.bounds(folded, questions, x, y)
+    order = np.lexsort((-most, x))
+    x, y, most = x[order], y[order], most[order]
+    rank = np.arange(len(x)) - np.searchsorted(x, x)
+    for some in (rank < FAQ_FIRST, rank >= FAQ_FIRST):
+        # ratios are rounded to six places
+        some = np.flatnonzero(some & (most >= best[x] - 1e-6))
+        got = gestalt.ratios(folded, questions, x[some], y[some], x[some], best)
+        for k in np.flatnonzero(got >= best[x[some]] - 1e-6):
+            r, i, faq = round(float(got[k]), 6), x[some[k]], faqs[y[some[k]]]
+            if r >= cutoff and (i not in top or (-r, faq) < top[i]):
+                top[i] = (-r, faq)
+    return [(texts[i], faq, -r) for i, (r, faq) in top.items()]
 
 
 def best_faq(messages: DataFrame, faqs: DataFrame, cutoff: float = 0.65, most_sent: int = FAQ_BYTES) -> DataFrame:
@@ -262,15 +250,26 @@ def best_faq(messages: DataFrame, faqs: DataFrame, cutoff: float = 0.65, most_se
     asked = faqs.where("faq_id is not null and question is not null").select("faq_id", "question")
     size = asked.agg(F.coalesce(F.sum(F.octet_length("question") + 64), F.lit(0))).first()[0]
     if size <= most_sent:
-        known = messages.sparkSession.sparkContext.broadcast([(r.faq_id, fuzzy._fold(r.question)) for r in asked.collect()])
+        least: dict = {}
+        for r in asked.collect():
+            q = fuzzy._fold(r.question)
+            least[q] = min(least.get(q, r.faq_id), r.faq_id)
+        known = messages.sparkSession.sparkContext.broadcast(least)
 
         def best(batches):
+            questions, faqs = Texts(list(known.value)), list(known.value.values())
+            some = max(1, FAQ_PAIRS // max(1, len(faqs)))
             for pdf in batches:
-                rows = _best_of(((t, fuzzy._fold(t), known.value) for t in pdf["text"]), cutoff)
-                yield pd.DataFrame(rows, columns=["text", "faq_id", "ratio"])
-
-        # texts are dealt anew by distinct, so a row of much work is one of many
-        met = texts.mapInPandas(best, f"text string, faq_id {kind}, ratio double")
+                for at in range(0, len(pdf), some):
+                    part = pdf["text"].iloc[at : at + some].tolist()
+                    x, y = np.divmod(np.arange(len(part) * len(faqs)), max(1, len(faqs)))
+                    rows = _best_of(part, Texts([fuzzy._fold(t) for t in part]), faqs, questions, x, y, cutoff)
+                    yield pd.DataFrame(rows, columns=["text", "faq_id", "ratio"])
+
+        # short texts are much work, which a number of partitions chosen by their bytes would leave to one task
+        spark = messages.sparkSession
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+        met = texts.repartition(tasks, "text").mapInPandas(best, f"text string, faq_id {kind}, ratio double")
     else:
         # what rounding to six places lets pass must be joined
         low = max(cutoff - 1e-6, 1e-6)
@@ -290,7 +289,9 @@ def best_faq(messages: DataFrame, faqs: DataFrame, cutoff: float = 0.65, most_se
 
         def verify(batches):
             for pdf in batches:
-                rows = _best_of(((t, fuzzy._fold(t), [(f, fuzzy._fold(q))]) for t, f, q in zip(pdf["text"], pdf["faq_id"], pdf["question"], strict=True)), cutoff)
+                (x, texts), (y, faqs) = pd.factorize(pdf["text"]), pd.factorize(pd.MultiIndex.from_frame(pdf[["faq_id", "question"]]))
+                folded, questions = Texts([fuzzy._fold(t) for t in texts]), Texts([fuzzy._fold(q) for _, q in faqs])
+                rows = _best_of(list(texts), folded, [f for f, _ in faqs], questions, x, y, cutoff)
                 yield pd.DataFrame(rows, columns=["text", "faq_id", "ratio"])
 
         met = near.select("text", "faq_id", "question").distinct().mapInPandas(verify, f"text string, faq_id {kind}, ratio double")

@@ -278,3 +278,36 @@ def test_best_faq_sent_and_joined_equals_all_pairs(spark, cutoff):
         assert {x.message_id: (x.faq_id, x.ratio) for x in got.collect()} == want
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_gestalt_ratios_of_many_pairs_are_those_of_the_matcher():
+    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    from kindred.functions import gestalt
+
+    rng = random.Random(9)
+    text = lambda letters, least, most: "".join(rng.choices(letters, k=rng.randint(least, most)))
+    # from 200 letters on the matcher leaves out popular ones
+    sizes = [(0, 4), (5, 40), (150, 199), (200, 420)]
+    a, b = ([text(letters, *s) for letters in ("a", "ab", "abcdefgh é", "abcdefghijklmnopqrstuvwxyz") for s in sizes for _ in range(2)] for _ in "ab")
+    x, y = np.divmod(np.arange(len(a) * len(b)), len(b))
+    left, right = gestalt.Texts(a), gestalt.Texts(b)
+    want = np.array([SequenceMatcher(None, a[i], b[j]).ratio() for i, j in zip(x, y, strict=True)])
+    assert (gestalt.ratios(left, right, x, y, np.arange(len(x)), np.zeros(len(x))) == want).all()
+    assert (gestalt.bounds(left, right, x, y) >= want).all()
+    # of a group the best stay
+    best = gestalt.ratios(left, right, x, y, x, np.zeros(len(a))).reshape(len(a), -1).max(1)
+    assert (best == want.reshape(len(a), -1).max(1)).all()
+
+
+def test_best_faq_deals_short_messages_to_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    said = spark.range(400).select(F.col("id").cast("string").alias("message_id"), F.concat(F.lit("donde esta "), "id").alias("text"))
+    asked = spark.createDataFrame([(1, "donde esta")], "faq_id long, question string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    got = review.best_faq(said, asked, 0.2)
+    assert got.count() == 400
+    assert adaptive == "true" and "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
