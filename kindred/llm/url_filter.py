@@ -69,25 +69,26 @@ def ratios(counts: DataFrame) -> DataFrame:
     """gram and ratio: difference of the log-probabilities of its last symbol after the others in the two models.
 
     counts: gram, n0 and n1, how often the blocked and the allowed examples have it. Grams of 0 and 0 get the ratio of the
-    longest suffix that was seen. Tables of shorter grams are sums of those of longer ones; no key of a join has more than
-    SYMBOLS rows.
+    longest suffix that was seen. All suffixes of grams, which their lengths tell apart, are one table, so the plan doesn't
+    grow with ORDER. Suffixes of few symbols are broadcast; no key of a join has more than SYMBOLS ** (ORDER - SHORT - 1)
+    rows, and no context more than SYMBOLS.
     """
-    entries = {ORDER: counts.select(F.col("gram").alias("e"), "n0", "n1")}
-    for k in range(ORDER - 1, -1, -1):
-        entries[k] = entries[k + 1].groupBy(F.substring("e", 2, k + 1).alias("e")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    shorter = None
-    for k in range(ORDER + 1):
-        contexts = entries[k].groupBy(F.substring("e", 1, k).alias("h")).agg(*(F.sum(f"n{side}").alias(f"c{side}") for side in (0, 1)), *(F.sum((F.col(f"n{side}") > 0).cast("int")).alias(f"t{side}") for side in (0, 1)))
-        few = F.broadcast if k <= SHORT else lambda df: df
-        found = entries[k].withColumn("h", F.substring("e", 1, k)).join(few(contexts), "h")
-        if shorter is None:
-            found = found.withColumn("q0", F.lit(1.0 / SYMBOLS)).withColumn("q1", F.lit(1.0 / SYMBOLS))
-        else:
-            few = F.broadcast if k - 1 <= SHORT else lambda df: df
-            found = found.withColumn("s", F.substring("e", 2, k)).join(few(shorter.select(F.col("e").alias("s"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))), "s")
-        p = [F.when(F.col(f"t{i}") > 0, (F.col(f"n{i}") + F.col(f"t{i}") * F.col(f"q{i}")) / (F.col(f"c{i}") + F.col(f"t{i}"))).otherwise(F.col(f"q{i}")).alias(f"p{i}") for i in (0, 1)]
-        shorter = found.select("e", *p)
-    return shorter.select(F.col("e").alias("gram"), (F.log("p1") - F.log("p0")).alias("ratio"))
+    sides = (0, 1)
+    suffixes = counts.select("gram", "n0", "n1", F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k")).withColumn("e", F.expr(f"substring(gram, {ORDER + 1} - k)"))
+    entries = suffixes.groupBy("e").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in sides)).withColumn("h", F.expr("substring(e, 1, length(e) - 1)"))
+    same = W.partitionBy("h")
+    seen = [(F.sum(f"n{i}").over(same).alias(f"c{i}"), F.sum((F.col(f"n{i}") > 0).cast("int")).over(same).alias(f"t{i}")) for i in sides]
+    entries = entries.select("e", F.struct((F.length("e") - 1).alias("k"), "n0", "n1", *(c for pair in seen for c in pair)).alias("entry"))
+    short = suffixes.where(F.col("k") <= SHORT).select("gram", "e").join(F.broadcast(entries.where(F.length("e") <= SHORT + 1)), "e")
+    long = suffixes.where(F.col("k") > SHORT).select("gram", "e").join(entries.where(F.length("e") > SHORT + 1), "e")
+    deeper = short.unionByName(long).groupBy("gram").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+
+    def mixed(p: Column, x: Column) -> Column:
+        """The chances in the next longer context."""
+        return F.struct(*(F.when(x[f"t{i}"] > 0, (x[f"n{i}"] + x[f"t{i}"] * p[f"p{i}"]) / (x[f"c{i}"] + x[f"t{i}"])).otherwise(p[f"p{i}"]).alias(f"p{i}") for i in sides))
+
+    even = F.struct(*(F.lit(1.0 / SYMBOLS).alias(f"p{i}") for i in sides))
+    return deeper.select("gram", F.aggregate("entries", even, mixed).alias("p")).select("gram", (F.log("p.p1") - F.log("p.p0")).alias("ratio"))
 
 
 def _looked_up(rows: DataFrame, table: DataFrame, key: str, often: int) -> DataFrame:

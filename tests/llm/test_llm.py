@@ -474,6 +474,15 @@ def test_url_rules_and_models(spark):
     assert judge(df.where("page_id >= 600"), ()).count() == len(rows) - 600
 
 
+def test_url_models_plan_is_one_table_of_suffixes(spark):
+    """The driver holds the plan; a chain of tables, one an order, was 49 exchanges and 72 aggregates."""
+    from kindred.llm.url_filter import ratios
+
+    counts = spark.createDataFrame([("^^^^^a", 2, 1), ("^^^^ab", 0, 3)], "gram string, n0 long, n1 long")
+    plan = ratios(counts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 12 and plan.count("HashAggregate") <= 10
+
+
 def test_url_models_equal_brute_force(spark, monkeypatch):
     """Scores by counting grams of all orders in Python; unseen contexts back off."""
     from kindred.llm import url_filter as u
