@@ -30,8 +30,9 @@ def link_by_id(reports: DataFrame, mode: str = "equal") -> DataFrame:
 
     equal joins the identifiers that both state; token finds the found report's identifier as a whole number anywhere in
     the missing one's marks; substring finds it inside longer numbers as well. All are equi-joins: an identifier has 5 to 10
-    digits, so it equals one of the stretches of these lengths in the numbers of the marks. A column cedula, where there is
-    one, is taken for the identifier."""
+    digits, so it equals one of the stretches of these lengths in the numbers of the marks. Each distinct number is cut once,
+    and only stretches that are identifiers go back to the reports. A column cedula, where there is one, is taken for the
+    identifier."""
     identifier = F.col("cedula") if "cedula" in reports.columns else text.extract_id(F.col("distinguishing_marks"))
     found = reports.where("kind = 'found'").select(F.col("id").alias("found_id"), identifier.alias("n")).where("n is not null")
     m = reports.where("kind = 'missing'").select(F.col("id").alias("missing_id"), "distinguishing_marks")
@@ -41,8 +42,9 @@ def link_by_id(reports: DataFrame, mode: str = "equal") -> DataFrame:
         m = m.select("missing_id", F.explode(F.array_distinct(F.regexp_extract_all("distinguishing_marks", F.lit("(\\d+)")))).alias("n")).where("length(n) >= 5")
     elif mode == "substring":
         runs = m.select("missing_id", F.explode(F.array_distinct(F.regexp_extract_all("distinguishing_marks", F.lit("(\\d{5,})")))).alias("run"))
-        sized = runs.withColumn("size", F.explode(F.sequence(F.lit(5), F.lit(10)))).where("size <= length(run)")
-        m = sized.select("missing_id", F.explode(F.expr("transform(sequence(1, length(run) - size + 1), i -> substring(run, i, size))")).alias("n")).distinct()
+        sized = runs.select("run").distinct().withColumn("size", F.explode(F.sequence(F.lit(5), F.lit(10)))).where("size <= length(run)")
+        parts = sized.select("run", F.explode(F.expr("array_distinct(transform(sequence(1, length(run) - size + 1), i -> substring(run, i, size)))")).alias("n"))
+        m = runs.join(parts.join(found.select("n").distinct(), "n"), "run").select("missing_id", "n")
     else:
         raise ValueError(f"unknown mode {mode!r}")
     return _pending(m.join(found, "n").select("missing_id", "found_id", F.lit(1.0).alias("score")).distinct(), "id")

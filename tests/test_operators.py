@@ -311,3 +311,18 @@ def test_best_faq_deals_short_messages_to_many_tasks(spark):
     got = review.best_faq(said, asked, 0.2)
     assert got.count() == 400
     assert adaptive == "true" and "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_link_by_part_cuts_each_distinct_number_once(spark):
+    rows = [(f"m{i}", "missing", "CI: 10000007 tel 99912345678901234") for i in range(50)]
+    rows += [("m90", "missing", "ref 1000000710000007, 10000007"), ("m91", "missing", "1234"), ("m92", "missing", None)]
+    rows += [("f1", "found", "ci 10000007"), ("f2", "found", "ci 10000007"), ("f3", "found", "ci 7654321"), ("f4", "found", "ci 12345678")]
+    r = spark.createDataFrame(rows, "id string, kind string, distinguishing_marks string")
+    got = linking.link_by_id(r, "substring")
+    pairs = [(x.missing_id, x.found_id) for x in got.collect()]
+    assert len(pairs) == len(set(pairs))
+    assert set(pairs) == {(f"m{i}", f) for i in (*range(50), 90) for f in ("f1", "f2")} | {(f"m{i}", "f4") for i in range(50)}
+    # the stretches are made of distinct numbers, not of each report's
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("transform(sequence(1") :]
+    assert "Aggregate [run" in below[: below.index("regexp_extract_all")]
