@@ -183,7 +183,8 @@ def phash_pairs(photos: DataFrame, most: int = 8) -> DataFrame:
     Of the hash's bands of 22, 21 and 21 bits, one has at most a third of the flipped bits. Both sides of the join have each
     band with up to half of these bits flipped, so a key is shared by few hashes. A pair is taken in the first band that is
     near enough, at the key where the first side has flipped the lower half of its bits, so it comes out once. Photos of one
-    hash are one side of the join and are told apart afterwards."""
+    hash are one side of the join and are told apart afterwards. Keys are many times the rows that they are made from, whose
+    size Spark goes by, so without the hint it may gather all keys on the driver for a broadcast."""
     half = [F.conv(F.substring("phash", at, 8), 16, 10).cast("long") for at in (1, 9)]
     good = photos.where(F.col("phash").rlike("^[0-9a-f]{16}$")).select("id", F.shiftleft(half[0], 32).bitwiseOR(half[1]).alias("h"))
     near = most // 3
@@ -194,20 +195,25 @@ def phash_pairs(photos: DataFrame, most: int = 8) -> DataFrame:
 
     def keys(band: int) -> Column:
         flips = [sum(1 << b for b in bits) for n in range((near + 1) // 2 + 1) for bits in combinations(range(cuts[band][1]), n)]
-        return F.transform(F.array(*(F.lit(m).cast("long") for m in flips)), lambda m: F.struct(F.lit(band).alias("band"), part(F.col("h"), band).bitwiseXOR(m).alias("key"), m.alias("flipped")))
+        return F.transform(F.array(*(F.lit(m | band << 22).cast("long") for m in flips)), lambda m: part(F.col("hash"), band).bitwiseXOR(m))
 
-    keyed = good.select("h").distinct().select("h", F.explode(F.flatten(F.array(*map(keys, range(3))))).alias("k")).select("h", "k.*")
-    met = keyed.join(keyed.select(F.col("h").alias("g"), "band", "key"), ["band", "key"]).where("h <= g")
+    def at_key(x: Column) -> Column:
+        return F.element_at(F.array(*(part(x, i) for i in range(3))), band + 1)
+
+    # a key holds its band above the band's bits
+    keyed = good.select(F.col("h").alias("hash")).distinct().select("hash", F.explode(F.flatten(F.array(*map(keys, range(3))))).alias("key"))
+    met = keyed.withColumnRenamed("hash", "h").hint("merge").join(keyed.withColumnRenamed("hash", "g"), "key").where("h <= g")
+    band = F.shiftright("key", 22).cast("int")
     differ = F.col("h").bitwiseXOR(F.col("g"))
-    here = F.element_at(F.array(*(part(differ, i) for i in range(3))), F.col("band") + 1)
+    here, flipped = at_key(differ), at_key(F.col("h")).bitwiseXOR(F.col("key").bitwiseAND((1 << 22) - 1))
     lower, rest = F.lit(0).cast("long"), here
     for n in range(1, near // 2 + 1):
         lowest = rest.bitwiseAND(-rest)
         lower, rest = F.when(F.bit_count(here) >= 2 * n, lower.bitwiseOR(lowest)).otherwise(lower), rest.bitwiseXOR(lowest)
     first = F.bit_count(here) <= near
     for i in range(2):
-        first = first & ((F.col("band") <= i) | (F.bit_count(part(differ, i)) > near))
-    met = met.where((F.bit_count(differ) <= most) & first & (F.col("flipped") == lower)).select("h", "g", F.bit_count(differ).alias("distance"))
+        first = first & ((band <= i) | (F.bit_count(part(differ, i)) > near))
+    met = met.where((F.bit_count(differ) <= most) & first & (flipped == lower)).select("h", "g", F.bit_count(differ).alias("distance"))
     a, b = good.select(F.col("id").alias("a"), "h"), good.select(F.col("id").alias("b"), F.col("h").alias("g"))
     out = met.join(a, "h").join(b, "g").where("h <> g or a < b")
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")

@@ -1,6 +1,7 @@
 """Work that follows distinct rows and keys, against the pairs of rows that it stands for."""
 
 import random
+import re
 
 import pytest
 
@@ -116,6 +117,15 @@ def test_hash_pairs_come_out_once_of_keys_that_few_share(spark, most):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") <= 2
 
 
+def test_hash_keys_are_not_gathered_for_a_broadcast(spark, tmp_path):
+    spark.range(3000).selectExpr("id", "substring(md5(cast(id div 3 as string)), 1, 15) || substring('0123456789abcdef', int(id % 16) + 1, 1) phash").write.parquet(f"{tmp_path}/photos")
+    got = vectors.phash_pairs(spark.read.parquet(f"{tmp_path}/photos"))
+    assert len(got.collect()) >= 3000
+    # the hashes' size at run time would allow it
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert re.findall(r"(\w+Join) \[[^]]*\bkey#", plan) == ["SortMergeJoin"]
+
+
 def test_gestalt_compares_in_full_only_what_can_win(monkeypatch):
     plain, full = fuzzy.difflib.SequenceMatcher, []
     rng = random.Random(2)
