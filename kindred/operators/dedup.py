@@ -15,6 +15,8 @@ from .upsert import checkpointed, mark_duplicates
 #: Columns that blocks are by, and names of a block that one task compares with as many others.
 BLOCK = ("kind", "_first", "_place")
 TILE = 512
+#: Reports of a block that meet as many others in one group of a join.
+MEET = 4096
 #: Pairs of alike names of a block that one task settles in a loop.
 SMALL = 50_000
 #: Pairs of names that are compared at once.
@@ -45,10 +47,27 @@ def blocks(reports: DataFrame) -> DataFrame:
 
 
 def block_pairs(reports: DataFrame) -> DataFrame:
-    """JN10: (a, b, a_name, b_name) of reports in one block, a before b."""
-    b = blocks(reports).select("kind", "_first", "_place", "id", "full_name")
-    left, right = b.withColumnsRenamed({"id": "a", "full_name": "a_name"}), b.withColumnsRenamed({"id": "b", "full_name": "b_name"})
-    return left.join(right, ["kind", "_first", "_place"]).where("a < b").select("a", "b", "a_name", "b_name")
+    """JN10: (a, b, a_name, b_name) of reports in one block, a before b.
+
+    Pairs grow with the square of a block. Blocks of more than MEET reports are cut into tiles by hash, and each pair of
+    tiles meets by itself, so a group of the join stays small and a block's pairs are many tasks' work."""
+    b = blocks(reports).where("id is not null").select(*BLOCK, "id", "full_name")
+    held = b.groupBy(*BLOCK).agg(F.ceil(F.count("*") / MEET).cast("int").alias("tiles"))
+    tiled = b.join(held, list(BLOCK)).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    spark = reports.sparkSession
+    # a pair of tiles is few bytes and much work, so partitions must not be put together by their bytes
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+
+    def dealt(own: str, other: str, others: str, named: dict) -> DataFrame:
+        sent = tiled.select(*BLOCK, "id", "full_name", F.col("tile").alias(own), F.explode(F.expr(others)).alias(other))
+        return sent.withColumnsRenamed(named).repartition(tasks, *BLOCK, "p", "q")
+
+    left = dealt("p", "q", "sequence(tile, tiles - 1)", {"id": "x", "full_name": "x_name"})
+    right = dealt("q", "p", "sequence(0, tile)", {"id": "y", "full_name": "y_name"})
+    # keys are made of few bytes that Spark goes by, so without the hint it may gather a side for a broadcast
+    met = left.hint("merge").join(right, [*BLOCK, "p", "q"]).where("p < q or x < y")
+    names = [F.when(F.col("x") < F.col("y"), F.col(one)).otherwise(F.col(other)) for one, other in (("x_name", "y_name"), ("y_name", "x_name"))]
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), names[0].alias("a_name"), names[1].alias("b_name"))
 
 
 def block_links(reports: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import pytest
 
 from kindred.functions import fuzzy
 from kindred.operators import dedup, linking, search, vectors
+from kindred.plans.fixtures import load
+from kindred.plans.queries import QUERIES
 from kindred.sources import ingest
 
 REPORT = "id string, kind string, full_name string, age int, last_seen_location string, distinguishing_marks string, source string, created_at long"
@@ -57,6 +59,29 @@ def test_block_links_are_all_block_pairs(reports):
     assert sum(x.n_links for x in rows) == 2 * len(want)
 
 
+@pytest.mark.parametrize("meet", [1, 7, 4096])
+def test_block_pairs_are_all_pairs_in_tiles(spark, reports, monkeypatch, meet):
+    monkeypatch.setattr(dedup, "MEET", meet)
+    odd = [("r3", "missing", "Luis Otro", 1, "Petare", "x", "web", 1), (None, "missing", "Luis Gil", 1, "Petare", "x", "web", 1), ("z", None, "Luis Gil", 1, "Petare", "x", "web", 1)]
+    r = reports.union(spark.createDataFrame(odd, REPORT))
+    rows = [x for x in dedup.blocks(r).collect() if x.id and x.kind]
+    key = lambda x: (x.kind, x._first, x._place)
+    want = [(x.id, y.id, x.full_name, y.full_name) for x in rows for y in rows if key(x) == key(y) and x.id < y.id]
+    pairs = dedup.block_pairs(r)
+    assert sorted(map(tuple, pairs.collect())) == sorted(want) and len(want) > 400
+    # a tile of a block meets one other in a group of the join, and no side is gathered
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert re.findall(r"(\w+Join) \[[^]]*\bp#[^]]*\bq#", plan) == ["SortMergeJoin"]
+
+
+def test_block_pairs_query_returns_every_pair(spark):
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["jn10_block_pairs"](spark, sf).collect()
+    links = dedup.block_links(load(spark, sf, "reports")).collect()
+    assert {(x.a, x.b) for x in got} == {(x.id, y.id) for x in links for y in links if x.block == y.block and x.id < y.id}
+    assert 2 * len(got) == sum(x.n_links for x in links)
+
+
 def test_incremental_links_of_both_directions_are_one(spark, monkeypatch):
     # a matrix product and its transpose differ in last places
     scores = iter([0.9, 0.9000000000000001])
