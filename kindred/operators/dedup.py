@@ -66,8 +66,8 @@ def block_pairs(reports: DataFrame) -> DataFrame:
     right = dealt("q", "p", "sequence(0, tile)", {"id": "y", "full_name": "y_name"})
     # keys are made of few bytes that Spark goes by, so without the hint it may gather a side for a broadcast
     met = left.hint("merge").join(right, [*BLOCK, "p", "q"]).where("p < q or x < y")
-    names = [F.when(F.col("x") < F.col("y"), F.col(one)).otherwise(F.col(other)) for one, other in (("x_name", "y_name"), ("y_name", "x_name"))]
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), names[0].alias("a_name"), names[1].alias("b_name"))
+    first = F.col("x") < F.col("y")
+    return met.select(*(F.when(first, F.col(one)).otherwise(F.col(other)).alias(name) for name, one, other in (("a", "x", "y"), ("b", "y", "x"), ("a_name", "x_name", "y_name"), ("b_name", "y_name", "x_name"))))
 
 
 def block_links(reports: DataFrame) -> DataFrame:
